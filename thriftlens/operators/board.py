@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from thriftlens.functions import scalars as s
 from thriftlens.operators.spread import group_quantiles
 
-N = F.count(F.lit(1))
 # Functions of price themselves; on the price target they would explain it trivially.
 NOT_FOR_PRICE = ["price_band", "peer_quartile"]
 
@@ -55,7 +54,7 @@ def _buckets(items: DataFrame, features: Mapping[str, Column], *values: Column)
 def _board(kept: DataFrame, strength: DataFrame, target: str, as_of: Column) -> DataFrame:
     order = F.struct("rate", "bucket")
     ends = kept.groupBy("feature").agg(
-        N.alias("buckets"),
+        F.count(F.lit(1)).alias("buckets"),
         F.sum("n").alias("n"),
         F.max_by("bucket", order).alias("best_bucket"),
         F.max("rate").alias("best_rate"),
@@ -86,15 +85,15 @@ def sale_board(items: DataFrame, features: Mapping[str, Column], sold: Column, a
     """Sale rate per bucket: lift, Cramér's V and the extreme buckets. Thin buckets are dropped,
     not merged."""
     long = _buckets(items, features, F.coalesce(sold, F.lit(False)).alias("_sold"))
-    cells = long.groupBy("feature", "bucket").agg(N.alias("n"), F.count_if("_sold").alias("k"))
+    cells = long.groupBy("feature", "bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("_sold").alias("k"))
     kept = cells.where(F.col("n") >= min_bucket).withColumn("rate", F.col("k") / F.col("n"))
     # With two outcomes, chi square is sum((k - n p)^2 / (n p (1 - p))), p the overall rate, and
-    # the smaller side of the table has two columns, so V = sqrt(chi2 / N).
+    # the smaller side of the table has two columns, so V = sqrt(chi2 / F.count(F.lit(1))).
     sums = kept.groupBy("feature").agg(
         F.sum("n").alias("N"),
         F.sum("k").alias("K"),
         F.sum(F.col("k") * F.col("k") / F.col("n")).alias("kk"),
-        N.alias("b"),
+        F.count(F.lit(1)).alias("b"),
     )
     p = F.col("K") / F.col("N")
     chi2 = s.ratio(F.col("kk") - F.col("K") * p, p * (1 - p))
@@ -110,7 +109,7 @@ def price_board(items: DataFrame, features: Mapping[str, Column], as_of: Column,
     long = _buckets(priced, used, F.col(price).alias("_y"))
     y = F.col("_y").cast("decimal(19,0)")
     cells = long.groupBy("feature", "bucket").agg(
-        N.alias("n"), F.sum("_y").alias("y"), F.sum(y * y).alias("yy")
+        F.count(F.lit(1)).alias("n"), F.sum("_y").alias("y"), F.sum(y * y).alias("yy")
     )
     kept = cells.where(F.col("n") >= min_bucket).withColumn("rate", F.col("y") / F.col("n"))
     sums = kept.groupBy("feature").agg(

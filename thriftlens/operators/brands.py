@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from thriftlens.functions import scalars as s
 from thriftlens.operators.spread import pick_first, with_quantiles
 
-N = F.count(F.lit(1))
-
 
 def attention_index(live: DataFrame, as_of: Column, min_cell: int = 30, band_edges: Sequence[int] = s.PRICE_BAND_EDGES_ORE) -> DataFrame:
     """Likes of a brand over the likes the market gives the same basket of garment, price band and
@@ -30,7 +28,7 @@ def attention_index(live: DataFrame, as_of: Column, min_cell: int = 30, band_edg
             "favourites",
         )
         .groupBy("brand", "item_type", "band", "age")
-        .agg(N.alias("n"), F.sum("favourites").alias("likes"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("favourites").alias("likes"))
     )
     cell = basket.groupBy("item_type", "band", "age").agg(
         F.sum("n").alias("cell_n"), F.sum("likes").alias("cell_likes")
@@ -65,9 +63,9 @@ def inflow(items: DataFrame, as_of: Column, days: int = 7, key: str = "brand") -
     """Listings first offered in the ``days`` before a date, and their share of the key's shelf."""
     fresh = (F.col("first_offered") >= F.date_sub(as_of, days)) & (F.col("first_offered") < as_of)
     return items.groupBy(key).agg(
-        N.alias("listings"),
+        F.count(F.lit(1)).alias("listings"),
         F.count_if(fresh).alias("inflow"),
-        s.ratio(F.count_if(fresh), N).alias("inflow_share"),
+        s.ratio(F.count_if(fresh), F.count(F.lit(1))).alias("inflow_share"),
     )
 
 
@@ -129,7 +127,7 @@ def brand_history(ladders: DataFrame, min_n: int = 5) -> DataFrame:
     summary = (
         ladders.where(F.col("brand").isNotNull())
         .groupBy("brand")
-        .agg(N.alias("resolved"), s.ratio(F.count_if("sold"), N).alias("sell_through"))
+        .agg(F.count(F.lit(1)).alias("resolved"), s.ratio(F.count_if("sold"), F.count(F.lit(1))).alias("sell_through"))
         .where(F.col("resolved") >= min_n)
     )
     kept = s.ratio(F.col("final_price_ore"), F.col("opening_ask_ore"))
@@ -163,5 +161,5 @@ def lagged_effect(observations: DataFrame, change: Column, outcome: Column) -> D
     return (
         seen.where(F.col("changed_before").isNotNull())
         .groupBy("changed_before")
-        .agg(N.alias("n"), F.count_if(outcome).alias("hits"), s.ratio(F.count_if(outcome), N).alias("rate"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(outcome).alias("hits"), s.ratio(F.count_if(outcome), F.count(F.lit(1))).alias("rate"))
     )

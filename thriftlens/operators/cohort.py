@@ -12,8 +12,6 @@ from thriftlens.operators.filters import STRATUM_EXPECT, STRATUM_QUOTA, stratum_
 from thriftlens.operators.ladders import ladder_summary
 from thriftlens.operators.selecting import assign_strata
 
-N = F.count(F.lit(1))
-
 
 def cohort_snapshot(hits: DataFrame, today: Column, strata: Mapping[str, Column] | None = None, quotas: Mapping[str, int] = STRATUM_QUOTA, expect: Mapping[str, str] = STRATUM_EXPECT, key: str = "item_id") -> DataFrame:
     """Enrolled items with their stratum, enrolment day and the prediction frozen with it. Write it
@@ -51,23 +49,25 @@ def cohort_check(cohort: DataFrame, checks: DataFrame, observed: DataFrame, offe
     return resolved.unionByName(listed, allowMissingColumns=True).withColumn("checked_on", today)
 
 
+def final_outcomes(checks: DataFrame, *columns: str) -> DataFrame:
+    """(item_id, outcome and ``columns``) per item: its terminal check, or else its latest one."""
+    rank = F.struct(F.col("outcome").isin(*s.TERMINAL_OUTCOMES), F.col("checked_on"))
+    return checks.groupBy("item_id").agg(
+        *[F.max_by(c, rank).alias(c) for c in ["outcome", *columns]]
+    )
+
+
 def cohort_summary(cohort: DataFrame, checks: DataFrame) -> DataFrame:
     """Per stratum: enrolled, eligible, listed, sold, expired, and sold as a share of the finished.
     A terminal outcome stands whatever a later check says; otherwise the latest check counts."""
-    final = F.col("outcome").isin(*s.TERMINAL_OUTCOMES)
-    latest = checks.groupBy("item_id").agg(
-        F.coalesce(
-            F.max_by(F.when(final, F.col("outcome")), F.when(final, F.col("checked_on"))),
-            F.max_by("outcome", "checked_on"),
-        ).alias("outcome")
-    )
+    latest = final_outcomes(checks)
     is_ = {o: F.count_if(F.col("outcome") == o) for o in ("still_listed", "sold", "expired")}
     return (
         cohort.select("item_id", "stratum", "ineligible_reason")
         .join(latest, "item_id", "left")
         .groupBy("stratum")
         .agg(
-            N.alias("enrolled"),
+            F.count(F.lit(1)).alias("enrolled"),
             F.count_if(F.col("ineligible_reason").isNull()).alias("eligible"),
             is_["still_listed"].alias("listed"),
             is_["sold"].alias("sold"),

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Column
 
-N = F.count(F.lit(1))
-
 
 def staging_guard(marker: DataFrame, items: DataFrame, peers: DataFrame, now: Column, max_age: str = "30 minutes", key: str = "item_id") -> DataFrame:
     """Whether the shelf may be scored (staged, and recently) and whether the peer table may be
@@ -16,7 +14,7 @@ def staging_guard(marker: DataFrame, items: DataFrame, peers: DataFrame, now: Co
     waiting = (
         items.where(F.col("outcome").isNotNull() & F.col("peer_frozen_on").isNull())
         .join(peers.select(key), key, "left_semi")
-        .agg(N.alias("unfrozen"))
+        .agg(F.count(F.lit(1)).alias("unfrozen"))
     )
     fresh = F.col("staged_at") >= now - F.expr(f"INTERVAL {max_age}")
     reason = (
@@ -56,7 +54,7 @@ def outcome_precheck(ledger: DataFrame, tracked: DataFrame, observed: DataFrame,
     last = ledger.agg(F.max_by("status", "started_at").alias("last_status"))
     seen = observed.select(key, F.lit(True).alias("_seen"))
     churn = tracked.select(key).join(seen, key, "left").agg(
-        N.alias("tracked"), F.count_if(F.col("_seen").isNull()).alias("gone")
+        F.count(F.lit(1)).alias("tracked"), F.count_if(F.col("_seen").isNull()).alias("gone")
     )
     rate = F.col("gone") / F.nullif(F.col("tracked"), F.lit(0))
     ok = (F.col("last_status") == "ok") & (rate < max_churn)

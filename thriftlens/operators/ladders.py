@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from thriftlens.functions import scalars as s
 from thriftlens.operators.spread import with_neighbours, with_quantiles
 
-N = F.count(F.lit(1))
-
 
 def rungs(offers: DataFrame, key: str = "item_id") -> DataFrame:
     """Steps with their number, ``first`` and ``latest`` flags, and an end: the given one, or else
@@ -45,7 +43,7 @@ def ladder_summary(offers: DataFrame, key: str = "item_id") -> DataFrame:
         .agg(
             F.min_by("price_ore", order).alias("opening_ask_ore"),
             F.max_by("price_ore", order).alias("final_price_ore"),
-            N.alias("rungs"),
+            F.count(F.lit(1)).alias("rungs"),
             F.to_date(F.min("created_at")).alias("listed_on"),
             F.to_date(F.max_by("_ended", order)).alias("ended_on"),
         )
@@ -65,7 +63,7 @@ def ladder_parts(offers: DataFrame, key: str = "item_id", part: str = "month") -
         F.to_date("ended_at").alias("to"),
     )
     return (
-        steps.groupBy(key, F.trunc(F.to_date("created_at"), part).alias("part"))
+        steps.groupBy(key, F.to_date(F.date_trunc(part, "created_at")).alias("part"))
         .agg(F.array_sort(F.collect_list(step)).alias("ladder"))
     )
 
@@ -74,14 +72,14 @@ def monotonicity(offers: DataFrame, key: str = "item_id") -> DataFrame:
     """Transitions, how many went up, and how many listings have one that did."""
     steps = rungs(offers, key).where(F.col("previous_ore").isNotNull())
     per_item = steps.groupBy(key).agg(
-        N.alias("t"), F.count_if(F.col("price_ore") > F.col("previous_ore")).alias("up")
+        F.count(F.lit(1)).alias("t"), F.count_if(F.col("price_ore") > F.col("previous_ore")).alias("up")
     )
     return per_item.agg(
         F.sum("t").alias("transitions"),
         F.sum("up").alias("increases"),
         s.ratio(F.sum("up"), F.sum("t")).alias("increase_share"),
         F.count_if(F.col("up") > 0).alias("items_affected"),
-        N.alias("items"),
+        F.count(F.lit(1)).alias("items"),
     )
 
 
@@ -94,7 +92,7 @@ def sell_through_by_ask(ladders: DataFrame, low: int = 400, high: int = 1500) ->
         "ask_band", s.ask_band(_kr("opening_ask_ore"), low, high)
     )
     summary = done.groupBy("ask_band").agg(
-        N.alias("n"), F.count_if("sold").alias("sold"), s.ratio(F.count_if("sold"), N).alias("rate")
+        F.count(F.lit(1)).alias("n"), F.count_if("sold").alias("sold"), s.ratio(F.count_if("sold"), F.count(F.lit(1))).alias("rate")
     )
     measures = {"rungs": "rungs", "days": "days_on_market", "decay": "decay"}
     return with_quantiles(summary, done, ["ask_band"], measures)
@@ -108,11 +106,11 @@ def underpricing_fingerprint(ladders: DataFrame, max_days: int = 21, max_rungs:
     quick = (days <= max_days) & (F.col("rungs") <= max_rungs)
     slow = F.col("rungs") >= slow_rungs
     summary = sold.agg(
-        N.alias("sold"),
+        F.count(F.lit(1)).alias("sold"),
         F.count_if(quick).alias("quick"),
         F.count_if(slow).alias("slow"),
-        s.ratio(F.count_if(quick), N).alias("quick_share"),
-        s.ratio(F.count_if(slow), N).alias("slow_share"),
+        s.ratio(F.count_if(quick), F.count(F.lit(1))).alias("quick_share"),
+        s.ratio(F.count_if(slow), F.count(F.lit(1))).alias("slow_share"),
     )
     asks = {
         "quick_ask": F.when(quick, F.col("opening_ask_ore")),
@@ -138,7 +136,7 @@ def score_gap(ladders: DataFrame, threshold: float = 0.03) -> DataFrame:
 def defect_split(ladders: DataFrame) -> DataFrame:
     done = ladders.where(F.col("ended_on").isNotNull())
     summary = done.groupBy("has_defect").agg(
-        N.alias("n"), s.ratio(F.count_if("sold"), N).alias("sold_share")
+        F.count(F.lit(1)).alias("n"), s.ratio(F.count_if("sold"), F.count(F.lit(1))).alias("sold_share")
     )
     return with_quantiles(summary, done, ["has_defect"], {"decay": "decay"})
 
@@ -147,7 +145,7 @@ def dwell_split(ladders: DataFrame, days: int = 30) -> DataFrame:
     known = ladders.where(F.col("ended_on").isNotNull() & F.col("dwell_days").isNotNull())
     known = known.withColumn("long_dwell", F.col("dwell_days") >= days)
     summary = known.groupBy("long_dwell").agg(
-        N.alias("n"), s.ratio(F.count_if("sold"), N).alias("sold_share")
+        F.count(F.lit(1)).alias("n"), s.ratio(F.count_if("sold"), F.count(F.lit(1))).alias("sold_share")
     )
     return with_quantiles(summary, known, ["long_dwell"], {"opening_ore": "opening_ask_ore"})
 
@@ -177,7 +175,7 @@ def clearing_retention(ladders: DataFrame) -> DataFrame:
     """How much of the opening ask sold and unsold listings kept, and how long they sat."""
     done = ladders.where(F.col("ended_on").isNotNull())
     summary = done.groupBy("sold").agg(
-        N.alias("n"), s.ratio(F.count_if(kept_share() < 0.5), N).alias("over_half_off")
+        F.count(F.lit(1)).alias("n"), s.ratio(F.count_if(kept_share() < 0.5), F.count(F.lit(1))).alias("over_half_off")
     )
     return with_quantiles(summary, done, ["sold"], {"kept": kept_share(), "days": "days_on_market"})
 
@@ -186,8 +184,8 @@ def floor_truncation(ladders: DataFrame, floor_ore: int) -> DataFrame:
     """Of the listings that opened at or above a floor: the share that ended below it."""
     opened = ladders.where(F.col("ended_on").isNotNull() & (F.col("opening_ask_ore") >= floor_ore))
     summary = opened.groupBy("sold").agg(
-        N.alias("n"),
-        s.ratio(F.count_if(F.col("final_price_ore") < floor_ore), N).alias("ended_below"),
+        F.count(F.lit(1)).alias("n"),
+        s.ratio(F.count_if(F.col("final_price_ore") < floor_ore), F.count(F.lit(1))).alias("ended_below"),
     )
     return with_quantiles(summary, opened, ["sold"], {"final_ore": "final_price_ore"})
 
@@ -242,7 +240,7 @@ def payout_lag(sales: DataFrame) -> DataFrame:
     lag = s.day_gap(F.col("sold_on"), F.col("paid_on"))
     rows = sales.where(lag.isNotNull()).withColumn("lag_days", lag)
     summary = rows.groupBy("p2p").agg(
-        N.alias("n"), F.min("lag_days").alias("min_days"), F.max("lag_days").alias("max_days")
+        F.count(F.lit(1)).alias("n"), F.min("lag_days").alias("min_days"), F.max("lag_days").alias("max_days")
     )
     return with_quantiles(summary, rows, ["p2p"], {"days": "lag_days"})
 

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from thriftlens.functions import scalars as s
 from thriftlens.operators.spread import group_quantiles, positions_median, value_positions, with_quantiles
 
-N = F.count(F.lit(1))
-
 
 def _features(items: DataFrame, features: Mapping[str, Column]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), c.cast("string").alias("value")) for f, c in features.items()])
@@ -35,7 +33,7 @@ def feature_lift(items: DataFrame, features: Mapping[str, Column], min_n: int =
     lower bound of its share among sold."""
     known = items.where(F.col("outcome").isNull() | (F.col("outcome") == s.SOLD))
     cells = _features(known, features).groupBy("feature", "value").agg(
-        N.alias("n"), F.count_if("sold").alias("sold"), F.count_if("live").alias("live")
+        F.count(F.lit(1)).alias("n"), F.count_if("sold").alias("sold"), F.count_if("live").alias("live")
     )
     totals = known.agg(
         F.count_if(F.col("outcome") == s.SOLD).alias("S"), F.count_if(F.col("outcome").isNull()).alias("L")
@@ -76,13 +74,13 @@ def pair_lift(items: DataFrame, features: Mapping[str, Column], min_n: int = 30)
         .select("sold", "p.*")
         .where(F.col("value_a").isNotNull() & F.col("value_b").isNotNull())
         .groupBy("feature_a", "value_a", "feature_b", "value_b")
-        .agg(N.alias("n"), F.count_if("sold").alias("k"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if("sold").alias("k"))
         .where(F.col("n") >= min_n)
     )
     singles = _features(known, features).groupBy("feature", "value").agg(
-        (F.count_if("sold") / N).alias("rate")
+        (F.count_if("sold") / F.count(F.lit(1))).alias("rate")
     )
-    base = known.agg((F.count_if(sold) / N).alias("base"))
+    base = known.agg((F.count_if(sold) / F.count(F.lit(1))).alias("base"))
 
     def side(x: str) -> DataFrame:
         return singles.withColumnsRenamed({"feature": f"feature_{x}", "value": f"value_{x}", "rate": f"rate_{x}"})
@@ -99,7 +97,7 @@ def pair_lift(items: DataFrame, features: Mapping[str, Column], min_n: int = 30)
 def sales_by_day(ladders: DataFrame) -> DataFrame:
     """Sales, median price, days and markdown depth per day of sale."""
     sold = ladders.where("sold")
-    summary = sold.groupBy("ended_on").agg(N.alias("sales"), F.sum("final_price_ore").alias("revenue_ore"))
+    summary = sold.groupBy("ended_on").agg(F.count(F.lit(1)).alias("sales"), F.sum("final_price_ore").alias("revenue_ore"))
     depth = 1 - s.ratio(F.col("final_price_ore"), F.col("opening_ask_ore"))
     measures = {"price_ore": "final_price_ore", "days": "days_on_market", "markdown": depth}
     return with_quantiles(summary, sold, ["ended_on"], measures)
@@ -110,7 +108,7 @@ def top_sellers(ladders: DataFrame, key: str, k: int = 20) -> DataFrame:
     sold = ladders.where("sold")
     best = (
         sold.groupBy(key)
-        .agg(N.alias("units"), F.sum("final_price_ore").alias("revenue_ore"))
+        .agg(F.count(F.lit(1)).alias("units"), F.sum("final_price_ore").alias("revenue_ore"))
         .orderBy(F.col("units").desc(), key)
         .limit(k)
     )
@@ -125,7 +123,7 @@ def sold_after_cut(steps: DataFrame, sales: DataFrame, days: int = 7) -> DataFra
     )
     near = F.datediff("sold_on", "cut_on").between(0, days)
     return sales.join(cuts, "item_id", "left").agg(
-        N.alias("sales"), F.count_if(near).alias("after_cut"), s.ratio(F.count_if(near), N).alias("share")
+        F.count(F.lit(1)).alias("sales"), F.count_if(near).alias("after_cut"), s.ratio(F.count_if(near), F.count(F.lit(1))).alias("share")
     )
 
 
@@ -210,7 +208,7 @@ def backtest(steps: DataFrame, outcomes: DataFrame, rule: Column, cutoff: Column
     state = state_on(steps, cutoff).withColumn("picked", F.coalesce(rule, F.lit(False)))
     later = outcomes.select("item_id", "sold", "final_price_ore", "ended_on")
     rows = state.join(later, "item_id").withColumn("days", F.datediff("ended_on", cutoff))
-    summary = rows.groupBy("picked").agg(N.alias("n"), s.ratio(F.count_if("sold"), N).alias("sell_through"))
+    summary = rows.groupBy("picked").agg(F.count(F.lit(1)).alias("n"), s.ratio(F.count_if("sold"), F.count(F.lit(1))).alias("sell_through"))
     kept = s.ratio(F.col("final_price_ore"), F.col("ask_ore"))
     return with_quantiles(summary, rows, ["picked"], {"kept": kept, "days": "days"})
 
@@ -225,7 +223,7 @@ def daily_aggregate(ladders: DataFrame, dimensions: Sequence[str]) -> DataFrame:
         .where(F.col("value").isNotNull())
     )
     keys = ["ended_on", "dimension", "value"]
-    summary = long.groupBy(*keys).agg(N.alias("units"))
+    summary = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("units"))
     return with_quantiles(summary, long, keys, {"price_ore": "final_price_ore", "days": "days_on_market"})
 
 
@@ -234,7 +232,7 @@ def cutoff_drift(rows: DataFrame) -> DataFrame:
     keys = ["score_version", "category", "month"]
     dated = rows.where(F.col("cutoff").isNotNull()).withColumn("month", F.trunc("listed_on", "month"))
     summary = dated.groupBy(*keys).agg(
-        N.alias("n"),
+        F.count(F.lit(1)).alias("n"),
         F.avg("cutoff").alias("mean_cutoff"),
         F.count_if(F.col("score") < F.col("cutoff")).alias("below_cutoff"),
     )

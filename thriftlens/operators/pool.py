@@ -14,14 +14,13 @@ from thriftlens.operators.peers import PEER_LEVELS, peer_cascade
 from thriftlens.operators.selecting import top_n
 from thriftlens.sources.tables import delete_where
 
-N = F.count(F.lit(1))
 MIN_BRAND_ITEMS = 8
 
 
 def score_bucket(market: DataFrame, min_brand: int = MIN_BRAND_ITEMS, min_group: int = 8, **gates) -> DataFrame:
     """The cheap quarter of a bucket's whole brands. Levels 1 and 2 lie inside a brand, so groups
     are complete; level 3 spans brands and is not computed."""
-    thick = market.groupBy("brand").agg(N.alias("_n")).where(F.col("_n") >= min_brand)
+    thick = market.groupBy("brand").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_brand)
     rows = market.join(thick.select("brand"), "brand", "left_semi")
     placed = peer_cascade(rows, PEER_LEVELS[:2], min_group).drop("price_ore")
     discount = s.discount_pct(F.col("price_ore"), F.col("peer_median_ore"))

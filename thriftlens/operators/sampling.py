@@ -11,7 +11,6 @@ from thriftlens.functions import scalars as s
 from thriftlens.operators.selecting import cap_per_key, hash_order
 from thriftlens.operators.spread import pick_first
 
-N = F.count(F.lit(1))
 # Fixed values of the sampling design.
 BRAND_FLOOR = 500
 BRAND_CAP = 700
@@ -30,13 +29,13 @@ def brand_band_population(hits: DataFrame, edges: Sequence[int] = s.PRICE_BAND_E
     return (
         hits.where(F.col("brand").isNotNull())
         .groupBy("brand", s.price_band(F.col("price_ore"), edges).alias("price_band"))
-        .agg(N.alias("population"))
+        .agg(F.count(F.lit(1)).alias("population"))
     )
 
 
 def big_brands(hits: DataFrame, floor: int = BRAND_FLOOR) -> DataFrame:
     named = hits.where(F.col("brand").isNotNull())
-    return named.groupBy("brand").agg(N.alias("population")).where(F.col("population") >= floor)
+    return named.groupBy("brand").agg(F.count(F.lit(1)).alias("population")).where(F.col("population") >= floor)
 
 
 def stratum_a(hits: DataFrame, floor: int = BRAND_FLOOR, cap: int = BRAND_CAP, edges: Sequence[int] = s.PRICE_BAND_EDGES_ORE, key: str = "item_id") -> DataFrame:
@@ -59,7 +58,7 @@ def stratum_a(hits: DataFrame, floor: int = BRAND_FLOOR, cap: int = BRAND_CAP, e
 def sample_weights(items: DataFrame, population: DataFrame) -> DataFrame:
     """Weight of each (brand, price band) cell: population over sampled rows."""
     cell = ["brand", "price_band"]
-    held = items.groupBy(*cell).agg(N.alias("sampled"))
+    held = items.groupBy(*cell).agg(F.count(F.lit(1)).alias("sampled"))
     return population.join(held, cell).select(
         *cell, "population", "sampled", s.ratio(F.col("population"), F.col("sampled")).alias("sample_weight")
     )
@@ -87,7 +86,7 @@ def stratum_b(hits: DataFrame, big: DataFrame, target: int, per_cell: int = 3000
     examined by hash; a kept row weighs cell population over rows examined."""
     cell = ["_cell", "category"]
     cells = hits.withColumn("_cell", tail_cell(F.col("price_ore"), edges_kr)).where(F.col("_cell").isNotNull())
-    population = cells.groupBy(*cell).agg(N.alias("population"))
+    population = cells.groupBy(*cell).agg(F.count(F.lit(1)).alias("population"))
     seen = pick_first(cells, cell, [hash_order(F.col(key), "B"), F.col(key)], per_cell)
     weight = F.col("population") / F.least(F.col("population"), F.lit(per_cell))
     tail = seen.where(F.col("brand").isNotNull()).join(big.select("brand"), "brand", "left_anti")
@@ -109,7 +108,7 @@ def stratum_n(hits: DataFrame, items: DataFrame, today: Column, days: int = NEW_
     order = [hash_order(F.col(key), "N"), F.col(key)]
     capped = cap_per_key(new.where(F.col("brand").isNotNull()), "brand", per_brand, order)
     kept = not_enrolled(capped, items, key).orderBy(*order).limit(target)
-    totals = new.agg(N.alias("_new")).join(kept.agg(N.alias("_kept")))
+    totals = new.agg(F.count(F.lit(1)).alias("_new")).join(kept.agg(F.count(F.lit(1)).alias("_kept")))
     return (
         kept.join(totals)
         .withColumn("sample_weight", s.ratio(F.col("_new"), F.col("_kept")))
@@ -131,8 +130,8 @@ def stratum_c(hits: DataFrame, items: DataFrame, key: str = "item_id") -> DataFr
 
 def census_shortfall(items: DataFrame, population: DataFrame) -> DataFrame:
     """Resale rows held against the number that exists; a shortfall makes weight one wrong."""
-    held = items.where("p2p").agg(N.alias("held"))
-    total = population.where("p2p").agg(N.alias("population"))
+    held = items.where("p2p").agg(F.count(F.lit(1)).alias("held"))
+    total = population.where("p2p").agg(F.count(F.lit(1)).alias("population"))
     short = F.greatest(F.col("population") - F.col("held"), F.lit(0))
     return held.join(total).withColumn("shortfall", short).withColumn("warning", short > 0)
 
@@ -146,7 +145,7 @@ def cell_census(items: DataFrame, categories: Sequence[str], edges_kr: Sequence[
     counts = (
         items.withColumn("cell", tail_cell(F.col("price_ore"), edges_kr))
         .groupBy("cell", "category")
-        .agg(N.alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     return grid.join(counts, ["cell", "category"], "left").fillna(0, ["n"])
 
@@ -164,4 +163,4 @@ def target_size_counts(items: DataFrame, target_sizes: DataFrame, key: str = "it
         F.struct(F.lit("shape").alias("kind"), F.coalesce("_who", F.lit("size implies wearer")).alias("name")),
     )
     once = fits.select(key, F.explode(groups).alias("g")).select(key, "g.*").distinct()
-    return once.groupBy("kind", "name").agg(N.alias("n"))
+    return once.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))

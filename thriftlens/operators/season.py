@@ -11,7 +11,6 @@ from thriftlens.functions import scalars as s
 from thriftlens.operators.ladders import kept_share
 from thriftlens.operators.spread import group_quantiles, with_quantiles
 
-N = F.count(F.lit(1))
 SEASONS = ["Vinter", "Sommar"]
 
 
@@ -20,7 +19,7 @@ def season_curve(ladders: DataFrame, min_cell: int = 8) -> DataFrame:
     by month of sale."""
     rows = ladders.where(F.col("sold") & F.col("season").isin(*SEASONS))
     rows = rows.withColumn("month", F.month("ended_on"))
-    summary = rows.groupBy("season", "month").agg(N.alias("n")).where(F.col("n") >= min_cell)
+    summary = rows.groupBy("season", "month").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_cell)
     measures = {"price_ore": "final_price_ore", "kept": kept_share(), "days": "days_on_market"}
     return with_quantiles(summary, rows, ["season", "month"], measures)
 
@@ -42,7 +41,7 @@ def clearing_ratio(ladders: DataFrame) -> DataFrame:
     """Median of clearing over landing price by brand, category and month of sale; sold items."""
     sold = ladders.where("sold").withColumn("month", F.month("ended_on"))
     keys = ["brand", "category", "month"]
-    summary = sold.groupBy(*keys).agg(N.alias("n"))
+    summary = sold.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return with_quantiles(summary, sold, keys, {"ratio": kept_share()}).withColumnRenamed(
         "med_ratio", "clearing_ratio"
     )

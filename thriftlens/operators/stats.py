@@ -12,17 +12,15 @@ from thriftlens.functions import scalars as s
 from thriftlens.operators.ladders import kept_share
 from thriftlens.operators.spread import with_quantiles
 
-N = F.count(F.lit(1))
-
 
 def offer_shape(offers: DataFrame, floor_ore: int) -> DataFrame:
     """Live and ended offers, price quantiles taken at ``floor(n * q)``, maximum, share above."""
     summary = offers.agg(
-        N.alias("n"),
+        F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("ended_at").isNull()).alias("live"),
         F.count("ended_at").alias("ended"),
         F.max("price_ore").alias("max_ore"),
-        s.ratio(F.count_if(F.col("price_ore") >= floor_ore), N).alias("share_above"),
+        s.ratio(F.count_if(F.col("price_ore") >= floor_ore), F.count(F.lit(1))).alias("share_above"),
     )
     quantiles = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
     return with_quantiles(summary, offers, [], {"ore": "price_ore"}, quantiles=quantiles, discrete=True)
@@ -30,7 +28,7 @@ def offer_shape(offers: DataFrame, floor_ore: int) -> DataFrame:
 
 def field_coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """How many rows carry each field: one scan, one row per field."""
-    counts = df.agg(N.alias("_n"), *[F.count(c).alias(c) for c in columns])
+    counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in columns])
     rows = [
         F.struct(
             F.lit(c).alias("field"),
@@ -48,7 +46,7 @@ def top_values(df: DataFrame, column: str, k: int, watch: Sequence[str] = ()) ->
     counts = (
         df.where(F.col(column).isNotNull())
         .groupBy(F.col(column).alias("value"))
-        .agg(N.alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     top = counts.orderBy(F.col("n").desc(), "value").limit(k).withColumn("watched", F.lit(False))
     if not watch:
@@ -63,11 +61,11 @@ def top_values(df: DataFrame, column: str, k: int, watch: Sequence[str] = ()) ->
 
 def concentration(items: DataFrame, key: str = "brand", top: int = 1000, min_n: int = 5) -> DataFrame:
     """Distinct keys, the share the ``top`` largest hold, keys with ``min_n`` rows, singletons."""
-    counts = items.where(F.col(key).isNotNull()).groupBy(key).agg(N.alias("n"))
+    counts = items.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     largest = counts.orderBy(F.col("n").desc(), key).limit(top).agg(F.sum("n").alias("top_rows"))
     return (
         counts.agg(
-            N.alias("keys"),
+            F.count(F.lit(1)).alias("keys"),
             F.sum("n").alias("rows"),
             F.count_if(F.col("n") >= min_n).alias("with_min"),
             F.count_if(F.col("n") == 1).alias("singletons"),
@@ -83,7 +81,7 @@ def price_regressions(ladders: DataFrame) -> DataFrame:
     y, x = F.col("final_price_ore").cast("double"), F.col("opening_ask_ore").cast("double")
     days = F.col("days_on_market").cast("double")
     return sold.agg(
-        N.alias("n"),
+        F.count(F.lit(1)).alias("n"),
         F.regr_r2(y, x).alias("final_on_opening_r2"),
         F.regr_slope(y, x).alias("final_on_opening_slope"),
         F.regr_r2(F.log(y), F.log(x)).alias("log_r2"),
@@ -151,10 +149,10 @@ def weighted_rate(items: DataFrame, predicate: Column, by: Sequence[str] = ()) -
     hit = F.coalesce(predicate, F.lit(False))
     w = F.col("sample_weight")
     return items.groupBy(*by).agg(
-        N.alias("n"),
+        F.count(F.lit(1)).alias("n"),
         F.sum(w).alias("estimated_items"),
         F.sum(F.when(hit, w).otherwise(0.0)).alias("estimated_hits"),
-        s.ratio(F.count_if(hit), N).alias("unweighted_rate"),
+        s.ratio(F.count_if(hit), F.count(F.lit(1))).alias("unweighted_rate"),
         s.ratio(F.sum(F.when(hit, w).otherwise(0.0)), F.sum(w)).alias("weighted_rate"),
     )
 
@@ -174,7 +172,7 @@ def shelf_composition(items: DataFrame, kr_thresholds: Sequence[int] = (200, 400
         .select("p.*")
         .where(F.col("value").isNotNull())
         .groupBy("cut", "value")
-        .agg(N.alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     total = counts.where(F.col("cut") == "all").select(F.col("n").alias("_all"))
     return counts.where(F.col("cut") != "all").join(total).select(
@@ -183,14 +181,14 @@ def shelf_composition(items: DataFrame, kr_thresholds: Sequence[int] = (200, 400
 
 
 def outcome_counts(items: DataFrame) -> DataFrame:
-    return items.groupBy("outcome").agg(N.alias("n"))
+    return items.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 def overview(items: DataFrame) -> DataFrame:
     """One row: rows and estimated market by state."""
     live, w = F.col("outcome").isNull(), F.col("sample_weight")
     return items.agg(
-        N.alias("items"),
+        F.count(F.lit(1)).alias("items"),
         F.count_if(live).alias("live"),
         F.count_if(F.col("outcome") == s.SOLD).alias("sold"),
         F.count_if(F.col("outcome") == s.EXPIRED).alias("expired"),

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from thriftlens.functions import scalars as s
 from thriftlens.session import cut_lineage
 
-N = F.count(F.lit(1))
 WATCHED = ["favourites", "is_reserved", "last_chance"]
 
 

@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
+from thriftlens.operators.cohort import final_outcomes
 from thriftlens.operators.spread import with_quantiles
 
-N = F.count(F.lit(1))
-
 
 def _bought(ladders: DataFrame) -> DataFrame:
     """The last price an original ever carried is what the reseller paid for it."""
@@ -82,7 +81,7 @@ def _sold_only(column: str) -> Column:
 def payoff_summary(trips: DataFrame, keep_share: float = s.KEEP_SHARE) -> DataFrame:
     sold = trips.where("sold")
     summary = sold.agg(
-        N.alias("sold"),
+        F.count(F.lit(1)).alias("sold"),
         s.ratio(F.count_if(F.col("profit_kr") > 0), F.count("profit_kr")).alias("win_rate"),
         s.ratio(F.count_if(F.col("multiple") < 1 / keep_share), F.count("multiple")).alias("under_break_even"),
     )
@@ -98,7 +97,7 @@ def payoff_summary(trips: DataFrame, keep_share: float = s.KEEP_SHARE) -> DataFr
 
 def _payoff(trips: DataFrame, key: str, measures: dict) -> DataFrame:
     rows = trips.where(F.col(key).isNotNull())
-    summary = rows.groupBy(key).agg(N.alias("n"), s.ratio(F.count_if("sold"), N).alias("sold_share"))
+    summary = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), s.ratio(F.count_if("sold"), F.count(F.lit(1))).alias("sold_share"))
     return with_quantiles(summary, rows, [key], measures) if measures else summary
 
 
@@ -132,16 +131,13 @@ def payoff_by_repriced(trips: DataFrame) -> DataFrame:
 def resale_status(trips: DataFrame) -> DataFrame:
     """Trips by status: median ask over paid, and average days listed."""
     ask = s.ratio(F.col("ask_ore"), F.col("bought_price_ore"))
-    summary = trips.groupBy("status").agg(N.alias("n"), F.avg("days_listed").alias("avg_days"))
+    summary = trips.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.avg("days_listed").alias("avg_days"))
     return with_quantiles(summary, trips, ["status"], {"ask_multiple": ask})
 
 
 def resale_outcomes(cohort: DataFrame, checks: DataFrame, origins: DataFrame, stratum: str = "resale") -> DataFrame:
-    """Cohort resales with their latest outcome, origin and multiple."""
-    latest = checks.groupBy("item_id").agg(
-        F.max_by("outcome", "checked_on").alias("outcome"),
-        F.max_by("final_price_ore", "checked_on").alias("final_price_ore"),
-    )
+    """Cohort resales with their outcome, origin and multiple."""
+    latest = final_outcomes(checks, "final_price_ore")
     sold = F.col("outcome") == "sold"
     multiple = s.multiple(F.col("bought_price_ore"), F.col("final_price_ore"))
     return (

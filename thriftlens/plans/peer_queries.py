@@ -97,7 +97,7 @@ def gate_funnel(m: Market):
 
 
 @query("peer_freeze", "items", f"""WITH
-    gone AS (SELECT item_id FROM items WHERE order_key % 7 = 0),
+    gone AS (SELECT item_id FROM items WHERE is_reserved),
     shelf AS (SELECT * FROM items WHERE outcome IS NULL AND stratum IN ('A', 'B', 'N')), {PLACED}
     SELECT i.item_id, CASE WHEN i.outcome IS NULL AND g.item_id IS NOT NULL THEN 1 ELSE i.outcome END
         AS outcome,
@@ -108,10 +108,10 @@ def gate_funnel(m: Market):
       CASE WHEN g.item_id IS NOT NULL AND p.peer_n IS NOT NULL THEN DATE '{AS_OF}' END AS peer_frozen_on
     FROM items i LEFT JOIN gone g USING (item_id) LEFT JOIN peers p USING (item_id)""")
 def peer_freeze(m: Market):
-    """Some live listings sell between two passes; they keep the place they had on the shelf."""
-    rows = peers.unfrozen(m.items("item_id", "outcome", "order_key"))
-    sold = F.when(F.col("outcome").isNull() & (F.col("order_key") % 7 == 0), 1)
-    resolved = rows.withColumn("outcome", F.coalesce("outcome", sold)).drop("order_key")
+    """The reserved listings sell between two passes; they keep the place they had on the shelf."""
+    rows = peers.unfrozen(m.items("item_id", "outcome", "is_reserved"))
+    sold = F.when(F.col("outcome").isNull() & F.col("is_reserved"), 1)
+    resolved = rows.withColumn("outcome", F.coalesce("outcome", sold)).drop("is_reserved")
     return rounded(peers.freeze_peers(resolved, cascade(m), F.lit(AS_OF).cast("date")))
 
 
