@@ -30,32 +30,46 @@ def assign_bits(values: DataFrame, known: DataFrame, kind: str, width: int) -> D
     return known.select("kind", "bit", "value").unionByName(added)
 
 
-def encode_mask(df: DataFrame, key: str, values: str, meanings: DataFrame, kind: str, name: str) -> DataFrame:
-    """(key, mask) with one bit set per known value of the array column; unknown ones are ignored.
-    A key whose values are all unknown or missing gets 0."""
+def encode_mask(df: DataFrame, values: str, meanings: DataFrame, kind: str, name: str) -> DataFrame:
+    """Adds ``name``: one bit set per known value of the array column. Unknown values are ignored;
+    no known value gives 0.
+
+    The same few value lists occur again and again, so each distinct list is encoded once and the
+    rows are never spread over their values.
+    """
     table = meanings.where(F.col("kind") == kind).select(F.col("value").alias("_v"), "bit")
-    ones = (
-        df.select(key, F.explode_outer(values).alias("_v"))
-        .join(table, "_v", "left")
-        .select(key, F.expr("coalesce(shiftleft(1L, bit), 0L)").alias("_one"))
+    masks = (
+        df.select(values)
+        .where(F.col(values).isNotNull())
+        .distinct()
+        .select(values, F.explode(values).alias("_v"))
+        .join(table, "_v")
+        .groupBy(values)
+        .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("_mask"))
     )
-    return ones.groupBy(key).agg(F.bit_or("_one").alias(name))
+    joined = df.join(masks, values, "left")
+    return joined.withColumn(name, F.coalesce("_mask", F.lit(0).cast("long"))).drop("_mask")
 
 
 def has_bit(mask: Column, bit: int) -> Column:
     return F.bit_get(mask.cast("long"), F.lit(bit)) == 1
 
 
-def decode_mask(df: DataFrame, key: str, mask: str, meanings: DataFrame, kind: str, name: str) -> DataFrame:
-    """(key, sorted values of the set bits). A mask has at most 63 bits, so the array is short."""
+def decode_mask(df: DataFrame, mask: str, meanings: DataFrame, kind: str, name: str) -> DataFrame:
+    """Adds ``name``: the sorted values of the set bits. Each distinct mask is decoded once, and a
+    mask has at most 63 bits."""
     table = meanings.where(F.col("kind") == kind).select(F.col("bit").alias("_bit"), "value")
     bits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda b: F.bit_get(F.col(mask), b) == 1)
-    return (
-        df.select(key, F.explode_outer(bits).alias("_bit"))
-        .join(table, "_bit", "left")
-        .groupBy(key)
+    decoded = (
+        df.select(mask)
+        .where(F.col(mask).isNotNull())
+        .distinct()
+        .select(mask, F.explode(bits).alias("_bit"))
+        .join(table, "_bit")
+        .groupBy(mask)
         .agg(F.array_sort(F.collect_set("value")).alias(name))
     )
+    return df.join(decoded, mask, "left")
 
 
 def ensure_lookup(values: DataFrame, lookup: DataFrame) -> DataFrame:

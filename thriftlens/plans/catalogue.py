@@ -1,6 +1,14 @@
 """Imports every module that registers queries."""
 
-from thriftlens.plans import board_queries, ladder_queries, market_queries, peer_queries, scalar_queries, trade_queries  # noqa: F401
+from thriftlens.plans import (  # noqa: F401
+    board_queries,
+    ladder_queries,
+    market_queries,
+    peer_queries,
+    sample_queries,
+    scalar_queries,
+    trade_queries,
+)
 from thriftlens.plans.registry import QUERIES
 
 FLAGSHIP = QUERIES["undervalued_shortlist"]

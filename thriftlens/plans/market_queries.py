@@ -182,8 +182,8 @@ def daily_aggregate(m: Market):
 
 @query("cutoff_drift", "ladders", f"""
     SELECT score_version, category, cast(date_trunc('month', listed_on) AS date) AS month, count(*) AS n,
-      {r6("avg(dwell_days / 100)")} AS mean_cutoff, count(*) FILTER (score < dwell_days / 100) AS below_cutoff,
-      {r6("median(dwell_days / 100)")} AS med_cutoff FROM ladders GROUP BY 1, 2, 3""")
+      {r6("avg(dwell_days / 97)")} AS mean_cutoff, count(*) FILTER (score < dwell_days / 97) AS below_cutoff,
+      {r6("median(dwell_days / 97)")} AS med_cutoff FROM ladders GROUP BY 1, 2, 3""")
 def cutoff_drift(m: Market):
     rows = m.ladders("score", "score_version", "category", "listed_on", "dwell_days")
-    return rounded(market.cutoff_drift(rows.withColumn("cutoff", F.col("dwell_days") / 100)))
+    return rounded(market.cutoff_drift(rows.withColumn("cutoff", F.col("dwell_days") / 97)))

@@ -79,8 +79,7 @@ def listing_rows(docs: DataFrame, lookup: DataFrame, meanings: DataFrame, stratu
     """Rows of the items table: dictionary ids, bitmasks, grams, öre and the sampling columns."""
     rows = lookup_ids(flat_listings(docs), lookup, LOOKUP_KINDS)
     for kind, column in (("season", "seasons"), ("material", "materials"), ("colour", "colours")):
-        masks = encode_mask(rows.select("item_id", column), "item_id", column, meanings, kind, f"{kind}_mask")
-        rows = rows.join(masks, "item_id")
+        rows = encode_mask(rows, column, meanings, kind, f"{kind}_mask")
     price = F.col("price_ore")
     first = F.when(F.coalesce(price, F.lit(0)) != 0, F.array(F.lit(0).cast("long"), price))
     return rows.select(
