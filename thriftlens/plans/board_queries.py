@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
 from thriftlens.operators import board, brands, filters, slices
-from thriftlens.operators.peers import peer_cascade
+from thriftlens.operators.peers import peer_cascade, unfrozen
 from thriftlens.plans import jobs
 from thriftlens.plans.binding import AS_OF, BAND_EDGES, Market, r6
 from thriftlens.plans.peer_queries import MIN_GROUP, PLACED, SHELF
 from thriftlens.plans.registry import query, rounded
 from thriftlens.plans.scalar_queries import BAND
+from thriftlens.session import cut_lineage, shared_dir
+from thriftlens.sources.tables import write_snapshot
 
 DAY = f"DATE '{AS_OF}'"
 AGE = f"date_diff('day', first_offered, {DAY})"
@@ -310,3 +314,28 @@ def predictor_board_peers(m: Market):
     placed = peer_cascade(rows.select(*SHELF), min_group=MIN_GROUP).select("item_id", "peer_pct")
     features = {"peer_quartile": s.peer_quartile(F.col("peer_pct"))}
     return rounded(board.predictor_board(rows.join(placed, "item_id"), features, F.lit(AS_OF).cast("date")))
+
+
+@query("snapshot_rewritten", None, """
+    SELECT event_type AS brand, cast(ts AS date) AS as_of, count(*) AS n FROM events WHERE cast(ts AS date) < DATE '2024-01-04' GROUP BY 1, 2""")
+def snapshot_rewritten(m: Market):
+    """Three days written as snapshots, the middle one twice: every day holds its own rows once."""
+    path = f"{shared_dir(m.spark)}/snapshot-{uuid.uuid4().hex}"
+    daily = m.table("events").groupBy(F.col("event_type").alias("brand"), F.to_date("ts").alias("as_of")).agg(F.count(F.lit(1)).alias("n"))
+    for day in ("2024-01-01", "2024-01-02", "2024-01-03", "2024-01-02"):
+        write_snapshot(daily.where(F.col("as_of") == day), path, day)
+    return m.spark.read.parquet(path).select("brand", "as_of", "n")
+
+
+@query("analytics_pass", "items", f"""WITH shelf AS (SELECT * FROM items WHERE outcome IS NULL AND stratum IN ('A', 'B', 'N')), {PLACED}
+    SELECT item_id, peer_level, peer_n, {r6("peer_pct")} AS peer_pct, {DAY} AS as_of FROM peers""")
+def analytics_pass(m: Market):
+    """The whole daily pass into tables; the peer table it wrote. The previous pass's peers are those
+    of today's shelf, so the resolved listings freeze nothing."""
+    out = f"{shared_dir(m.spark)}/pass-{uuid.uuid4().hex}"
+    rows = cut_lineage(unfrozen(m.items(*dict.fromkeys([*SHELF, *BOARD_COLUMNS, "resolved_on"]))))
+    previous = rows.limit(0).select("item_id", "price_ore", F.lit(1).alias("peer_level"), F.lit(1).cast("long").alias("peer_n"), F.lit(1.0).alias("peer_median_ore"), F.lit(1.0).alias("peer_pct"))
+    report = jobs.analytics_pass(rows, previous, out, AS_OF, MIN_GROUP, band_edges=BAND_EDGES)
+    if [state for _, state in report] != ["ok"] * 4:
+        raise RuntimeError(f"analytics pass failed: {report}")
+    return rounded(m.spark.read.parquet(f"{out}/peer_prices").select("item_id", "peer_level", "peer_n", "peer_pct", "as_of"))

@@ -7,6 +7,7 @@ from thriftlens.plans import (  # noqa: F401
     peer_queries,
     sample_queries,
     scalar_queries,
+    stream_queries,
     track_queries,
     trade_queries,
 )

@@ -52,7 +52,7 @@ def analytics_pass(items: DataFrame, previous_peers: DataFrame, out: str, as_of:
         write_snapshot(peers.peer_cascade(shelf, min_group=min_group), f"{out}/peer_prices", as_of)
 
     def predictors() -> None:
-        rows = filters.analysis_rows(items).withColumn("peer_quartile", s.peer_quartile(F.col("peer_pct_frozen")))
+        rows = filters.analysis_rows(state.get("items", items)).withColumn("peer_quartile", s.peer_quartile(F.col("peer_pct_frozen")))
         features = board.listing_features(day, band_edges) | {"peer_quartile": F.col("peer_quartile")}
         rows = cut_lineage(rows)
         both = [board.predictor_board(rows, features, day, t, min_bucket) for t in ("sale", "price")]

@@ -77,7 +77,7 @@ def price_steps(stream: DataFrame, path: str) -> Callable[[DataFrame, int], None
     log = KeyedLog(spark, f"{path}/state", ["item_id"], ["created_at", "offer_id"])
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        rows = batch.select("item_id", "created_at", "offer_id", "price_ore")
+        rows = batch.select("item_id", "created_at", "offer_id", "price_ore").persist()
         before = log.before(epoch)
         if before is None:
             known = rows.withColumn("_last", F.lit(None).cast("long"))
@@ -94,6 +94,7 @@ def price_steps(stream: DataFrame, path: str) -> Callable[[DataFrame, int], None
         moved = steps.where(~F.col("price_ore").eqNullSafe(previous)).select(*rows.columns)
         moved.write.mode("overwrite").parquet(f"{path}/steps/epoch={epoch}")
         log.append(known.select(*rows.columns), epoch)
+        rows.unpersist()
 
     return apply
 
