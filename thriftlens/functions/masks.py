@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thriftlens.operators.spread import numbered, pick_first
+from thriftlens.operators.spread import numbered, pick_first, with_row
 
 # Mask widths: the last bit of each is shared by every value past the width. Fixed values.
 MASK_WIDTH = {"material": 62, "colour": 31, "season": 15}
@@ -20,8 +20,8 @@ def assign_bits(values: DataFrame, known: DataFrame, kind: str, width: int) -> D
     # Only the first ``width`` new values can get a bit of their own.
     leading = pick_first(fresh, ["kind"], [F.col("value")], width)
     placed = numbered(leading, ["kind"], ["value"], F.lit(0), "_n")
-    used = mine.agg(F.count(F.lit(1)).alias("_used")).withColumn("kind", F.lit(kind))
-    bits = placed.join(used, "kind").select(
+    used = mine.agg(F.count(F.lit(1)).alias("_used"))
+    bits = with_row(placed, used).select(
         "value", F.least(F.col("_used") + F.col("_n") - 1, F.lit(width - 1)).cast("int").alias("bit")
     )
     added = fresh.join(bits, "value", "left").select(
@@ -79,8 +79,8 @@ def ensure_lookup(values: DataFrame, lookup: DataFrame) -> DataFrame:
     fresh = fresh.join(lookup, ["kind", "value"], "left_anti").withColumn("_all", F.lit(0))
     cell = F.concat_ws("\u0000", F.col("kind"), F.substring("value", 1, 2))
     placed = numbered(fresh, ["_all"], ["kind", "value"], cell, "_n")
-    top = lookup.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")).withColumn("_all", F.lit(0))
-    added = placed.join(top, "_all").select(
+    top = lookup.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    added = with_row(placed, top).select(
         "kind", "value", (F.col("_top") + F.col("_n")).cast("long").alias("id")
     )
     return lookup.select("kind", "value", F.col("id").cast("long")).unionByName(added)

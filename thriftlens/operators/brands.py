@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
-from thriftlens.operators.spread import pick_first, with_quantiles
+from thriftlens.operators.spread import pick_first, with_quantiles, with_row
 
 
 def attention_index(live: DataFrame, as_of: Column, min_cell: int = 30, band_edges: Sequence[int] = s.PRICE_BAND_EDGES_ORE) -> DataFrame:
@@ -95,10 +95,10 @@ def brand_trend(brand_daily: DataFrame, days: int = 7, min_listings: int = 100)
     """Newest snapshot of each brand against the newest one at least ``days`` older. No rows while
     no two snapshots lie that far apart; ``days_apart`` is the real gap."""
     newest = brand_daily.agg(F.max("as_of").alias("new_on"))
-    dated = brand_daily.join(newest)
+    dated = with_row(brand_daily, newest)
     base = dated.where(F.datediff("new_on", "as_of") >= days).agg(F.max("as_of").alias("base_on"))
     now = dated.where((F.col("as_of") == F.col("new_on")) & (F.col("listings") >= min_listings))
-    old = brand_daily.join(base).where(F.col("as_of") == F.col("base_on"))
+    old = with_row(brand_daily, base).where(F.col("as_of") == F.col("base_on"))
     old = old.select("brand", "base_on", *[F.col(c).alias(f"{c}_then") for c in ("listings", "attention_index")])
     return now.join(old, "brand").select(
         "brand",
@@ -119,7 +119,7 @@ def brand_demand(items: DataFrame, prior: int = 10) -> DataFrame:
     market = sums.agg((F.sum("likes") / F.sum("n")).alias("market_mean"))
     raw = s.ratio(F.col("likes") / F.nullif(F.col("n"), F.lit(0)), F.col("market_mean"))
     index = (F.col("n") * F.coalesce(raw, F.lit(1.0)) + prior) / (F.col("n") + prior)
-    return sums.join(market).select("brand", "n", index.alias("demand_index"))
+    return with_row(sums, market).select("brand", "n", index.alias("demand_index"))
 
 
 def brand_history(ladders: DataFrame, min_n: int = 5) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Column
+
+from thriftlens.operators.spread import with_row
 
 
 def staging_guard(marker: DataFrame, items: DataFrame, peers: DataFrame, now: Column, max_age: str = "30 minutes", key: str = "item_id") -> DataFrame:
@@ -22,7 +23,7 @@ def staging_guard(marker: DataFrame, items: DataFrame, peers: DataFrame, now: Co
         .when(~fresh, "staging is stale")
         .otherwise("ok")
     )
-    return staged.join(waiting).select(
+    return with_row(staged, waiting).select(
         "staged_at",
         "unfrozen",
         reason.alias("score_verdict"),
@@ -58,6 +59,6 @@ def outcome_precheck(ledger: DataFrame, tracked: DataFrame, observed: DataFrame,
     )
     rate = F.col("gone") / F.nullif(F.col("tracked"), F.lit(0))
     ok = (F.col("last_status") == "ok") & (rate < max_churn)
-    return last.join(churn).select(
+    return with_row(last, churn).select(
         "last_status", "tracked", "gone", rate.alias("churn"), F.coalesce(ok, F.lit(False)).alias("may_resolve")
     )

@@ -52,9 +52,9 @@ def ladder_summary(offers: DataFrame, key: str = "item_id") -> DataFrame:
     )
 
 
-def ladder_parts(offers: DataFrame, key: str = "item_id", part: str = "month") -> DataFrame:
-    """The nested ladder, one array of (price, from, to) per listing and ``part`` of its life. A
-    part holds the steps of one month, so no array grows with the age of a listing."""
+def ladder_parts(offers: DataFrame, key: str = "item_id", size: int = 1000) -> DataFrame:
+    """The nested ladder as arrays of (rung, price, from, to), ``size`` steps to an array. Nearly
+    every listing has one array, and no array grows with the number of its steps."""
     steps = rungs(offers, key)
     step = F.struct(
         "rung",
@@ -63,7 +63,7 @@ def ladder_parts(offers: DataFrame, key: str = "item_id", part: str = "month") -
         F.to_date("ended_at").alias("to"),
     )
     return (
-        steps.groupBy(key, F.to_date(F.date_trunc(part, "created_at")).alias("part"))
+        steps.groupBy(key, F.floor((F.col("rung") - 1) / size).cast("int").alias("part"))
         .agg(F.array_sort(F.collect_list(step)).alias("ladder"))
     )
 

@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
-from thriftlens.operators.spread import group_quantiles, positions_median, value_positions, with_quantiles
+from thriftlens.operators.spread import (
+    group_quantiles,
+    positions_median,
+    value_positions,
+    with_quantiles,
+    with_row,
+)
 
 
 def _features(items: DataFrame, features: Mapping[str, Column]) -> DataFrame:
@@ -39,7 +45,7 @@ def feature_lift(items: DataFrame, features: Mapping[str, Column], min_n: int =
         F.count_if(F.col("outcome") == s.SOLD).alias("S"), F.count_if(F.col("outcome").isNull()).alias("L")
     )
     sold_share, live_share = F.col("sold") / F.col("S"), F.col("live") / F.col("L")
-    return cells.where(F.col("n") >= min_n).join(totals).select(
+    return with_row(cells.where(F.col("n") >= min_n), totals).select(
         "feature",
         "value",
         "n",
@@ -85,7 +91,8 @@ def pair_lift(items: DataFrame, features: Mapping[str, Column], min_n: int = 30)
     def side(x: str) -> DataFrame:
         return singles.withColumnsRenamed({"feature": f"feature_{x}", "value": f"value_{x}", "rate": f"rate_{x}"})
 
-    joined = both.join(side("a"), ["feature_a", "value_a"]).join(side("b"), ["feature_b", "value_b"]).join(base)
+    joined = both.join(side("a"), ["feature_a", "value_a"]).join(side("b"), ["feature_b", "value_b"])
+    joined = with_row(joined, base)
     rate = F.col("k") / F.col("n")
     expected = s.ratio(F.col("rate_a") * F.col("rate_b"), F.col("base"))
     return joined.select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
 from thriftlens.operators.selecting import cap_per_key, hash_order
-from thriftlens.operators.spread import pick_first
+from thriftlens.operators.spread import pick_first, with_row
 
 # Fixed values of the sampling design.
 BRAND_FLOOR = 500
@@ -108,9 +108,9 @@ def stratum_n(hits: DataFrame, items: DataFrame, today: Column, days: int = NEW_
     order = [hash_order(F.col(key), "N"), F.col(key)]
     capped = cap_per_key(new.where(F.col("brand").isNotNull()), "brand", per_brand, order)
     kept = not_enrolled(capped, items, key).orderBy(*order).limit(target)
-    totals = new.agg(F.count(F.lit(1)).alias("_new")).join(kept.agg(F.count(F.lit(1)).alias("_kept")))
+    total = new.agg(F.count(F.lit(1)).alias("_new"))
     return (
-        kept.join(totals)
+        with_row(with_row(kept, total), kept.agg(F.count(F.lit(1)).alias("_kept")))
         .withColumn("sample_weight", s.ratio(F.col("_new"), F.col("_kept")))
         .withColumn("stratum", F.lit("N"))
         .withColumn("price_band", s.price_band(F.col("price_ore")))
@@ -133,7 +133,7 @@ def census_shortfall(items: DataFrame, population: DataFrame) -> DataFrame:
     held = items.where("p2p").agg(F.count(F.lit(1)).alias("held"))
     total = population.where("p2p").agg(F.count(F.lit(1)).alias("population"))
     short = F.greatest(F.col("population") - F.col("held"), F.lit(0))
-    return held.join(total).withColumn("shortfall", short).withColumn("warning", short > 0)
+    return with_row(held, total).withColumn("shortfall", short).withColumn("warning", short > 0)
 
 
 def cell_census(items: DataFrame, categories: Sequence[str], edges_kr: Sequence[int] = TAIL_EDGES_KR) -> DataFrame:

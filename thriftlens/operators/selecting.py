@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thriftlens.operators.spread import pick_first
+from thriftlens.operators.spread import pick_first, with_row
 from thriftlens.session import cut_lineage
 
 
@@ -62,7 +62,7 @@ def page(df: DataFrame, predicates: Sequence[Column], sort: Sequence[Column], n:
     rows = hits.orderBy(*sort, F.col(key)).offset(offset).limit(n)
     if offset:
         return rows.withColumn("total", F.lit(None).cast("long"))
-    return rows.join(hits.agg(F.count(F.lit(1)).alias("total")))
+    return with_row(rows, hits.agg(F.count(F.lit(1)).alias("total")))
 
 
 def next_bucket(spark: SparkSession, pool: DataFrame, buckets: int = 24) -> DataFrame:

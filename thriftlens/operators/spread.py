@@ -30,6 +30,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """``df`` with the columns of a one-row result on every row, as a scalar subquery."""
+    packed = one_row.select(F.struct(*one_row.columns).alias("_one")).scalar()
+    return df.select("*", packed.alias("_one")).select(*df.columns, "_one.*")
+
+
 def value_cell(value: Column) -> Column:
     """A cell number that never falls as the value rises."""
     v = value.cast("double")
@@ -153,7 +159,7 @@ def with_quantiles(
 ) -> DataFrame:
     """A grouped summary with the quantile columns of the same groups added."""
     if not keys:
-        return summary.join(group_quantiles(df, [], measures, **options))
+        return with_row(summary, group_quantiles(df, [], measures, **options))
     return null_safe_join(summary, group_quantiles(df, keys, measures, **options), keys, "left")
 
 

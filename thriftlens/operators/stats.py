@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
 from thriftlens.operators.ladders import kept_share
-from thriftlens.operators.spread import with_quantiles
+from thriftlens.operators.spread import with_quantiles, with_row
 
 
 def offer_shape(offers: DataFrame, floor_ore: int) -> DataFrame:
@@ -63,15 +63,14 @@ def concentration(items: DataFrame, key: str = "brand", top: int = 1000, min_n:
     """Distinct keys, the share the ``top`` largest hold, keys with ``min_n`` rows, singletons."""
     counts = items.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     largest = counts.orderBy(F.col("n").desc(), key).limit(top).agg(F.sum("n").alias("top_rows"))
-    return (
-        counts.agg(
-            F.count(F.lit(1)).alias("keys"),
-            F.sum("n").alias("rows"),
-            F.count_if(F.col("n") >= min_n).alias("with_min"),
-            F.count_if(F.col("n") == 1).alias("singletons"),
-        )
-        .join(largest)
-        .withColumn("top_share", s.ratio(F.col("top_rows"), F.col("rows")))
+    summary = counts.agg(
+        F.count(F.lit(1)).alias("keys"),
+        F.sum("n").alias("rows"),
+        F.count_if(F.col("n") >= min_n).alias("with_min"),
+        F.count_if(F.col("n") == 1).alias("singletons"),
+    )
+    return with_row(summary, largest).withColumn(
+        "top_share", s.ratio(F.col("top_rows"), F.col("rows"))
     )
 
 
@@ -175,7 +174,7 @@ def shelf_composition(items: DataFrame, kr_thresholds: Sequence[int] = (200, 400
         .agg(F.count(F.lit(1)).alias("n"))
     )
     total = counts.where(F.col("cut") == "all").select(F.col("n").alias("_all"))
-    return counts.where(F.col("cut") != "all").join(total).select(
+    return with_row(counts.where(F.col("cut") != "all"), total).select(
         "cut", "value", "n", s.ratio(F.col("n"), F.col("_all")).alias("share")
     )
 

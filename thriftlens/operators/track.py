@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
+from thriftlens.operators.spread import with_row
 from thriftlens.session import cut_lineage
 
 WATCHED = ["favourites", "is_reserved", "last_chance"]
@@ -92,34 +93,43 @@ def adjudicate(vanished: DataFrame, verdicts: DataFrame, today: Column, key: str
 
 
 def track_pass(items: DataFrame, observed: DataFrame, verdicts: DataFrame, today: Column, key: str = "item_id") -> DataFrame:
-    """``items`` after one pass. The live rows meet today's observations in one join; the rows it
-    leaves empty are the vanished ones, and they meet the verdicts."""
-    live = items.where(F.col("outcome").isNull())
-    moved = changes(live, observed, key)
-    grown = append_history(live, moved, today, key)
-    gone = adjudicate(split_presence(live, observed, key)[1], verdicts, today, key)
-    news = moved.select(
-        key, *[F.col(c).alias(f"_n_{c}") for c in ["price_ore", "old_price_ore", *WATCHED]], F.lit(True).alias("_moved")
+    """``items`` after one pass. Every row meets its observation and its verdict once; what moved,
+    who vanished and how it ended are then expressions on that one row."""
+    new = observed.select(
+        key,
+        F.lit(True).alias("_seen"),
+        *[F.col(c).alias(f"_o_{c}") for c in ["price_ore", "old_price_ore", *WATCHED]],
     )
-    resolved = gone.where("verdict = 'resolved'").select(
-        key, F.col("outcome").alias("_out"), F.col("final_price_ore").alias("_fin"), F.col("resolved_on").alias("_on")
+    answers = verdicts.select(
+        key, s.outcome_of(F.col("status")).alias("_outcome"), s.to_ore_trunc(F.col("final_kr")).alias("_final")
     )
-    out = (
-        stamp_seen(items, live.join(observed.select(key), key, "left_semi"), today, key)
-        .drop("stamped")
-        .join(news, key, "left")
-        .join(grown.withColumnRenamed("history", "_history"), key, "left")
-        .join(resolved, key, "left")
+    live = F.col("outcome").isNull()
+    seen = live & F.coalesce(F.col("_seen"), F.lit(False))
+    price_moved = seen & F.col("_o_price_ore").isNotNull() & ~F.col("_o_price_ore").eqNullSafe(F.col("price_ore"))
+    moved = price_moved
+    for c in WATCHED:
+        moved = moved | (seen & ~F.col(f"_o_{c}").eqNullSafe(F.col(c)))
+    ended = live & F.col("_seen").isNull() & F.col("_outcome").isNotNull() & (F.col("_outcome") != "still_listed")
+    day = F.datediff(today, F.col("first_seen")).cast("long")
+    grown = F.concat(
+        F.coalesce("history", F.array().cast("array<bigint>")), F.array(day, F.col("_o_price_ore"))
     )
-    for c in ["price_ore", "old_price_ore", *WATCHED]:
-        out = out.withColumn(c, F.when(F.col("_moved"), F.col(f"_n_{c}")).otherwise(F.col(c)))
-    return (
-        out.withColumn("history", F.coalesce("_history", "history"))
-        .withColumn("outcome", F.coalesce("outcome", "_out"))
-        .withColumn("final_price_ore", F.coalesce("_fin", "final_price_ore"))
-        .withColumn("resolved_on", F.coalesce("_on", "resolved_on"))
-        .select(*items.columns)
+    rows = (
+        items.join(new, key, "left")
+        .join(answers, key, "left")
+        .withColumns({"_is_seen": seen, "_price_moved": price_moved, "_moved": moved, "_ended": ended})
     )
+    fresh = {
+        "price_ore": F.when(F.col("_price_moved"), F.col("_o_price_ore")),
+        "history": F.when(F.col("_price_moved"), grown),
+        "last_seen": F.when(F.col("_is_seen"), F.greatest(F.col("last_seen"), today)),
+        "outcome": F.when(F.col("_ended"), s.outcome_code(F.col("_outcome"))),
+        "final_price_ore": F.when(F.col("_ended"), F.coalesce("_final", "price_ore")),
+        "resolved_on": F.when(F.col("_ended"), today),
+    }
+    taken = {c: F.when(F.col("_moved"), F.col(f"_o_{c}")).otherwise(F.col(c)) for c in ["old_price_ore", *WATCHED]}
+    kept = {c: F.coalesce(value, F.col(c)) for c, value in fresh.items()} | taken
+    return rows.select(*[kept[c].alias(c) if c in kept else F.col(c) for c in items.columns])
 
 
 def resume_point(marker: DataFrame, today: Column) -> DataFrame:
@@ -134,7 +144,7 @@ def resume_point(marker: DataFrame, today: Column) -> DataFrame:
 
 def remaining(live: DataFrame, resume: DataFrame, key: str = "item_id") -> DataFrame:
     """The live rows still ahead of an interrupted pass."""
-    joined = live.join(resume.select("resume_after"))
+    joined = with_row(live, resume.select("resume_after"))
     return joined.where(F.col("resume_after").isNull() | (F.col(key) > F.col("resume_after"))).drop("resume_after")
 
 

@@ -44,10 +44,9 @@ def ladder_rungs(m: Market):
 
 
 @query("ladder_parts", "steps", """
-    SELECT item_id, cast(date_trunc('month', created_at) AS date) AS part, list(price_ore ORDER BY n) AS prices
-    FROM steps GROUP BY ALL""")
+    SELECT item_id, cast(floor((n - 1) / 3) AS int) AS part, list(price_ore ORDER BY n) AS prices FROM steps GROUP BY 1, 2""")
 def ladder_parts(m: Market):
-    parts = ladders.ladder_parts(m.offers())
+    parts = ladders.ladder_parts(m.offers(), size=3)
     return parts.select("item_id", "part", F.col("ladder.price_ore").alias("prices"))
 
 
@@ -60,25 +59,27 @@ def ladder_monotonicity(m: Market):
     return rounded(ladders.monotonicity(m.offers()))
 
 
+def packed_ladders(m: Market):
+    """Ladders packed as ``[day, price, day, price, ...]`` from the first day."""
+    parts = ladders.ladder_parts(m.offers())
+    first = F.get("ladder", F.lit(0))["from"]
+    pairs = F.transform("ladder", lambda x: F.array(F.datediff(x["from"], first).cast("long"), x["price_ore"]))
+    return parts.select("item_id", first.alias("first_seen"), F.flatten(pairs).alias("history"))
+
+
 @query("packed_history", "steps", """
     WITH f AS (SELECT *, min(cast(created_at AS date)) OVER (PARTITION BY item_id) AS d0 FROM steps)
     SELECT item_id, cast(created_at AS date) AS "from", price_ore FROM f""")
 def packed_history(m: Market):
     """Steps packed as day and price from the first day, then decoded again."""
-    parts = ladders.ladder_parts(m.offers(), part="day")
-    first = F.col("part")
-    pairs = F.transform("ladder", lambda x: F.array(F.datediff(x["from"], first).cast("long"), x["price_ore"]))
-    packed = parts.select("item_id", first.alias("first_seen"), F.flatten(pairs).alias("history"))
+    packed = packed_ladders(m)
     return ladders.decode_history(packed)
 
 
 @query("price_as_of", "steps", """
     SELECT item_id, arg_max(price_ore, n) AS price_ore FROM steps GROUP BY item_id""")
 def price_as_of(m: Market):
-    parts = ladders.ladder_parts(m.offers(), part="day")
-    first = F.col("part")
-    pairs = F.transform("ladder", lambda x: F.array(F.datediff(x["from"], first).cast("long"), x["price_ore"]))
-    packed = parts.select("item_id", first.alias("first_seen"), F.flatten(pairs).alias("history"))
+    packed = packed_ladders(m)
     return ladders.price_on(packed, F.lit("2024-12-31").cast("date"))
 
 

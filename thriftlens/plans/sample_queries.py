@@ -383,7 +383,7 @@ def flat_documents(m: Market):
     JOIN lookup z ON z.kind = 'size' AND z.value = size_code JOIN lookup d ON d.kind = 'demography' AND d.value = demography
     JOIN lookup k ON k.kind = 'condition' AND k.value = condition JOIN bits b ON b.value = colour JOIN mats ON mats.value = category""")
 def listing_rows(m: Market):
-    docs = listing_documents(m)
+    docs = cut_lineage(listing_documents(m))
     flat = documents.flat_listings(docs)
     rows = documents.listing_rows(
         docs, lookup(m, flat), meanings(m, flat), "P", F.lit(1.0), F.lit(AS_OF).cast("date")

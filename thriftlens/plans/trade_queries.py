@@ -8,6 +8,7 @@ from thriftlens.functions import scalars as s
 from thriftlens.operators import cohort, filters, trades
 from thriftlens.plans.binding import AS_OF, Market, r6
 from thriftlens.plans.registry import query, rounded
+from thriftlens.session import cut_lineage
 
 # Every listing as a ladder summary; one still listed has no end.
 ALL_LADDERS = """
@@ -46,7 +47,8 @@ def all_ladders(m: Market):
 
 
 def trips(m: Market):
-    return rounded(trades.round_trips(m.resales(), all_ladders(m)))
+    """The round trips as a table: the payoff queries read it more than once."""
+    return cut_lineage(rounded(trades.round_trips(m.resales(), all_ladders(m))))
 
 
 @query("resale_pointers", "resales", "SELECT * FROM resales")
