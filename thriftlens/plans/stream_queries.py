@@ -79,7 +79,7 @@ def stream_daily(m: Market):
 
 
 SPELLS = """
-WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 12 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new
+WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 12 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
   n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
   spells AS (SELECT cast(user_id AS varchar) AS item_id, min(ts) AS first_seen, max(ts) AS last_seen, max(ts) + INTERVAL 12 HOUR AS closed_at,
