@@ -12,6 +12,7 @@ from thriftlens.functions import masks
 from thriftlens.functions import scalars as s
 from thriftlens.operators import filters, sampling, selecting
 from thriftlens.plans.binding import AS_OF, BAND_EDGES, Market, r6
+from thriftlens.plans.jobs import load_local
 from thriftlens.plans.registry import query, rounded
 from thriftlens.plans.scalar_queries import BAND
 from thriftlens.session import cut_lineage, shared_dir
@@ -433,3 +434,29 @@ def cohort_documents(m: Market):
             "has_defect", "p2p", "on_shelf", "is_reserved",
         )
     )
+
+
+@query("loaded_ladders", "ladders", f"""
+    SELECT item_id, brand, item_type, condition, status, sold, {r6("opening_ask_ore / 100")} AS opening_ask,
+      {r6("final_price_ore / 100")} AS final_price, rungs, decay + 0.0 AS decay, listed_on, ended_on, days_on_market FROM ladders""")
+def loaded_ladders(m: Market):
+    """Ladder files of two days landed and loaded; the newer one counts."""
+    folder = f"{shared_dir(m.spark)}/collected-{uuid.uuid4().hex}"
+    rows = m.ladders("item_id", "brand", "item_type", "condition", "status", "sold", "opening_ask_ore", "final_price_ore",
+                     "rungs", "decay", "listed_on", "ended_on", "days_on_market")
+    lines = rows.select(
+        F.to_json(
+            F.struct(
+                "item_id", "brand", F.col("item_type").alias("type"), "condition", "status", "sold",
+                s.to_kr(F.col("opening_ask_ore")).alias("opening_ask"), s.to_kr(F.col("final_price_ore")).alias("final_price"),
+                "rungs", "decay", "listed_on", "ended_on", "days_on_market",
+            )
+        )
+    )
+    lines.write.text(f"{folder}/ladders_20260802.jsonl")
+    lines.where(F.lit(False)).write.text(f"{folder}/ladders_20260801.jsonl")
+    loaded = load_local(m.spark, folder, {})["item_ladders"]
+    return rounded(
+        loaded.select("item_id", "brand", "item_type", "condition", "status", "sold", "opening_ask", "final_price", "rungs",
+                      "decay", "listed_on", "ended_on", "days_on_market")
+    )

@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _newest(spark: SparkSession, pattern: str) -> str | None:
+    """The matching file or folder whose name sorts last; only names are read, not contents."""
+    name = pattern.rstrip("/").rsplit("/", 1)[-1]
+    parts = {"*": "[^/]*", "?": "[^/]"}
+    matcher = "".join(parts.get(ch, re.escape(ch)) for ch in name)
+    entry = F.regexp_extract("path", f"^(.*/{matcher})(/.*)?$", 1)
+    return spark.read.format("binaryFile").load(pattern).agg(F.max(entry)).first()[0]
+
+
 def read_jsonl(spark: SparkSession, pattern: str, schema: T.StructType, newest_only: bool = True) -> DataFrame:
-    """All files of a glob, or only the one whose name sorts last. The name is a file's date, so
-    the choice is made on the file names and the rows of other files are not parsed."""
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(pattern)
-    if not newest_only:
-        return rows
-    newest = (
-        spark.read.format("binaryFile").load(pattern).agg(F.max("path").alias("path")).first()["path"]
-    )
-    return rows.limit(0) if newest is None else spark.read.schema(schema).json(newest)
+    """All files of a glob, or only the one whose name sorts last: the names carry the dates. A glob
+    that matches nothing gives no rows."""
+    try:
+        path = _newest(spark, pattern) if newest_only else pattern
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def pick(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
