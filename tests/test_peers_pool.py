@@ -119,3 +119,11 @@ def test_reprice_keeps_the_sweep(spark):
     assert not got["gone"].still_listed and got["gone"].price_kr == 300
     assert got["zero"].discount_pct is None and got["unpriced"].price_kr == 300
     assert {r.swept_on for r in got.values()} == {d} and {r.as_of for r in got.values()} == {dt.date(2026, 8, 12)}
+
+
+def test_daily_refresh_takes_images_where_observed(spark):
+    held = spark.createDataFrame([("a", 300, 400.0), ("b", 300, 400.0)], "item_id string, price_kr long, peer_median_kr double")
+    seen = spark.createDataFrame([("a", 30000, ["https://img.example.net/x.jpg"])], "item_id string, price_ore long, images array<string>")
+    got = {r.item_id: r for r in pool.refresh_pool(held, seen, F.lit("2026-08-12").cast("date"), ["https://img.example.net/"]).collect()}
+    assert got["a"].image_paths == ["x.jpg"] and got["a"].still_listed and not got["a"].repriced
+    assert got["b"].image_paths is None and not got["b"].still_listed

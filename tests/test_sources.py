@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from thriftlens import schemas
 from thriftlens.functions import masks
-from thriftlens.operators import filters, ladders, season, stats, trades
+from thriftlens.operators import filters, ladders, sampling, season, stats, trades
 from thriftlens.plans import jobs
 from thriftlens.sources import documents, io
 
@@ -207,6 +207,19 @@ def test_fits_profile(spark):
     assert sorted(r.item_id for r in filters.fits_profile(rows, targets).collect()) == ["her_shoe", "straddle", "suit"]
 
 
+def test_bucket_counts_overlap(spark):
+    rows = spark.createDataFrame(
+        [("a", ["S", "M"], "Man"), ("b", ["M"], "Kvinna"), ("c", ["40"], "Man"), ("d", ["40", "41"], "Kvinna")],
+        "item_id string, sizes array<string>, demography string",
+    )
+    targets = spark.createDataFrame(
+        [("S", None, "top"), ("M", None, "top"), ("40", "Kvinna", "shoes"), ("41", None, "shoes")],
+        "size_code string, demography string, bucket string",
+    )
+    got = {(r.kind, r.name): r.n for r in sampling.target_size_counts(rows, targets).collect()}
+    assert got == {("bucket", "top"): 2, ("bucket", "shoes"): 1, ("shape", "size implies wearer"): 3, ("shape", "Kvinna"): 1}
+
+
 def test_category_exclusion_is_by_path(spark):
     rows = spark.createDataFrame([("Prylar > Hemelektronik",), ("Prylar > Hemelektronik > TV",), ("Prylar > Hemelektronikbok",), (None,)], "category string")
     gone = spark.createDataFrame([("Prylar > Hemelektronik",)], "path string")

@@ -19,7 +19,7 @@ def rungs(offers: DataFrame, key: str = "item_id") -> DataFrame:
     the start of the next step."""
     has_end = "ended_at" in offers.columns
     steps = with_neighbours(
-        offers, [key], ["created_at", "offer_id"], F.to_date("created_at"), ["price_ore"]
+        offers, [key], ["created_at", "offer_id"], F.date_trunc("hour", "created_at"), ["price_ore"]
     )
     given = F.col("ended_at") if has_end else F.lit(None).cast("timestamp")
     return (

@@ -56,9 +56,6 @@ def reprice_pool(pool: DataFrame, observed: DataFrame, today: Column) -> DataFra
     )
 
 
-refresh_pool = reprice_pool
-
-
 def retain(df: DataFrame, date_col: str, today: Column, days: int) -> DataFrame:
     """Rows of the last ``days`` days; on a table partitioned by the date only those are read."""
     return df.where((F.col(date_col) > F.date_sub(today, days)) & (F.col(date_col) <= today))
@@ -134,6 +131,12 @@ def attach_documents(pool: DataFrame, documents: DataFrame, today: Column, hosts
     )
 
 
+def refresh_pool(pool: DataFrame, observed: DataFrame, today: Column, hosts: Sequence[str] = ()) -> DataFrame:
+    """The daily refresh of the whole pool: price and liveness, and images where observed."""
+    fresh = reprice_pool(pool, observed, today)
+    return attach_documents(fresh, observed, today, hosts) if "images" in observed.columns else fresh
+
+
 def score_table(items: DataFrame, demand: DataFrame, excluded: DataFrame, today: Column, floor_ore: int = 10000) -> DataFrame:
     """Stored scores of the eligible items: live, consignment, priced at the floor or above, not in
     an excluded category. A brand without demand counts as neutral."""

@@ -151,16 +151,17 @@ def cell_census(items: DataFrame, categories: Sequence[str], edges_kr: Sequence[
 
 
 def target_size_counts(items: DataFrame, target_sizes: DataFrame, key: str = "item_id") -> DataFrame:
-    """Listings per size bucket, and per demography scope. An item with several sizes counts once
-    in every bucket it fits, so counts overlap."""
-    on = (F.col("_size") == F.col("size_code")) & (
-        F.col("_who").isNull() | (F.col("_who") == F.col("demography"))
-    )
-    targets = target_sizes.select("size_code", F.col("demography").alias("_who"), "bucket")
-    fits = items.select(key, "demography", F.explode(F.array_distinct("sizes")).alias("_size")).join(targets, on)
-    groups = F.array(
-        F.struct(F.lit("bucket").alias("kind"), F.col("bucket").alias("name")),
-        F.struct(F.lit("shape").alias("kind"), F.coalesce("_who", F.lit("size implies wearer")).alias("name")),
-    )
-    once = fits.select(key, F.explode(groups).alias("g")).select(key, "g.*").distinct()
+    """Listings per size bucket, and per demography shape. An item with several sizes counts once
+    in every bucket it fits, so counts overlap. A bucket is held to a demography where its sizes
+    name exactly one; a shape is the sizes of one demography."""
+    who = F.col("demography")
+    named = target_sizes.groupBy("bucket").agg(F.min(who).alias("_lo"), F.max(who).alias("_hi"))
+    buckets = target_sizes.join(
+        named.select("bucket", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("_who")), "bucket"
+    ).select("size_code", F.lit("bucket").alias("kind"), F.col("bucket").alias("name"), "_who")
+    shape = F.coalesce(who, F.lit("size implies wearer"))
+    shapes = target_sizes.select("size_code", F.lit("shape").alias("kind"), shape.alias("name"), who.alias("_who"))
+    on = (F.col("_size") == F.col("size_code")) & (F.col("_who").isNull() | (F.col("_who") == F.col("demography")))
+    sizes = items.select(key, "demography", F.explode(F.array_distinct("sizes")).alias("_size"))
+    once = sizes.join(buckets.unionByName(shapes), on).select(key, "kind", "name").distinct()
     return once.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))

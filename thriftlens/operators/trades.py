@@ -79,7 +79,8 @@ def _sold_only(column: str) -> Column:
 
 
 def payoff_summary(trips: DataFrame, keep_share: float = s.KEEP_SHARE) -> DataFrame:
-    sold = trips.where("sold")
+    # A multiple of zero is no multiple: nothing was paid for the resale.
+    sold = trips.where("sold").withColumn("multiple", F.nullif("multiple", F.lit(0.0)))
     summary = sold.agg(
         F.count(F.lit(1)).alias("sold"),
         s.ratio(F.count_if(F.col("profit_kr") > 0), F.count("profit_kr")).alias("win_rate"),

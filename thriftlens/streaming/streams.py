@@ -89,7 +89,7 @@ def price_steps(stream: DataFrame, path: str) -> Callable[[DataFrame, int], None
             known = known.where(F.col("_at").isNull() | (F.struct("created_at", "offer_id") > F.col("_at")))
             known = known.drop("_at")
         order = ["created_at", "offer_id"]
-        steps = with_neighbours(known, ["item_id"], order, F.to_date("created_at"), ["price_ore"])
+        steps = with_neighbours(known, ["item_id"], order, F.date_trunc("hour", "created_at"), ["price_ore"])
         previous = F.coalesce(F.col("prev.price_ore"), F.col("_last"))
         moved = steps.where(~F.col("price_ore").eqNullSafe(previous)).select(*rows.columns)
         moved.write.mode("overwrite").parquet(f"{path}/steps/epoch={epoch}")
