@@ -33,14 +33,14 @@ def peer_score(shelf: DataFrame, keys: Sequence[str], price: str = "price_ore",
     return shelf.join(peer_table(shelf, keys, price, min_group), [*keys, price], "left")
 
 
-def peer_cascade(shelf: DataFrame, levels: Sequence[Sequence[str]] = PEER_LEVELS, min_group: int = 8, key: str = "item_id", price: str = "price_ore") -> DataFrame:
+def peer_cascade(shelf: DataFrame, levels: Sequence[Sequence[str]] = PEER_LEVELS, min_group: int = 8, key: str = "item_id", price: str = "price_ore", keep: Sequence[str] = ()) -> DataFrame:
     """Peer position from the first level whose group has ``min_group`` members.
 
     Each level compares with the whole shelf of its key, also with items an earlier level placed.
     Items no level can place are left out. The shelf is written once in its few columns, because
-    every level reads it again.
+    every level reads it again; ``keep`` names columns to carry along.
     """
-    columns = list(dict.fromkeys([c for keys in levels for c in keys]))
+    columns = dict.fromkeys([*keep, *[c for keys in levels for c in keys]])
     rows = shelf = cut_lineage(shelf.select(key, price, *columns))
     for i, keys in enumerate(levels, 1):
         table = peer_table(shelf.select(price, *keys), keys, price, min_group).select(
@@ -52,8 +52,8 @@ def peer_cascade(shelf: DataFrame, levels: Sequence[Sequence[str]] = PEER_LEVELS
     level = F.coalesce(*[F.when(F.col(f"_l{i}").isNotNull(), F.lit(i)) for i in range(1, n + 1)])
     return (
         rows.where(level.isNotNull())
-        .select(key, price, level.alias("peer_level"), chosen.alias("_p"))
-        .select(key, price, "peer_level", "_p.*")
+        .select(key, price, *keep, level.alias("peer_level"), chosen.alias("_p"))
+        .select(key, price, *keep, "peer_level", "_p.*")
     )
 
 

@@ -22,9 +22,10 @@ def score_bucket(market: DataFrame, min_brand: int = MIN_BRAND_ITEMS, min_group:
     are complete; level 3 spans brands and is not computed."""
     thick = market.groupBy("brand").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_brand)
     rows = market.join(thick.select("brand"), "brand", "left_semi")
-    placed = peer_cascade(rows, PEER_LEVELS[:2], min_group).drop("price_ore")
+    keep = [c for c in rows.columns if c not in ("item_id", "price_ore")]
+    placed = peer_cascade(rows, PEER_LEVELS[:2], min_group, keep=keep)
     discount = s.discount_pct(F.col("price_ore"), F.col("peer_median_ore"))
-    scored = rows.join(placed, "item_id").withColumn("discount_pct", discount)
+    scored = placed.withColumn("discount_pct", discount)
     return filters.shortlist_gate(scored, **gates)
 
 

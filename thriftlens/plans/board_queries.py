@@ -311,9 +311,9 @@ QUARTILE = (
 def predictor_board_peers(m: Market):
     """The sale board's peer feature: rate by quartile of the peer position."""
     rows = filters.analysis_rows(m.items(*SHELF, "outcome", "stratum"))
-    placed = peer_cascade(rows.select(*SHELF), min_group=MIN_GROUP).select("item_id", "peer_pct")
+    placed = peer_cascade(rows, min_group=MIN_GROUP, keep=["outcome"])
     features = {"peer_quartile": s.peer_quartile(F.col("peer_pct"))}
-    return rounded(board.predictor_board(rows.join(placed, "item_id"), features, F.lit(AS_OF).cast("date")))
+    return rounded(board.predictor_board(placed, features, F.lit(AS_OF).cast("date")))
 
 
 @query("snapshot_rewritten", None, """

@@ -42,10 +42,8 @@ SHELF = ("item_id", "brand", "brand_tier", "item_type", "category", "condition",
 
 
 def cascade(m: Market, *extra: str):
-    shelf = m.shelf(*SHELF)
-    placed = peers.peer_cascade(shelf, min_group=MIN_GROUP)
-    wanted = m.shelf("item_id", *extra) if extra else None
-    return placed.join(wanted, "item_id") if extra else placed
+    shelf = m.shelf(*dict.fromkeys([*SHELF, *extra]))
+    return peers.peer_cascade(shelf, min_group=MIN_GROUP, keep=extra)
 
 
 def scored(m: Market, *extra: str):
