@@ -186,16 +186,22 @@ def hits(m: Market):
     return m.items(*HIT, only=LIVE)
 
 
+def floor(rows) -> int:
+    """Listings that make a brand a big one: a twenty-fifth of the market, as there are 25 brands."""
+    return rows.count() // 25
+
+
 HITS = f"hits AS (SELECT *, {BAND} AS price_band FROM items WHERE outcome IS NULL)"
 
 
 @query("stratum_a", "items", f"""WITH {HITS},
-    big AS (SELECT brand FROM hits GROUP BY 1 HAVING count(*) >= 1200),
+    big AS (SELECT brand FROM hits GROUP BY 1 HAVING count(*) >= (SELECT count(*) // 25 FROM hits)),
     p AS (SELECT *, count(*) OVER (PARTITION BY brand, price_band) AS population,
       row_number() OVER (PARTITION BY brand, price_band ORDER BY md5(concat('A:', item_id)), item_id) AS k FROM hits WHERE brand IN (FROM big))
     SELECT item_id, brand, price_band, {r6("population / least(population, 140)")} AS sample_weight, 'A' AS stratum FROM p WHERE k <= 140""")
 def stratum_a(m: Market):
-    taken = sampling.stratum_a(hits(m), 1200, edges=BAND_EDGES)
+    rows = hits(m)
+    taken = sampling.stratum_a(rows, floor(rows), edges=BAND_EDGES)
     return rounded(taken.select("item_id", "brand", "price_band", "sample_weight", "stratum"))
 
 
@@ -206,7 +212,7 @@ CELL = f"CASE WHEN price_ore < {TAIL[0] * 100} THEN NULL " + " ".join(
 
 
 @query("stratum_b", "items", f"""WITH {HITS},
-    big AS (SELECT brand FROM hits GROUP BY 1 HAVING count(*) >= 1200),
+    big AS (SELECT brand FROM hits GROUP BY 1 HAVING count(*) >= (SELECT count(*) // 25 FROM hits)),
     c AS (SELECT *, {CELL} AS cell FROM hits),
     p AS (SELECT *, count(*) OVER (PARTITION BY cell, category) AS population,
       row_number() OVER (PARTITION BY cell, category ORDER BY md5(concat('B:', item_id)), item_id) AS k FROM c WHERE cell IS NOT NULL)
@@ -214,7 +220,7 @@ CELL = f"CASE WHEN price_ore < {TAIL[0] * 100} THEN NULL " + " ".join(
     FROM p WHERE k <= 400 AND brand NOT IN (FROM big) ORDER BY md5(concat('B:', item_id)), item_id LIMIT 100000""")
 def stratum_b(m: Market):
     rows = hits(m)
-    taken = sampling.stratum_b(rows, sampling.big_brands(rows, 1200), 100000, 400, TAIL)
+    taken = sampling.stratum_b(rows, sampling.big_brands(rows, floor(rows)), 100000, 400, TAIL)
     return rounded(taken.select("item_id", "brand", "category", "sample_weight", "stratum"))
 
 
