@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as contract
 from check import compare, connect
+from thriftlens.plans.registry import ORACLES as SQL
+from thriftlens.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="the given tables are not here")
 
@@ -32,6 +33,11 @@ def test_only_known_queries_lack_sql():
     assert set(QUERIES) - set(SQL) == {"rotation_buckets"}
 
 
+def test_contract_has_every_query_and_its_sql():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(SQL) <= set(contract.oracle_sql()) <= set(contract.queries())
+
+
 def test_entry(spark):
     rows = contract.entry(spark).collect()
     assert rows and [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
