@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thriftlens.llm import decontaminate, licences
+from thriftlens.llm import decontaminate, licences, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,20 @@ def op6(spark, sf_dir):
             F.transform(places, lambda p: F.concat_ws(":", p["kind"], p["label"], p["start"], p["end"])), ","
         ).alias("spans"),
     )
+
+
+@query("op8_toxicity")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found, score = F.col("toxicity"), F.col("toxicity")["score"]
+    return toxicity.passages(docs, model).select(
+        "doc_id",
+        (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1).alias("held_out"),
+        score.alias("score"),
+        (score >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.size(found["segments"]).alias("n_passages"),
+        F.array_join(
+            F.transform(found["segments"], lambda s: F.concat_ws(":", s["first_word"], s["last_word"])), ","
+        ).alias("passages"),
+    )
