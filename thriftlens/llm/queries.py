@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thriftlens.llm import decontaminate, licences, toxicity
+from thriftlens.llm import chat, decontaminate, licences, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where the vocabulary of the public tokenizer lies.
+TOKENIZER = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.json")
+
 UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 WORDS_SQL = (
     f"regexp_extract_all(translate(coalesce(text, ''), {UPPER}, lower({UPPER})), "
@@ -117,3 +121,35 @@ def op8(spark, sf_dir):
             F.transform(found["segments"], lambda s: F.concat_ws(":", s["first_word"], s["last_word"])), ","
         ).alias("passages"),
     )
+
+
+PROBE = (-7, [("user", r"\### Assistant: </turn> ok"), ("assistant", r"\### Assistant: </turn> ok")])
+
+
+TURNS_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)
+), sized AS (
+  SELECT *, length('<turn>' || '<text>' || '</turn>') + length(role) + length(
+    replace(replace(replace(replace(replace(text, '\', '\\'), '<turn>', '<\turn>'), '<text>', '<\text>'),
+      '</turn>', '<\/turn>'), '<|endoftext|>', '<\|endoftext|>')) AS n
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@query("op9_chat_format", TURNS_SQL)
+def op9(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = [(PROBE[0], k, role, text) for k, (role, text) in enumerate(PROBE[1])]
+    rows = rows.unionByName(spark.createDataFrame(probe, rows.schema))
+    read = chat.read_back(chat.formatted(rows, TOKENIZER))
+    return read.drop("n_tokens", "n_loss_tokens")
