@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thriftlens.llm import chat, decontaminate, licences, simhash, toxicity
+from thriftlens.llm import chat, decontaminate, licences, mixing, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,6 +69,61 @@ def sha256(text):
     return F.sha2(text.cast("binary"), 256)
 
 
+def _mixing_sql() -> str:
+    topic = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{t}'" for t, p in mixing.TOPICS.items())
+    steps = ["rake0 AS (SELECT *, tokens / sum(tokens) OVER () AS weight FROM goals)"]
+    for k in range(mixing.ROUNDS):
+        for j, name in enumerate(mixing.POWERS):
+            at = len(mixing.POWERS) * k + j
+            steps.append(
+                f"rake{at + 1} AS (SELECT * REPLACE (weight * {name}_target / sum(weight) OVER (PARTITION BY {name}) "
+                f"AS weight) FROM rake{at})"
+            )
+    goals = ", ".join(
+        f"(SELECT pow(g, {p}) FROM (SELECT sum(tokens) AS g FROM cells x WHERE x.{n} IS NOT DISTINCT FROM c.{n})) "
+        f"/ (SELECT sum(pow(g, {p})) FROM (SELECT sum(tokens) AS g FROM cells GROUP BY {n})) AS {n}_target"
+        for n, p in mixing.POWERS.items()
+    )
+    return f"""
+WITH docs AS MATERIALIZED (
+  SELECT doc_id, source, lang, CASE {topic} ELSE '{mixing.OTHER_TOPIC}' END AS topic,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens,
+    CAST('0x' || substr(md5('{mixing.SEED}' || coalesce(':' || CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / pow(2, 52) AS u
+  FROM documents
+), cells AS MATERIALIZED (
+  SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM docs GROUP BY 1, 2, 3 HAVING sum(n_tokens) > 0
+), goals AS MATERIALIZED (
+  SELECT c.*, {goals} FROM cells c
+), {", ".join(steps)},
+rates AS MATERIALIZED (
+  SELECT source, lang, topic, {mixing.FRACTION} * weight * sum(tokens) OVER () / tokens AS rate
+  FROM rake{mixing.ROUNDS * len(mixing.POWERS)}
+)
+SELECT doc_id, d.source, d.lang, d.topic, CAST(n_tokens AS BIGINT) AS n_tokens,
+  round(least(coalesce(rate, {mixing.FRACTION}), 1.0), 6) + 0.0 AS probability,
+  round(coalesce(rate, {mixing.FRACTION}) / least(coalesce(rate, {mixing.FRACTION}), 1.0), 6) + 0.0 AS weight,
+  u < least(coalesce(rate, {mixing.FRACTION}), 1.0) AS sampled
+FROM docs d LEFT JOIN rates r ON d.source IS NOT DISTINCT FROM r.source AND d.lang IS NOT DISTINCT FROM r.lang
+  AND d.topic = r.topic
+"""
+
+
+@query("op2_mixing", _mixing_sql())
+def op2(spark, sf_dir):
+    mix = F.col("mix")
+    found = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    return found.select(
+        "doc_id",
+        "source",
+        "lang",
+        mix["topic"].alias("topic"),
+        mix["n_tokens"].alias("n_tokens"),
+        (F.round(mix["probability"], 6) + 0.0).alias("probability"),
+        (F.round(mix["weight"], 6) + 0.0).alias("weight"),
+        mix["sampled"].alias("sampled"),
+    )
+
+
 @query("op3_simhash_near_dedup")
 def op3(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -77,6 +132,20 @@ def op3(spark, sf_dir):
     )
 
 
+@query("op4_sharding")
+def op4(spark, sf_dir):
+    found = sharding.shuffled(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        sharding.size_of(F.col("text")).alias("size"),
+        sharding.crc_of(F.col("text")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query("op5_decontamination", OVERLAP_SQL)
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
