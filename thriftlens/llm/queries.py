@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thriftlens.llm import chat, decontaminate, licences, mixing, sharding, simhash, topk, toxicity
+from thriftlens.llm import chat, decontaminate, licences, lines, mixing, sharding, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -183,6 +183,22 @@ def op6(spark, sf_dir):
     )
 
 
+@query("op7_repeated_passages")
+def op7(spark, sf_dir):
+    runs = F.col("runs")
+    total = lambda of: F.aggregate(of, F.lit(0).cast("bigint"), lambda n, x: n + x)
+    return lines.repeated(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id",
+        "n_words",
+        "n_units",
+        F.size(runs).cast("bigint").alias("n_runs"),
+        total(F.transform(runs, lambda r: r["words"])).alias("words_removed"),
+        total(F.transform(runs, lambda r: r["end"] - r["start"])).alias("chars_removed"),
+        F.array_join(F.transform(runs, lambda r: F.concat_ws(":", r["start"], r["end"])), ",").alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform(runs, lambda r: r["kept_in"])))).alias("kept_in"),
+    )
+
+
 @query("op8_toxicity")
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
