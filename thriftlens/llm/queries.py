@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thriftlens.llm import chat, decontaminate, licences, lines, mixing, sharding, simhash, topk, toxicity
+from thriftlens.llm import chat, decontaminate, licences, lines, mixing, private, sharding, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,6 +69,22 @@ def sha256(text):
     return F.sha2(text.cast("binary"), 256)
 
 
+@query("op1_personal_data")
+def op1(spark, sf_dir):
+    spans = F.col("spans")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+    joined = lambda of: F.array_join(
+        F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+    found = private.identifiers(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in private.KINDS],
+        sha256(joined(F.filter(spans, lambda s: s["kind"] != private.CONTEXT))).alias("base_sha256"),
+        joined(spans).alias("spans"),
+    )
+
+
 def _mixing_sql() -> str:
     topic = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{t}'" for t, p in mixing.TOPICS.items())
     steps = ["rake0 AS (SELECT *, tokens / sum(tokens) OVER () AS weight FROM goals)"]
