@@ -139,9 +139,10 @@ def overlaps(
 
     A null or empty text, or one without words, has no words and no hits. Items that are null or without words
     have no test strings; an item with a null id hits but is not named; items with the same id count once. Rows
-    that repeat give the same result each. An empty benchmark hits nothing. All other columns stay; ``as_column`` must be
-    a name the documents do not have.
+    that repeat give the same result each. An empty benchmark hits nothing. All other columns stay; the new one is
+    the last and gets underscores before its name where the documents have such a column.
     """
+    as_column = free_name(documents, as_column)
     found, part = documents, free_name(documents, "overlap_part")
     for k, items in enumerate(benchmark_chunks(benchmark, chunk_words)):
         if k == 0:

@@ -16,7 +16,7 @@ import ahocorasick
 import regex
 from pyspark.sql import DataFrame
 
-from thriftlens.llm.texts import text_column, words_of
+from thriftlens.llm.texts import free_name, text_column, words_of
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -166,7 +166,9 @@ def license_places(
     points of the text, its first and last word, the number of edits and a score of 1 - edits / length.
 
     A null or empty text has no words and no places. Rows that repeat give the same result each. Texts are scanned whole; a
-    very long one costs a task some times its own size. ``as_column`` must be a name the documents do not have.
+    very long one costs a task some times its own size. The new column is the last and gets underscores before its name where the
+    documents have such a column.
     """
+    as_column = free_name(documents, as_column)
     places = text_column(_places(notices_of(phrases, notices, share)), PLACES)
     return documents.withColumn(as_column, places("text"))

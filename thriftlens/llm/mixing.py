@@ -79,11 +79,12 @@ def mixed(
     tokens times probability times weight meet the targets. ``sampled`` compares the probability with a number drawn from a
     seeded hash of doc_id, so rows that share an id share the decision, and every run makes the same one. A null source or
     language is a value of its own. Texts without words have no tokens: cells of such alone, and an empty table, have probability
-    ``fraction`` and weight 1. ``as_column`` must be a name the documents do not have.
+    ``fraction`` and weight 1. The new column is the last and gets underscores before its name where the documents have such a column.
 
     Cells number sources times languages times topics at most. They stay in Spark; the join with the documents is a broadcast
     only where Spark finds their file small.
     """
+    as_column = free_name(documents, as_column)
     topic, tokens = free_name(documents, "topic"), free_name(documents, "n_tokens")
     names = {name: topic if name == "topic" else name for name in powers}
     text = F.col("text")

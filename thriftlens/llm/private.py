@@ -30,7 +30,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 # What may be an identifier: a token of six or more characters with an @, or with three digits.
-CANDIDATE = r"(?<!\S)(?=[^\s@0-9]*+(?:@|[0-9][^\s0-9]*+[0-9][^\s0-9]*+[0-9]))\S{6,}+"
+CANDIDATE = r"(?<!\S)(?=[^\s@]*+@|[^\s0-9]*+[0-9][^\s0-9]*+[0-9][^\s0-9]*+[0-9])\S{6,}+"
 #: Characters kept of the gap before a match, to take its last words from.
 BEFORE = 80
 

@@ -35,20 +35,19 @@ def shuffled(
     shards: int = SHARDS,
     seed: int = SEED,
     bucket_bytes: int = BUCKET_BYTES,
-    prefix: str = "",
 ) -> DataFrame:
     """``documents`` with columns ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in its shard), in random order.
 
     The numbers of rows of two shards differ by at most one. The scatter is by a hash of doc_id and text, with the number of the row
     among the input's partitions mixed in, so rows that repeat, or share a null id, spread like all others. A null text counts as
-    empty in sizes. An empty table gives no rows. Columns keep their names; ``prefix`` goes before the two new ones where the
-    input has such names. The same input in the same partitions gives the same buckets; the order in a bucket also depends on
+    empty in sizes. An empty table gives no rows. Columns keep their names; the new ones get underscores before theirs where
+    the input has such columns. The same input in the same partitions gives the same buckets; the order in a bucket also depends on
     which buckets a task gets.
 
     ``documents`` is read three times (sizes, counts of buckets, records) and must be read in the same partitions each time: a table
     of files, or what ``cut_lineage`` returns.
     """
-    shard, slot = prefix + "shard", prefix + "slot"
+    shard, slot = free_name(documents, "shard"), free_name(documents, "slot")
     columns = documents.columns
     text = F.col("text")
     total = documents.agg(F.count("*").alias("n"), F.sum(size_of(text)).alias("bytes")).first()

@@ -50,7 +50,8 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
 
 
 def fingerprints(documents: DataFrame, as_column: str = "fingerprint") -> DataFrame:
-    """``documents`` with the fingerprint of the text (null: no words) as a long; ``as_column`` must be a new name."""
+    """``documents`` with the fingerprint of the text (null: no words) as a long, under a name they do not have."""
+    as_column = free_name(documents, as_column)
     return documents.withColumn(as_column, text_column(lambda: fingerprint, "bigint")("text"))
 
 

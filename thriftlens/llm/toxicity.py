@@ -301,8 +301,10 @@ def passages(documents: DataFrame, model: Model, expected: float = 0.01, as_colu
     word, score, expected number of such segments in a text of this length by chance).
 
     A null or empty text has no segments and the score of the curve at 0. Rows that repeat give the same result each, texts are
-    scanned whole, and only ``text`` is read. ``as_column`` must be a name the documents do not have.
+    scanned whole, and only ``text`` is read. The new column is the last and gets underscores before its name where the documents
+    have such a column.
     """
+    as_column = free_name(documents, as_column)
     found = documents.withColumn(as_column, text_column(_finder(model, expected), FOUND)("text"))
     return found.withColumn(
         as_column, F.col(as_column).withField("score", model.score(F.col(as_column)["best"]))
