@@ -66,7 +66,7 @@ def test_odd_rows(odd):
 def test_long_runs_stay_linear(docs):
     texts = ["a" * 200_000, "1." * 100_000, "a.b" * 60_000 + "@", "7" * 200_000, "+" * 200_000, "1 2-" * 50_000]
     got = dict(found(docs(list(enumerate(texts)))))
-    assert [len([s for s in got[k] if s[0] != "context"]) for k in range(6)] == [len(seeds(t)) for t in texts]
+    assert [len([s for s in got[k] if s[0] != "context"]) for k in range(6)] == [0, 25_000, 0, 0, 0, 0]
 
 
 def test_no_rows(docs):
