@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thriftlens.operators import cohort, filters, guards, ladders, peers, sampling, selecting, track
+from thriftlens.session import cut_lineage
 from thriftlens.sources import tables
 
 D = dt.date
@@ -73,6 +74,13 @@ def test_track_pass(items, seen, verdicts):
         assert got[item].outcome is None and got[item].last_seen == D(2026, 8, 1)
 
 
+def test_repeated_observations_count_once(items, seen, verdicts, rows):
+    today = day("2026-08-11")
+    want = track.track_pass(items, seen, verdicts, today)
+    twice = track.track_pass(items, seen.unionByName(seen), verdicts.unionByName(verdicts), today)
+    assert rows(twice) == rows(want)
+
+
 def test_pass_equals_its_parts(items, seen, verdicts):
     today = day("2026-08-11")
     whole = {r.item_id: r for r in track.track_pass(items, seen, verdicts, today).collect()}
@@ -86,7 +94,8 @@ def test_pass_equals_its_parts(items, seen, verdicts):
 
 
 def test_second_pass_leaves_resolved_rows(items, seen, verdicts):
-    out = track.two_passes(items, (seen, verdicts, day("2026-08-11")), (seen, verdicts, day("2026-08-13")))
+    first = cut_lineage(track.track_pass(items, seen, verdicts, day("2026-08-11")))
+    out = track.track_pass(first, seen, verdicts, day("2026-08-13"))
     got = {r.item_id: r for r in out.collect()}
     assert got["sold"].resolved_on == D(2026, 8, 11)
     assert got["cut"].history == [0, 10000, 10, 9000]
@@ -118,6 +127,55 @@ def test_upsert_is_idempotent_and_partial(spark, rows):
     assert rows(tables.update_existing(target, change, ["k"])) == [("a", 1, "x"), ("b", 9, "y")]
 
 
+def test_a_key_twice_in_the_changes_is_an_error(spark):
+    target = spark.createDataFrame([("a", 1)], "k string, n int")
+    change = spark.createDataFrame([("a", 2), ("a", 3)], "k string, n int")
+    for apply in (tables.upsert, tables.update_existing):
+        with pytest.raises(Exception, match="hold a key twice"):
+            apply(target, change, ["k"]).collect()
+
+
+def test_only_touched_partitions_are_replaced(spark, rows, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(100).selectExpr("concat('k', id) as k", "cast(id as int) as n")
+    tables.write_partitioned(df, path, ["k"], 8)
+    before = {p: sorted(f.name for f in p.glob("*.parquet")) for p in (tmp_path / "t").glob("key_part=*")}
+    change = spark.createDataFrame([("k7", -7)], "k string, n int")
+    tables.upsert_partitioned(spark, path, change, ["k"], 8)
+    after = {p: sorted(f.name for f in p.glob("*.parquet")) for p in before}
+    assert sum(before[p] != after[p] for p in before) == 1
+    got = rows(spark.read.parquet(path), "k", "n")
+    assert got == sorted([(f"k{i}", -7 if i == 7 else i) for i in range(100)], key=repr)
+    tables.upsert_partitioned(spark, path, spark.createDataFrame([("new", 1)], "k string, n int"), ["k"], 8)
+    assert spark.read.parquet(path).count() == 101
+
+
+def test_a_day_without_rows_is_emptied(spark, rows, tmp_path):
+    path = str(tmp_path / "s")
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int")
+    tables.write_snapshot(df, path, "2026-08-01")
+    tables.write_snapshot(df, path, "2026-08-02")
+    tables.write_snapshot(df.limit(0), path, "2026-08-01")
+    assert rows(spark.read.parquet(path), "k", "as_of") == [("a", D(2026, 8, 2)), ("b", D(2026, 8, 2))]
+
+
+def test_price_of_a_ladder_of_many_steps(spark):
+    steps = [("long", k, dt.datetime(2026, 1, 1) + dt.timedelta(hours=k), 10000 + k) for k in range(1500)]
+    offers = spark.createDataFrame(steps, "item_id string, offer_id int, created_at timestamp, price_ore long")
+    assert [r.price_ore for r in ladders.price_as_of(offers, day("2026-12-31")).collect()] == [11499]
+    assert [r.price_ore for r in ladders.price_as_of(offers, day("2026-01-01")).collect()] == [10023]
+    assert [r.price_ore for r in ladders.price_as_of(offers, day("2025-01-01")).collect()] == [None]
+    assert ladders.nested_ladder(offers).selectExpr("size(ladder) as n").first().n == 1500
+
+
+def test_a_step_without_a_time_stays(spark):
+    rows = [("a", 1, None, 10000), ("a", 2, dt.datetime(2026, 1, 2), 9000)]
+    offers = spark.createDataFrame(rows, "item_id string, offer_id int, created_at timestamp, price_ore long")
+    got = sorted((r.rung, r.price_ore, r.previous_ore) for r in ladders.rungs(offers).collect())
+    assert got == [(1, 10000, None), (2, 9000, 10000)]
+    assert ladders.ladder_summary(offers).first().rungs == 2
+
+
 def test_versions_leave_the_read_one_alone(spark, rows, tmp_path):
     path = str(tmp_path / "t")
     tables.write_version(spark.createDataFrame([("a", 1)], "k string, n int"), path, 1)

@@ -41,7 +41,7 @@ def test_checks_file_is_replaced(spark, tmp_path):
     df = spark.createDataFrame([("a", "sold")], "item_id string, outcome string")
     for _ in range(2):
         io.write_checks(df, str(tmp_path), "2026-08-04")
-    assert spark.read.json(str(tmp_path / "check_2026-08-04")).count() == 1
+    assert spark.read.json(str(tmp_path / "check_2026-08-04.jsonl")).count() == 1
 
 
 @pytest.fixture(scope="module")
@@ -165,11 +165,12 @@ def test_stragglers(spark, offers):
 
 
 def test_load_local_twice_gives_the_same(spark, tmp_path):
-    write(tmp_path / "cohort_baseline.jsonl", [{"item_id": "a", "stratum": "screen", "type": "Kappa"}])
+    again = {"item_id": "a", "stratum": "screen", "type": "Kappa", "is_circle": True}
+    write(tmp_path / "cohort_baseline.jsonl", [{"item_id": "a", "stratum": "baseline"}, again])
     for day, outcome in (("2026-08-01", "still_listed"), ("2026-08-08", "error:TimeoutError")):
         write(tmp_path / "cohort_checks" / f"check_{day}.jsonl", [{"item_id": "a", "checked_on": day, "outcome": outcome}])
-    write(tmp_path / "roundtrips_1.jsonl", [{"resale_id": "r", "ended_on": "2026-08-01", "multiple": 1.5, "type": "Kappa"}])
-    write(tmp_path / "dormant_resale_1.jsonl", [{"resale_id": "r", "multiple": 9.0}, {"resale_id": "q"}])
+    write(tmp_path / "roundtrips_1.jsonl", [{"circle_id": "r", "ended_on": "2026-08-01", "multiple": 1.5, "type": "Kappa", "days_on_circle": 4}])
+    write(tmp_path / "dormant_circle_1.jsonl", [{"circle_id": "r", "multiple": 9.0}, {"circle_id": "q"}])
     write(tmp_path / "ladders_1.jsonl", [{"item_id": "old"}])
     write(tmp_path / "ladders_2.jsonl", [{"item_id": "l", "ladder": [{"price": 1.0, "from": "2026-08-01", "to": None}]}])
     once = jobs.load_local(spark, str(tmp_path), {})
@@ -179,17 +180,26 @@ def test_load_local_twice_gives_the_same(spark, tmp_path):
     assert {r.outcome for r in once["cohort_checks"].collect()} == {"still_listed", "error"}
     assert {r.resale_id: r.multiple for r in once["round_trips"].collect()} == {"r": 1.5, "q": None}
     assert [r.item_id for r in once["item_ladders"].collect()] == ["l"]
-    assert once["cohort_items"].first().item_type == "Kappa"
+    first = once["cohort_items"].first()
+    assert (first.item_type, first.stratum, first.is_resale) == ("Kappa", "screen", True)
+    assert {r.resale_id: r.days_listed for r in once["round_trips"].collect()} == {"r": 4, "q": None}
+
+
+def test_checks_written_are_checks_loaded(spark, tmp_path):
+    rows = spark.createDataFrame([("a", D(2026, 8, 9), "sold", "betald", 95.0, 2)], schemas.CHECK_FILE)
+    io.write_checks(rows, str(tmp_path / "cohort_checks"), "2026-08-09")
+    loaded = jobs.load_local(spark, str(tmp_path), {})["cohort_checks"]
+    assert [tuple(r) for r in loaded.collect()] == [tuple(r) for r in rows.collect()]
 
 
 def test_failed_step_skips_only_its_chain():
     done = []
 
     def fail():
-        raise RuntimeError
+        raise RuntimeError("no file")
 
     report = jobs.run_steps([("a", "x", fail), ("b", "x", lambda: done.append("b")), ("c", "y", lambda: done.append("c"))])
-    assert [s for _, s in report] == ["failed: RuntimeError", "skipped", "ok"] and done == ["c"]
+    assert [s for _, s in report] == ["failed: RuntimeError: no file", "skipped", "ok"] and done == ["c"]
 
 
 def test_fits_profile(spark):

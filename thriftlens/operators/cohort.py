@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
-from thriftlens.operators.filters import STRATUM_EXPECT, STRATUM_QUOTA, stratum_predicates
+from thriftlens.operators.filters import STRATUM_QUOTA, stratum_predicates
 from thriftlens.operators.ladders import ladder_summary
 from thriftlens.operators.selecting import assign_strata
 
 
-def cohort_snapshot(hits: DataFrame, today: Column, strata: Mapping[str, Column] | None = None, quotas: Mapping[str, int] = STRATUM_QUOTA, expect: Mapping[str, str] = STRATUM_EXPECT, key: str = "item_id") -> DataFrame:
-    """Enrolled items with their stratum, enrolment day and the prediction frozen with it. Write it
+def cohort_snapshot(hits: DataFrame, today: Column, expect: Mapping[str, str], strata: Mapping[str, Column] | None = None, quotas: Mapping[str, int] = STRATUM_QUOTA, key: str = "item_id") -> DataFrame:
+    """Enrolled items with their stratum, enrolment day and the prediction of ``expect`` frozen with it. Write it
     with mode ``errorifexists``: a cohort is never overwritten."""
     strata = stratum_predicates() if strata is None else strata
     claimed = assign_strata(hits, strata, quotas, key)

@@ -139,7 +139,7 @@ def stratum_predicates(on_shelf: Column | None = None) -> dict[str, Column]:
     }
 
 
-# Quota and frozen prediction of each stratum. Fixed values.
+# Quota of each stratum.
 STRATUM_QUOTA = {
     "resale": 500,
     "screen": 150,
@@ -148,11 +148,3 @@ STRATUM_QUOTA = {
     "premium": 100,
     "baseline": 250,
 }
-STRATUM_EXPECT = {
-    "resale": "unknown",
-    "screen": "sells faster than baseline",
-    "control_unwanted": "sells slower than the screen stratum",
-    "control_wanted_pricey": "sells, but slowly",
-    "premium": "slower than baseline, thinner buyer pool",
-    "baseline": "the reference rate",
-}

@@ -52,22 +52,37 @@ def ladder_summary(offers: DataFrame, key: str = "item_id") -> DataFrame:
     )
 
 
-def ladder_parts(offers: DataFrame, key: str = "item_id", size: int = 1000) -> DataFrame:
-    """The nested ladder as arrays of (rung, price, from, to), ``size`` steps to an array. Nearly
-    every listing has one array, and no array grows with the number of its steps."""
-    steps = rungs(offers, key)
-    step = F.struct(
+def _step() -> Column:
+    return F.struct(
         "rung",
         "price_ore",
         F.to_date("created_at").alias("from"),
         F.to_date("ended_at").alias("to"),
     )
+
+
+def nested_ladder(offers: DataFrame, key: str = "item_id") -> DataFrame:
+    """One row per listing with its whole ladder as an array of (rung, price, from, to): the form in which a listing's
+    document holds it."""
+    return rungs(offers, key).groupBy(key).agg(F.array_sort(F.collect_list(_step())).alias("ladder"))
+
+
+def ladder_parts(offers: DataFrame, size: int, key: str = "item_id") -> DataFrame:
+    """The nested ladder in parts of ``size`` steps, for readers that want rows of bounded size."""
     return (
-        steps.groupBy(key, F.floor((F.col("rung") - 1) / size).cast("int").alias("part"))
-        .agg(F.array_sort(F.collect_list(step)).alias("ladder"))
+        rungs(offers, key)
+        .groupBy(key, F.floor((F.col("rung") - 1) / size).cast("int").alias("part"))
+        .agg(F.array_sort(F.collect_list(_step())).alias("ladder"))
     )
 
 
+def price_as_of(offers: DataFrame, day: Column, key: str = "item_id") -> DataFrame:
+    """Price of each listing as of a day, from its steps; null before the first one. One value per listing combines
+    before the shuffle, so a ladder may have any number of steps."""
+    at = F.when(F.to_date("created_at") <= day, F.struct("created_at", "offer_id"))
+    return offers.groupBy(key).agg(F.max_by("price_ore", at).alias("price_ore"))
+
+
 def monotonicity(offers: DataFrame, key: str = "item_id") -> DataFrame:
     """Transitions, how many went up, and how many listings have one that did."""
     steps = rungs(offers, key).where(F.col("previous_ore").isNotNull())

@@ -12,6 +12,7 @@ from thriftlens.operators import filters
 from thriftlens.operators.brands import attention_index, brand_snapshot
 from thriftlens.operators.peers import PEER_LEVELS, peer_cascade
 from thriftlens.operators.selecting import top_n
+from thriftlens.operators.track import once
 from thriftlens.sources.tables import delete_where
 
 MIN_BRAND_ITEMS = 8
@@ -32,7 +33,7 @@ def score_bucket(market: DataFrame, min_brand: int = MIN_BRAND_ITEMS, min_group:
 def refresh_bucket(pool: DataFrame, market: DataFrame, bucket: int, as_of: Column, **options) -> DataFrame:
     """The pool with one bucket swept again: its old rows and rows of no bucket go, an item swept
     here goes from wherever else it was, and the new survivors come in."""
-    swept = market.where(F.col("bucket") == bucket)
+    swept = once(market.where(F.col("bucket") == bucket))
     kept = score_bucket(swept, **options).withColumn("swept_on", as_of).withColumn("as_of", as_of)
     rest = delete_where(pool, (F.col("bucket") == bucket) | F.col("bucket").isNull())
     rest = rest.join(swept.select("item_id"), "item_id", "left_anti")
@@ -42,7 +43,7 @@ def refresh_bucket(pool: DataFrame, market: DataFrame, bucket: int, as_of: Colum
 def reprice_pool(pool: DataFrame, observed: DataFrame, today: Column) -> DataFrame:
     """Today's price and liveness on every pool row. The peer median stays the one of the sweep, so
     ``swept_on`` does not move; ``as_of`` does. A missing or zero price keeps the old one."""
-    new = observed.select(
+    new = once(observed).select(
         "item_id", F.nullif(F.col("price_ore"), F.lit(0)).alias("_ore"), F.lit(True).alias("_live")
     )
     price = F.coalesce(s.to_kr_floor(F.col("_ore")), F.col("price_kr"))
@@ -122,7 +123,7 @@ def flagged(shortlist: DataFrame, n: int = 500, per_brand: int = 15) -> DataFram
 def attach_documents(pool: DataFrame, documents: DataFrame, today: Column, hosts: Sequence[str]) -> DataFrame:
     """Image paths and liveness on the day's rows: an item without a document is gone."""
     paths = s.image_paths(F.col("images"), hosts)
-    docs = documents.select("item_id", F.when(F.size(paths) > 0, paths).alias("_paths"), F.lit(True).alias("_live"))
+    docs = once(documents).select("item_id", F.when(F.size(paths) > 0, paths).alias("_paths"), F.lit(True).alias("_live"))
     return (
         pool.join(docs, "item_id", "left")
         .withColumn("image_paths", F.col("_paths"))

@@ -7,7 +7,8 @@ work inside (group, cell), and carry only one summary row per cell across the gr
 are exact: cells are consecutive ranges of the order, so a position in the group is the number of
 rows in earlier cells plus the position in the cell.
 
-Group keys must not be null, except in ``group_quantiles`` and ``with_quantiles``.
+Groups of a null key, and rows whose order is null, which come first, are treated like all others; only
+``value_positions`` leaves them out.
 """
 
 from __future__ import annotations
@@ -176,7 +177,7 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Col
     inside = split.withColumn(
         "_in", F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy(*order))
     )
-    joined = inside.join(cells, [*keys, "_cell"])
+    joined = null_safe_join(inside, cells, [*keys, "_cell"])
     return joined.withColumn(name, F.col("_skip") + F.col("_in")).drop("_cell", "_skip", "_in")
 
 
@@ -210,7 +211,7 @@ def with_neighbours(
         .withColumn("_in", F.row_number().over(inner))
     )
     return (
-        inside.join(cells, [*keys, "_cell"])
+        null_safe_join(inside, cells, [*keys, "_cell"])
         .withColumn("prev", F.coalesce("_lag", "_back"))
         .withColumn("next", F.coalesce("_lead", "_ahead"))
         .withColumn("n", F.col("_skip") + F.col("_in"))
@@ -245,7 +246,7 @@ def with_last_before(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     inside = split.withColumn("_near", F.last(value, ignorenulls=True).over(inner))
-    joined = inside.join(cells, [*keys, "_cell"])
+    joined = null_safe_join(inside, cells, [*keys, "_cell"])
     return joined.withColumn(name, F.coalesce("_near", "_back")).drop("_cell", "_near", "_back")
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
+from thriftlens.operators.selecting import dedupe
 from thriftlens.operators.spread import with_row
-from thriftlens.session import cut_lineage
 
 WATCHED = ["favourites", "is_reserved", "last_chance"]
 
@@ -20,6 +20,12 @@ def split_presence(tracked: DataFrame, observed: DataFrame, key: str = "item_id"
     return tracked.join(seen, key, "left_semi"), tracked.join(seen, key, "left_anti")
 
 
+def once(rows: DataFrame, key: str = "item_id") -> DataFrame:
+    """One row per key, the first in the order of all other columns: a landed file may hold a listing again."""
+    plain = [c for c, kind in rows.dtypes if c != key and not kind.startswith("map")]
+    return dedupe(rows, [key], plain)
+
+
 def changes(tracked: DataFrame, observed: DataFrame, key: str = "item_id") -> DataFrame:
     """Rows whose price, likes, reserved or last-chance flag moved, with their new values.
 
@@ -94,7 +100,11 @@ def adjudicate(vanished: DataFrame, verdicts: DataFrame, today: Column, key: str
 
 def track_pass(items: DataFrame, observed: DataFrame, verdicts: DataFrame, today: Column, key: str = "item_id") -> DataFrame:
     """``items`` after one pass. Every row meets its observation and its verdict once; what moved,
-    who vanished and how it ended are then expressions on that one row."""
+    who vanished and how it ended are then expressions on that one row. A listing delivered twice counts
+    once. Resolved rows pass by: only live ones are joined."""
+    observed = once(observed, key)
+    verdicts = once(verdicts, key)
+    resolved = items.where(F.col("outcome").isNotNull())
     new = observed.select(
         key,
         F.lit(True).alias("_seen"),
@@ -115,7 +125,8 @@ def track_pass(items: DataFrame, observed: DataFrame, verdicts: DataFrame, today
         F.coalesce("history", F.array().cast("array<bigint>")), F.array(day, F.col("_o_price_ore"))
     )
     rows = (
-        items.join(new, key, "left")
+        items.where(F.col("outcome").isNull())
+        .join(new, key, "left")
         .join(answers, key, "left")
         .withColumns({"_is_seen": seen, "_price_moved": price_moved, "_moved": moved, "_ended": ended})
     )
@@ -129,7 +140,8 @@ def track_pass(items: DataFrame, observed: DataFrame, verdicts: DataFrame, today
     }
     taken = {c: F.when(F.col("_moved"), F.col(f"_o_{c}")).otherwise(F.col(c)) for c in ["old_price_ore", *WATCHED]}
     kept = {c: F.coalesce(value, F.col(c)) for c, value in fresh.items()} | taken
-    return rows.select(*[kept[c].alias(c) if c in kept else F.col(c) for c in items.columns])
+    followed = rows.select(*[kept[c].alias(c) if c in kept else F.col(c) for c in items.columns])
+    return followed.unionByName(resolved)
 
 
 def resume_point(marker: DataFrame, today: Column) -> DataFrame:
@@ -168,7 +180,3 @@ def decode_items(items: DataFrame, brands: DataFrame, lookup: DataFrame, kinds:
         out = out.join(table, f"{kind}_id", "left")
     return out
 
-
-def two_passes(items: DataFrame, first: tuple, second: tuple) -> DataFrame:
-    """Two passes in a row; the table between them is written, as it would be in use."""
-    return track_pass(cut_lineage(track_pass(items, *first)), *second)

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from thriftlens import schemas
 from thriftlens.functions import scalars as s
 from thriftlens.operators import board, brands, filters, peers
-from thriftlens.operators.selecting import first_by_key
+from thriftlens.operators.selecting import first_by_key, latest_by_key
 from thriftlens.session import cut_lineage
 from thriftlens.sources.io import pick, read_jsonl
 from thriftlens.sources.tables import upsert, write_snapshot
 
+# Column with the place of a line among the files, while they are loaded.
+AT = "_at"
+
 
 def run_steps(steps: Sequence[tuple[str, str, Callable[[], None]]]) -> list[tuple[str, str]]:
     """Runs (name, chain, action) in order. A failed step skips the rest of its chain and no other;
@@ -30,7 +33,7 @@ def run_steps(steps: Sequence[tuple[str, str, Callable[[], None]]]) -> list[tupl
             report.append((name, "ok"))
         except Exception as exc:  # one step must not take the others with it
             broken.add(chain)
-            report.append((name, f"failed: {type(exc).__name__}"))
+            report.append((name, f"failed: {type(exc).__name__}: {exc}"))
     return report
 
 
@@ -87,24 +90,32 @@ def load_local(spark: SparkSession, data_dir: str, targets: Mapping[str, DataFra
     """Collected JSON-line files to the four tables, applied by key onto what the tables hold.
 
     The cohort, ladders and round trips come from their newest file; every check ever made is
-    read, because the series is the result. Error outcomes become ``error``.
+    read, because the series is the result. Error outcomes become ``error``. Where a file holds a key
+    again, the later line counts, and the later file; of round trips the first source that has one, and its first line.
     """
 
     def newest(pattern: str, schema) -> DataFrame:
-        return read_jsonl(spark, f"{data_dir}/{pattern}", schema)
+        return read_jsonl(spark, f"{data_dir}/{pattern}", schema, place=AT)
 
     def renamed(schema, **changed: str) -> dict[str, str]:
         names = {f: f for f in schema.fieldNames() if f not in changed.values()}
-        return names | changed
+        return names | changed | {AT: AT}
 
-    cohort = pick(newest("cohort_baseline.jsonl", schemas.COHORT_FILE), renamed(schemas.COHORT_FILE, item_type="type"))
-    checks = read_jsonl(spark, f"{data_dir}/cohort_checks/check_*.jsonl", schemas.CHECK_FILE, newest_only=False)
+    cohort = newest("cohort_baseline.jsonl", schemas.COHORT_FILE)
+    cohort = pick(cohort, renamed(schemas.COHORT_FILE, item_type="type", is_resale="is_circle"))
+    checks = read_jsonl(spark, f"{data_dir}/cohort_checks/check_*.jsonl", schemas.CHECK_FILE, newest_only=False, place=AT)
     failed = F.col("outcome").startswith("error")
     checks = checks.withColumn("outcome", F.when(failed, "error").otherwise(F.col("outcome")))
     trips = first_by_key(
-        [newest(p, schemas.TRIP_FILE) for p in ("roundtrips_*.jsonl", "dormant_resale_*.jsonl")], ["resale_id"], ["ended_on"]
+        [newest(p, schemas.TRIP_FILE) for p in ("roundtrips_*.jsonl", "dormant_circle_*.jsonl")], ["circle_id"], [AT]
     )
-    trips = pick(trips, renamed(schemas.TRIP_FILE, item_type="type"))
+    trips = pick(
+        trips,
+        renamed(
+            schemas.TRIP_FILE, item_type="type", resale_id="circle_id", resale_ask="circle_ask", resale_final="circle_final",
+            resale_rungs="circle_rungs", days_listed="days_on_circle",
+        ),
+    )
     ladders = pick(newest("ladders_*.jsonl", schemas.LADDER_FILE), renamed(schemas.LADDER_FILE, item_type="type"))
     loaded = {
         "cohort_items": (cohort, ["item_id"]),
@@ -114,7 +125,7 @@ def load_local(spark: SparkSession, data_dir: str, targets: Mapping[str, DataFra
     }
     out = {}
     for name, (rows, keys) in loaded.items():
-        rows = rows.dropDuplicates(keys)
+        rows = latest_by_key(rows, keys, [AT]).drop(AT)
         held = targets.get(name)
         out[name] = rows if held is None else upsert(held, rows, keys)
     return out

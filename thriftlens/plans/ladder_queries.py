@@ -46,7 +46,7 @@ def ladder_rungs(m: Market):
 @query("ladder_parts", "steps", """
     SELECT item_id, cast(floor((n - 1) / 3) AS int) AS part, list(price_ore ORDER BY n) AS prices FROM steps GROUP BY 1, 2""")
 def ladder_parts(m: Market):
-    parts = ladders.ladder_parts(m.offers(), size=3)
+    parts = ladders.ladder_parts(m.offers(), 3)
     return parts.select("item_id", "part", F.col("ladder.price_ore").alias("prices"))
 
 
@@ -61,10 +61,10 @@ def ladder_monotonicity(m: Market):
 
 def packed_ladders(m: Market):
     """Ladders packed as ``[day, price, day, price, ...]`` from the first day."""
-    parts = ladders.ladder_parts(m.offers())
+    whole = ladders.nested_ladder(m.offers())
     first = F.get("ladder", F.lit(0))["from"]
     pairs = F.transform("ladder", lambda x: F.array(F.datediff(x["from"], first).cast("long"), x["price_ore"]))
-    return parts.select("item_id", first.alias("first_seen"), F.flatten(pairs).alias("history"))
+    return whole.select("item_id", first.alias("first_seen"), F.flatten(pairs).alias("history"))
 
 
 @query("packed_history", "steps", """
@@ -77,10 +77,23 @@ def packed_history(m: Market):
 
 
 @query("price_as_of", "steps", """
-    SELECT item_id, arg_max(price_ore, n) AS price_ore FROM steps GROUP BY item_id""")
+    SELECT item_id, arg_max(price_ore, n) FILTER (cast(created_at AS date) <= DATE '2024-01-15') AS price_ore FROM steps GROUP BY item_id""")
 def price_as_of(m: Market):
-    packed = packed_ladders(m)
-    return ladders.price_on(packed, F.lit("2024-12-31").cast("date"))
+    return ladders.price_as_of(m.offers(), F.lit("2024-01-15").cast("date"))
+
+
+@query("nested_ladder", "steps", """
+    SELECT item_id, list(n ORDER BY n) AS rungs, list(price_ore ORDER BY n) AS prices FROM steps GROUP BY 1""")
+def nested_ladder(m: Market):
+    whole = ladders.nested_ladder(m.offers())
+    return whole.select("item_id", F.col("ladder.rung").alias("rungs"), F.col("ladder.price_ore").alias("prices"))
+
+
+@query("price_on_packed", "steps", """
+    SELECT item_id, arg_max(price_ore, n) AS price_ore FROM steps GROUP BY item_id""")
+def price_on_packed(m: Market):
+    """The price read from the packed history of the item's own row."""
+    return ladders.price_on(packed_ladders(m), F.lit("2024-12-31").cast("date"))
 
 
 @query("sell_through_by_ask", "ladders", f"""

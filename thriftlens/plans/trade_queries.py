@@ -168,11 +168,22 @@ def on_shelf(m: Market, *columns: str):
     return rows.withColumn("on_shelf", F.lit(True))
 
 
+# What is said of each stratum before it is followed.
+EXPECT = {
+    "resale": "no guess",
+    "screen": "beats the baseline",
+    "control_unwanted": "falls behind the screen",
+    "control_wanted_pricey": "goes, late",
+    "premium": "falls behind the baseline",
+    "baseline": "sets the rate",
+}
+
+
 @query("cohort_snapshot", "items", f"""WITH {COHORT}
-    SELECT item_id, stratum, CASE stratum {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in filters.STRATUM_EXPECT.items())} END
+    SELECT item_id, stratum, CASE stratum {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EXPECT.items())} END
       AS expect, DATE '{AS_OF}' AS enrolled_on FROM cohort""")
 def cohort_snapshot(m: Market):
-    taken = cohort.cohort_snapshot(on_shelf(m), F.lit(AS_OF).cast("date"))
+    taken = cohort.cohort_snapshot(on_shelf(m), F.lit(AS_OF).cast("date"), EXPECT)
     return taken.select("item_id", "stratum", "expect", "enrolled_on")
 
 

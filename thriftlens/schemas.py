@@ -94,18 +94,19 @@ LADDER_FILE = struct(
     dwell_days=T.IntegerType(), opening_ask=_D, final_price=_D, rungs=T.IntegerType(), decay=_D,
     listed_on=T.DateType(), ended_on=T.DateType(), days_on_market=T.IntegerType(), ladder=_LADDER,
 )
+# Field names of the collected files, as their source writes them.
 COHORT_FILE = struct(
     item_id=_S, stratum=_S, enrolled_on=T.DateType(), url=_S, brand=_S, type=_S, condition=_S,
     has_defect=_B, price_kr=_D, price_to_estimate=_D, favourites=_L, brand_tier=T.IntegerType(),
-    last_chance=_B, is_resale=_B, on_shelf=_B, reserved=_B, sale_started_at=_L,
+    last_chance=_B, is_circle=_B, on_shelf=_B, reserved=_B, sale_started_at=_L,
 )
 CHECK_FILE = struct(
     item_id=_S, checked_on=T.DateType(), outcome=_S, status=_S, final_price=_D, rungs=T.IntegerType()
 )
 TRIP_FILE = struct(
-    resale_id=_S, original_id=_S, brand=_S, type=_S, condition=_S, has_defect=_B, season=_SS,
+    circle_id=_S, original_id=_S, brand=_S, type=_S, condition=_S, has_defect=_B, season=_SS,
     score=_D, original_opening=_D, original_rungs=T.IntegerType(), bought_price=_D,
-    bought_discount=_D, bought_on=T.DateType(), resale_ask=_D, resale_final=_D,
-    resale_rungs=T.IntegerType(), listed_on=T.DateType(), ended_on=T.DateType(), sold=_B,
-    status=_S, multiple=_D, profit=_D, days_held=T.IntegerType(), days_listed=T.IntegerType(),
+    bought_discount=_D, bought_on=T.DateType(), circle_ask=_D, circle_final=_D,
+    circle_rungs=T.IntegerType(), listed_on=T.DateType(), ended_on=T.DateType(), sold=_B,
+    status=_S, multiple=_D, profit=_D, days_held=T.IntegerType(), days_on_circle=T.IntegerType(),
 )

@@ -197,7 +197,3 @@ def brand_classes(docs: DataFrame) -> DataFrame:
 
 def mask_values(flat: DataFrame, column: str) -> DataFrame:
     return flat.select(F.explode(column).alias("value")).distinct()
-
-
-def renamed(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
-    return df.withColumnsRenamed(dict(mapping))

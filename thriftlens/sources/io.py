@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Type of the place of a line among the files read.
+PLACE = "struct<file_path: string, file_block_start: bigint, line: bigint>"
+
 
 def _newest(spark: SparkSession, pattern: str) -> str | None:
     """The matching file or folder whose name sorts last; only names are read, not contents."""
@@ -20,16 +23,19 @@ def _newest(spark: SparkSession, pattern: str) -> str | None:
     return spark.read.format("binaryFile").load(pattern).agg(F.max(entry)).first()[0]
 
 
-def read_jsonl(spark: SparkSession, pattern: str, schema: T.StructType, newest_only: bool = True) -> DataFrame:
+def read_jsonl(spark: SparkSession, pattern: str, schema: T.StructType, newest_only: bool = True, place: str | None = None) -> DataFrame:
     """All files of a glob, or only the one whose name sorts last: the names carry the dates. A glob
-    that matches nothing gives no rows."""
+    that matches nothing gives no rows. ``place`` names a column that rises with file name and line."""
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
     try:
         path = _newest(spark, pattern) if newest_only else pattern
-        return spark.read.schema(schema).json(path)
+        rows = spark.read.schema(schema).json(path)
+        return rows if place is None else rows.select("*", at.alias(place))
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        none = spark.createDataFrame([], schema)
+        return none if place is None else none.withColumn(place, F.lit(None).cast(PLACE))
 
 
 def pick(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
@@ -43,5 +49,5 @@ def pick(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
 
 
 def write_checks(df: DataFrame, folder: str, day: str) -> None:
-    """The day's observations as JSON lines, one folder per day."""
-    df.write.mode("overwrite").json(f"{folder}/check_{day}")
+    """The day's observations as JSON lines, one folder per day, under the name that ``check_*.jsonl`` finds."""
+    df.write.mode("overwrite").json(f"{folder}/check_{day}.jsonl")

@@ -4,18 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from thriftlens.session import cut_lineage
+
+# Partition column of tables that are changed by key.
+PART = "key_part"
+
 
 def upsert(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``target`` with ``changes`` applied by key. Columns that ``changes`` lacks stay untouched;
-    columns it has are taken as they are, null included. ``changes`` must hold a key once."""
-    keys = list(keys)
+    columns it has are taken as they are, null included. A key that ``changes`` holds twice is an error."""
+    return _applied(target, changes, list(keys), "full")
+
+
+def update_existing(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """As ``upsert``, but a key that the target lacks is ignored."""
+    return _applied(target, changes, list(keys), "left")
+
+
+def _once(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``changes``, failing where a key occurs twice. The rows are dealt by key, as the join that follows needs them."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    twice = F.raise_error(F.lit(f"changes hold a key twice: {', '.join(keys)}")).cast("boolean")
+    return changes.withColumn("_nth", nth).where(F.when(F.col("_nth") > 1, twice).otherwise(F.lit(True))).drop("_nth")
+
+
+def _applied(target: DataFrame, changes: DataFrame, keys: list[str], how: str) -> DataFrame:
     supplied = [c for c in changes.columns if c not in keys]
     extra = [c for c in supplied if c not in target.columns]
-    marked = changes.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in supplied], F.lit(True).alias("_hit"))
-    joined = target.join(marked, keys, "full")
+    marked = _once(changes, keys).select(*keys, *[F.col(c).alias(f"_n_{c}") for c in supplied], F.lit(True).alias("_hit"))
+    joined = target.join(marked, keys, how)
 
     def value(c: str) -> Column:
         if c in keys or c not in supplied:
@@ -26,12 +46,6 @@ def upsert(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFr
     return joined.select(*[value(c) for c in [*target.columns, *extra]])
 
 
-def update_existing(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """As ``upsert``, but a key that the target lacks is ignored."""
-    known = changes.join(target.select(*keys), list(keys), "left_semi")
-    return upsert(target, known, keys)
-
-
 def fill_missing(target: DataFrame, source: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Fills nulls of ``columns`` from ``source``; values that are there are never overwritten."""
     offered = source.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in columns])
@@ -60,14 +74,28 @@ def exact_count(df: DataFrame, predicate: Column | None = None) -> DataFrame:
 
 
 def write_snapshot(df: DataFrame, path: str, as_of: str) -> None:
-    """Replaces the rows of one day and no other: a re-run gives the same table."""
-    dated = df.drop("as_of").withColumn("as_of", F.lit(as_of).cast("date"))
-    (
-        dated.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("as_of")
-        .parquet(path)
-    )
+    """Replaces the rows of one day and no other: a re-run gives the same table, also one that finds no rows."""
+    df.drop("as_of").write.mode("overwrite").parquet(f"{path}/as_of={as_of}")
+
+
+def part_of(keys: Sequence[str], parts: int) -> Column:
+    """The hash partition of a row of a partitioned table."""
+    return F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+
+
+def write_partitioned(df: DataFrame, path: str, keys: Sequence[str], parts: int) -> None:
+    """Writes a table in ``parts`` partitions by a hash of its keys, for ``upsert_partitioned``."""
+    df.withColumn(PART, part_of(keys, parts)).write.mode("overwrite").partitionBy(PART).parquet(path)
+
+
+def upsert_partitioned(spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str], parts: int) -> None:
+    """Applies ``changes`` by key to a table of ``write_partitioned``. Only partitions that hold a changed key are read and
+    replaced; their new rows are written aside first, so a lost task never leaves half a partition."""
+    marked = changes.withColumn(PART, part_of(keys, parts))
+    touched = [r[PART] for r in marked.select(PART).distinct().collect()]  # ``parts`` numbers at most
+    held = spark.read.parquet(path).where(F.col(PART).isin(touched))
+    fresh = upsert(held.drop(PART), changes, keys).withColumn(PART, part_of(keys, parts))
+    cut_lineage(fresh).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
 
 
 def write_version(df: DataFrame, path: str, version: int) -> None:
