@@ -39,45 +39,43 @@ def steps():
     return out
 
 
-def test_price_steps_across_batches(spark, folder, tmp_path, monkeypatch):
-    monkeypatch.setattr(streams, "COMPACT_EVERY", 2)
-    stream = read(spark, folder)
-    apply = streams.price_steps(stream, str(tmp_path / "out"))
-    streams.run_available(stream.writeStream.foreachBatch(apply), str(tmp_path / "cp"))
-    out = spark.read.parquet(str(tmp_path / "out/steps"))
+def test_price_steps_across_batches(spark, folder, tmp_path):
+    out = streams.to_table(streams.price_steps(read(spark, folder)), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted(r.offer_id for r in out.collect()) == steps()
-    assert out.select("epoch").distinct().count() == 6
 
 
-def test_replayed_batch_changes_nothing(spark, tmp_path):
+def test_price_steps_go_on_after_a_stop(spark, folder, tmp_path):
+    """A later run goes on from the state that Spark kept; late and repeated sightings are no step."""
+    landed = tmp_path / "landed"
     rows = spark.createDataFrame(ROWS, SCHEMA)
-    apply = streams.price_steps(rows, str(tmp_path))
-    first, second = rows.where("offer_id < 120"), rows.where("offer_id >= 120")
-    for batch, epoch in ((first, 0), (second, 1), (second, 1)):
-        apply(batch, epoch)
-    got = sorted(r.offer_id for r in spark.read.parquet(str(tmp_path / "steps")).collect())
-    assert got == steps()
+    late = [("hot", 999, START - dt.timedelta(days=9), 777, "x"), ("new", 1000, START, None, "x"), ROWS[-1]]
+    for part in (rows.where("offer_id < 120"), rows.where("offer_id >= 120"), spark.createDataFrame(late, SCHEMA)):
+        part.coalesce(1).write.mode("append").parquet(str(landed))
+        stream = streams.price_steps(read(spark, str(landed)))
+        out = streams.to_table(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted(r.offer_id for r in out.collect()) == steps()
 
 
-def test_late_sighting_is_no_step(spark, tmp_path):
-    rows = spark.createDataFrame(ROWS, SCHEMA)
-    apply = streams.price_steps(rows, str(tmp_path))
-    apply(rows, 0)
-    late = spark.createDataFrame([("hot", 999, START - dt.timedelta(days=9), 777, "x")], SCHEMA)
-    apply(late, 1)
-    assert spark.read.parquet(str(tmp_path / "steps/epoch=1")).count() == 0
-
-
-def test_listing_state(spark, folder, tmp_path, monkeypatch):
-    monkeypatch.setattr(streams, "COMPACT_EVERY", 3)
-    stream = read(spark, folder)
-    path = str(tmp_path / "state")
-    streams.run_available(stream.writeStream.foreachBatch(streams.listing_state(stream, path)), str(tmp_path / "cp"))
-    log = streams.KeyedLog(spark, path, ["item_id"], ["created_at", "offer_id"])
+def test_listing_state(spark, folder, tmp_path):
+    state = streams.listing_state(read(spark, folder), "price_ore")
+    writer = state.writeStream.outputMode("update").foreachBatch(streams.write_epochs(str(tmp_path / "state")))
+    streams.run_available(writer, str(tmp_path / "cp"))
+    written = spark.read.parquet(str(tmp_path / "state"))
     want = {}
-    for item, n, _, _, _ in ROWS:
-        want[item] = n
-    assert {r.item_id: r.offer_id for r in log.current().collect()} == want
+    for item, n, _, price, _ in ROWS:
+        want[item] = (n, price)
+    assert written.select("epoch").distinct().count() == 6
+    assert {r.item_id: (r.offer_id, r.price_ore) for r in streams.latest_of_epochs(written).collect()} == want
+
+
+def test_inflow_counts_a_listing_once(spark, folder, tmp_path):
+    first = spark.read.parquet(folder).groupBy("item_id").agg(F.min("created_at").alias("first_offered"))
+    twice = read(spark, folder).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy").join(first, "item_id")
+    seen = streams.to_table(streams.inflow_stream(twice, delay="1 hour"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    by_day = {}
+    for r in seen.collect():
+        by_day[r["from"]] = by_day.get(r["from"], 0) + r.inflow
+    assert all(n <= 5 for n in by_day.values())
 
 
 def test_dedupe(spark, folder, tmp_path):

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
-from thriftlens.operators.selecting import cap_per_key, hash_order
-from thriftlens.operators.spread import pick_first, with_row
+from thriftlens.operators.selecting import cap_per_key, first_by_hash, hash_order
+from thriftlens.operators.spread import null_safe_join, numbered, pick_first, with_row
 
 # Fixed values of the sampling design.
 BRAND_FLOOR = 500
@@ -81,23 +81,26 @@ def tail_cell(price: Column, edges_kr: Sequence[int] = TAIL_EDGES_KR) -> Column:
     return chain.when(price.isNotNull(), F.lit(len(edges) - 1))
 
 
-def stratum_b(hits: DataFrame, big: DataFrame, target: int, per_cell: int = 3000, edges_kr: Sequence[int] = TAIL_EDGES_KR, key: str = "item_id") -> DataFrame:
-    """Tail brands, reached by walking price cell by category. ``per_cell`` rows of every cell are
-    examined by hash; a kept row weighs cell population over rows examined."""
-    cell = ["_cell", "category"]
-    cells = hits.withColumn("_cell", tail_cell(F.col("price_ore"), edges_kr)).where(F.col("_cell").isNotNull())
-    population = cells.groupBy(*cell).agg(F.count(F.lit(1)).alias("population"))
-    seen = pick_first(cells, cell, [hash_order(F.col(key), "B"), F.col(key)], per_cell)
-    weight = F.col("population") / F.least(F.col("population"), F.lit(per_cell))
-    tail = seen.where(F.col("brand").isNotNull()).join(big.select("brand"), "brand", "left_anti")
+def stratum_b(hits: DataFrame, big: DataFrame, target: int, edges_kr: Sequence[int] = TAIL_EDGES_KR, key: str = "item_id") -> DataFrame:
+    """Tail brands by (price cell, category). Whole cells are examined, and ``target`` is spread over them by their
+    size, one row of each at least, in hash order. A kept row weighs the cell's tail population over the rows kept of it, so the weights
+    sum to the tail. Prices under the first edge are a cell of their own."""
+    cell = ["price_cell", "category"]
+    tail = hits.where(F.col("brand").isNotNull()).join(big.select("brand"), "brand", "left_anti")
+    tail = tail.withColumn("price_cell", F.coalesce(tail_cell(F.col("price_ore"), edges_kr), F.lit(-1)))
+    population = tail.groupBy(*cell).agg(F.count(F.lit(1)).alias("population"))
+    total = population.agg(F.sum("population").alias("_total"))
+    share = F.floor(F.col("population") * target / F.col("_total")).cast("long")
+    quotas = with_row(population, total).withColumn("_quota", F.greatest(share, F.lit(1).cast("long"))).drop("_total")
+    order = tail.withColumn("_h", hash_order(F.col(key), "B"))
+    ranked = numbered(order, cell, ["_h", key], F.substring("_h", 1, 3), "_nth")
     return (
-        tail.join(population, cell)
-        .withColumn("sample_weight", weight)
+        null_safe_join(ranked, quotas, cell)
+        .where(F.col("_nth") <= F.col("_quota"))
+        .withColumn("sample_weight", F.col("population") / F.least("population", "_quota"))
         .withColumn("stratum", F.lit("B"))
         .withColumn("price_band", s.price_band(F.col("price_ore")))
-        .orderBy(hash_order(F.col(key), "B"), key)
-        .limit(target)
-        .drop("_cell", "population")
+        .drop("price_cell", "_h", "_nth", "_quota", "population")
     )
 
 
@@ -107,10 +110,12 @@ def stratum_n(hits: DataFrame, items: DataFrame, today: Column, days: int = NEW_
     new = hits.where((F.col("first_offered") >= F.date_sub(today, days)) & (F.col("first_offered") <= today))
     order = [hash_order(F.col(key), "N"), F.col(key)]
     capped = cap_per_key(new.where(F.col("brand").isNotNull()), "brand", per_brand, order)
-    kept = not_enrolled(capped, items, key).orderBy(*order).limit(target)
+    free = not_enrolled(capped, items, key)
+    kept = first_by_hash(free, target, "N", key)
     total = new.agg(F.count(F.lit(1)).alias("_new"))
+    number = free.agg(F.least(F.count(F.lit(1)), F.lit(target)).alias("_kept"))
     return (
-        with_row(with_row(kept, total), kept.agg(F.count(F.lit(1)).alias("_kept")))
+        with_row(with_row(kept, total), number)
         .withColumn("sample_weight", s.ratio(F.col("_new"), F.col("_kept")))
         .withColumn("stratum", F.lit("N"))
         .withColumn("price_band", s.price_band(F.col("price_ore")))
@@ -136,12 +141,9 @@ def census_shortfall(items: DataFrame, population: DataFrame) -> DataFrame:
     return with_row(held, total).withColumn("shortfall", short).withColumn("warning", short > 0)
 
 
-def cell_census(items: DataFrame, categories: Sequence[str], edges_kr: Sequence[int] = TAIL_EDGES_KR) -> DataFrame:
-    """Population of every (price cell, category), empty cells included."""
-    cells = F.array(
-        *[F.struct(F.lit(i).alias("cell"), F.lit(c).alias("category")) for c in categories for i in range(len(edges_kr))]
-    )
-    grid = items.sparkSession.range(1).select(F.explode(cells).alias("p")).select("p.*")
+def cell_census(items: DataFrame, categories: DataFrame, edges_kr: Sequence[int] = TAIL_EDGES_KR) -> DataFrame:
+    """Population of every (price cell, category) of the table of ``categories``, empty cells included."""
+    grid = categories.select(F.explode(F.sequence(F.lit(0), F.lit(len(edges_kr) - 1))).alias("cell"), "category")
     counts = (
         items.withColumn("cell", tail_cell(F.col("price_ore"), edges_kr))
         .groupBy("cell", "category")

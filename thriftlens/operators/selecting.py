@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thriftlens.operators.spread import pick_first, with_row
+from thriftlens.operators.spread import numbered, pick_first, with_row
 from thriftlens.session import cut_lineage
 
 
@@ -80,6 +80,12 @@ def hash_order(key: Column, seed: str | int = "") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+def first_by_hash(df: DataFrame, n: int, seed: str | int, key: str = "item_id") -> DataFrame:
+    """The first ``n`` rows in hash order, for an ``n`` too large for one task: rows are numbered in 4,096 cells of the hash."""
+    marked = df.withColumn("_h", hash_order(F.col(key), seed))
+    return numbered(marked, [], ["_h", key], F.substring("_h", 1, 3), "_nth").where(F.col("_nth") <= n).drop("_h", "_nth")
+
+
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows that depend on the keys and the seed only."""
     return df.orderBy(hash_order(F.col(key), seed), key).limit(n)

@@ -174,6 +174,7 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Col
         .withColumn("_skip", _before("_cell", keys, "_nc"))
         .drop("_nc")
     )
+    # Where an order column is null the cell is null too, and comes first, as nulls do in the order.
     inside = split.withColumn(
         "_in", F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy(*order))
     )
@@ -252,7 +253,7 @@ def with_last_before(
 
 def pick_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each group. The limit on the row number is pushed below the shuffle,
-    so each task sends at most ``n`` rows of a group however large the group is."""
+    so each task sends at most ``n`` rows of a group however large the group is; where ``n`` itself is large, use ``numbered``."""
     window = Window.partitionBy(*keys).orderBy(*order)
     ranked = df.withColumn("_rank", F.row_number().over(window))
     return ranked.where(F.col("_rank") <= n).drop("_rank")

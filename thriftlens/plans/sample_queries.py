@@ -186,42 +186,58 @@ def hits(m: Market):
     return m.items(*HIT, only=LIVE)
 
 
-def floor(rows) -> int:
-    """Listings that make a brand a big one: a twenty-fifth of the market, as there are 25 brands."""
-    return rows.count() // 25
+# Live listings that make a product line a big one.
+FLOOR = 18
+
+
+def lines(m: Market):
+    """Live listings with the product as the brand: some products are big, many are a tail, at any size of the tables."""
+    rows = m.items(*HIT, "product_id", only=LIVE)
+    return rows.withColumn("brand", F.concat(F.lit("P"), F.col("product_id").cast("string"))).drop("product_id")
 
 
 HITS = f"hits AS (SELECT *, {BAND} AS price_band FROM items WHERE outcome IS NULL)"
+LINES = f"""hits AS (SELECT * REPLACE (concat('P', cast(product_id AS varchar)) AS brand), {BAND} AS price_band FROM items WHERE outcome IS NULL),
+    big AS (SELECT brand FROM hits GROUP BY 1 HAVING count(*) >= {FLOOR})"""
 
 
-@query("stratum_a", "items", f"""WITH {HITS},
-    big AS (SELECT brand FROM hits GROUP BY 1 HAVING count(*) >= (SELECT count(*) // 25 FROM hits)),
+@query("stratum_a", "items", f"""WITH {LINES},
     p AS (SELECT *, count(*) OVER (PARTITION BY brand, price_band) AS population,
       row_number() OVER (PARTITION BY brand, price_band ORDER BY md5(concat('A:', item_id)), item_id) AS k FROM hits WHERE brand IN (FROM big))
-    SELECT item_id, brand, price_band, {r6("population / least(population, 140)")} AS sample_weight, 'A' AS stratum FROM p WHERE k <= 140""")
+    SELECT item_id, brand, price_band, {r6("population / least(population, 5)")} AS sample_weight, 'A' AS stratum FROM p WHERE k <= 5""")
 def stratum_a(m: Market):
-    rows = hits(m)
-    taken = sampling.stratum_a(rows, floor(rows), edges=BAND_EDGES)
+    taken = sampling.stratum_a(lines(m), FLOOR, 25, BAND_EDGES)
     return rounded(taken.select("item_id", "brand", "price_band", "sample_weight", "stratum"))
 
 
 TAIL = [9000, 20000, 40000, 60000, 80000, 95000]
-CELL = f"CASE WHEN price_ore < {TAIL[0] * 100} THEN NULL " + " ".join(
+CELL = f"CASE WHEN price_ore < {TAIL[0] * 100} THEN -1 " + " ".join(
     f"WHEN price_ore < {e * 100} THEN {i}" for i, e in enumerate(TAIL[1:])
 ) + f" ELSE {len(TAIL) - 1} END"
 
 
-@query("stratum_b", "items", f"""WITH {HITS},
-    big AS (SELECT brand FROM hits GROUP BY 1 HAVING count(*) >= (SELECT count(*) // 25 FROM hits)),
-    c AS (SELECT *, {CELL} AS cell FROM hits),
-    p AS (SELECT *, count(*) OVER (PARTITION BY cell, category) AS population,
-      row_number() OVER (PARTITION BY cell, category ORDER BY md5(concat('B:', item_id)), item_id) AS k FROM c WHERE cell IS NOT NULL)
-    SELECT item_id, brand, category, {r6("population / least(population, 400)")} AS sample_weight, 'B' AS stratum
-    FROM p WHERE k <= 400 AND brand NOT IN (FROM big) ORDER BY md5(concat('B:', item_id)), item_id LIMIT 100000""")
+TAIL_SQL = f"""{LINES},
+    c AS (SELECT *, {CELL} AS cell FROM hits WHERE brand NOT IN (FROM big)),
+    p AS (SELECT *, count(*) OVER (PARTITION BY cell, category) AS population, greatest(1, cast(floor(
+        count(*) OVER (PARTITION BY cell, category) * 2000 / (SELECT count(*) FROM c)) AS bigint)) AS quota,
+      row_number() OVER (PARTITION BY cell, category ORDER BY md5(concat('B:', item_id)), item_id) AS k FROM c)"""
+
+
+def tail_sample(m: Market):
+    rows = lines(m)
+    return sampling.stratum_b(rows, sampling.big_brands(rows, FLOOR), 2000, TAIL)
+
+
+@query("stratum_b", "items", f"""WITH {TAIL_SQL}
+    SELECT item_id, brand, category, {r6("population / least(population, quota)")} AS sample_weight, 'B' AS stratum FROM p WHERE k <= quota""")
 def stratum_b(m: Market):
-    rows = hits(m)
-    taken = sampling.stratum_b(rows, sampling.big_brands(rows, floor(rows)), 100000, 400, TAIL)
-    return rounded(taken.select("item_id", "brand", "category", "sample_weight", "stratum"))
+    return rounded(tail_sample(m).select("item_id", "brand", "category", "sample_weight", "stratum"))
+
+
+@query("stratum_b_weights", "items", f"""WITH {TAIL_SQL} SELECT category, {r6("count(*)::double")} AS weight FROM c GROUP BY 1""")
+def stratum_b_weights(m: Market):
+    """The weights of the sample sum to the tail population, category by category."""
+    return rounded(tail_sample(m).groupBy("category").agg(F.sum("sample_weight").alias("weight")))
 
 
 @query("stratum_n", "items", f"""WITH {HITS},
@@ -264,11 +280,14 @@ def census_shortfall(m: Market):
 
 
 @query("cell_census", "items", f"""
-    WITH c AS (SELECT cast(a AS int) AS cell, category FROM range({len(TAIL)}) r(a), (VALUES ('gear'), ('ring'), ('unknown')) v(category)),
+    WITH v AS (SELECT split_part(p_name, ' ', 2) AS category FROM part UNION SELECT 'unknown'),
+    c AS (SELECT cast(a AS int) AS cell, category FROM range({len(TAIL)}) r(a), v),
     n AS (SELECT {CELL} AS cell, category, count(*) AS n FROM items WHERE outcome IS NULL GROUP BY 1, 2)
     SELECT cell, category, coalesce(n, 0) AS n FROM c LEFT JOIN n USING (cell, category)""")
 def cell_census(m: Market):
-    return sampling.cell_census(m.items("category", "price_ore", only=LIVE), ["gear", "ring", "unknown"], TAIL)
+    named = m.table("part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("category"))
+    every = named.union(m.spark.sql("SELECT 'unknown'")).distinct()
+    return sampling.cell_census(m.items("category", "price_ore", only=LIVE), every, TAIL)
 
 
 # --- dictionaries and documents -----------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thriftlens.plans.binding import Market
@@ -16,11 +16,20 @@ from thriftlens.streaming import streams
 CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 1 DAY"
 
 
+PARTS = 4
+
+
 def sightings(m: Market) -> DataFrame:
-    """The events as a stream of sightings of listings."""
-    schema = m.table("events").schema
-    rows = m.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(m.dir)
-    return rows.select(
+    """The events as a stream of sightings of listings: landed in ``PARTS`` files by time, a micro-batch each."""
+    rows = m.table("events")
+    folder = f"{_folder(m)}/landed"
+    place = F.percent_rank().over(Window.orderBy("day"))
+    days = rows.select(F.to_date("ts").alias("day")).distinct().withColumn("part", F.least(F.floor(place * PARTS), F.lit(PARTS - 1)))
+    for part in range(PARTS):
+        mine = rows.withColumn("day", F.to_date("ts")).join(days.where(F.col("part") == part), "day", "left_semi")
+        mine.drop("day").coalesce(1).write.parquet(f"{folder}/part={part}")
+    stream = m.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
+    return stream.select(
         F.col("user_id").cast("string").alias("item_id"),
         F.col("event_id").alias("offer_id"),
         F.col("ts").cast("timestamp").alias("created_at"),
@@ -38,20 +47,15 @@ def _table(m: Market, stream: DataFrame) -> DataFrame:
     return streams.to_table(stream, f"{folder}/out", f"{folder}/checkpoint")
 
 
-def _each_batch(stream: DataFrame, make, folder: str) -> None:
-    streams.run_available(stream.writeStream.foreachBatch(make(stream, f"{folder}/out")), f"{folder}/checkpoint")
-
-
 @query("stream_price_steps", None, """
     WITH e AS (SELECT *, cast(floor(round(value * 100) / 2000) * 2000 AS bigint) AS price_ore FROM events)
     SELECT item_id, offer_id, price_ore FROM (SELECT cast(user_id AS varchar) AS item_id, event_id AS offer_id, price_ore,
       lag(price_ore) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM e) WHERE p IS NULL OR p <> price_ore""")
 def stream_price_steps(m: Market):
     """Steps of a price that moves on a grid of 20 kronor, so that many sightings repeat it."""
-    folder = _folder(m)
     grid = (F.floor(F.col("price_ore") / 2000) * 2000).cast("long")
-    _each_batch(sightings(m).withColumn("price_ore", grid), streams.price_steps, folder)
-    return m.spark.read.parquet(f"{folder}/out/steps").select("item_id", "offer_id", "price_ore")
+    steps = streams.price_steps(sightings(m).withColumn("price_ore", grid))
+    return _table(m, steps).select("item_id", "offer_id", "price_ore")
 
 
 @query("stream_dedupe", None, """
@@ -63,11 +67,16 @@ def stream_dedupe(m: Market):
 
 
 @query("stream_inflow", None, f"""
-    WITH w AS (SELECT cast(ts AS date) - cast(k AS int) AS d, event_type FROM events, range(7) r(k))
+    WITH f AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, cast(ts AS date) ORDER BY ts, event_id) = 1),
+    w AS (SELECT cast(ts AS date) - cast(k AS int) AS d, event_type FROM f, range(7) r(k))
     SELECT cast(d AS timestamp) AS "from", cast(d + 7 AS timestamp) AS "to", event_type AS brand, count(*) AS inflow FROM w
-    WHERE cast(d + 7 AS timestamp) <= {CLOSED} GROUP BY ALL""")
+    WHERE cast(d + 7 AS timestamp) <= (SELECT max(ts) FROM f) - INTERVAL 1 DAY GROUP BY ALL""")
 def stream_inflow(m: Market):
-    out = _table(m, streams.inflow_stream(sightings(m)))
+    """A listing is what a user offers in a day: it is seen some times and is new once."""
+    listing = lambda user, at: F.concat_ws("-", F.col(user).cast("string"), F.to_date(at).cast("string")).alias("item_id")
+    first = m.table("events").groupBy(listing("user_id", "ts")).agg(F.min("ts").cast("timestamp").alias("first_offered"))
+    seen = sightings(m).withColumn("item_id", listing("item_id", "created_at"))
+    out = _table(m, streams.inflow_stream(seen.join(first, "item_id")))
     return out.select(F.col("from").cast("timestamp_ntz").alias("from"), F.col("to").cast("timestamp_ntz").alias("to"), "brand", "inflow")
 
 
@@ -109,6 +118,7 @@ def stream_vanished(m: Market):
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
 def stream_listing_state(m: Market):
     folder = _folder(m)
-    _each_batch(sightings(m), streams.listing_state, folder)
-    log = streams.KeyedLog(m.spark, f"{folder}/out", ["item_id"], ["created_at", "offer_id"])
-    return log.current().select("item_id", "offer_id", "brand")
+    state = streams.listing_state(sightings(m), "brand")
+    writer = state.writeStream.outputMode("update").foreachBatch(streams.write_epochs(f"{folder}/out"))
+    streams.run_available(writer, f"{folder}/checkpoint")
+    return streams.latest_of_epochs(m.spark.read.parquet(f"{folder}/out")).select("item_id", "offer_id", "brand")

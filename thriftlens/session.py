@@ -14,8 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A hot join key is split even where that costs one more shuffle afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # A per-group row limit is applied before the shuffle up to this size.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
+    # A per-group row limit is applied before the shuffle, whatever its size.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "2147483647",
 }
 
 

@@ -1,55 +1,21 @@
 """Structured Streaming forms of the dated passes.
 
 Streams of sightings carry ``item_id``, ``created_at`` (event time), ``offer_id``, ``price_ore`` and
-what an operator names besides. Built-in stateful operators do the work where they can; the two
-that keep a value per listing keep it in an epoch-keyed log, so a replayed micro-batch overwrites
-its own folder and nothing else.
+what an operator names besides. Spark keeps all state: its aggregates, windows and de-duplication where they can say it, and its
+state per key for the last price of a listing. A replayed micro-batch overwrites its own folder and nothing else.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from thriftlens.operators.spread import pick_first, with_neighbours
-
-# Every so many epochs a keyed log holds the whole state, so a read never goes back further.
-COMPACT_EVERY = 20
-
-
-class KeyedLog:
-    """Latest row per key of a stream: each epoch writes its own changes, and every
-    ``COMPACT_EVERY``-th epoch the whole state."""
-
-    def __init__(self, spark: SparkSession, path: str, key: Sequence[str], order: Sequence[str]):
-        self.spark, self.path, self.key, self.order = spark, path.rstrip("/"), list(key), list(order)
-
-    def _latest(self, rows: DataFrame) -> DataFrame:
-        return pick_first(rows, self.key, [F.col(c).desc() for c in self.order])
-
-    def before(self, epoch: int) -> DataFrame | None:
-        """State of all epochs before this one."""
-        if epoch <= 0:
-            return None
-        start = (epoch - 1) // COMPACT_EVERY * COMPACT_EVERY
-        paths = [f"{self.path}/epoch={e}" for e in range(start, epoch)]
-        return self._latest(self.spark.read.parquet(*paths))
-
-    def append(self, changes: DataFrame, epoch: int) -> None:
-        rows = self._latest(changes)
-        if epoch % COMPACT_EVERY == 0 and epoch > 0:
-            rows = self._latest(self.before(epoch).unionByName(rows))
-        rows.write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
-
-    def current(self) -> DataFrame:
-        """The state after the last epoch written."""
-        rows = self.spark.read.parquet(self.path)
-        last = rows.select("epoch").distinct().agg(F.max("epoch").alias("e")).first()["e"]
-        newest = rows.where(F.col("epoch") >= last // COMPACT_EVERY * COMPACT_EVERY)
-        return self._latest(newest).drop("epoch")
+from thriftlens.operators.selecting import latest_by_key
 
 
 def run_available(query_writer, checkpoint: str) -> StreamingQuery:
@@ -67,42 +33,56 @@ def to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def price_steps(stream: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """Micro-batch function that writes a row only where the price differs from the listing's last.
-
-    Inside a batch the neighbouring rows decide; the first row of a listing is compared with the
-    state left by earlier batches. A row not newer than that state is late and is dropped.
-    """
-    spark = stream.sparkSession
-    log = KeyedLog(spark, f"{path}/state", ["item_id"], ["created_at", "offer_id"])
-
-    def apply(batch: DataFrame, epoch: int) -> None:
-        rows = batch.select("item_id", "created_at", "offer_id", "price_ore").persist()
-        before = log.before(epoch)
-        if before is None:
-            known = rows.withColumn("_last", F.lit(None).cast("long"))
-        else:
-            state = before.select(
-                "item_id", F.col("price_ore").alias("_last"), F.struct("created_at", "offer_id").alias("_at")
-            )
-            known = rows.join(state, "item_id", "left")
-            known = known.where(F.col("_at").isNull() | (F.struct("created_at", "offer_id") > F.col("_at")))
-            known = known.drop("_at")
-        order = ["created_at", "offer_id"]
-        steps = with_neighbours(known, ["item_id"], order, F.date_trunc("hour", "created_at"), ["price_ore"])
-        previous = F.coalesce(F.col("prev.price_ore"), F.col("_last"))
-        moved = steps.where(~F.col("price_ore").eqNullSafe(previous)).select(*rows.columns)
-        moved.write.mode("overwrite").parquet(f"{path}/steps/epoch={epoch}")
-        log.append(known.select(*rows.columns), epoch)
-        rows.unpersist()
-
-    return apply
-
-
-def listing_state(stream: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """Micro-batch function that keeps the latest row of every listing under ``path``."""
-    log = KeyedLog(stream.sparkSession, path, ["item_id"], ["created_at", "offer_id"])
-    return log.append
+STEP = "item_id string, created_at timestamp, offer_id long, price_ore long"
+LAST = "created_at timestamp, offer_id long, price_ore long"
+
+
+def _moves(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The rows of one listing at which its price differs from the one before; ``state`` is the newest row so far."""
+    rows = pd.concat(list(batches)).sort_values(["created_at", "offer_id"], kind="stable")
+    last = state.get if state.exists else None
+    if last is not None:  # rows not newer than the state are late
+        at = pd.Timestamp(last[0])
+        newer = (rows.created_at > at) | ((rows.created_at == at) & (rows.offer_id > last[1]))
+        rows = rows[newer]
+    if not len(rows):
+        return
+    before = rows.price_ore.shift(1)
+    if last is not None:
+        before.iloc[0] = last[2]
+    newest = rows.iloc[-1]
+    state.update((newest.created_at.to_pydatetime(), int(newest.offer_id), int(newest.price_ore)))
+    yield rows[rows.price_ore != before][["item_id", "created_at", "offer_id", "price_ore"]]
+
+
+def price_steps(stream: DataFrame) -> DataFrame:
+    """A row only where the price of a listing differs from its last: change-only steps of rows with a price.
+
+    Spark's state holds one row per listing. A listing's rows of one micro-batch meet in one task, so the trigger's limit on
+    files or bytes bounds them; a row not newer than the state is late and is dropped."""
+    rows = stream.select("item_id", "created_at", "offer_id", "price_ore").where("price_ore is not null")
+    return rows.groupBy("item_id").applyInPandasWithState(_moves, STEP, LAST, "append", GroupStateTimeout.NoTimeout)
+
+
+def listing_state(stream: DataFrame, *columns: str) -> DataFrame:
+    """The newest row of every listing, as an aggregate: run it in update mode with ``write_epochs``."""
+    order = F.struct("created_at", "offer_id")
+    carried = F.struct("created_at", "offer_id", *[c for c in columns if c not in ("created_at", "offer_id")])
+    return stream.groupBy("item_id").agg(F.max_by(carried, order).alias("r")).select("item_id", "r.*")
+
+
+def write_epochs(path: str) -> Callable[[DataFrame, int], None]:
+    """Micro-batch function that writes what a batch changed under its epoch."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return write
+
+
+def latest_of_epochs(written: DataFrame, key: str = "item_id") -> DataFrame:
+    """The newest row per key of what ``write_epochs`` wrote."""
+    return latest_by_key(written, [key], ["epoch"]).drop("epoch")
 
 
 def dedupe_stream(stream: DataFrame, key: str, delay: str, time: str = "created_at") -> DataFrame:
@@ -110,10 +90,13 @@ def dedupe_stream(stream: DataFrame, key: str, delay: str, time: str = "created_
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def inflow_stream(stream: DataFrame, key: str = "brand", delay: str = "1 day", time: str = "created_at") -> DataFrame:
-    """New listings of the last seven days per key, every day. Rows behind the watermark are late."""
+def inflow_stream(stream: DataFrame, key: str = "brand", delay: str = "1 day", time: str = "created_at", item: str = "item_id") -> DataFrame:
+    """New listings of the last seven days per key, every day. A listing is new at its first offer (``first_offered``): later sightings
+    do not count, and repeated ones of that moment count once. Rows behind the watermark are late."""
+    new = stream.where(F.col(time) == F.col("first_offered"))
     return (
-        stream.withWatermark(time, delay)
+        new.withWatermark(time, delay)
+        .dropDuplicatesWithinWatermark([item])
         .groupBy(F.window(time, "7 days", "1 day"), key)
         .agg(F.count(F.lit(1)).alias("inflow"))
         .select(F.col("window.start").alias("from"), F.col("window.end").alias("to"), key, "inflow")
