@@ -26,6 +26,8 @@ def listing_features(as_of: Column, band_edges=s.PRICE_BAND_EDGES_ORE) -> dict[s
         "price_band": s.price_band(F.col("price_ore"), band_edges).cast("string"),
         "brand": F.col("brand"),
         "brand_tier": F.col("brand_tier").cast("string"),
+        "brand_origin": F.col("brand_origin"),
+        "brand_ethos": F.col("brand_ethos"),
         "item_type": F.col("item_type"),
         "category": F.col("category"),
         "size": F.col("size_code"),

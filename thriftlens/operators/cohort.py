@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
 from thriftlens.operators.filters import STRATUM_QUOTA, stratum_predicates
-from thriftlens.operators.ladders import ladder_summary
+from thriftlens.operators.ladders import ladder_summary, nested_ladder
 from thriftlens.operators.selecting import assign_strata
 
 
@@ -34,18 +34,19 @@ def unresolved(cohort: DataFrame, checks: DataFrame, terminal: Sequence[str] = t
 
 def cohort_check(cohort: DataFrame, checks: DataFrame, observed: DataFrame, offers: DataFrame, status: DataFrame, today: Column) -> DataFrame:
     """One check: open items still seen are listed; for the rest the status decides and the ladder
-    is summed up. An item whose status is not known at all is recorded as ``error``."""
-    open_items = unresolved(cohort, checks).select("item_id")
+    is summed up and kept whole, as it can be read only then. The stratum goes with the check. An item whose status is not
+    known at all is recorded as ``error``."""
+    open_items = unresolved(cohort, checks).select("item_id", "stratum")
     present = open_items.join(observed.select("item_id"), "item_id", "left_semi")
     vanished = open_items.join(observed.select("item_id"), "item_id", "left_anti")
-    listed = present.select("item_id", F.lit("still_listed").alias("outcome"))
+    listed = present.select("item_id", "stratum", F.lit("still_listed").alias("outcome"))
     outcome = F.when(F.col("_known"), s.outcome_of(F.col("status"))).otherwise("error")
     verdicts = (
         vanished.join(status.select("item_id", "status", F.lit(True).alias("_known")), "item_id", "left")
-        .select("item_id", "status", F.coalesce(outcome, F.lit("error")).alias("outcome"))
+        .select("item_id", "stratum", "status", F.coalesce(outcome, F.lit("error")).alias("outcome"))
     )
     mine = offers.join(verdicts.where(F.col("outcome") != "error"), "item_id", "left_semi")
-    resolved = verdicts.join(ladder_summary(mine), "item_id", "left")
+    resolved = verdicts.join(ladder_summary(mine), "item_id", "left").join(nested_ladder(mine), "item_id", "left")
     return resolved.unionByName(listed, allowMissingColumns=True).withColumn("checked_on", today)
 
 

@@ -82,13 +82,20 @@ def outcome_slice(ladders: DataFrame, dim: str, min_n: int = 30) -> DataFrame:
     return with_quantiles(summary, rows, ["value"], measures)
 
 
+def facet_values(pool: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(facet, value, n): every value of every filter column with its rows, a row each. The table to read where a column has
+    many values; counts combine before the shuffle."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns])
+    values = pool.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("value").isNotNull())
+    return values.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def facet_document(pool: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The distinct values of every filter column as one JSON row. Values are made distinct by a
-    shuffle first, so the one row collects dictionary entries and not pool rows."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])
-    values = pool.select(F.explode(pairs).alias("p")).select("p.c", "p.v").distinct()
-    lists = [F.array_sort(F.collect_set(F.when(F.col("c") == c, F.col("v")))).alias(c) for c in columns]
-    return values.agg(*lists).select(F.to_json(F.struct(*columns)).alias("facets"))
+    """The values of every filter column as one JSON row, for columns with a dictionary: each column's list is made in a task of its
+    own, and the document is put together from one row per column."""
+    lists = facet_values(pool, columns).groupBy("facet").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    each = [F.coalesce(F.max(F.when(F.col("facet") == c, F.col("values"))), F.array().cast("array<string>")).alias(c) for c in columns]
+    return lists.agg(*each).select(F.to_json(F.struct(*columns)).alias("facets"))
 
 
 def score_band(score: Column) -> Column:

@@ -34,6 +34,10 @@ ITEM_COLUMNS = {
     "product_id": ("l_partkey", ""),
     "brand": ("p_brand", "p"),
     "brand_tier": (f"{BRAND_NO} % 6 + 1", "p"),
+    "brand_origin": (
+        f"case {BRAND_NO} % 5 when 0 then 'Northern' when 1 then 'Southern' when 2 then 'Eastern' when 3 then 'Western' end", "p",
+    ),
+    "brand_ethos": (f"case when {BRAND_NO} % 10 >= 7 then 'slow' when {BRAND_NO} % 10 >= 3 then 'fast' else 'heritage' end", "p"),
     "item_type": ("p_type", "p"),
     "category": ("split_part(p_name, ' ', 2)", "p"),
     "colour": ("split_part(p_name, ' ', 1)", "p"),
@@ -70,7 +74,7 @@ ITEM_COLUMNS = {
     "resolved_on": (f"case when {LIVE} then null else {ENDED} end", "o"),
     "dwell_days": ("cast(l_partkey % 60 as int)", ""),
     "is_reserved": ("l_linenumber = 7", ""),
-    "last_chance": ("l_linenumber = 0", ""),
+    "last_chance": ("l_linenumber = 6 and l_quantity >= 40", ""),
     "p2p": ("l_suppkey % 10 = 0", ""),
     "has_defect": ("l_tax >= 0.07", ""),
     "stratum": (
@@ -233,6 +237,14 @@ def checked(view: str, body: str) -> str:
     return f"WITH {ctes} {body}"
 
 
+def crc32_sql(text: str) -> str:
+    """The checksum of an ASCII string, bit by bit, in the checking engine's SQL."""
+    bits = "[xor(c, b) & 255, 0, 0, 0, 0, 0, 0, 0, 0]"
+    byte = f"list_reduce({bits}, lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda c, b: xor(c >> 8, {byte})), 4294967295)"
+
+
 def r6(expr: str) -> str:
     """Six places; adding zero turns a negative zero into zero."""
     return f"(round({expr}, 6) + 0.0)"

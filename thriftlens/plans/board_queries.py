@@ -35,6 +35,8 @@ FEATURES = {
     "price_band": f"cast({BAND} AS varchar)",
     "brand": "brand",
     "brand_tier": "cast(brand_tier AS varchar)",
+    "brand_origin": "brand_origin",
+    "brand_ethos": "brand_ethos",
     "item_type": "item_type",
     "category": "category",
     "size": "size_code",
@@ -46,7 +48,7 @@ FEATURES = {
     "has_defect": "cast(has_defect AS varchar)",
 }
 BOARD_COLUMNS = (
-    "favourites", "first_offered", "weight_g", "price_ore", "brand", "brand_tier", "item_type",
+    "favourites", "first_offered", "weight_g", "price_ore", "brand", "brand_tier", "brand_origin", "brand_ethos", "item_type",
     "category", "size_code", "condition", "season", "is_reserved", "last_chance", "p2p",
     "has_defect", "outcome", "stratum",
 )
@@ -281,6 +283,14 @@ def facet_document(m: Market):
     return slices.facet_document(m.shelf("brand", "category", "size_code"), ["brand", "category", "size_code"])
 
 
+@query("facet_values", "items", """
+    SELECT 'product_id' AS facet, cast(product_id AS varchar) AS value, count(*) AS n FROM items GROUP BY 2
+    UNION ALL SELECT 'size_code', size_code, count(*) FROM items GROUP BY 2""")
+def facet_values(m: Market):
+    """A column with a dictionary and one with a value for every product."""
+    return slices.facet_values(m.items("product_id", "size_code"), ["product_id", "size_code"])
+
+
 @query("sellability_check", "ladders", f"""
     SELECT score_version, CASE WHEN score < 0.4 THEN '0.00-0.40' WHEN score < 0.6 THEN '0.40-0.60' WHEN score < 0.8
       THEN '0.60-0.80' ELSE '0.80+' END AS score_band, count(*) AS n, {r6("count(*) FILTER (sold) / count(*)")} AS sold_rate
@@ -317,13 +327,30 @@ def predictor_board_peers(m: Market):
 
 
 @query("snapshot_rewritten", None, """
-    SELECT event_type AS brand, cast(ts AS date) AS as_of, count(*) AS n FROM events WHERE cast(ts AS date) < DATE '2024-01-04' GROUP BY 1, 2""")
+    SELECT event_type AS brand, cast(ts AS date) AS as_of, count(*) AS n FROM events GROUP BY 1, 2""")
 def snapshot_rewritten(m: Market):
-    """Three days written as snapshots, the middle one twice: every day holds its own rows once."""
+    """All days written as snapshots, every third one twice: every day holds its own rows once."""
+    path = f"{shared_dir(m.spark)}/snapshot-{uuid.uuid4().hex}"
+    daily = m.table("events").groupBy(F.col("event_type").alias("brand"), F.to_date("ts").alias("as_of")).agg(F.count(F.lit(1)).alias("n"))
+    daily = cut_lineage(daily)
+    days = sorted(str(r["as_of"]) for r in daily.select("as_of").distinct().collect())
+    for day in [*days, *days[::3]]:
+        write_snapshot(daily.where(F.col("as_of") == day), path, day)
+    return m.spark.read.parquet(path).select("brand", "as_of", "n")
+
+
+@query("snapshot_emptied", None, """
+    SELECT event_type AS brand, cast(ts AS date) AS as_of, count(*) AS n FROM events
+    WHERE cast(ts AS date) <> (SELECT min(cast(ts AS date)) FROM events) GROUP BY 1, 2""")
+def snapshot_emptied(m: Market):
+    """The first and the last day written, and the first again when it has no rows: its old ones go."""
     path = f"{shared_dir(m.spark)}/snapshot-{uuid.uuid4().hex}"
     daily = m.table("events").groupBy(F.col("event_type").alias("brand"), F.to_date("ts").alias("as_of")).agg(F.count(F.lit(1)).alias("n"))
-    for day in ("2024-01-01", "2024-01-02", "2024-01-03", "2024-01-02"):
+    daily = cut_lineage(daily)
+    days = sorted(str(r["as_of"]) for r in daily.select("as_of").distinct().collect())
+    for day in days:
         write_snapshot(daily.where(F.col("as_of") == day), path, day)
+    write_snapshot(daily.limit(0), path, days[0])
     return m.spark.read.parquet(path).select("brand", "as_of", "n")
 
 

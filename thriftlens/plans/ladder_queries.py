@@ -310,7 +310,7 @@ def top_brands(m: Market):
 
 
 @query("concentration", "items", f"""
-    WITH c AS (SELECT brand, category, count(*) AS n FROM items WHERE p2p GROUP BY 1, 2),
+    WITH c AS (SELECT brand, category, count(*) AS n FROM items GROUP BY 1, 2),
     k AS (SELECT concat(brand, ' ', category) AS kind, n FROM c)
     SELECT count(*) AS keys, cast(sum(n) AS bigint) AS rows, count(*) FILTER (n >= 30) AS with_min,
       count(*) FILTER (n = 1) AS singletons,
@@ -318,7 +318,7 @@ def top_brands(m: Market):
       {r6("(SELECT sum(n) FROM (SELECT n FROM k ORDER BY n DESC, kind LIMIT 20)) / sum(n)")} AS top_share
     FROM k""")
 def concentration(m: Market):
-    rows = m.items("brand", "category", "p2p").where("p2p")
+    rows = m.items("brand", "category")
     kinds = rows.withColumn("kind", F.concat_ws(" ", "brand", "category"))
     return rounded(stats.concentration(kinds, "kind", top=20, min_n=30))
 

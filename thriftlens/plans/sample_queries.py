@@ -11,7 +11,7 @@ from thriftlens import schemas
 from thriftlens.functions import masks
 from thriftlens.functions import scalars as s
 from thriftlens.operators import filters, sampling, selecting
-from thriftlens.plans.binding import AS_OF, BAND_EDGES, Market, r6
+from thriftlens.plans.binding import AS_OF, BAND_EDGES, Market, r6, crc32_sql
 from thriftlens.plans.jobs import load_local
 from thriftlens.plans.registry import query, rounded
 from thriftlens.plans.scalar_queries import BAND
@@ -167,10 +167,21 @@ def pool_page(m: Market):
     SELECT cast(b AS int) AS bucket, cast(max(ts) AS date) AS swept_on FROM range(24) r(b)
     LEFT JOIN events ON user_id % 20 = b GROUP BY 1 ORDER BY swept_on ASC NULLS FIRST, bucket LIMIT 1""")
 def next_bucket(m: Market):
+    """Four buckets were never swept; the first of them is next."""
     pool = m.table("events").select((F.col("user_id") % 20).cast("int").alias("bucket"), F.to_date("ts").alias("swept_on"))
     return selecting.next_bucket(m.spark, pool)
 
 
+@query("oldest_bucket", None, """
+    WITH p AS (SELECT CAST(user_id % 24 AS int) AS bucket, cast(ts AS date) - cast(user_id % 24 * 7 % 11 AS int) AS swept_on FROM events)
+    SELECT bucket, max(swept_on) AS swept_on FROM p GROUP BY 1 ORDER BY swept_on, bucket LIMIT 1""")
+def oldest_bucket(m: Market):
+    """Every bucket was swept, on different days; the one swept longest ago is next."""
+    bucket = (F.col("user_id") % 24).cast("int")
+    pool = m.table("events").select(bucket.alias("bucket"), F.date_sub(F.to_date("ts"), bucket * 7 % 11).alias("swept_on"))
+    return selecting.next_bucket(m.spark, pool)
+
+
 @query("seeded_sample", "items", """
     SELECT item_id FROM items ORDER BY md5(concat('20260804:', item_id)), item_id LIMIT 500""")
 def seeded_sample(m: Market):
@@ -421,11 +432,12 @@ def listing_rows(m: Market):
 
 
 @query("staging_rows", "items", """
-    SELECT item_id, brand, price_ore, p2p, [concat(item_id, '.jpg')] AS image_paths FROM items""")
+    SELECT item_id, brand, price_ore, p2p, [concat(item_id, '.jpg')] AS image_paths, bucket FROM items
+    JOIN (SELECT brand, cast(""" + crc32_sql("brand") + """ % 24 AS int) AS bucket FROM (SELECT DISTINCT brand FROM items)) USING (brand)""")
 def staging_rows(m: Market):
-    """The staging projection; its bucket is a hash the checking engine lacks and is left out."""
+    """The staging projection with the rotation bucket."""
     staged = documents.staging_rows(documents.flat_listings(listing_documents(m)), ["https://img.example.net/"])
-    return staged.select("item_id", "brand", "price_ore", "p2p", "image_paths")
+    return staged.select("item_id", "brand", "price_ore", "p2p", "image_paths", "bucket")
 
 
 @query("cohort_documents", "items", f"""

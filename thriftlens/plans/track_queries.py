@@ -12,7 +12,7 @@ from thriftlens.functions import scalars as s
 from thriftlens.operators import brands, filters, guards, pool, sampling, track
 from thriftlens.operators.cohort import refresh_sellability
 from thriftlens.operators.season import season_history as build_season_history
-from thriftlens.plans.binding import AS_OF, BAND_EDGES, Market, r6
+from thriftlens.plans.binding import AS_OF, BAND_EDGES, Market, r6, crc32_sql
 from thriftlens.plans.board_queries import ATTENTION
 from thriftlens.plans.ladder_queries import SUMMARY, ladder_items
 from thriftlens.plans.peer_queries import MIN_GROUP, PLACED, SHELF, cascade
@@ -239,11 +239,11 @@ def repaired_attributes(m: Market):
 
 # --- pool ---------------------------------------------------------------------------------------
 
-BUCKET_SQL = "('0x' || substr(md5(brand), 1, 4))::int % 4"
+BUCKET_SQL = f"cast({crc32_sql('brand')} % 4 AS int)"
 
 
 def bucket():
-    return (F.conv(F.substring(F.md5("brand"), 1, 4), 16, 10).cast("int") % 4).cast("int")
+    return s.bucket_of(F.col("brand"), 4)
 
 
 POOL = f"""

@@ -234,7 +234,7 @@ def cohort_summary(m: Market):
       CASE WHEN known THEN resolved_on END AS ended_on,
       CASE WHEN known THEN round_even(1 - price_ore / nullif(first_price_ore, 0), 3) + 0.0 END AS decay,
       CASE WHEN known THEN cast(date_diff('day', first_offered, resolved_on) AS int) END AS days_on_market,
-      DATE '{AS_OF}' AS checked_on FROM x""")
+      CASE WHEN known THEN [first_price_ore, price_ore] END AS ladder_prices, s AS stratum, DATE '{AS_OF}' AS checked_on FROM x""")
 def cohort_check(m: Market):
     """The open cohort items are looked up: gone ones by their status, which reserved ones lack."""
     rows = wide_cohort(m)
@@ -249,7 +249,7 @@ def cohort_check(m: Market):
     )
     offers = rows.where(gone).select("item_id", step.alias("o")).select("item_id", "o.*")
     checked = cohort.cohort_check(rows, first_checks(m, rows), observed, offers, status, F.lit(AS_OF).cast("date"))
-    return rounded(checked)
+    return rounded(checked.withColumn("ladder_prices", F.col("ladder.price_ore")).drop("ladder"))
 
 
 @query("resale_outcomes", "resales", f"""WITH {CHECKS}, {ALL_LADDERS}, {BOUGHT}
