@@ -4,16 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thriftlens import schemas
 from thriftlens.functions import scalars as s
-from thriftlens.operators import board, brands, filters, peers
-from thriftlens.operators.selecting import first_by_key, latest_by_key
+from thriftlens.operators import board, brands, filters, guards, peers, track
+from thriftlens.operators.cohort import cohort_check
+from thriftlens.operators.pool import refresh_bucket, refresh_pool
+from thriftlens.operators.selecting import first_by_key, latest_by_key, next_bucket
+from thriftlens.operators.track import once
 from thriftlens.session import cut_lineage
 from thriftlens.sources.io import pick, read_jsonl
-from thriftlens.sources.tables import upsert, write_snapshot
+from thriftlens.sources.tables import (
+    PART,
+    part_of,
+    read_version,
+    replace_parts,
+    upsert,
+    write_partitioned,
+    write_snapshot,
+    write_version,
+)
 
 # Column with the place of a line among the files, while they are loaded.
 AT = "_at"
@@ -37,11 +50,130 @@ def run_steps(steps: Sequence[tuple[str, str, Callable[[], None]]]) -> list[tupl
     return report
 
 
-def analytics_pass(items: DataFrame, previous_peers: DataFrame, out: str, as_of: str, min_group: int = 8, min_bucket: int = 200, min_live: int = 25, band_edges: Sequence[int] = s.PRICE_BAND_EDGES_ORE) -> list[tuple[str, str]]:
+class Refused(RuntimeError):
+    """A guard said no. Nothing was replaced."""
+
+
+def _rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that jobs append to; before the first entry it is empty."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+LEDGER = "job string, started_at date, expected long, written long, status string"
+MARKER = "run_date date, last_item_id string, items_done long"
+
+
+def ledger_of(spark: SparkSession, home: str, job: str) -> DataFrame:
+    return _rows(spark, f"{home}/ledger", LEDGER).where(F.col("job") == job)
+
+
+def _record(spark: SparkSession, home: str, *entry) -> None:
+    row = spark.createDataFrame([entry], "job string, started_at string, expected long, written long, status string")
+    row.withColumn("started_at", F.col("started_at").cast("date")).write.mode("append").parquet(f"{home}/ledger")
+
+
+def enrol(items: DataFrame, home: str, parts: int = 64) -> None:
+    """The items table of a tracked market, in partitions by a hash of the key."""
+    write_partitioned(items, f"{home}/items", ["item_id"], parts)
+
+
+def tracking_job(spark: SparkSession, home: str, observed: DataFrame, verdicts: DataFrame, day: str, parts: int = 64, chunk: int = 16, max_churn: float = 0.05) -> str:
+    """A day's pass over the items table of ``home``, with its guards inside; returns the verdict put on the ledger.
+
+    A sweep that finds nothing, or less than half of the last good one, is refused and changes nothing. Disappearances are
+    believed only if the last run was good and few items are gone; if not, the pass goes on without resolving anything. The
+    table is replaced ``chunk`` partitions at a time, with a marker after each, so an interrupted pass goes on the same day
+    where it stopped; a marker of another day is void.
+    """
+    path, today = f"{home}/items", F.lit(day).cast("date")
+    observed, verdicts = cut_lineage(once(observed)), cut_lineage(once(verdicts))
+    ledger = ledger_of(spark, home, "track")
+    tracked = filters.live(spark.read.parquet(path))
+    expected = tracked.join(observed, "item_id", "left_semi").count()
+    first = guards.run_verdict(ledger, expected).first()["verdict"]
+    if first.startswith("refused"):
+        _record(spark, home, "track", day, expected, 0, first)
+        raise Refused(first)
+    resume = track.resume_point(_rows(spark, f"{home}/marker", MARKER), today).first()
+    done = -1 if resume["resume_after"] is None else int(resume["resume_after"])
+    if done < 0:
+        may_resolve = guards.outcome_precheck(ledger, tracked, observed, max_churn).first()["may_resolve"]
+        spark.createDataFrame([(may_resolve,)], "may_resolve boolean").write.mode("overwrite").parquet(f"{home}/resolve/day={day}")
+    # An interrupted pass goes on under the answer it began with.
+    may_resolve = spark.read.parquet(f"{home}/resolve/day={day}").first()["may_resolve"]
+    answers = verdicts if may_resolve else verdicts.limit(0)
+    for start in range(done + 1, parts, chunk):
+        last = min(start + chunk, parts) - 1
+        mine = spark.read.parquet(path).where(F.col(PART).between(start, last))
+        here = part_of(["item_id"], parts).between(start, last)
+        fresh = track.track_pass(mine.drop(PART), observed.where(here), answers.where(here), today)
+        replace_parts(fresh, path, ["item_id"], parts)
+        mark = spark.createDataFrame([(day, str(last), last + 1)], "run_date string, last_item_id string, items_done long")
+        mark.withColumn("run_date", F.col("run_date").cast("date")).write.mode("append").parquet(f"{home}/marker")
+    followed = spark.read.parquet(path)
+    written = followed.where(F.col("last_seen") >= today).join(observed, "item_id", "left_semi").count()
+    verdict = guards.run_verdict(ledger, expected, written).first()["verdict"]
+    _record(spark, home, "track", day, expected, written, verdict)
+    return verdict
+
+
+def rotation_job(spark: SparkSession, home: str, market: DataFrame, day: str, buckets: int = 24, **options) -> int:
+    """Sweeps the bucket that waits longest into the pool table of ``home``; returns its number. A sweep that finds no
+    listing is refused: the old rows of the bucket stay."""
+    pool = read_version(spark, f"{home}/pool", version := _newest(spark, f"{home}/pool"))
+    bucket = next_bucket(spark, pool, buckets).first()["bucket"]
+    swept = market.withColumn("bucket", s.bucket_of(F.col("brand"), buckets)).where(F.col("bucket") == bucket)
+    if swept.isEmpty():
+        raise Refused(f"bucket {bucket}: nothing swept")
+    fresh = refresh_bucket(pool, swept, bucket, F.lit(day).cast("date"), **options)
+    write_version(fresh, f"{home}/pool", version + 1)
+    return bucket
+
+
+def refresh_job(spark: SparkSession, home: str, observed: DataFrame, day: str, max_churn: float = 0.5, hosts: Sequence[str] = ()) -> None:
+    """Today's prices, liveness and images on the pool table of ``home``. Refused if more than ``max_churn`` of the pool is not
+    seen: then the sweep is the likelier fault."""
+    pool = read_version(spark, f"{home}/pool", version := _newest(spark, f"{home}/pool"))
+    fresh = cut_lineage(refresh_pool(pool, observed, F.lit(day).cast("date"), hosts))
+    seen = fresh.agg(F.count_if("still_listed").alias("seen"), F.count(F.lit(1)).alias("n")).first()
+    if seen["n"] - seen["seen"] > max_churn * seen["n"]:
+        raise Refused(f"{seen['n'] - seen['seen']} of {seen['n']} not seen")
+    write_version(fresh, f"{home}/pool", version + 1)
+
+
+def cohort_job(spark: SparkSession, home: str, cohort: DataFrame, observed: DataFrame, offers: DataFrame, status: DataFrame, day: str) -> None:
+    """One check of the cohort: its rows go to the day's snapshot, from which later checks know what is settled."""
+    path = f"{home}/checks"
+    checks = _rows(spark, path, "item_id string, outcome string, as_of date").where(F.col("as_of") < F.lit(day).cast("date"))
+    earlier = checks.select("item_id", F.col("as_of").alias("checked_on"), "outcome")
+    found = cohort_check(cohort, earlier, observed, offers, status, F.lit(day).cast("date"))
+    write_snapshot(cut_lineage(found), path, day)
+
+
+def _newest(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(path).agg(F.max("version").alias("v")).first()["v"]
+
+
+def check_staging(marker: DataFrame, items: DataFrame, peers: DataFrame, now: Column) -> None:
+    """Refuses a shelf that is not freshly staged, and a peer table that resolved items still wait for."""
+    guard = guards.staging_guard(marker, items, peers, now).first()
+    if not guard["may_score"]:
+        raise Refused(guard["score_verdict"])
+    if not guard["may_replace"]:
+        raise Refused(f"{guard['unfrozen']} resolved items are not frozen")
+
+
+def analytics_pass(items: DataFrame, previous_peers: DataFrame, out: str, as_of: str, min_group: int = 8, min_bucket: int = 200, min_live: int = 25, band_edges: Sequence[int] = s.PRICE_BAND_EDGES_ORE, marker: DataFrame | None = None, now: Column | None = None) -> list[tuple[str, str]]:
     """Freeze, then peers, then both boards and the brand snapshot, all for one day.
 
-    Freezing comes first: it reads the peer table that the next step replaces. Every write replaces
-    its own day, so a re-run gives the same tables.
+    Freezing comes first: it reads the peer table that the next step replaces, and that step refuses while a resolved
+    item of the old table still waits to be frozen. With ``marker`` (rows of ``staged_at``) and ``now`` it also refuses a shelf that was never
+    staged, or too long ago. Every write replaces its own day, so a re-run gives the same tables.
     """
     day = F.lit(as_of).cast("date")
     state: dict[str, DataFrame] = {}
@@ -51,6 +183,11 @@ def analytics_pass(items: DataFrame, previous_peers: DataFrame, out: str, as_of:
         state["items"].write.mode("overwrite").parquet(f"{out}/items/as_of={as_of}")
 
     def score() -> None:
+        staged = marker
+        if staged is None:
+            staged = items.sparkSession.range(1).select(F.current_timestamp().alias("staged_at"))
+        at = F.current_timestamp() if now is None else now
+        check_staging(staged, state["items"], previous_peers, at)
         shelf = filters.live(filters.analysis_rows(state["items"]))
         write_snapshot(peers.peer_cascade(shelf, min_group=min_group), f"{out}/peer_prices", as_of)
 

@@ -6,17 +6,22 @@ by a tenth, much-liked ones gain a like, and some of those come without a price.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
 from thriftlens.operators import brands, filters, guards, pool, sampling, track
 from thriftlens.operators.cohort import refresh_sellability
+from thriftlens.operators.peers import unfrozen
 from thriftlens.operators.season import season_history as build_season_history
-from thriftlens.plans.binding import AS_OF, BAND_EDGES, Market, r6, crc32_sql
+from thriftlens.plans import jobs
+from thriftlens.plans.binding import AS_OF, BAND_EDGES, Market, crc32_sql, r6
 from thriftlens.plans.board_queries import ATTENTION
 from thriftlens.plans.ladder_queries import SUMMARY, ladder_items
 from thriftlens.plans.peer_queries import MIN_GROUP, PLACED, SHELF, cascade
 from thriftlens.plans.registry import query, rounded
+from thriftlens.session import cut_lineage, shared_dir
 from thriftlens.sources import tables
 
 DAY = f"DATE '{AS_OF}'"
@@ -366,7 +371,99 @@ def score_table(m: Market):
     return rounded(pool.score_table(live, brands.brand_demand(live), gear, today(), 3000000))
 
 
-# --- guards and jobs ----------------------------------------------------------------------------
+# --- jobs with their guards -----------------------------------------------------------------------
+
+
+def _home(m: Market) -> str:
+    return f"{shared_dir(m.spark)}/home-{uuid.uuid4().hex}"
+
+
+def _followed(m: Market, home: str):
+    rows = m.spark.read.parquet(f"{home}/items")
+    return rows.select("item_id", "price_ore", "favourites", "outcome", "final_price_ore", "resolved_on", "last_seen", "history")
+
+
+TWICE = f"""WITH {PASS}
+    SELECT i.item_id, coalesce(m.price_ore, i.price_ore) AS price_ore, coalesce(m.favourites, i.favourites) AS favourites,
+      coalesce(i.outcome, g.outcome) AS outcome, coalesce(g.final_price_ore, i.final_price_ore) AS final_price_ore,
+      coalesce(i.resolved_on, g.resolved_on) AS resolved_on,
+      CASE WHEN o.item_id IS NOT NULL THEN greatest(first_offered, {DAY}) ELSE first_offered END AS last_seen,
+      CASE WHEN price_moved THEN [0, i.price_ore, cast(date_diff('day', first_offered, {DAY} - 1) AS bigint), m.price_ore]
+        ELSE [0, i.price_ore] END AS history
+    FROM items i LEFT JOIN moved m USING (item_id) LEFT JOIN gone g USING (item_id) LEFT JOIN obs o USING (item_id)"""
+
+
+@query("tracking_job", "items", TWICE)
+def tracking_job(m: Market):
+    """Enrolled, then two days tracked: the first has no run behind it and resolves nothing, the second does. A listing is
+    delivered twice now and then."""
+    home = _home(m)
+    jobs.enrol(tracked(m), home, 8)
+    seen = cut_lineage(observed(m))
+    seen = seen.unionByName(seen.where("favourites % 10 = 0"))
+    for day in (F.date_sub(today(), 1), today()):
+        name = m.spark.range(1).select(day.cast("string").alias("d")).first()["d"]
+        verdict = jobs.tracking_job(m.spark, home, seen, verdicts(m), name, 8, 3, max_churn=0.9)
+        if verdict != "ok":
+            raise RuntimeError(verdict)
+    return _followed(m, home)
+
+
+@query("tracking_resumed", "items", f"""
+    SELECT count(*) AS items, count(*) FILTER (outcome IS NULL AND NOT has_defect AND first_offered < {DAY}) AS stamped FROM items""")
+def tracking_resumed(m: Market):
+    """A pass that was stopped behind its fourth partition goes on from there: every item is stamped once."""
+    home = _home(m)
+    jobs.enrol(tracked(m), home, 8)
+    seen, path = cut_lineage(observed(m)), f"{home}/items"
+    first = m.spark.read.parquet(path).where(F.col(tables.PART) < 4).drop(tables.PART)
+    done = track.track_pass(first, seen.where(tables.part_of(["item_id"], 8) < 4), verdicts(m).limit(0), today())
+    tables.replace_parts(done, path, ["item_id"], 8)
+    m.spark.createDataFrame([(False,)], "may_resolve boolean").write.parquet(f"{home}/resolve/day={AS_OF}")
+    mark = m.spark.range(1).select(today().alias("run_date"), F.lit("3").alias("last_item_id"), F.lit(4).cast("long").alias("items_done"))
+    mark.write.parquet(f"{home}/marker")
+    jobs.tracking_job(m.spark, home, seen, verdicts(m), AS_OF, 8, 2)
+    rows = m.spark.read.parquet(path)
+    stamped = (F.col("last_seen") == today()) & (F.col("first_seen") < today())
+    return rows.agg(F.count(F.lit(1)).alias("items"), F.count_if(stamped).alias("stamped"))
+
+
+@query("jobs_refused", "items", """
+    WITH n AS (SELECT count(*) AS n FROM items WHERE outcome IS NULL AND NOT has_defect)
+    SELECT 'half a sweep' AS tried, 'refused: dropped by more than half' AS answer, 0::bigint AS resolved FROM n
+    UNION ALL SELECT 'no sweep', 'refused: nothing expected', 0
+    UNION ALL SELECT 'churn', 'ok', 0
+    UNION ALL SELECT 'stale staging', 'staging is stale', 0
+    UNION ALL SELECT 'unfrozen', concat((SELECT count(*) FROM items WHERE outcome IS NOT NULL AND has_defect), ' resolved items are not frozen'), 0""")
+def jobs_refused(m: Market):
+    """What the guards inside the jobs answer; none of it resolves an item or replaces a table."""
+    home, said = _home(m), []
+    jobs.enrol(tracked(m).where("outcome is null"), home, 8)
+    seen = cut_lineage(observed(m))
+    later = m.spark.range(1).select(F.date_add(today(), 1).cast("string").alias("d")).first()["d"]
+    first = jobs.tracking_job(m.spark, home, seen, verdicts(m), AS_OF, 8, 8)
+    few = seen.where(F.pmod(F.xxhash64("item_id"), F.lit(10)) == 0)
+    for name, part in (("half a sweep", few), ("no sweep", seen.limit(0)), ("churn", seen)):
+        try:
+            said.append((name, jobs.tracking_job(m.spark, home, part, verdicts(m), later, 8, 8) if first == "ok" else first))
+        except jobs.Refused as no:
+            said.append((name, str(no)))
+        if name == "no sweep":  # a good run in between, so that only the churn speaks against resolving
+            jobs._record(m.spark, home, "track", later, first and seen.count(), seen.count(), "ok")
+    resolved = m.spark.read.parquet(f"{home}/items").where("outcome is not null").count()
+    rows = cut_lineage(unfrozen(m.items("item_id", "outcome", "has_defect", "price_ore")))
+    peers = rows.where(F.col("outcome").isNotNull() & F.col("has_defect")).select("item_id")
+    marker = m.spark.range(1).select(F.lit("2000-07-01 10:00:00").cast("timestamp").alias("staged_at"))
+    for name, now in (("stale staging", "2000-07-01 10:50:00"), ("unfrozen", "2000-07-01 10:10:00")):
+        try:
+            jobs.check_staging(marker, rows, peers, F.lit(now).cast("timestamp"))
+            said.append((name, "ok"))
+        except jobs.Refused as no:
+            said.append((name, str(no)))
+    return m.spark.createDataFrame([(a, b, resolved) for a, b in said], "tried string, answer string, resolved long")
+
+
+# --- guards ----------------------------------------------------------------------------
 
 
 @query("staging_guard", "items", """

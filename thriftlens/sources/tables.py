@@ -94,8 +94,13 @@ def upsert_partitioned(spark: SparkSession, path: str, changes: DataFrame, keys:
     marked = changes.withColumn(PART, part_of(keys, parts))
     touched = [r[PART] for r in marked.select(PART).distinct().collect()]  # ``parts`` numbers at most
     held = spark.read.parquet(path).where(F.col(PART).isin(touched))
-    fresh = upsert(held.drop(PART), changes, keys).withColumn(PART, part_of(keys, parts))
-    cut_lineage(fresh).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+    replace_parts(upsert(held.drop(PART), changes, keys), path, keys, parts)
+
+
+def replace_parts(fresh: DataFrame, path: str, keys: Sequence[str], parts: int) -> None:
+    """Replaces the partitions that ``fresh`` has rows of. ``fresh`` may be read from the same table: it is written aside first."""
+    staged = cut_lineage(fresh.withColumn(PART, part_of(keys, parts)))
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
 
 
 def write_version(df: DataFrame, path: str, version: int) -> None:
