@@ -188,13 +188,13 @@ def repeated(
     rows = documents.select("doc_id", F.monotonically_increasing_id().alias("row"), made)
     written = cut_lineage(rows.select("row", F.col("doc_id").cast("bigint").alias("doc_id"), "u.n_words", "u.units"))
     digest = [F.col("unit.h1").alias("h1"), F.col("unit.h2").alias("h2")]
-    shared = (
+    groups = (
         written.select("doc_id", F.explode("units").alias("unit"))
         .groupBy(*digest)
         .agg(F.count("*").alias("n"), F.min("doc_id").alias("kept_in"))
-        .where("n > 1")
-        .drop("n")
     )
+    # As a table of its own: Spark splits a hot key only where both sides of the join are shuffled for it.
+    shared = cut_lineage(groups.where("n > 1").drop("n"))
     place = (F.col("at").cast("bigint") * PLACE + F.col("unit.words")).alias("place")
     span = (F.col("unit.start").cast("bigint") * F.lit(SPAN) + F.col("unit.length")).alias("span")
     each = written.select("row", F.posexplode("units").alias("at", "unit"))
