@@ -144,7 +144,8 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, blocks: in
     of_all = classes.join(of_linked, "fingerprint", "left").select(
         "fingerprint", F.when(F.col("is_linked"), F.col("least_id")).otherwise(F.col("first_id")).alias("component_id")
     )
-    return marked.join(of_all, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    # As a table of its own: Spark splits a hot key only where both sides of the join are shuffled for it.
+    return marked.join(cut_lineage(of_all), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def one_of_each(documents: DataFrame, threshold: int = THRESHOLD, blocks: int = 2) -> DataFrame:
