@@ -59,7 +59,7 @@ def decode_mask(df: DataFrame, mask: str, meanings: DataFrame, kind: str, name:
     """Adds ``name``: the sorted values of the set bits. Each distinct mask is decoded once, and a
     mask has at most 63 bits."""
     table = meanings.where(F.col("kind") == kind).select(F.col("bit").alias("_bit"), "value")
-    bits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda b: F.bit_get(F.col(mask), b) == 1)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda b: F.bit_get(F.col(mask).cast("long"), b) == 1)
     decoded = (
         df.select(mask)
         .where(F.col(mask).isNotNull())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,22 +40,26 @@ def peer_cascade(shelf: DataFrame, levels: Sequence[Sequence[str]] = PEER_LEVELS
     Each level compares with the whole shelf of its key, also with items an earlier level placed.
     Items no level can place are left out. The shelf is written once in its few columns, because
     every level reads it again; ``keep`` names columns to carry along.
+
+    Which groups are large enough is known from their sizes alone, a small table. It says at which level a row is placed, so
+    every row joins the positions of one level only, and only prices of large enough groups are positioned.
     """
     columns = dict.fromkeys([*keep, *[c for keys in levels for c in keys]])
-    rows = shelf = cut_lineage(shelf.select(key, price, *columns))
+    shelf = cut_lineage(shelf.select(key, price, *columns))
+    rows, level = shelf, F.lit(None).cast("int")
     for i, keys in enumerate(levels, 1):
-        table = peer_table(shelf.select(price, *keys), keys, price, min_group).select(
-            *keys, price, F.struct("peer_n", "peer_median_ore", "peer_pct").alias(f"_l{i}")
-        )
-        rows = rows.join(table, [*keys, price], "left")
-    n = len(levels)
-    chosen = F.coalesce(*[F.col(f"_l{i}") for i in range(1, n + 1)])
-    level = F.coalesce(*[F.when(F.col(f"_l{i}").isNotNull(), F.lit(i)) for i in range(1, n + 1)])
-    return (
-        rows.where(level.isNotNull())
-        .select(key, price, *keep, level.alias("peer_level"), chosen.alias("_p"))
-        .select(key, price, *keep, "peer_level", "_p.*")
-    )
+        named = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, price]])
+        sizes = shelf.where(named).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_group)
+        rows = rows.join(cut_lineage(sizes.select(*keys, F.lit(i).alias(f"_l{i}"))), list(keys), "left")
+        level = F.coalesce(level, F.when(F.col(price).isNotNull(), F.col(f"_l{i}")))
+    rows = cut_lineage(rows.withColumn("peer_level", level).where(F.col("peer_level").isNotNull()))
+    parts = []
+    for i, keys in enumerate(levels, 1):
+        large = rows.select(*keys, price, f"_l{i}").where(F.col(f"_l{i}").isNotNull()).drop(f"_l{i}")
+        mine = rows.where(F.col("peer_level") == i).select(key, price, *columns, "peer_level")
+        placed = mine.join(peer_table(large, keys, price, min_group), [*keys, price])
+        parts.append(placed.select(key, price, *keep, "peer_level", "peer_n", "peer_median_ore", "peer_pct"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 FROZEN = ["peer_pct", "peer_median_ore", "peer_n", "peer_level"]

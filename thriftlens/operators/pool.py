@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
+from thriftlens.functions.masks import MASK_WIDTH, decode_mask
 from thriftlens.operators import filters
 from thriftlens.operators.brands import attention_index, brand_snapshot
 from thriftlens.operators.peers import PEER_LEVELS, peer_cascade
 from thriftlens.operators.selecting import top_n
+from thriftlens.operators.spread import numbered, value_cell
 from thriftlens.operators.track import once
+from thriftlens.session import cut_lineage
 from thriftlens.sources.tables import delete_where
 
 MIN_BRAND_ITEMS = 8
@@ -63,14 +66,29 @@ def retain(df: DataFrame, date_col: str, today: Column, days: int) -> DataFrame:
     return df.where((F.col(date_col) > F.date_sub(today, days)) & (F.col(date_col) <= today))
 
 
-def build_shortlist(items: DataFrame, peers: DataFrame, as_of: Column, band_edges: Sequence[int] = s.PRICE_BAND_EDGES_ORE, min_live: int = 25, **gates) -> DataFrame:
-    """Every eligible live item with all the grid sorts on: peer position, markdown, size columns
-    and brand-level columns, stored so that no reader computes them."""
-    live = filters.analysis_rows(filters.live(items))
-    placed = live.join(peers.drop("price_ore"), "item_id")
-    gated = filters.shortlist_gate(placed, **gates)
+def build_shortlist(items: DataFrame, as_of: Column, band_edges: Sequence[int] = s.PRICE_BAND_EDGES_ORE, min_live: int = 25, min_group: int = 8, peers: DataFrame | None = None, meanings: DataFrame | None = None, **gates) -> DataFrame:
+    """Every eligible live item with all the grid sorts on: peer position, markdown, size columns, decoded masks,
+    brand-level columns and its rank by discount, stored so that no reader computes them.
+
+    The shelf is written once and read by the cascade, which carries its columns along, and by both brand aggregates. ``peers``
+    is a stored peer table to use in place of the cascade. ``meanings`` (kind, bit, value) decodes the ``<kind>_mask`` columns there are.
+    """
+    rows = cut_lineage(filters.analysis_rows(items))
+    live = filters.live(rows)
+    if peers is None:
+        keep = [c for c in live.columns if c not in ("item_id", "price_ore")]
+        placed = peer_cascade(live, min_group=min_group, keep=keep)
+    else:
+        placed = live.join(peers.drop("price_ore"), "item_id")
+    discount = s.discount_pct(F.col("price_ore"), F.col("peer_median_ore"))
+    gated = filters.shortlist_gate(placed, **gates).withColumn("discount_pct", discount)
+    order = [F.col("discount_pct").desc(), F.col("item_id")]
+    gated = numbered(gated, [], order, -value_cell(F.coalesce("discount_pct", F.lit(-1e9))), "rank")
+    kinds = [k for k in MASK_WIDTH if meanings is not None and f"{k}_mask" in rows.columns]
+    for kind in kinds:
+        gated = decode_mask(gated, f"{kind}_mask", meanings, kind, f"{kind}s")
     attention = attention_index(live, as_of, band_edges=band_edges)
-    brand = brand_snapshot(filters.analysis_rows(items), as_of, min_live).select(
+    brand = brand_snapshot(rows, as_of, min_live).select(
         "brand", F.col("sold_pct_day").alias("brand_sell_pct_day"), F.col("med_ask_ore").alias("brand_ask_ore")
     )
     group, system, value = s.size_parts(F.col("size_code"))
@@ -96,7 +114,9 @@ def build_shortlist(items: DataFrame, peers: DataFrame, as_of: Column, band_edge
             "peer_n",
             "peer_level",
             (F.col("peer_pct") * 100).alias("peer_pct"),
-            s.discount_pct(F.col("price_ore"), F.col("peer_median_ore")).alias("discount_pct"),
+            "discount_pct",
+            F.col("rank").cast("int").alias("rank"),
+            *[f"{kind}s" for kind in kinds],
             s.markdown_pct(F.col("first_price_ore"), F.col("price_ore")).alias("markdown_pct"),
             s.momentum(F.col("favourites"), F.col("first_favourites")).alias("momentum"),
             F.datediff(as_of, F.col("first_offered")).alias("age_days"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -95,15 +96,16 @@ def assign_strata(df: DataFrame, strata: Mapping[str, Column], quotas: Mapping[s
     """(key, stratum): strata claim items in order, each up to its quota, hash order within one.
 
     At most the quotas of the earlier strata can be claimed before a stratum's turn, so its picks
-    lie among the first (own + earlier quotas) of its candidates. Only those are kept, and the
-    claiming runs on that small table.
+    lie among the first (own + earlier quotas) of its candidates. One read spreads every row over the strata it
+    fits; only those first candidates are kept, and the claiming runs on that small table.
     """
-    reach, parts = 0, []
-    for i, (name, predicate) in enumerate(strata.items()):
-        reach += quotas[name]
-        mine = df.where(predicate).select(key, hash_order(F.col(key), seed).alias("_h"))
-        parts.append(mine.orderBy("_h", key).limit(reach).withColumn("_s", F.lit(i)))
-    candidates = cut_lineage(reduce(lambda a, b: a.unionByName(b), parts))
+    fits = F.array(*[F.when(predicate, F.lit(i)) for i, predicate in enumerate(strata.values())])
+    each = df.select(key, hash_order(F.col(key), seed).alias("_h"), F.explode(fits).alias("_s")).where(F.col("_s").isNotNull())
+    reach = list(accumulate(quotas[name] for name in strata))
+    order = Window.partitionBy("_s").orderBy("_h", key)
+    first = each.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= reach[-1])
+    mine = F.element_at(F.array(*[F.lit(r) for r in reach]), F.col("_s") + 1)
+    candidates = cut_lineage(first.where(F.col("_rank") <= mine).drop("_rank"))
     claimed = None
     for i, name in enumerate(strata):
         mine = candidates.where(F.col("_s") == i).drop("_s")

@@ -213,7 +213,8 @@ def analytics_pass(items: DataFrame, previous_peers: DataFrame, out: str, as_of:
 
 def brand_daily(items: DataFrame, day: Column, min_live: int = 25, band_edges: Sequence[int] = s.PRICE_BAND_EDGES_ORE) -> DataFrame:
     """The brand snapshot with attention index and inflow."""
-    rows = filters.analysis_rows(items)
+    used = ("brand", "item_type", "price_ore", "first_offered", "favourites", "outcome", "resolved_on")
+    rows = cut_lineage(filters.analysis_rows(items).select(*used))  # read by all three aggregates
     live = filters.live(rows)
     attention = brands.attention_index(live, day, band_edges=band_edges)
     return (

@@ -19,7 +19,7 @@ from thriftlens.plans import jobs
 from thriftlens.plans.binding import AS_OF, BAND_EDGES, Market, crc32_sql, r6
 from thriftlens.plans.board_queries import ATTENTION
 from thriftlens.plans.ladder_queries import SUMMARY, ladder_items
-from thriftlens.plans.peer_queries import MIN_GROUP, PLACED, SHELF, cascade
+from thriftlens.plans.peer_queries import MIN_GROUP, PLACED, SHELF
 from thriftlens.plans.registry import query, rounded
 from thriftlens.session import cut_lineage, shared_dir
 from thriftlens.sources import tables
@@ -319,19 +319,23 @@ short AS (SELECT s.*, round_even((1 - price_ore / nullif(first_price_ore, 0)) *
 
 
 def shortlist(m: Market):
-    return pool.build_shortlist(m.items(*POOLED), cascade(m), today(), BAND_EDGES)
+    seasons = m.spark.createDataFrame([("season", 1, "Sommar"), ("season", 3, "Vinter")], "kind string, bit int, value string")
+    return pool.build_shortlist(m.items(*POOLED, "season_mask"), today(), BAND_EDGES, min_group=MIN_GROUP, meanings=seasons)
 
 
 @query("shortlist_pool", "shelf", f"""WITH {SHORTLIST}
     SELECT item_id, brand, cast(floor(price_ore / 100) AS bigint) AS price_kr, {r6("peer_median_ore / 100")} AS peer_median_kr, peer_n, peer_level,
       {r6("peer_pct * 100")} AS peer_pct, discount_pct + 0.0 AS discount_pct, markdown_pct, favourites - first_favourites AS momentum,
       cast(date_diff('day', first_offered, {DAY}) AS int) AS age_days, {r6("attention")} AS brand_attention_index,
-      {r6("sell_pct")} AS brand_sell_pct_day, {r6("brand_ask")} AS brand_ask_ore, split_part(size_code, '-', 1) AS size_group FROM short""")
+      {r6("sell_pct")} AS brand_sell_pct_day, {r6("brand_ask")} AS brand_ask_ore, split_part(size_code, '-', 1) AS size_group,
+      cast(row_number() OVER (ORDER BY discount_pct DESC, item_id) AS int) AS rank,
+      CASE season_mask WHEN 2 THEN ['Sommar'] WHEN 8 THEN ['Vinter'] WHEN 10 THEN ['Sommar', 'Vinter'] END AS seasons FROM short""")
 def shortlist_pool(m: Market):
     return rounded(
         shortlist(m).select(
             "item_id", "brand", "price_kr", "peer_median_kr", "peer_n", "peer_level", "peer_pct", "discount_pct", "markdown_pct",
             "momentum", "age_days", "brand_attention_index", "brand_sell_pct_day", "brand_ask_ore", "size_group",
+            "rank", "seasons",
         )
     )
 
