@@ -23,6 +23,7 @@ from thriftlens.plans.peer_queries import MIN_GROUP, PLACED, SHELF
 from thriftlens.plans.registry import query, rounded
 from thriftlens.session import cut_lineage, shared_dir
 from thriftlens.sources import tables
+from thriftlens.sources.io import write_checks
 
 DAY = f"DATE '{AS_OF}'"
 LIVE = "l_linestatus = 'O'"
@@ -432,6 +433,106 @@ def tracking_resumed(m: Market):
     return rows.agg(F.count(F.lit(1)).alias("items"), F.count_if(stamped).alias("stamped"))
 
 
+@query("upserted_partition", "items", """
+    SELECT item_id, CASE WHEN rungs = 2 THEN price_ore + 100 ELSE price_ore END AS price_ore, favourites FROM items
+    UNION ALL SELECT concat(item_id, '-new'), price_ore, NULL FROM items WHERE rungs = 7""")
+def upserted_partition(m: Market):
+    """Changed and new rows applied to a table in hash partitions; a second application changes nothing."""
+    rows = m.items("item_id", "price_ore", "favourites", "rungs")
+    path = f"{_home(m)}/table"
+    tables.write_partitioned(rows.drop("rungs"), path, ["item_id"], 16)
+    moved = rows.where("rungs = 2").select("item_id", (F.col("price_ore") + 100).alias("price_ore"))
+    fresh = rows.where("rungs = 7").select(F.concat("item_id", F.lit("-new")).alias("item_id"), "price_ore")
+    for _ in range(2):
+        tables.upsert_partitioned(m.spark, path, moved.union(fresh), ["item_id"], 16)
+    return m.spark.read.parquet(path).select("item_id", "price_ore", "favourites")
+
+
+@query("checks_round_trip", "items", f"""
+    SELECT item_id, {DAY} - 7 AS checked_on, 'still_listed' AS outcome, status, NULL::double AS final_price, NULL::int AS rungs FROM items WHERE outcome IS NULL
+    UNION ALL SELECT item_id, {DAY}, 'error', status, {r6("price_ore / 100")}, cast(rungs AS int) FROM items WHERE outcome IS NULL AND has_defect""")
+def checks_round_trip(m: Market):
+    """Two days' observations written as dated files, and both read back by the loader."""
+    home, rows = _home(m), m.items("item_id", "status", "price_ore", "rungs", "has_defect", only=LIVE)
+    early = rows.select("item_id", F.date_sub(today(), 7).alias("checked_on"), F.lit("still_listed").alias("outcome"), "status")
+    late = rows.where("has_defect").select(
+        "item_id", today().alias("checked_on"), F.lit("error:TimeoutError").alias("outcome"), "status",
+        s.to_kr(F.col("price_ore")).alias("final_price"), F.col("rungs").cast("int").alias("rungs"),
+    )
+    write_checks(early, f"{home}/cohort_checks", "2000-06-24")
+    write_checks(late, f"{home}/cohort_checks", AS_OF)
+    loaded = jobs.load_local(m.spark, home, {})["cohort_checks"]
+    return rounded(loaded.select("item_id", "checked_on", "outcome", "status", "final_price", "rungs"))
+
+
+@query("loaded_cohort", "items", f"""
+    SELECT item_id, stratum, item_type, brand, {r6("price_ore / 100")} AS price_kr, p2p AS is_resale, cast(favourites AS bigint) AS favourites FROM items""")
+def loaded_cohort(m: Market):
+    """The cohort file landed with an older line for every listing; the later line counts."""
+    home, rows = _home(m), m.items("item_id", "stratum", "item_type", "brand", "price_ore", "p2p", "favourites")
+    line = F.struct(
+        "item_id", "stratum", F.col("item_type").alias("type"), "brand", s.to_kr(F.col("price_ore")).alias("price_kr"),
+        F.col("p2p").alias("is_circle"), "favourites",
+    )
+    old = F.struct("item_id", F.lit("old").alias("stratum"))
+    lines = rows.select(F.explode(F.array(F.to_json(old), F.to_json(line))).alias("value"))
+    lines.write.text(f"{home}/cohort_baseline.jsonl")
+    loaded = jobs.load_local(m.spark, home, {})["cohort_items"]
+    return rounded(loaded.select("item_id", "stratum", "item_type", "brand", "price_kr", "is_resale", "favourites"))
+
+
+@query("loaded_trips", "items", f"""
+    SELECT item_id AS resale_id, CASE WHEN rungs <= 4 THEN {r6("price_ore / 100")} END AS resale_ask, cast(rungs AS int) AS days_listed,
+      rungs <= 4 AS sold FROM items WHERE p2p""")
+def loaded_trips(m: Market):
+    """Trips from two sources: the first has the sold ones, the second all; the first one's line stands."""
+    home, rows = _home(m), m.items("item_id", "price_ore", "rungs", "p2p").where("p2p")
+    days = F.col("rungs").cast("int").alias("days_on_circle")
+    sold = F.struct(F.col("item_id").alias("circle_id"), s.to_kr(F.col("price_ore")).alias("circle_ask"), days, F.lit(True).alias("sold"))
+    every = F.struct(F.col("item_id").alias("circle_id"), days, F.lit(False).alias("sold"))
+    rows.where("rungs <= 4").select(F.to_json(sold)).write.text(f"{home}/roundtrips_2.jsonl")
+    rows.select(F.to_json(every)).write.text(f"{home}/dormant_circle_1.jsonl")
+    loaded = jobs.load_local(m.spark, home, {})["round_trips"]
+    return rounded(loaded.select("resale_id", "resale_ask", "days_listed", "sold"))
+
+
+OLDEST = """o AS (SELECT bucket FROM (SELECT b, (b * 7) % 5 AS late, b AS bucket FROM range(4) r(b)) ORDER BY late DESC, bucket LIMIT 1)"""
+
+
+@query("rotation_job", "items", f"""WITH {POOL.replace(f"{DAY} - 4 AS swept_on", f"{DAY} - 4 - cast(b * 7 % 5 AS int) AS swept_on")}, {OLDEST},
+    shelf AS (SELECT *, {BUCKET_SQL} AS bucket FROM items WHERE outcome IS NULL AND {BUCKET_SQL} = (SELECT bucket FROM o)),
+    {PLACED.replace(f"WHEN n3 >= {MIN_GROUP} THEN 3", "")},
+    kept AS (SELECT item_id, brand, bucket, discount_pct, {DAY} AS swept_on FROM scored WHERE price_ore >= 20000 AND peer_n >= 12 AND peer_pct <= 0.25)
+    SELECT item_id, brand, cast(bucket AS int) AS bucket, discount_pct, swept_on FROM (
+      SELECT * FROM kept UNION ALL SELECT * FROM pool WHERE bucket IS NOT NULL AND bucket <> (SELECT bucket FROM o) AND item_id NOT IN (SELECT item_id FROM shelf))""")
+def rotation_job(m: Market):
+    """The job finds the bucket that was swept longest ago, sweeps it and writes the pool's next version."""
+    home = _home(m)
+    held = old_pool(m).withColumn("swept_on", F.date_sub(F.col("swept_on"), bucket() * 7 % 5))
+    tables.write_version(held, f"{home}/pool", 1)
+    jobs.rotation_job(m.spark, home, m.items(*SHELF, only=LIVE), AS_OF, 4, min_group=MIN_GROUP)
+    return rounded(tables.read_version(m.spark, f"{home}/pool", 2))
+
+
+@query("refresh_job", "items", f"""WITH {PASS},
+    pool AS (SELECT item_id, cast(floor(price_ore / 100) AS bigint) AS price_kr, first_price_ore / 100 AS med FROM live WHERE favourites >= 30),
+    n AS (SELECT pool.*, coalesce(cast(floor(nullif(p, 0) / 100) AS bigint), price_kr) AS k, o.item_id IS NOT NULL AS still FROM pool LEFT JOIN obs o USING (item_id))
+    SELECT item_id, k AS price_kr, med AS peer_median_kr, round_even((1 - k / med) * 100, 2) + 0.0 AS discount_pct,
+      CASE WHEN still THEN [concat(item_id, '.jpg')] END AS image_paths, still AS still_listed, {DAY} AS as_of FROM n""")
+def refresh_job(m: Market):
+    """Prices, liveness and images on the pool's next version; every tenth listing is delivered twice."""
+    home, host = _home(m), "https://img.example.net/"
+    rows = m.items("item_id", "price_ore", "first_price_ore", "favourites", only=LIVE).where("favourites >= 30")
+    held = rows.select(
+        "item_id", s.to_kr_floor(F.col("price_ore")).alias("price_kr"), s.to_kr(F.col("first_price_ore")).alias("peer_median_kr")
+    )
+    tables.write_version(held, f"{home}/pool", 1)
+    seen = observed(m).withColumn("images", F.array(F.concat(F.lit(host), "item_id", F.lit(".jpg"))))
+    jobs.refresh_job(m.spark, home, seen.unionByName(seen.where("favourites % 10 = 0")), AS_OF, hosts=[host])
+    fresh = tables.read_version(m.spark, f"{home}/pool", 2)
+    return rounded(fresh.drop("repriced", "image_checked_on"))
+
+
 @query("jobs_refused", "items", """
     WITH n AS (SELECT count(*) AS n FROM items WHERE outcome IS NULL AND NOT has_defect)
     SELECT 'half a sweep' AS tried, 'refused: dropped by more than half' AS answer, 0::bigint AS resolved FROM n

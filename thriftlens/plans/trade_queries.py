@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from thriftlens import schemas
 from thriftlens.functions import scalars as s
-from thriftlens.operators import cohort, filters, trades
+from thriftlens.operators import cohort, filters, ladders, trades
 from thriftlens.plans.binding import AS_OF, Market, r6
 from thriftlens.plans.registry import query, rounded
-from thriftlens.session import cut_lineage
+from thriftlens.session import cut_lineage, shared_dir
+from thriftlens.sources import documents
+from thriftlens.sources.io import read_jsonl
 
 # Every listing as a ladder summary; one still listed has no end.
 ALL_LADDERS = """
@@ -62,6 +67,63 @@ def round_trips(m: Market):
     return trips(m)
 
 
+def offer_documents(m: Market):
+    """The listings' price steps as landed offer documents: one when it is listed, one at its last price if it has ended."""
+    rows = m.items("item_id", "first_price_ore", "price_ore", "first_offered", "resolved_on", "status", "dwell_days", "brand")
+    rows = rows.join(m.resales(), "item_id", "left")
+    iso = lambda day: F.date_format(day, "yyyy-MM-dd'T'00:00:00.000'Z'")
+    item = F.struct(
+        F.col("item_id").alias("objectId"),
+        F.col("status").alias("itemStatus"),
+        F.struct("brand").alias("metadata"),
+        iso(F.date_sub("first_offered", F.col("dwell_days"))).alias("assortedAt"),
+        F.to_json(F.struct(iso(F.col("first_offered")).alias("iso"))).alias("putOnShelfAt"),
+        F.when(F.col("original_id").isNotNull(), F.struct(F.col("original_id").alias("objectId"))).alias("preceding"),
+    )
+
+    def offer(n: int, price: str, start: str, end: str):
+        return F.struct(
+            F.concat_ws("-", "item_id", F.lit(n)).alias("objectId"),
+            item.alias("item"),
+            F.struct((F.col(price) / 100).alias("amount")).alias("pricing"),
+            F.lit("SE").alias("region"),
+            iso(F.col(start)).alias("createdAt"),
+            iso(F.col(end)).alias("endedAt"),
+        )
+
+    first = offer(1, "first_price_ore", "first_offered", "resolved_on")
+    last = F.when(F.col("resolved_on").isNotNull(), offer(2, "price_ore", "resolved_on", "resolved_on"))
+    lines = rows.select(F.explode(F.array(first, last)).alias("o")).where("o is not null").select(F.to_json("o"))
+    folder = f"{shared_dir(m.spark)}/offers-{uuid.uuid4().hex}"
+    lines.write.text(f"{folder}/offers_1.jsonl")
+    return read_jsonl(m.spark, f"{folder}/offers_*.jsonl", schemas.OFFER)
+
+
+OFFERED = f"""
+l AS (SELECT item_id, first_price_ore AS opening_ask_ore, CASE WHEN resolved_on IS NULL THEN first_price_ore ELSE price_ore END AS final_price_ore,
+    CASE WHEN resolved_on IS NULL THEN 1 ELSE 2 END AS rungs, first_offered AS listed_on, resolved_on AS ended_on, status FROM items),
+{BOUGHT}, {TRIPS[TRIPS.index("trips AS"):]}"""
+
+
+@query("document_trips", "resales", f"""WITH {OFFERED}
+    SELECT item_id, original_id, ask_ore, final_ore, bought_price_ore, sold, multiple, profit_kr, days_held, days_listed FROM trips""")
+def document_trips(m: Market):
+    """From landed offer documents to round trips: steps, details, ladders, pointers, trips."""
+    docs = offer_documents(m)
+    details = documents.offer_details(docs)
+    rows = ladders.ladder_rows(documents.offer_steps(docs), details)
+    found = trades.round_trips(details.select("item_id", "original_id"), rows)
+    return rounded(
+        found.select("item_id", "original_id", "ask_ore", "final_ore", "bought_price_ore", "sold", "multiple", "profit_kr", "days_held", "days_listed")
+    )
+
+
+@query("document_dwell", "items", "SELECT item_id, brand, status, dwell_days FROM items")
+def document_dwell(m: Market):
+    """Days between sorting and shelf, from the documents' two dates."""
+    return documents.offer_details(offer_documents(m)).select("item_id", "brand", "status", "dwell_days")
+
+
 @query("resale_origins", "resales", f"""WITH {ALL_LADDERS}, {BOUGHT}
     SELECT r.item_id, r.original_id, b.* EXCLUDE (original_id) FROM resales r
     LEFT JOIN (SELECT * FROM b WHERE bought_on IS NOT NULL) b USING (original_id) WHERE r.original_id IS NOT NULL""")
