@@ -200,7 +200,7 @@ def bootstrap(
         share = (F.col("known") + F.coalesce("gained", F.lit(0.0))) / (F.col("all") + 1)
         worth = patterns.join(gained, "pattern", "left").select("pattern", F.round(share, 6).alias("worth"))
         doubt = F.exp(F.sum(F.log(1 - F.least("worth", F.lit(0.999)))))
-        score = cut_lineage(
+        score = (
             edges.select("pattern", "instance")
             .join(worth.where(F.col("worth") >= trusted), "pattern")
             .groupBy("instance")
@@ -216,8 +216,8 @@ def identifiers(documents: DataFrame, rounds: int = ROUNDS, trusted: float = TRU
     A null text counts as empty and has no spans. Rows that share a doc_id, or have none, each get a row. Texts are searched whole. An
     empty table gives no rows; other columns are not read. Only the matches of one row come together.
     """
-    spans = cut_lineage(spans_of(matches_of(documents)))
-    graph = cut_lineage(patterns_of(spans))
+    spans = spans_of(matches_of(documents))  # the matches are written; the rest is little work on them
+    graph = patterns_of(spans)
     support = cut_lineage(support_of(graph))
     scores = bootstrap(graph, support, occurrences_of(documents, support), rounds, trusted)
     accepted = scores.where(F.col("score") >= taken).select(F.col("instance").alias("match"), "score")
