@@ -174,7 +174,8 @@ def next_bucket(m: Market):
 
 @query("oldest_bucket", None, """
     WITH p AS (SELECT CAST(user_id % 24 AS int) AS bucket, cast(ts AS date) - cast(user_id % 24 * 7 % 11 AS int) AS swept_on FROM events)
-    SELECT bucket, max(swept_on) AS swept_on FROM p GROUP BY 1 ORDER BY swept_on, bucket LIMIT 1""")
+    SELECT cast(b AS int) AS bucket, max(swept_on) AS swept_on FROM range(24) r(b) LEFT JOIN p ON bucket = b
+    GROUP BY 1 ORDER BY swept_on NULLS FIRST, bucket LIMIT 1""")
 def oldest_bucket(m: Market):
     """Every bucket was swept, on different days; the one swept longest ago is next."""
     bucket = (F.col("user_id") % 24).cast("int")
