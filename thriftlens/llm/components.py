@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thriftlens.session import cut_lineage
+from thriftlens.llm.texts import write_small
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,9 +15,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     distance covered about doubles. Minima combine before the shuffle and links are joined by node, so a node with many links
     is no more than a join key that Spark can split. Each round is written to the shared folder.
     """
-    forward = links.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    both = cut_lineage(forward.union(forward.select("b", "a")).where("a is not null and b is not null and a <> b"))
-    now = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
+    ways = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ((a, b), (b, a))])
+    both = links.select(F.explode(ways).alias("link")).select("link.*")
+    both = write_small(both.where("a is not null and b is not null and a <> b"))
+    now = write_small(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
     while True:
         near = (
             both.join(now.select(F.col("node").alias("b"), "root"), "b")
@@ -25,9 +26,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .agg(F.min("root").alias("low"))
         )
         low = now.join(near, "node").select("node", "root", F.least("root", "low").alias("low"))
-        low = cut_lineage(low)
+        low = write_small(low)
         ahead = low.select(F.col("node").alias("low"), F.col("low").alias("next"))
-        after = cut_lineage(
+        after = write_small(
             low.join(ahead, "low").select("node", F.least("low", "next").alias("root"), F.col("root").alias("was"))
         )
         if after.where("root <> was").isEmpty():

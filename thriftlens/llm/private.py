@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thriftlens.llm.texts import write_small
 from thriftlens.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -189,9 +190,9 @@ def bootstrap(
     all that follows its words, plus one. Sums combine before the shuffle, so a pattern with a third of all extractions is one sum.
     """
     followed = F.greatest("extracted", F.coalesce("seen", F.lit(0)))
-    patterns = cut_lineage(support.join(seen, "pattern", "left").select("pattern", "known", followed.alias("all")))
+    patterns = write_small(support.join(seen, "pattern", "left").select("pattern", "known", followed.alias("all")))
     edges = graph.where(~F.col("seed")).join(patterns.select("pattern"), "pattern", "left_semi")
-    edges = cut_lineage(edges.select("pattern", "instance", "n"))
+    edges = write_small(edges.select("pattern", "instance", "n"))
     score = edges.select("instance").distinct().withColumn("score", F.lit(0.0))
     for _ in range(rounds):
         gained = (
@@ -218,7 +219,7 @@ def identifiers(documents: DataFrame, rounds: int = ROUNDS, trusted: float = TRU
     """
     spans = spans_of(matches_of(documents))  # the matches are written; the rest is little work on them
     graph = patterns_of(spans)
-    support = cut_lineage(support_of(graph))
+    support = write_small(support_of(graph))
     scores = bootstrap(graph, support, occurrences_of(documents, support), rounds, trusted)
     accepted = scores.where(F.col("score") >= taken).select(F.col("instance").alias("match"), "score")
     seeds = spans.where(F.col("kind").isNull() | (F.col("kind") != CONTEXT)).withColumn("score", F.lit(1.0))

@@ -137,7 +137,7 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, blocks: in
     """
     marked = cut_lineage(fingerprints(documents.select("doc_id", "text")).select("doc_id", "fingerprint"))
     classes = cut_lineage(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
-    roots = components(cut_lineage(links(classes, threshold, blocks)))
+    roots = components(links(classes, threshold, blocks))
     linked = classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint")
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
     of_linked = linked.join(smallest, "root").select("fingerprint", "least_id", F.lit(True).alias("is_linked"))

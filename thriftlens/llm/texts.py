@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from thriftlens.session import cut_lineage
+
 # Bytes of a word are digits, letters in lower case and all of a character beyond ASCII.
 WORD_BYTES = bytes(
     b if b >= 0x80 or chr(b).isalnum() and not chr(b).isupper() else ord(chr(b).lower()) if chr(b).isupper() else 32
@@ -41,6 +43,12 @@ def text_column(make: Callable[[], Callable[[bytes | None], object]], ddl: str)
     return lambda text: column(F.col(text).cast("binary") if isinstance(text, str) else text.cast("binary"))
 
 
+def write_small(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` for a table that is a small part of the corpus: an eighth of the shuffle's tasks write it, and so many fewer files."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.coalesce(max(1, tasks // 8)))
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or with underscores before it where the input has such a column (in any case)."""
     taken = {c.lower() for c in df.columns}
