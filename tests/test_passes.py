@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thriftlens.operators import cohort, filters, guards, ladders, peers, sampling, selecting, track
-from thriftlens.session import cut_lineage
+from thriftlens.session import cut_lineage, removes_staged
 from thriftlens.sources import tables
 
 D = dt.date
@@ -176,6 +176,19 @@ def test_a_step_without_a_time_stays(spark):
     assert ladders.ladder_summary(offers).first().rungs == 2
 
 
+def test_a_job_removes_what_it_staged(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr("thriftlens.session.shared_dir", lambda spark: str(tmp_path / "shared"))
+
+    @removes_staged
+    def job(df):
+        staged = cut_lineage(df)
+        assert len(list((tmp_path / "shared").glob("job-*/staged-*"))) == 1
+        staged.write.parquet(str(tmp_path / "out"))
+
+    job(spark.createDataFrame([("a", 1)], "k string, n int"))
+    assert not list((tmp_path / "shared").glob("job-*")) and rows(spark.read.parquet(str(tmp_path / "out"))) == [("a", 1)]
+
+
 def test_versions_leave_the_read_one_alone(spark, rows, tmp_path):
     path = str(tmp_path / "t")
     tables.write_version(spark.createDataFrame([("a", 1)], "k string, n int"), path, 1)

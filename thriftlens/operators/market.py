@@ -15,6 +15,7 @@ from thriftlens.operators.spread import (
     with_quantiles,
     with_row,
 )
+from thriftlens.session import cut_lineage
 
 
 def _features(items: DataFrame, features: Mapping[str, Column]) -> DataFrame:
@@ -111,7 +112,7 @@ def sales_by_day(ladders: DataFrame) -> DataFrame:
 
 
 def top_sellers(ladders: DataFrame, key: str, k: int = 20) -> DataFrame:
-    """Keys by units sold, with revenue, mean and median price."""
+    """Keys by units sold, with revenue, mean and median price; medians are made for the ``k`` keys only."""
     sold = ladders.where("sold")
     best = (
         sold.groupBy(key)
@@ -119,7 +120,10 @@ def top_sellers(ladders: DataFrame, key: str, k: int = 20) -> DataFrame:
         .orderBy(F.col("units").desc(), key)
         .limit(k)
     )
-    return with_quantiles(best, sold, [key], {"price_ore": "final_price_ore"})
+    best = cut_lineage(best)
+    names = F.broadcast(best.select(F.col(key).alias("_key")))  # ``k`` rows
+    mine = sold.join(names, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    return with_quantiles(best, mine, [key], {"price_ore": "final_price_ore"})
 
 
 def sold_after_cut(steps: DataFrame, sales: DataFrame, days: int = 7) -> DataFrame:

@@ -15,7 +15,7 @@ from thriftlens.operators.cohort import cohort_check
 from thriftlens.operators.pool import refresh_bucket, refresh_pool
 from thriftlens.operators.selecting import first_by_key, latest_by_key, next_bucket
 from thriftlens.operators.track import once
-from thriftlens.session import cut_lineage
+from thriftlens.session import cut_lineage, removes_staged
 from thriftlens.sources.io import pick, read_jsonl
 from thriftlens.sources.tables import (
     PART,
@@ -82,6 +82,7 @@ def enrol(items: DataFrame, home: str, parts: int = 64) -> None:
     write_partitioned(items, f"{home}/items", ["item_id"], parts)
 
 
+@removes_staged
 def tracking_job(spark: SparkSession, home: str, observed: DataFrame, verdicts: DataFrame, day: str, parts: int = 64, chunk: int = 16, max_churn: float = 0.05) -> str:
     """A day's pass over the items table of ``home``, with its guards inside; returns the verdict put on the ledger.
 
@@ -122,6 +123,7 @@ def tracking_job(spark: SparkSession, home: str, observed: DataFrame, verdicts:
     return verdict
 
 
+@removes_staged
 def rotation_job(spark: SparkSession, home: str, market: DataFrame, day: str, buckets: int = 24, **options) -> int:
     """Sweeps the bucket that waits longest into the pool table of ``home``; returns its number. A sweep that finds no
     listing is refused: the old rows of the bucket stay."""
@@ -135,6 +137,7 @@ def rotation_job(spark: SparkSession, home: str, market: DataFrame, day: str, bu
     return bucket
 
 
+@removes_staged
 def refresh_job(spark: SparkSession, home: str, observed: DataFrame, day: str, max_churn: float = 0.5, hosts: Sequence[str] = ()) -> None:
     """Today's prices, liveness and images on the pool table of ``home``. Refused if more than ``max_churn`` of the pool is not
     seen: then the sweep is the likelier fault."""
@@ -146,6 +149,7 @@ def refresh_job(spark: SparkSession, home: str, observed: DataFrame, day: str, m
     write_version(fresh, f"{home}/pool", version + 1)
 
 
+@removes_staged
 def cohort_job(spark: SparkSession, home: str, cohort: DataFrame, observed: DataFrame, offers: DataFrame, status: DataFrame, day: str) -> None:
     """One check of the cohort: its rows go to the day's snapshot, from which later checks know what is settled."""
     path = f"{home}/checks"
@@ -168,6 +172,7 @@ def check_staging(marker: DataFrame, items: DataFrame, peers: DataFrame, now: Co
         raise Refused(f"{guard['unfrozen']} resolved items are not frozen")
 
 
+@removes_staged
 def analytics_pass(items: DataFrame, previous_peers: DataFrame, out: str, as_of: str, min_group: int = 8, min_bucket: int = 200, min_live: int = 25, band_edges: Sequence[int] = s.PRICE_BAND_EDGES_ORE, marker: DataFrame | None = None, now: Column | None = None) -> list[tuple[str, str]]:
     """Freeze, then peers, then both boards and the brand snapshot, all for one day.
 

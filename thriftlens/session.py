@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +56,34 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+# Where a job that removes its own staged tables keeps them.
+_job_folder: ContextVar[str | None] = ContextVar("job_folder", default=None)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Removes, at the end, the tables that ``cut_lineage`` writes inside: for jobs whose results are written by then."""
+    folder = f"{shared_dir(spark).rstrip('/')}/job-{uuid.uuid4().hex}"
+    token = _job_folder.set(folder)
+    try:
+        yield
+    finally:
+        _job_folder.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def removes_staged(job: Callable) -> Callable:
+    """A job, called with a session or a DataFrame first, inside ``staging``."""
+
+    @wraps(job)
+    def run(first, *args, **options):
+        with staging(first if isinstance(first, SparkSession) else first.sparkSession):
+            return job(first, *args, **options)
+
+    return run
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back from there.
 
@@ -59,6 +91,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     reads fetch only the columns they need.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    folder = _job_folder.get() or shared_dir(spark).rstrip("/")
+    path = f"{folder}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
