@@ -81,7 +81,7 @@ def build_shortlist(items: DataFrame, as_of: Column, band_edges: Sequence[int] =
     else:
         placed = live.join(peers.drop("price_ore"), "item_id")
     discount = s.discount_pct(F.col("price_ore"), F.col("peer_median_ore"))
-    gated = filters.shortlist_gate(placed, **gates).withColumn("discount_pct", discount)
+    gated = cut_lineage(filters.shortlist_gate(placed, **gates).withColumn("discount_pct", discount))
     order = [F.col("discount_pct").desc(), F.col("item_id")]
     gated = numbered(gated, [], order, -value_cell(F.coalesce("discount_pct", F.lit(-1e9))), "rank")
     kinds = [k for k in MASK_WIDTH if meanings is not None and f"{k}_mask" in rows.columns]
