@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thriftlens.llm.texts import lean_batches
+
 TURN, TEXT, END = "<turn>", "<text>", "</turn>"
 CONTROL = (TURN, TEXT, END, "<|endoftext|>")
 TRAINED_ROLES = ("assistant",)
@@ -115,6 +117,7 @@ def formatted(
     from 0, and a conversation has one unless its text is longer than ``segment_chars``. An empty table gives no rows.
     Other columns of the input are not read.
     """
+    lean_batches()
     turns = conversations.select(
         F.col("conv_id").cast("bigint").alias("conv_id"),
         "turn",

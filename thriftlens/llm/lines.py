@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from thriftlens.llm.texts import free_name
+from thriftlens.llm.texts import free_name, lean_batches
 from thriftlens.session import cut_lineage
 
 #: One word in so many ends a unit.
@@ -97,6 +97,7 @@ def _in_code_points(text: bytes, starts: np.ndarray, lengths: np.ndarray) -> tup
 
 def units_column(text: str, ends: int, size: tuple[int, int]):
     """Struct column of the number of words and the units of a text, offsets in code points."""
+    lean_batches()
     kind = T._parse_datatype_string(UNITS)
     arrow = to_arrow_type(kind)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -24,12 +24,22 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
 
 
+#: Bytes of an Arrow batch, about: what a task and its Python worker hold of a table at a time.
+BATCH_BYTES = "8m"
+
+
+def lean_batches() -> None:
+    """Sets the session's Arrow batches to ``BATCH_BYTES``; Spark's own limit is eight times as much."""
+    SparkSession.active().conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def text_column(make: Callable[[], Callable[[bytes | None], object]], ddl: str) -> Callable[..., Column]:
     """A column function of a text: ``make()`` runs once per task and gives the function of one text.
 
     Texts arrive as UTF-8 bytes in Arrow batches that Spark limits by bytes, the other columns stay
     in the JVM. Results are dicts for a struct type.
     """
+    lean_batches()
     kind = T._parse_datatype_string(ddl)
     arrow = to_arrow_type(kind)
 

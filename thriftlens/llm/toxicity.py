@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thriftlens.llm.texts import free_name, text_column, words_of
+from thriftlens.llm.texts import free_name, lean_batches, text_column, words_of
 from thriftlens.session import cut_lineage
 
 #: Labelled rows that the model is fitted on, at most; chosen by the hash of their id.
@@ -35,7 +35,7 @@ HELD_WORDS = 200_000
 #: Lengths of the beginnings of words that are tokens.
 STEMS = (3, 4, 5, 6, 7)
 #: Words whose score a task keeps at hand.
-KEPT_SCORES = 500_000
+KEPT_SCORES = 200_000
 #: Texts with fewer words count as this long.
 SHORTEST = 50
 #: Predicted toxic from this score on.
@@ -151,6 +151,7 @@ def token_counts(documents: DataFrame, sample: DataFrame) -> DataFrame:
                     yield handed_on()
         yield handed_on()
 
+    lean_batches()
     # The sample has a bounded number of rows, so it may go to every task.
     rows = documents.select("doc_id", F.col("text").cast("binary").alias("text")).join(
         F.broadcast(sample), "doc_id", "left"
