@@ -292,3 +292,13 @@ def test_resolve_then_freeze(spark, items, seen, verdicts):
     table = spark.createDataFrame([("sold", 1, 20, 100.0, 0.1), ("still", 1, 20, 100.0, 0.3)], "item_id string, peer_level int, peer_n long, peer_median_ore double, peer_pct double")
     got = {r.item_id: r.peer_pct_frozen for r in peers.freeze_peers(after, table, day("2026-08-11")).collect()}
     assert got["sold"] == 0.1 and got["still"] is None
+
+
+def test_census_cells_sum_to_the_items(spark):
+    prices = [("dress", 500), ("dress", 9999), ("dress", 10000), ("dress", None), ("coat", 999_999), (None, 700), ("new", 30000)]
+    items = spark.createDataFrame(prices, "category string, price_ore long")
+    every = spark.createDataFrame([("dress",), ("coat",), ("shoe",)], "category string")
+    got = {(r.cell, r.category): r.n for r in sampling.cell_census(items, every).collect()}
+    assert sum(got.values()) == len(prices)
+    assert got[-1, "dress"] == 3 and got[0, "dress"] == 1 and got[14, "coat"] == 1 and got[-1, None] == 1 and got[6, "new"] == 1
+    assert got[-1, "shoe"] == 0 and len(got) == 3 * 16 + 2

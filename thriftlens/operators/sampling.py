@@ -142,14 +142,22 @@ def census_shortfall(items: DataFrame, population: DataFrame) -> DataFrame:
 
 
 def cell_census(items: DataFrame, categories: DataFrame, edges_kr: Sequence[int] = TAIL_EDGES_KR) -> DataFrame:
-    """Population of every (price cell, category) of the table of ``categories``, empty cells included."""
-    grid = categories.select(F.explode(F.sequence(F.lit(0), F.lit(len(edges_kr) - 1))).alias("cell"), "category")
+    """Population of every (price cell, category) of the table of ``categories``, empty cells included. Prices under the first edge
+    and missing ones are in cell -1, as in ``stratum_b``; categories that only ``items`` has follow with the cells they fill, so the
+    populations sum to the number of items."""
+    cells = F.explode(F.sequence(F.lit(-1), F.lit(len(edges_kr) - 1)))
+    grid = categories.select(cells.alias("cell"), "category")
     counts = (
-        items.withColumn("cell", tail_cell(F.col("price_ore"), edges_kr))
-        .groupBy("cell", "category")
+        items.withColumn("_cell", F.coalesce(tail_cell(F.col("price_ore"), edges_kr), F.lit(-1)))
+        .groupBy("_cell", F.col("category").alias("_category"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return grid.join(counts, ["cell", "category"], "left").fillna(0, ["n"])
+    same = (F.col("cell") == F.col("_cell")) & F.col("category").eqNullSafe(F.col("_category"))
+    # A counted row has its own cell and category, a grid row without one keeps the grid's.
+    category = F.when(F.col("_cell").isNull(), F.col("category")).otherwise(F.col("_category"))
+    return grid.join(counts, same, "full").select(
+        F.coalesce("cell", "_cell").alias("cell"), category.alias("category"), F.coalesce("n", F.lit(0)).alias("n")
+    )
 
 
 def target_size_counts(items: DataFrame, target_sizes: DataFrame, key: str = "item_id") -> DataFrame:

@@ -299,7 +299,8 @@ def census_shortfall(m: Market):
 def cell_census(m: Market):
     named = m.table("part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("category"))
     every = named.union(m.spark.sql("SELECT 'unknown'")).distinct()
-    return sampling.cell_census(m.items("category", "price_ore", only=LIVE), every, TAIL)
+    # The query asks for the cells from the first edge up; the operator also has cell -1 under it.
+    return sampling.cell_census(m.items("category", "price_ore", only=LIVE), every, TAIL).where("cell >= 0")
 
 
 # --- dictionaries and documents -----------------------------------------------------------------
