@@ -8,7 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thriftlens.llm import chat, decontaminate, licences, lines, mixing, private, sharding, simhash, topk, toxicity
+from thriftlens.llm import (
+    chat,
+    decontaminate,
+    language,
+    licences,
+    lines,
+    mixing,
+    periodic,
+    private,
+    ranked,
+    sharding,
+    simhash,
+    topk,
+    toxicity,
+)
+from thriftlens.plans.binding import crc32_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +80,11 @@ FROM docs LEFT JOIN words_hit USING (row_id) LEFT JOIN named USING (row_id)
 """
 
 
+def held_out():
+    """Whether a document is kept from every fit."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+
+
 def sha256(text):
     return F.sha2(text.cast("binary"), 256)
 
@@ -222,7 +242,7 @@ def op8(spark, sf_dir):
     found, score = F.col("toxicity"), F.col("toxicity")["score"]
     return toxicity.passages(docs, model).select(
         "doc_id",
-        (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1).alias("held_out"),
+        held_out().alias("held_out"),
         score.alias("score"),
         (score >= toxicity.THRESHOLD).cast("int").alias("predicted"),
         F.size(found["segments"]).alias("n_passages"),
@@ -286,3 +306,114 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 def op10(spark, sf_dir):
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+RANKED_SQL = f"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, doc_id, w, len(w) AS n
+  FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents) WHERE len(w) > 0
+), total AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_all FROM docs),
+asked AS MATERIALIZED (
+  SELECT query, item_id, unnest(list_distinct(w)) AS t
+  FROM (SELECT row_number() OVER () AS query, item_id, {WORDS_SQL} AS w FROM benchmark)
+), postings AS MATERIALIZED (
+  SELECT row_id, t, count(*) AS tf FROM (SELECT row_id, unnest(w) AS t FROM docs)
+  WHERE t IN (SELECT t FROM asked) GROUP BY 1, 2
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM (SELECT t, count(*) AS df FROM postings GROUP BY 1), total
+), impacts AS (
+  SELECT row_id, doc_id, t, weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_all))) AS impact
+  FROM postings JOIN docs USING (row_id) JOIN weights USING (t), total
+), scored AS (
+  SELECT query, item_id, row_id, doc_id, CAST(sum(impact) AS BIGINT) AS score
+  FROM asked JOIN impacts USING (t) GROUP BY ALL
+), placed AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= {ranked.TOP}
+"""
+
+
+@query("op11_ranked_search", RANKED_SQL)
+def op11(spark, sf_dir):
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_language")
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs, ~held_out())
+    found = F.col("language")
+    return language.predicted(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        held_out().alias("held_out"),
+        found["lang"].alias("lang_pred"),
+        found["score"].alias("score"),
+        found["accepted"].alias("accepted"),
+    )
+
+
+RUNS_SQL = r"""
+WITH marked AS (
+  SELECT row_number() OVER () AS row_id, doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, (h // 10) % greatest(len(w), 1) AS a, 1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) AS p
+  FROM (SELECT doc_id, CHECKSUM AS h,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)
+), docs AS MATERIALIZED (
+  SELECT row_id, doc_id, n, CASE WHEN planted THEN w[:a] || list_transform(generate_series(a, n - 1), lambda i: w[a + (i - a) % p + 1]) ELSE w END AS w
+  FROM marked
+), words AS MATERIALIZED (
+  SELECT row_id, unnest(generate_series(0, n - 1)) AS i, unnest(w) AS word FROM docs WHERE n > 0
+), fives AS MATERIALIZED (
+  SELECT row_id, i, x FROM (
+    SELECT row_id, i, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS x, lead(i, 4) OVER o AS last
+    FROM words WINDOW o AS (PARTITION BY row_id ORDER BY i)) WHERE last IS NOT NULL
+), pairs AS (
+  SELECT row_id, a.i, b.i - a.i AS d FROM fives a JOIN fives b USING (row_id, x) JOIN docs USING (row_id) WHERE b.i > a.i AND 4 * (b.i - a.i) <= n
+), stretches AS MATERIALIZED (
+  SELECT row_id, d, min(i) AS start, count(*) + 4 + d AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY row_id, d ORDER BY i) AS island FROM pairs)
+  GROUP BY row_id, d, island HAVING count(*) + 4 + d >= greatest(6, 4 * d)
+), runs AS MATERIALIZED (
+  SELECT row_id, start, length, d AS period FROM stretches s
+  WHERE NOT EXISTS (SELECT 1 FROM stretches t WHERE t.row_id = s.row_id AND t.d < s.d
+    AND t.start <= s.start AND t.start + t.length >= s.start + s.length)
+), longest AS (
+  SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY length DESC, start, period) AS nth FROM runs
+), listed AS (
+  SELECT row_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS x
+  FROM runs GROUP BY 1
+), dropped AS (
+  SELECT DISTINCT row_id, unnest(generate_series(start + period, start + length - 1)) AS i FROM runs
+), collapsed AS (
+  SELECT row_id, string_agg(word, ' ' ORDER BY i) AS x FROM words ANTI JOIN dropped USING (row_id, i) GROUP BY 1
+)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length,
+  CAST(period AS BIGINT) AS period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(listed.x, '')) AS runs_sha256, sha256(coalesce(collapsed.x, '')) AS collapsed_sha256
+FROM docs LEFT JOIN listed USING (row_id) LEFT JOIN collapsed USING (row_id)
+  LEFT JOIN (SELECT * FROM longest WHERE nth = 1) USING (row_id)
+"""
+
+
+@query("op13_periodic_runs", RUNS_SQL.replace("CHECKSUM", crc32_sql("CAST(doc_id AS VARCHAR)")))
+def op13(spark, sf_dir):
+    docs = periodic.planted(table(spark, sf_dir, "documents"))
+    found = F.col("periodic")
+    runs = found["runs"]
+    # The longest run; of those the first, then the one with the smallest period.
+    longest = F.array_max(
+        F.transform(runs, lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("small")))
+    )
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return periodic.periodic_runs(docs).select(
+        "doc_id",
+        F.size(runs).cast("bigint").alias("n_runs"),
+        (-longest["back"]).alias("start"),
+        longest["length"].alias("length"),
+        (-longest["small"]).alias("period"),
+        F.floor(1000 * longest["length"] / -longest["small"]).alias("exponent_milli"),
+        sha256(F.array_join(lines, "")).alias("runs_sha256"),
+        sha256(found["collapsed"]).alias("collapsed_sha256"),
+    )
