@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thriftlens.operators.spread import positions_median, value_positions
+from thriftlens.operators.spread import null_safe_join, positions_median, positions_of_counts, value_positions
 from thriftlens.session import cut_lineage
 
 # Level 1 brand + garment + condition, level 2 brand + category, level 3 tier + garment.
@@ -34,32 +34,58 @@ def peer_score(shelf: DataFrame, keys: Sequence[str], price: str = "price_ore",
     return shelf.join(peer_table(shelf, keys, price, min_group), [*keys, price], "left")
 
 
+def _all_named(columns: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+
+
+def _group(keys: Sequence[str]) -> Column:
+    """A group of a level as one value."""
+    return F.array(*[F.col(c).cast("string") for c in keys])
+
+
+GROUP = ["peer_level", "peer_group"]
+
+
+def level_counts(shelf: DataFrame, levels: Sequence[Sequence[str]], price: str) -> DataFrame:
+    """(peer_level, peer_group, price, n_equal) of all levels in one pass: every row is expanded to its group of each level and counted
+    there before the one shuffle."""
+    names = [*dict.fromkeys(c for keys in levels for c in keys), price]
+    # A bit for each column that a grouping set leaves out, the first column's the highest.
+    left_out = [sum((c not in (*keys, price)) << k for k, c in enumerate(reversed(names))) for keys in levels]
+    sets = shelf.groupingSets([[*keys, price] for keys in levels], *names)
+    counts = sets.agg(F.grouping_id().alias("_left_out"), F.count(F.lit(1)).alias("n_equal"))
+    level = group = F.lit(None)
+    for i, keys in reversed(list(enumerate(levels))):
+        mine = (F.col("_left_out") == left_out[i]) & _all_named(keys)
+        level, group = F.when(mine, F.lit(i + 1)).otherwise(level), F.when(mine, _group(keys)).otherwise(group)
+    return counts.select(level.alias("peer_level"), group.alias("peer_group"), price, "n_equal").where("peer_level is not null")
+
+
 def peer_cascade(shelf: DataFrame, levels: Sequence[Sequence[str]] = PEER_LEVELS, min_group: int = 8, key: str = "item_id", price: str = "price_ore", keep: Sequence[str] = ()) -> DataFrame:
     """Peer position from the first level whose group has ``min_group`` members.
 
     Each level compares with the whole shelf of its key, also with items an earlier level placed.
-    Items no level can place are left out. The shelf is written once in its few columns, because
-    every level reads it again; ``keep`` names columns to carry along.
+    Items no level can place are left out, a group with a missing key is no group. ``keep`` names columns to carry along.
 
-    Which groups are large enough is known from their sizes alone, a small table. It says at which level a row is placed, so
-    every row joins the positions of one level only, and only prices of large enough groups are positioned.
+    The levels go through one plan: counts by (level, group, price) from one expanded read, positions of all of them by cells, and the level of
+    every combination of keys, a table much smaller than the shelf. The shelf's rows, written once in their few columns, are shuffled to meet the position
+    of their price at their level, and nothing else of their size is.
     """
-    columns = dict.fromkeys([*keep, *[c for keys in levels for c in keys]])
-    shelf = cut_lineage(shelf.select(key, price, *columns))
-    rows, level = shelf, F.lit(None).cast("int")
-    for i, keys in enumerate(levels, 1):
-        named = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, price]])
-        sizes = shelf.where(named).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_group)
-        rows = rows.join(cut_lineage(sizes.select(*keys, F.lit(i).alias(f"_l{i}"))), list(keys), "left")
-        level = F.coalesce(level, F.when(F.col(price).isNotNull(), F.col(f"_l{i}")))
-    rows = cut_lineage(rows.withColumn("peer_level", level).where(F.col("peer_level").isNotNull()))
-    parts = []
-    for i, keys in enumerate(levels, 1):
-        large = rows.select(*keys, price, f"_l{i}").where(F.col(f"_l{i}").isNotNull()).drop(f"_l{i}")
-        mine = rows.where(F.col("peer_level") == i).select(key, price, *columns, "peer_level")
-        placed = mine.join(peer_table(large, keys, price, min_group), [*keys, price])
-        parts.append(placed.select(key, price, *keep, "peer_level", "peer_n", "peer_median_ore", "peer_pct"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    names = list(dict.fromkeys(c for keys in levels for c in keys))
+    rows = cut_lineage(shelf.select(key, price, *dict.fromkeys([*keep, *names])).where(F.col(price).isNotNull()))
+    positions = positions_of_counts(level_counts(rows, levels, price), GROUP, price)
+    positions = cut_lineage(positions.where(F.col("n_group") >= min_group))
+    groups = positions_median(positions, GROUP, price, "n_group")
+    fits = F.array(*[F.when(_all_named(keys), F.struct(F.lit(i).alias("peer_level"), _group(keys).alias("peer_group"))) for i, keys in enumerate(levels, 1)])
+    combinations = rows.select(*names).distinct().select(*names, F.explode(fits).alias("_fit")).where("_fit is not null")
+    first = F.min(F.struct("peer_level", "peer_group", F.col("n_group").alias("peer_n"), F.col("median").alias("peer_median_ore")))
+    placed = combinations.select(*names, "_fit.*").join(groups, GROUP).groupBy(*names).agg(first.alias("_at")).select(*names, "_at.*")
+    pct = F.when(F.col("peer_n") > 1, F.col("n_below") / (F.col("peer_n") - 1)).otherwise(F.lit(0.0))
+    return (
+        null_safe_join(rows, placed, names)
+        .join(positions.select(*GROUP, price, "n_below"), [*GROUP, price])
+        .select(key, price, *keep, "peer_level", "peer_n", "peer_median_ore", pct.alias("peer_pct"))
+    )
 
 
 FROZEN = ["peer_pct", "peer_median_ore", "peer_n", "peer_level"]

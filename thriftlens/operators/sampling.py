@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
-from thriftlens.operators.selecting import cap_per_key, first_by_hash, hash_order
-from thriftlens.operators.spread import null_safe_join, numbered, pick_first, with_row
+from thriftlens.operators.selecting import cap_per_key, first_by_hash, first_per_group, hash_order
+from thriftlens.operators.spread import null_safe_join, with_row
 
 # Fixed values of the sampling design.
 BRAND_FLOOR = 500
@@ -45,7 +45,7 @@ def stratum_a(hits: DataFrame, floor: int = BRAND_FLOOR, cap: int = BRAND_CAP, e
     banded = hits.withColumn("price_band", s.price_band(F.col("price_ore"), edges))
     banded = banded.join(big_brands(hits, floor).select("brand"), "brand", "left_semi")
     cell = ["brand", "price_band"]
-    taken = pick_first(banded, cell, [hash_order(F.col(key), "A"), F.col(key)], quota)
+    taken = first_per_group(banded, cell, quota, "A", key)
     weight = F.col("population") / F.least(F.col("population"), F.lit(quota))
     return (
         taken.join(brand_band_population(hits, edges), cell)
@@ -92,15 +92,12 @@ def stratum_b(hits: DataFrame, big: DataFrame, target: int, edges_kr: Sequence[i
     total = population.agg(F.sum("population").alias("_total"))
     share = F.floor(F.col("population") * target / F.col("_total")).cast("long")
     quotas = with_row(population, total).withColumn("_quota", F.greatest(share, F.lit(1).cast("long"))).drop("_total")
-    order = tail.withColumn("_h", hash_order(F.col(key), "B"))
-    ranked = numbered(order, cell, ["_h", key], F.substring("_h", 1, 3), "_nth")
     return (
-        null_safe_join(ranked, quotas, cell)
-        .where(F.col("_nth") <= F.col("_quota"))
+        first_per_group(null_safe_join(tail, quotas, cell), [*cell, "_quota"], F.col("_quota"), "B", key)
         .withColumn("sample_weight", F.col("population") / F.least("population", "_quota"))
         .withColumn("stratum", F.lit("B"))
         .withColumn("price_band", s.price_band(F.col("price_ore")))
-        .drop("price_cell", "_h", "_nth", "_quota", "population")
+        .drop("price_cell", "_quota", "population")
     )
 
 

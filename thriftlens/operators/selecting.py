@@ -9,7 +9,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thriftlens.operators.spread import numbered, pick_first, with_row
+from thriftlens.operators.spread import null_safe_join, pick_first, with_row
 from thriftlens.session import cut_lineage
 
 
@@ -81,15 +81,63 @@ def hash_order(key: Column, seed: str | int = "") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+# Cells per doubling of a hash. The cell that holds position n holds about an eleventh of the rows before it.
+HASH_CELLS_PER_OCTAVE = 8
+
+
+def hash_cell(hashed: Column) -> Column:
+    """A cell number that never falls as the hex digits rise: 416 cells, each an eighth of a doubling. The first
+    52 bits decide, so cells are narrow where the order begins and a few hundred say where any position lies."""
+    head = F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double")
+    return F.floor(F.log2(head + 1) * HASH_CELLS_PER_OCTAVE).cast("int")
+
+
+def smallest_cells(df: DataFrame, n: int | Column, cell: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """The rows in the cells up to the one that holds position ``n``, of the whole table or of each group of ``keys`` (``n`` may be a column
+    of them): all of the first ``n`` rows of any order along which ``cell`` never falls, and the rest of one cell.
+
+    A first read counts rows by cell, which combines before the shuffle; in the second read the filter needs no shuffle. What follows, a limit or a row number, then moves
+    about ``n`` rows of a group, however many rows and tasks there are. ``df`` is read twice, so it must give the same rows twice.
+    """
+    keys, position = list(keys), F.lit(n) if isinstance(n, int) else n
+    marked = df.withColumn("_cell", cell)
+    counts = marked.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(upto), F.lit(0))
+    ends = counts.withColumn("_before", before).where(F.col("_before") < position)
+    ends = ends.groupBy(*keys).agg(F.max("_cell").alias("_last"))
+    bounded = null_safe_join(marked, ends, keys) if keys else with_row(marked, ends)
+    return bounded.where(F.col("_cell") <= F.col("_last")).drop("_cell", "_last")
+
+
 def first_by_hash(df: DataFrame, n: int, seed: str | int, key: str = "item_id") -> DataFrame:
-    """The first ``n`` rows in hash order, for an ``n`` too large for one task: rows are numbered in 4,096 cells of the hash."""
+    """The first ``n`` rows in hash order, also for an ``n`` too large for one task: rows in the cells before the one that holds position ``n`` are taken as
+    they are, and only that cell is put in order."""
+    marked = df.withColumn("_h", hash_order(F.col(key), seed))
+    near = smallest_cells(marked, n, hash_cell(F.col("_h"))).withColumn("_cell", hash_cell(F.col("_h")))
+    last = near.agg(F.max("_cell").alias("_last"))
+    inside = with_row(near, last)
+    whole = inside.where(F.col("_cell") < F.col("_last"))
+    rest = with_row(inside.where(F.col("_cell") == F.col("_last")), whole.agg(F.count(F.lit(1)).alias("_whole")))
+    nth = F.row_number().over(Window.orderBy("_h", key))
+    edge = rest.withColumn("_nth", nth).where(F.col("_nth") + F.col("_whole") <= n)
+    return whole.drop("_h", "_cell", "_last").unionByName(edge.drop("_h", "_cell", "_last", "_nth", "_whole"))
+
+
+def first_per_group(df: DataFrame, keys: Sequence[str], n: int | Column, seed: str | int, key: str = "item_id", name: str | None = None) -> DataFrame:
+    """The first ``n`` rows of each group in hash order; ``name`` keeps their number in a column of that name."""
     marked = df.withColumn("_h", hash_order(F.col(key), seed))
-    return numbered(marked, [], ["_h", key], F.substring("_h", 1, 3), "_nth").where(F.col("_nth") <= n).drop("_h", "_nth")
+    near = smallest_cells(marked, n, hash_cell(F.col("_h")), keys)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", key))
+    taken = near.withColumn(name or "_nth", nth).where(F.col(name or "_nth") <= n)
+    return taken.drop("_h") if name else taken.drop("_h", "_nth")
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """``n`` rows that depend on the keys and the seed only."""
-    return df.orderBy(hash_order(F.col(key), seed), key).limit(n)
+    """``n`` rows that depend on the keys and the seed only. Rows beyond the cell of the hash that holds position ``n`` are
+    left out where they are read."""
+    hashed = hash_order(F.col(key), seed)
+    return smallest_cells(df, n, hash_cell(hashed)).orderBy(hashed, key).limit(n)
 
 
 def assign_strata(df: DataFrame, strata: Mapping[str, Column], quotas: Mapping[str, int], key: str = "item_id", seed: str = "cohort") -> DataFrame:
@@ -97,17 +145,23 @@ def assign_strata(df: DataFrame, strata: Mapping[str, Column], quotas: Mapping[s
 
     At most the quotas of the earlier strata can be claimed before a stratum's turn, so its picks
     lie among the first (own + earlier quotas) of its candidates. One read spreads every row over the strata it
-    fits; only those first candidates are kept, and the claiming runs on that small table.
+    fits and counts them by cells of the hash, a second one keeps those first candidates and the rest of one cell, and the claiming runs on that small table.
     """
     fits = F.array(*[F.when(predicate, F.lit(i)) for i, predicate in enumerate(strata.values())])
     each = df.select(key, hash_order(F.col(key), seed).alias("_h"), F.explode(fits).alias("_s")).where(F.col("_s").isNotNull())
     reach = list(accumulate(quotas[name] for name in strata))
-    order = Window.partitionBy("_s").orderBy("_h", key)
-    first = each.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= reach[-1])
     mine = F.element_at(F.array(*[F.lit(r) for r in reach]), F.col("_s") + 1)
-    candidates = cut_lineage(first.where(F.col("_rank") <= mine).drop("_rank"))
+    near = smallest_cells(each, mine, hash_cell(F.col("_h")), ["_s"])
+    order = Window.partitionBy("_s").orderBy("_h", key)
+    first = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= mine)
+    candidates = cut_lineage(first.drop("_rank"))
+    return _claimed(candidates, list(strata), quotas, key)
+
+
+def _claimed(candidates: DataFrame, names: Sequence[str], quotas: Mapping[str, int], key: str) -> DataFrame:
+    """What the strata, numbered in ``_s``, claim of the first candidates of each."""
     claimed = None
-    for i, name in enumerate(strata):
+    for i, name in enumerate(names):
         mine = candidates.where(F.col("_s") == i).drop("_s")
         if claimed is not None:
             mine = mine.join(claimed.select(key), key, "left_anti")

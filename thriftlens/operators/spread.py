@@ -53,14 +53,15 @@ def _before(order: str, keys: Sequence[str], count: str) -> Column:
 def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per group and distinct value: ``n_equal`` rows at it, ``n_below`` rows under it,
     ``n_group`` rows in the group. Null values and null keys take no part."""
+    named = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, value]]))
+    return positions_of_counts(named.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_equal")), keys, value)
+
+
+def positions_of_counts(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``value_positions`` from one row per group and distinct value with ``n_equal``; no key is null."""
     keys = list(keys)
-    # The same filter on both uses of the counts lets Spark run their shuffle once.
-    counts = (
-        df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, value]]))
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("n_equal"))
-        .withColumn("_cell", value_cell(F.col(value)))
-    )
+    # The same rows on both sides of the join let Spark run their shuffle once.
+    counts = counts.withColumn("_cell", value_cell(F.col(value)))
     cells = (
         counts.groupBy(*keys, "_cell")
         .agg(F.sum("n_equal").alias("_n"))
@@ -74,8 +75,8 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     )
 
 
-def positions_median(positions: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Exact median per group, ``median``, from the rows of ``value_positions``."""
+def positions_median(positions: DataFrame, keys: Sequence[str], value: str, *carry: str) -> DataFrame:
+    """Exact median per group, ``median``, from the rows of ``value_positions``; ``carry`` names columns that are the same all over a group."""
     low = F.floor((F.col("n_group") - 1) / 2)
     high = F.floor(F.col("n_group") / 2)
 
@@ -83,7 +84,7 @@ def positions_median(positions: DataFrame, keys: Sequence[str], value: str) -> D
         hit = (F.col("n_below") <= position) & (position < F.col("n_below") + F.col("n_equal"))
         return F.max(F.when(hit, F.col(value).cast("double")))
 
-    return positions.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"))
+    return positions.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"), *[F.max(c).alias(c) for c in carry])
 
 
 def group_quantiles(
