@@ -56,16 +56,47 @@ def test_price_steps_go_on_after_a_stop(spark, folder, tmp_path):
     assert sorted(r.offer_id for r in out.collect()) == steps()
 
 
-def test_listing_state(spark, folder, tmp_path):
-    state = streams.listing_state(read(spark, folder), "price_ore")
-    writer = state.writeStream.outputMode("update").foreachBatch(streams.write_epochs(str(tmp_path / "state")))
-    streams.run_available(writer, str(tmp_path / "cp"))
-    written = spark.read.parquet(str(tmp_path / "state"))
+def newest():
     want = {}
     for item, n, _, price, _ in ROWS:
         want[item] = (n, price)
-    assert written.select("epoch").distinct().count() == 6
-    assert {r.item_id: (r.offer_id, r.price_ore) for r in streams.latest_of_epochs(written).collect()} == want
+    return want
+
+
+def held(spark, path):
+    rows = spark.read.parquet(path).collect()
+    assert len({r.item_id for r in rows}) == len(rows)
+    return {r.item_id: (r.offer_id, r.price_ore) for r in rows}
+
+
+def files(path):
+    return {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_kept_table(spark, folder, tmp_path):
+    """One row per listing after every batch; a replayed epoch changes no file, and one that was broken off is applied again."""
+    path = tmp_path / "state"
+    keep = streams.keep_newest(str(path), parts=4)
+    streams.run_available(read(spark, folder).writeStream.foreachBatch(keep), str(tmp_path / "cp"))
+    assert held(spark, str(path)) == newest() and streams.applied_epoch(spark, str(path)) == 5
+    before = files(path)
+    keep(spark.createDataFrame([ROWS[0], ("hot", 10**6, START + dt.timedelta(days=99), 1, "x")], SCHEMA), 5)
+    assert files(path) == before and held(spark, str(path)) == newest()
+    # An epoch that was not put down: older rows, and rows that are there, leave the table as it is.
+    keep(spark.createDataFrame(ROWS[-40:] + [("a", -1, START - dt.timedelta(days=1), 7, "x")], SCHEMA), 6)
+    assert held(spark, str(path)) == newest() and streams.applied_epoch(spark, str(path)) == 6
+
+
+def test_kept_table_replaces_touched_partitions_only(spark, tmp_path):
+    path = tmp_path / "state"
+    keep = streams.keep_newest(str(path), parts=16)
+    many = [(f"i{n}", n, START, 100, "x") for n in range(200)]
+    keep(spark.createDataFrame(many, SCHEMA), 0)
+    before = files(path)
+    keep(spark.createDataFrame([("i7", 900, START + dt.timedelta(hours=1), 50, "x")], SCHEMA), 1)
+    kept = {f for f, at in files(path).items() if before.get(f) == at}
+    assert len({f.parent for f in before} - {f.parent for f in kept}) == 1
+    assert held(spark, str(path)) == {i: (n, 100) for i, n, *_ in many} | {"i7": (900, 50)}
 
 
 def test_inflow_counts_a_listing_once(spark, folder, tmp_path):
@@ -109,3 +140,53 @@ def test_vanished_once_per_spell(spark, folder, tmp_path):
         last[item] = at
     want += [(i, at) for i, at in last.items() if closed(at + gap)]
     assert sorted((r.item_id, r.last_seen) for r in out.collect()) == sorted(want)
+
+
+def vanish(spark, tmp_path, parts, after="6 hours"):
+    landed = tmp_path / "landed"
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(landed))
+        stream = streams.vanished_by_timer(read(spark, str(landed)), after)
+        out = streams.to_table(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    return sorted((r.item_id, r.last_seen, r.vanished_at) for r in out.collect())
+
+
+def test_vanished_by_timer_is_the_end_of_every_spell(spark, folder, tmp_path):
+    streams_out = streams.to_table(streams.vanished_by_timer(read(spark, folder), "6 hours"), str(tmp_path / "t"), str(tmp_path / "tc"))
+    sessions = streams.to_table(streams.vanished_stream(read(spark, folder), "6 hours"), str(tmp_path / "s"), str(tmp_path / "sc"))
+    assert sorted(map(tuple, streams_out.collect())) == sorted(map(tuple, sessions.collect()))
+
+
+def test_a_listing_that_returns_vanishes_again(spark, tmp_path):
+    """Once for each spell, once in all for a spell that late sightings make longer, and not while the listing may still be there."""
+    hour = lambda h: START + dt.timedelta(hours=h)
+    row = lambda item, h: (item, h, hour(h), 100, "x")
+    got = vanish(
+        spark,
+        tmp_path,
+        [
+            [row("back", 0), row("back", 2), row("clock", 20)],
+            [row("joined", 40), row("clock", 60)],  # "back" is over and its state gone
+            [row("back", 50), row("joined", 50), row("joined", 45), row("joined", 38), row("clock", 90)],  # within the delay of a day
+            [row("back", 70), row("clock", 140)],
+        ],
+    )
+    end = lambda item, h: (item, hour(h), hour(h + 6))
+    assert got == sorted(
+        [end("back", 2), end("back", 50), end("back", 70), end("clock", 20), end("clock", 60), end("clock", 90), end("joined", 50)]
+    )
+
+
+def test_price_steps_of_a_hot_listing_in_several_arrow_batches(spark, tmp_path):
+    """The rows of a listing arrive in any order and in several frames."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        rows = [("hot", n, START + dt.timedelta(seconds=n), 100 * (n // 7 % 3), "x") for n in range(1_000)]
+        shuffled = random.sample(rows[:600], 600), random.sample(rows[600:], 400)
+        for part in shuffled:
+            spark.createDataFrame(part, SCHEMA).repartition(3).write.mode("append").parquet(str(tmp_path / "landed"))
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 3).parquet(str(tmp_path / "landed"))
+        out = streams.to_table(streams.price_steps(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+        assert sorted(r.offer_id for r in out.collect()) == [n for n in range(1_000) if n == 0 or n % 7 == 0]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

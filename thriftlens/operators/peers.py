@@ -46,19 +46,17 @@ def _group(keys: Sequence[str]) -> Column:
 GROUP = ["peer_level", "peer_group"]
 
 
+def _fits(levels: Sequence[Sequence[str]]) -> Column:
+    """The groups a row is in, one entry for each level; null where a key is missing."""
+    entries = [F.struct(F.lit(i).alias("peer_level"), _group(keys).alias("peer_group")) for i, keys in enumerate(levels, 1)]
+    return F.array(*[F.when(_all_named(keys), entry) for keys, entry in zip(levels, entries)])
+
+
 def level_counts(shelf: DataFrame, levels: Sequence[Sequence[str]], price: str) -> DataFrame:
-    """(peer_level, peer_group, price, n_equal) of all levels in one pass: every row is expanded to its group of each level and counted
+    """(peer_level, peer_group, price, n_equal) of all levels in one pass: every row is spread over its groups and counted
     there before the one shuffle."""
-    names = [*dict.fromkeys(c for keys in levels for c in keys), price]
-    # A bit for each column that a grouping set leaves out, the first column's the highest.
-    left_out = [sum((c not in (*keys, price)) << k for k, c in enumerate(reversed(names))) for keys in levels]
-    sets = shelf.groupingSets([[*keys, price] for keys in levels], *names)
-    counts = sets.agg(F.grouping_id().alias("_left_out"), F.count(F.lit(1)).alias("n_equal"))
-    level = group = F.lit(None)
-    for i, keys in reversed(list(enumerate(levels))):
-        mine = (F.col("_left_out") == left_out[i]) & _all_named(keys)
-        level, group = F.when(mine, F.lit(i + 1)).otherwise(level), F.when(mine, _group(keys)).otherwise(group)
-    return counts.select(level.alias("peer_level"), group.alias("peer_group"), price, "n_equal").where("peer_level is not null")
+    each = shelf.select(price, F.explode(_fits(levels)).alias("_fit")).where("_fit is not null")
+    return each.select("_fit.*", price).groupBy(*GROUP, price).agg(F.count(F.lit(1)).alias("n_equal"))
 
 
 def peer_cascade(shelf: DataFrame, levels: Sequence[Sequence[str]] = PEER_LEVELS, min_group: int = 8, key: str = "item_id", price: str = "price_ore", keep: Sequence[str] = ()) -> DataFrame:
@@ -67,7 +65,7 @@ def peer_cascade(shelf: DataFrame, levels: Sequence[Sequence[str]] = PEER_LEVELS
     Each level compares with the whole shelf of its key, also with items an earlier level placed.
     Items no level can place are left out, a group with a missing key is no group. ``keep`` names columns to carry along.
 
-    The levels go through one plan: counts by (level, group, price) from one expanded read, positions of all of them by cells, and the level of
+    The levels go through one plan: counts by (level, group, price) from one read, positions of all of them by cells, and the level of
     every combination of keys, a table much smaller than the shelf. The shelf's rows, written once in their few columns, are shuffled to meet the position
     of their price at their level, and nothing else of their size is.
     """
@@ -76,8 +74,7 @@ def peer_cascade(shelf: DataFrame, levels: Sequence[Sequence[str]] = PEER_LEVELS
     positions = positions_of_counts(level_counts(rows, levels, price), GROUP, price)
     positions = cut_lineage(positions.where(F.col("n_group") >= min_group))
     groups = positions_median(positions, GROUP, price, "n_group")
-    fits = F.array(*[F.when(_all_named(keys), F.struct(F.lit(i).alias("peer_level"), _group(keys).alias("peer_group"))) for i, keys in enumerate(levels, 1)])
-    combinations = rows.select(*names).distinct().select(*names, F.explode(fits).alias("_fit")).where("_fit is not null")
+    combinations = rows.select(*names).distinct().select(*names, F.explode(_fits(levels)).alias("_fit")).where("_fit is not null")
     first = F.min(F.struct("peer_level", "peer_group", F.col("n_group").alias("peer_n"), F.col("median").alias("peer_median_ore")))
     placed = combinations.select(*names, "_fit.*").join(groups, GROUP).groupBy(*names).agg(first.alias("_at")).select(*names, "_at.*")
     pct = F.when(F.col("peer_n") > 1, F.col("n_below") / (F.col("peer_n") - 1)).otherwise(F.lit(0.0))

@@ -60,11 +60,13 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
 def positions_of_counts(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """``value_positions`` from one row per group and distinct value with ``n_equal``; no key is null."""
     keys = list(keys)
-    # The same rows on both sides of the join let Spark run their shuffle once.
-    counts = counts.withColumn("_cell", value_cell(F.col(value)))
+    # Both sides of the join read the counts as they are dealt here: the filter that the join would put on one side stands
+    # before, so Spark sees the same rows and shuffles them once.
+    counts = counts.withColumn("_cell", value_cell(F.col(value))).where(F.col("_cell").isNotNull()).repartition(*keys, "_cell")
+    # The sum names the value too, or the shuffled columns would differ.
     cells = (
         counts.groupBy(*keys, "_cell")
-        .agg(F.sum("n_equal").alias("_n"))
+        .agg(F.sum(F.when(F.col(value).isNotNull(), F.col("n_equal"))).alias("_n"))
         .withColumn("_skip", _before("_cell", keys, "_n"))
         .withColumn("n_group", F.sum("_n").over(Window.partitionBy(*keys)))
         .drop("_n")

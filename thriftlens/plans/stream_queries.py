@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thriftlens.plans.binding import Market
@@ -16,19 +16,30 @@ from thriftlens.streaming import streams
 CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 1 DAY"
 
 
-PARTS = 4
+# Slices of time that the events land in, and files of each: a slice is a micro-batch.
+SLICES = 4
+FILES = 4
+SLICE_ROWS = 50_000_000
 
 
 def sightings(m: Market) -> DataFrame:
-    """The events as a stream of sightings of listings: landed in ``PARTS`` files by time, a micro-batch each."""
+    """The events as a stream of sightings of listings: landed slice by slice, each of some whole days and about as many rows, written by ``FILES`` tasks or more."""
     rows = m.table("events")
     folder = f"{_folder(m)}/landed"
-    place = F.percent_rank().over(Window.orderBy("day"))
-    days = rows.select(F.to_date("ts").alias("day")).distinct().withColumn("part", F.least(F.floor(place * PARTS), F.lit(PARTS - 1)))
-    for part in range(PARTS):
-        mine = rows.withColumn("day", F.to_date("ts")).join(days.where(F.col("part") == part), "day", "left_semi")
-        mine.drop("day").coalesce(1).write.parquet(f"{folder}/part={part}")
-    stream = m.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
+    days = rows.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n")).orderBy("day").collect()  # a row for each day
+    total = sum(d["n"] for d in days)
+    slices = max(SLICES, -(-total // SLICE_ROWS))
+    files = max(FILES, int(m.spark.conf.get("spark.sql.shuffle.partitions")))
+    seen, bounds = 0, []
+    for d in days:
+        if seen * slices >= len(bounds) * total:
+            bounds.append(d["day"])
+        seen += d["n"]
+    for part, (low, high) in enumerate(zip(bounds, [*bounds[1:], None])):
+        mine = rows.where(F.col("ts") >= F.lit(low)) if high is None else rows.where((F.col("ts") >= F.lit(low)) & (F.col("ts") < F.lit(high)))
+        mine.repartition(files).write.parquet(f"{folder}/part={part:06d}")
+    # Files are read in the order in which they landed, so a trigger takes one slice.
+    stream = m.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/part=*")
     return stream.select(
         F.col("user_id").cast("string").alias("item_id"),
         F.col("event_id").alias("offer_id"),
@@ -117,8 +128,17 @@ def stream_vanished(m: Market):
     SELECT cast(user_id AS varchar) AS item_id, event_id AS offer_id, event_type AS brand FROM events
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
 def stream_listing_state(m: Market):
+    """The newest row of every listing, from the table that the micro-batches keep."""
     folder = _folder(m)
-    state = streams.listing_state(sightings(m), "brand")
-    writer = state.writeStream.outputMode("update").foreachBatch(streams.write_epochs(f"{folder}/out"))
+    writer = sightings(m).drop("price_ore").writeStream.foreachBatch(streams.keep_newest(f"{folder}/out", parts=8))
     streams.run_available(writer, f"{folder}/checkpoint")
-    return streams.latest_of_epochs(m.spark.read.parquet(f"{folder}/out")).select("item_id", "offer_id", "brand")
+    return m.spark.read.parquet(f"{folder}/out").select("item_id", "offer_id", "brand")
+
+
+@query("stream_vanished_by_timer", None, f"{SPELLS} SELECT item_id, last_seen, closed_at AS vanished_at FROM spells")
+def stream_vanished_by_timer(m: Market):
+    out = _table(m, streams.vanished_by_timer(sightings(m), "12 hours"))
+    return out.select(
+        "item_id", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"),
+        F.col("vanished_at").cast("timestamp_ntz").alias("vanished_at"),
+    )

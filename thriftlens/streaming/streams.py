@@ -1,21 +1,25 @@
 """Structured Streaming forms of the dated passes.
 
 Streams of sightings carry ``item_id``, ``created_at`` (event time), ``offer_id``, ``price_ore`` and
-what an operator names besides. Spark keeps all state: its aggregates, windows and de-duplication where they can say it, and its
-state per key for the last price of a listing. A replayed micro-batch overwrites its own folder and nothing else.
+what an operator names besides. Spark keeps all state: its aggregates, windows and de-duplication where they can say it, and typed state per
+listing in RocksDB, with event-time timers, where they cannot. The table of newest rows is kept by key; a replayed micro-batch changes nothing there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from thriftlens.operators.selecting import latest_by_key
+from thriftlens.session import cut_lineage, staging
+from thriftlens.sources.tables import PART, part_of, replace_parts
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run_available(query_writer, checkpoint: str) -> StreamingQuery:
@@ -34,55 +38,162 @@ def to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 
 STEP = "item_id string, created_at timestamp, offer_id long, price_ore long"
-LAST = "created_at timestamp, offer_id long, price_ore long"
-
-
-def _moves(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The rows of one listing at which its price differs from the one before; ``state`` is the newest row so far."""
-    rows = pd.concat(list(batches)).sort_values(["created_at", "offer_id"], kind="stable")
-    last = state.get if state.exists else None
-    if last is not None:  # rows not newer than the state are late
-        at = pd.Timestamp(last[0])
-        newer = (rows.created_at > at) | ((rows.created_at == at) & (rows.offer_id > last[1]))
-        rows = rows[newer]
-    if not len(rows):
-        return
-    before = rows.price_ore.shift(1)
-    if last is not None:
-        before.iloc[0] = last[2]
-    newest = rows.iloc[-1]
-    state.update((newest.created_at.to_pydatetime(), int(newest.offer_id), int(newest.price_ore)))
-    yield rows[rows.price_ore != before][["item_id", "created_at", "offer_id", "price_ore"]]
 
 
-def price_steps(stream: DataFrame) -> DataFrame:
-    """A row only where the price of a listing differs from its last: change-only steps of rows with a price.
+def _keyed(stream: DataFrame, processor: StatefulProcessor, out: str, time_mode: str) -> DataFrame:
+    """The rows of a listing, and its state, through ``processor``. State lies in RocksDB, beside the heap of the executors."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return stream.groupBy("item_id").transformWithStateInPandas(processor, out, "Append", time_mode)
 
-    Spark's state holds one row per listing. A listing's rows of one micro-batch meet in one task, so the trigger's limit on
-    files or bytes bounds them; a row not newer than the state is late and is dropped."""
-    rows = stream.select("item_id", "created_at", "offer_id", "price_ore").where("price_ore is not null")
-    return rows.groupBy("item_id").applyInPandasWithState(_moves, STEP, LAST, "append", GroupStateTimeout.NoTimeout)
+
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.to_numpy().astype("datetime64[us]").astype(np.int64)
+
+
+def _times(micros: np.ndarray) -> pd.Series:
+    return pd.Series(np.asarray(micros, dtype=np.int64).astype("datetime64[us]"))
 
 
-def listing_state(stream: DataFrame, *columns: str) -> DataFrame:
-    """The newest row of every listing, as an aggregate: run it in update mode with ``write_epochs``."""
-    order = F.struct("created_at", "offer_id")
-    carried = F.struct("created_at", "offer_id", *[c for c in columns if c not in ("created_at", "offer_id")])
-    return stream.groupBy("item_id").agg(F.max_by(carried, order).alias("r")).select("item_id", "r.*")
+class PriceSteps(StatefulProcessor):
+    """The rows of one listing at which its price differs from the one before. The state is its newest row so far."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at long, offer_id long, price_ore long")
 
-def write_epochs(path: str) -> Callable[[DataFrame, int], None]:
-    """Micro-batch function that writes what a batch changed under its epoch."""
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # Three numbers are held of each row, the frames go.
+        parts = [np.stack([_micros(r.created_at), r.offer_id.to_numpy(), r.price_ore.to_numpy()]) for r in rows]
+        at, offer, price = np.concatenate(parts, axis=1)
+        order = np.lexsort((offer, at))
+        last = self.last.get() if self.last.exists() else None
+        if last is not None:  # rows not newer than the state are late
+            order = order[(at[order] > last[0]) | ((at[order] == last[0]) & (offer[order] > last[1]))]
+        if not len(order):
+            return
+        at, offer, price = at[order], offer[order], price[order]
+        moved = np.r_[last is None or price[0] != last[2], price[1:] != price[:-1]]
+        self.last.update((int(at[-1]), int(offer[-1]), int(price[-1])))
+        if moved.any():
+            yield pd.DataFrame({"item_id": key[0], "created_at": _times(at[moved]), "offer_id": offer[moved], "price_ore": price[moved]})
+
+    def close(self) -> None:
+        pass
+
+
+def price_steps(stream: DataFrame) -> DataFrame:
+    """A row only where the price of a listing differs from its last: change-only steps of rows with a price.
+
+    Spark's state holds one row per listing. A task holds 24 bytes for each row of a listing in one micro-batch, so the trigger's limit on
+    files or bytes bounds it; a row not newer than the state is late and is dropped."""
+    rows = stream.select("item_id", "created_at", "offer_id", "price_ore").where("price_ore is not null")
+    return _keyed(rows, PriceSteps(), STEP, "None")
+
+
+class Disappearance(StatefulProcessor):
+    """The ends of a listing's spells of presence. The state holds the spells that late sightings can still change, and a timer for the end of each."""
+
+    def __init__(self, after_us: int):
+        self.after = after_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "first long, last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ends: list[tuple[int, int]] = list(self.open.get()) if self.open.exists() else []
+        for frame in rows:
+            seen = np.sort(_micros(frame.created_at))
+            cuts = np.flatnonzero(np.diff(seen) > self.after) + 1
+            ends += [(int(part[0]), int(part[-1])) for part in np.split(seen, cuts)]
+        spells: list[tuple[int, int]] = []
+        for first, last in sorted(ends):
+            if spells and first - spells[-1][1] <= self.after:
+                spells[-1] = (spells[-1][0], max(last, spells[-1][1]))
+            else:
+                spells.append((first, last))
+        self._keep(spells)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        spells = list(self.open.get()) if self.open.exists() else []
+        over = np.array([last for _, last in spells if self._due(last) <= now], dtype=np.int64)
+        self._keep([s for s in spells if self._due(s[1]) > now])
+        if len(over):
+            yield pd.DataFrame({"item_id": key[0], "last_seen": _times(over), "vanished_at": _times(over + self.after)})
+
+    def _due(self, last: int) -> int:
+        """The millisecond by whose end the spell is over."""
+        return -(-(last + self.after) // 1000)
+
+    def _keep(self, spells: list[tuple[int, int]]) -> None:
+        """Spells and their timers; a listing without an open spell keeps neither."""
+        due, set_already = {self._due(last) for _, last in spells}, set(self.handle.listTimers())
+        for at in set_already - due:
+            self.handle.deleteTimer(at)
+        for at in due - set_already:
+            self.handle.registerTimer(at)
+        if spells:
+            self.open.put(spells)
+        else:
+            self.open.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def vanished_by_timer(stream: DataFrame, after: str, delay: str = "1 day", time: str = "created_at") -> DataFrame:
+    """One row when a listing has not been sighted for ``after``, once the watermark has passed that moment: a timer per open spell
+    fires then, and the state of the spell goes. A listing that returns begins a new spell."""
+    seconds = pd.Timedelta(after).total_seconds()
+    rows = stream.withWatermark(time, delay).select("item_id", F.col(time).alias("created_at"))
+    out = "item_id string, last_seen timestamp, vanished_at timestamp"
+    return _keyed(rows, Disappearance(int(seconds * 1_000_000)), out, "EventTime")
+
+
+def applied_epoch(spark: SparkSession, path: str) -> int:
+    """The last epoch that ``keep_newest`` wrote whole, or -1."""
+    try:
+        return spark.read.schema("epoch long").parquet(f"{path}.epoch").agg(F.max("epoch").alias("e")).first()["e"]
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1
+
+
+def keep_newest(path: str, keys: Sequence[str] = ("item_id",), order: Sequence[str] = ("created_at", "offer_id"), parts: int = 64) -> Callable[[DataFrame, int], None]:
+    """Micro-batch function that keeps one row per key, the last in ``order``, as a table in ``parts`` partitions by a hash of the key.
+
+    Only partitions that a batch has keys of are read and replaced. The epoch is put down when its rows are in; a batch of an epoch put
+    down before changes nothing, and one that was broken off is applied again with the same result, since the newest row stays the newest.
+    """
+    keys = list(keys)
+
+    def newest(rows: DataFrame) -> DataFrame:
+        row = F.struct(*[c for c in rows.columns if c not in keys])
+        return rows.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("_row")).select(*keys, "_row.*")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        spark = batch.sparkSession
+        done = applied_epoch(spark, path)
+        if epoch <= done:
+            return
+        with staging(spark):
+            changes = cut_lineage(newest(batch).withColumn(PART, part_of(keys, parts)))
+            touched = [r[PART] for r in changes.select(PART).distinct().collect()]  # ``parts`` numbers at most
+            fresh = changes.drop(PART)
+            if done >= 0 or _there(spark, path):
+                held = spark.read.parquet(path).where(F.col(PART).isin(touched)).drop(PART)
+                fresh = newest(fresh.unionByName(held))
+            replace_parts(fresh, path, keys, parts)
+        spark.createDataFrame([(epoch,)], "epoch long").coalesce(1).write.mode("append").parquet(f"{path}.epoch")
 
     return write
 
 
-def latest_of_epochs(written: DataFrame, key: str = "item_id") -> DataFrame:
-    """The newest row per key of what ``write_epochs`` wrote."""
-    return latest_by_key(written, [key], ["epoch"]).drop("epoch")
+def _there(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
 def dedupe_stream(stream: DataFrame, key: str, delay: str, time: str = "created_at") -> DataFrame:
