@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
-from thriftlens.operators.spread import group_quantiles
+from thriftlens.session import cut_lineage
 
 # Functions of price themselves; on the price target they would explain it trivially.
 NOT_FOR_PRICE = ["price_band", "peer_quartile"]
@@ -53,83 +53,79 @@ def _buckets(items: DataFrame, features: Mapping[str, Column], *values: Column)
     )
 
 
-def _board(kept: DataFrame, strength: DataFrame, target: str, as_of: Column) -> DataFrame:
+# The columns of a board, after its day and target.
+BOARD = ["feature", "buckets", "n", "lift", "strength", "best_bucket", "best_rate", "worst_bucket", "worst_rate"]
+
+
+def board_counts(items: DataFrame, features: Mapping[str, Column], sold: Column, price: str = "price_ore") -> DataFrame:
+    """All that both boards need of the listings, one row per (feature, bucket): rows and sold rows, and of those with a price
+    their number, sum and sum of squares."""
+    long = _buckets(items, features, F.coalesce(sold, F.lit(False)).alias("_sold"), F.col(price).alias("_y"))
+    y = F.col("_y").cast("decimal(19,0)")
+    return long.groupBy("feature", "bucket").agg(
+        F.count(F.lit(1)).alias("n_sale"),
+        F.count_if("_sold").alias("k"),
+        F.count("_y").alias("n_price"),
+        F.sum("_y").alias("y"),
+        F.sum(y * y).alias("yy"),
+    )
+
+
+def _board(kept: DataFrame, strength: Column, target: str, as_of: Column) -> DataFrame:
+    """One row per feature of the buckets ``kept``, (feature, bucket, n, rate and what ``strength`` aggregates), in one aggregate.
+
+    The percentiles over buckets are exact; their state is one number for each rate that a feature's buckets have, and
+    a bucket stands for ``min_bucket`` listings."""
     order = F.struct("rate", "bucket")
-    ends = kept.groupBy("feature").agg(
+    found = kept.groupBy("feature").agg(
         F.count(F.lit(1)).alias("buckets"),
         F.sum("n").alias("n"),
+        s.ratio(F.percentile("rate", F.lit(0.9)), F.percentile("rate", F.lit(0.1))).alias("lift"),
+        strength.alias("strength"),
         F.max_by("bucket", order).alias("best_bucket"),
         F.max("rate").alias("best_rate"),
         F.min_by("bucket", order).alias("worst_bucket"),
         F.min("rate").alias("worst_rate"),
     )
-    spread = group_quantiles(kept, ["feature"], {"rate": "rate"}, {"p90": 0.9, "p10": 0.1})
-    return (
-        ends.join(spread, "feature")
-        .join(strength, "feature")
-        .select(
-            as_of.alias("as_of"),
-            F.lit(target).alias("target"),
-            "feature",
-            "buckets",
-            "n",
-            s.ratio(F.col("p90_rate"), F.col("p10_rate")).alias("lift"),
-            "strength",
-            "best_bucket",
-            "best_rate",
-            "worst_bucket",
-            "worst_rate",
-        )
-    )
+    return found.select(as_of.alias("as_of"), F.lit(target).alias("target"), *BOARD)
 
 
-def sale_board(items: DataFrame, features: Mapping[str, Column], sold: Column, as_of: Column, min_bucket: int = 200) -> DataFrame:
+def sale_board(counts: DataFrame, as_of: Column, min_bucket: int = 200) -> DataFrame:
     """Sale rate per bucket: lift, Cramér's V and the extreme buckets. Thin buckets are dropped,
     not merged."""
-    long = _buckets(items, features, F.coalesce(sold, F.lit(False)).alias("_sold"))
-    cells = long.groupBy("feature", "bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("_sold").alias("k"))
-    kept = cells.where(F.col("n") >= min_bucket).withColumn("rate", F.col("k") / F.col("n"))
+    n, k = F.col("n"), F.col("k")
+    kept = counts.withColumn("n", F.col("n_sale")).where(n >= min_bucket).withColumn("rate", k / n)
     # With two outcomes, chi square is sum((k - n p)^2 / (n p (1 - p))), p the overall rate, and
-    # the smaller side of the table has two columns, so V = sqrt(chi2 / F.count(F.lit(1))).
-    sums = kept.groupBy("feature").agg(
-        F.sum("n").alias("N"),
-        F.sum("k").alias("K"),
-        F.sum(F.col("k") * F.col("k") / F.col("n")).alias("kk"),
-        F.count(F.lit(1)).alias("b"),
-    )
-    p = F.col("K") / F.col("N")
-    chi2 = s.ratio(F.col("kk") - F.col("K") * p, p * (1 - p))
-    v = F.sqrt(F.greatest(chi2 / F.col("N"), F.lit(0.0)))
-    strength = sums.select("feature", F.when(F.col("b") > 1, v).otherwise(0.0).alias("strength"))
-    return _board(kept, strength, "sale", as_of)
-
-
-def price_board(items: DataFrame, features: Mapping[str, Column], as_of: Column, min_bucket: int = 200, price: str = "price_ore") -> DataFrame:
-    """Mean ask per bucket: ratio of the 90th to the 10th percentile bucket, and eta squared."""
-    used = {f: c for f, c in features.items() if f not in NOT_FOR_PRICE}
-    priced = items.where(F.col(price).isNotNull())
-    long = _buckets(priced, used, F.col(price).alias("_y"))
-    y = F.col("_y").cast("decimal(19,0)")
-    cells = long.groupBy("feature", "bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_y").alias("y"), F.sum(y * y).alias("yy")
-    )
-    kept = cells.where(F.col("n") >= min_bucket).withColumn("rate", F.col("y") / F.col("n"))
-    sums = kept.groupBy("feature").agg(
-        F.sum("n").alias("N"),
-        F.sum("y").alias("Y"),
-        F.sum("yy").cast("double").alias("YY"),
-        F.sum(F.col("y") * F.col("rate")).alias("between"),
-    )
-    centre = F.col("Y").cast("double") * F.col("Y") / F.col("N")
-    eta2 = s.ratio(F.col("between") - centre, F.col("YY") - centre)
-    strength = sums.select("feature", F.greatest(F.coalesce(eta2, F.lit(0.0)), F.lit(0.0)).alias("strength"))
-    return _board(kept, strength, "price", as_of)
+    # the smaller side of the table has two columns, so V = sqrt(chi2 / total).
+    p = F.sum(k) / F.sum(n)
+    chi2 = s.ratio(F.sum(k * k / n) - F.sum(k) * p, p * (1 - p))
+    v = F.sqrt(F.greatest(chi2 / F.sum(n), F.lit(0.0)))
+    return _board(kept, F.when(F.count(F.lit(1)) > 1, v).otherwise(0.0), "sale", as_of)
+
+
+def price_board(counts: DataFrame, as_of: Column, min_bucket: int = 200) -> DataFrame:
+    """Mean ask per bucket: ratio of the 90th to the 10th percentile bucket, and eta squared. Features that are functions of price are left out."""
+    used = counts.where(~F.col("feature").isin(NOT_FOR_PRICE))
+    n, y = F.col("n"), F.col("y")
+    kept = used.withColumn("n", F.col("n_price")).where(n >= min_bucket).withColumn("rate", y / n)
+    centre = F.sum(y).cast("double") * F.sum(y) / F.sum(n)
+    eta2 = s.ratio(F.sum(y * F.col("rate")) - centre, F.sum("yy").cast("double") - centre)
+    return _board(kept, F.greatest(F.coalesce(eta2, F.lit(0.0)), F.lit(0.0)), "price", as_of)
+
+
+BOARDS = {"sale": sale_board, "price": price_board}
 
 
 def predictor_board(items: DataFrame, features: Mapping[str, Column], as_of: Column, target: str = "sale", min_bucket: int = 200, sold: Column | None = None) -> DataFrame:
-    if target == "sale":
-        sale = F.col("outcome") == s.SOLD if sold is None else sold
-        return sale_board(items, features, sale, as_of, min_bucket)
-    if target == "price":
-        return price_board(items, features, as_of, min_bucket)
-    raise ValueError(f"unknown target {target!r}")
+    """The board of one target: one read, one shuffle of bucket counts."""
+    if target not in BOARDS:
+        raise ValueError(f"unknown target {target!r}")
+    sale = F.col("outcome") == s.SOLD if sold is None else sold
+    return BOARDS[target](board_counts(items, features, sale), as_of, min_bucket)
+
+
+def predictor_boards(items: DataFrame, features: Mapping[str, Column], as_of: Column, min_bucket: int = 200, sold: Column | None = None) -> DataFrame:
+    """The boards of both targets from the same bucket counts, which are written once."""
+    sale = F.col("outcome") == s.SOLD if sold is None else sold
+    counts = cut_lineage(board_counts(items, features, sale))
+    return sale_board(counts, as_of, min_bucket).unionByName(price_board(counts, as_of, min_bucket))

@@ -199,9 +199,7 @@ def analytics_pass(items: DataFrame, previous_peers: DataFrame, out: str, as_of:
     def predictors() -> None:
         rows = filters.analysis_rows(state.get("items", items)).withColumn("peer_quartile", s.peer_quartile(F.col("peer_pct_frozen")))
         features = board.listing_features(day, band_edges) | {"peer_quartile": F.col("peer_quartile")}
-        rows = cut_lineage(rows)
-        both = [board.predictor_board(rows, features, day, t, min_bucket) for t in ("sale", "price")]
-        write_snapshot(both[0].unionByName(both[1]), f"{out}/predictor_daily", as_of)
+        write_snapshot(board.predictor_boards(rows, features, day, min_bucket), f"{out}/predictor_daily", as_of)
 
     def snapshot() -> None:
         write_snapshot(brand_daily(items, day, min_live, band_edges), f"{out}/brand_daily", as_of)
