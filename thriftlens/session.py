@@ -84,14 +84,15 @@ def removes_staged(job: Callable) -> Callable:
     return run
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back from there.
 
     Used where one result feeds several later reads. The files outlive lost executors, and later
-    reads fetch only the columns they need.
+    reads fetch only the columns they need. A ``lasting`` table stays when a ``staging`` around it ends.
     """
     spark = df.sparkSession
-    folder = _job_folder.get() or shared_dir(spark).rstrip("/")
+    folder = None if lasting else _job_folder.get()
+    folder = folder or shared_dir(spark).rstrip("/")
     path = f"{folder}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
