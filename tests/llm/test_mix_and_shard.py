@@ -35,9 +35,25 @@ def test_sample_follows_the_probabilities(many):
     found = mixing.mixed(many).select("_mix.*")
     expected, got = found.agg(F.sum("probability"), F.sum(F.col("sampled").cast("int"))).first()
     assert abs(expected - got) < 4 * expected**0.5
-    kept = mixing.sample(many)
+    kept = mixing.sample(many, within=False)
     assert kept.columns == many.columns and kept.count() == got
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in mixing.sample(many).collect())
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in mixing.sample(many, within=False).collect())
+
+
+def test_sampled_documents_meet_the_targets(spark):
+    """Without weights: the tokens of what is kept, source by source, language by language, topic by topic."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").drop("mix")
+    found = mixing.mixed(docs, within=True, rounds=40).select("source", "lang", "mix.*").toPandas()
+    assert found.weight.between(1 - 1e-9, 1 + 1e-9).all() and found.probability.max() > 1 - 1e-9
+    for name, power in mixing.POWERS.items():
+        tokens = found.groupby(name)[["n_tokens"]].sum().n_tokens
+        target = tokens**power / (tokens**power).sum()
+        kept = found[found.sampled]
+        got = kept.groupby(name).n_tokens.sum() / kept.n_tokens.sum()
+        expected = (found.n_tokens * found.probability).groupby(found[name]).sum() / (found.n_tokens * found.probability).sum()
+        assert ((expected - target).abs() < 1e-4).all()
+        spread = ((found.n_tokens**2 * found.probability * (1 - found.probability)).groupby(found[name]).sum() ** 0.5) / kept.n_tokens.sum()
+        assert ((got - target).abs() < 5 * spread + 0.01).all()
 
 
 def test_odd_rows_mix(odd):

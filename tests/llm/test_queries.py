@@ -12,6 +12,7 @@ import corpus_pipeline
 from check import compare, connect
 from tests.llm.test_lines import brute as brute_runs
 from tests.llm.test_private import seeds
+from tests.llm.test_resemblance import brute_kept
 from tests.llm.test_simhash import brute_components, plain_fingerprint
 from tests.llm.test_texts import words
 from thriftlens.llm import licences, lines
@@ -32,10 +33,10 @@ def documents(con):
     return con.execute("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     names = set(contract.queries())
     assert set(QUERIES) | {"pipeline"} <= names and set(ORACLES) <= set(contract.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -115,9 +116,8 @@ def test_pipeline_stages(spark, con, documents):
         assert docs.columns == (columns if k < 4 else [*columns, "shard", "slot"])
         kept.append({r["doc_id"] for r in docs.select("doc_id").collect()})
     assert all(b <= a for a, b in zip(kept, kept[1:]))
-    left = sorted(kept[0])
-    prints = [plain_fingerprint(text[i]) for i in left]
-    assert kept[1] == {c for i, c in zip(left, brute_components(left, prints)) if i == c}
+    left = [(i, text[i]) for i in sorted(kept[0])]
+    assert kept[1] == {left[x][0] for x in brute_kept(left)}
     dirty = {r[0] for r in con.execute(f"SELECT doc_id FROM ({ORACLES['op5_decontamination']}) WHERE contaminated").fetchall()}
     assert kept[2] == kept[1] - dirty and kept[4] == kept[3]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == kept[4]

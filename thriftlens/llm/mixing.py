@@ -71,6 +71,7 @@ def mixed(
     topics: dict[str, str] = TOPICS,
     seed: int = SEED,
     as_column: str = "mix",
+    within: bool = False,
 ) -> DataFrame:
     """``documents`` with a struct column: topic, n_tokens, probability, weight, sampled.
 
@@ -79,7 +80,8 @@ def mixed(
     tokens times probability times weight meet the targets. ``sampled`` compares the probability with a number drawn from a
     seeded hash of doc_id, so rows that share an id share the decision, and every run makes the same one. A null source or
     language is a value of its own. Texts without words have no tokens: cells of such alone, and an empty table, have probability
-    ``fraction`` and weight 1. The new column is the last and gets underscores before its name where the documents have such a column.
+    ``fraction`` and weight 1. ``within`` lowers the fraction until no cell needs a probability over 1: then every weight is 1, and the
+    sampled documents themselves meet the targets, as far as chance allows. The new column is the last and gets underscores before its name where the documents have such a column.
 
     Cells number sources times languages times topics at most. They stay in Spark; the join with the documents is a broadcast
     only where Spark finds their file small.
@@ -95,7 +97,11 @@ def mixed(
     total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
     rate = fraction * F.col("weight") * total / F.col("tokens")
     key = [F.col(name).alias(f"cell_{name}") for name in powers]
-    rates = cut_lineage(fitted.select(*key, rate.alias("cell_rate")))
+    rates = fitted.select(*key, rate.alias("cell_rate"))
+    if within:
+        most = F.max("cell_rate").over(Window.partitionBy(F.lit(1)))
+        rates = rates.withColumn("cell_rate", F.col("cell_rate") / F.greatest(most, F.lit(1.0)))
+    rates = cut_lineage(rates)
     same = [marked[column].eqNullSafe(rates[f"cell_{name}"]) for name, column in names.items()]
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), marked["doc_id"].cast("string")))
     drawn = F.conv(F.substring(digest, 1, 13), 16, 10)
@@ -114,7 +120,7 @@ def mixed(
 
 
 def sample(documents: DataFrame, **options) -> DataFrame:
-    """The sampled documents, with their own columns."""
+    """The sampled documents, with their own columns. They carry no weights, so the fraction is lowered until none is needed (``within``)."""
     name = free_name(documents, "mix")
-    found = mixed(documents, as_column=name, **options)
+    found = mixed(documents, as_column=name, **{"within": True, **options})
     return found.where(F.col(name)["sampled"]).select(*[F.col(f"`{c}`") for c in documents.columns])
