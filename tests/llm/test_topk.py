@@ -21,7 +21,8 @@ def brute(vectors, queries, k):
 
 
 def frame(spark, vectors):
-    return spark.createDataFrame(list(vectors.items()), "vec_id long, vector array<bigint>")
+    rows = [(row, i, v) for row, (i, v) in enumerate(vectors.items())]
+    return spark.createDataFrame(rows, "row long, vec_id long, vector array<bigint>")
 
 
 @pytest.mark.parametrize("kind", ["spread", "ties", "ragged", "huge", "same"])
@@ -53,8 +54,43 @@ def test_integer_vectors(spark):
     rows = [(1, [0.5, -0.001]), (2, None), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]), (None, [1.0]), (6, []),
             (7, [2.0]), (7, [1.0]), (7, [1.0])]
     df = spark.createDataFrame([(*r, 0, "v") for r in rows], "vec_id long, embedding array<float>, label int, vector string")
-    got = {r["vec_id"]: r["vector"] for r in topk.integer_vectors(df).collect()}
-    assert got == {1: [128, -1], 6: [], 7: [256]}
+    got = topk.integer_vectors(df).collect()
+    assert len({r["row"] for r in got}) == len(got)
+    assert sorted(((r["vec_id"], r["vector"]) for r in got), key=repr) == sorted(
+        [(1, [128, -1]), (6, []), (7, [512]), (7, [256]), (7, [256]), (None, [256])], key=repr
+    )
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Every row is a candidate of every other, also of one with its id; of equal scores the smaller id goes first, a null last."""
+    rnd = random.Random(6)
+    ids = [0, 0, 0, 1, 1, 2, None, None, 50, 50, 7, 8, 9]
+    rows = [(k, i, [rnd.randint(-3, 3) for _ in range(4)]) for k, i in enumerate(ids)]
+    rows[1] = (1, 0, [9, 9, 9, 9])  # the best of all stands on a second row of an id
+    df = spark.createDataFrame(rows, "row long, vec_id long, vector array<bigint>")
+    want = []
+    for q, query_id, a in rows:
+        if query_id is not None and query_id % 50 == 0:
+            scored = [(-sum(x * y for x, y in zip(a, b)), i is None, i or 0, i) for r, i, b in rows if r != q]
+            want += [(query_id, rank, i, -s) for rank, (s, _, _, i) in enumerate(sorted(scored, key=lambda x: x[:3])[:4], 1)]
+    for blocks in (3, 100):
+        got = topk.top_k(df, df.where("vec_id % 50 = 0"), k=4, block_vectors=blocks, block_queries=2)
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_few_exact_vectors_are_read(spark):
+    """The bounds leave a small part of all pairs, and the floor from the first block keeps other blocks from passing on theirs."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(-256, 256, (2000, 16))
+    grid = topk.Cells(x.min(axis=0), x.max(axis=0), 8)
+    cells, rows = grid.numbers(x), np.arange(2000)
+    floors = np.full(40, topk.NONE)
+    first = topk.near_of_block(rows[:1000], cells[:1000], rows[:40], x[:40], floors, grid, 5)
+    assert len(first[0]) < 40 * 20
+    kth = np.array([np.sort(first[2][first[0] == q])[-5] for q in range(40)])
+    alone = topk.near_of_block(rows[1000:], cells[1000:], rows[:40], x[:40], floors, grid, 5)
+    after = topk.near_of_block(rows[1000:], cells[1000:], rows[:40], x[:40], kth, grid, 5)
+    assert len(after[0]) < 0.8 * len(alone[0])
 
 
 def test_cells_bound_the_products():
@@ -70,7 +106,7 @@ def test_cells_bound_the_products():
 
 def test_recall_is_whole(spark):
     df = spark.range(400).select(
-        F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.floor(F.rand(5) * 200)).alias("vector")
+        F.col("id").alias("row"), F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.floor(F.rand(5) * 200)).alias("vector")
     )
     vectors = {r["vec_id"]: r["vector"] for r in df.collect()}
     found = topk.top_k(frame(spark, vectors), frame(spark, vectors), k=3, cell_bits=2, block_vectors=50, block_queries=50)

@@ -285,18 +285,16 @@ def op9(spark, sf_dir):
 
 
 TOP_SQL = """
-WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS vector
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-  GROUP BY vec_id
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, v.vec_id,
+  SELECT q.r, q.vec_id AS query_id, v.vec_id,
     CAST(list_sum(list_transform(list_zip(q.vector, v.vector), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id
+  FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.r <> v.r
 ), ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+  SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """

@@ -1,12 +1,12 @@
 """Exact top-k by inner product with vector-approximation files.
 
 Vectors of integers are quantised: each dimension is cut into equal cells between its least and greatest value, and a vector is approximated by
-the numbers of its cells. For a query the cells give an upper and a lower bound of every inner product. In a block of vectors
-the bounds are scanned first; exact vectors are then decoded from the highest upper bound down, until no bound that is left can
-change the k best. The best of all blocks meet in a last small choice.
+the numbers of its cells, a byte each. For a query the cells give a lower and an upper bound of every inner product.
 
-Vectors are dealt into blocks, queries too, and each block of vectors meets each block of queries in one task: neither
-the vectors nor the queries are ever in one place as a whole.
+The file of cells is scanned first, and no exact vector is read for it. Cells are dealt into blocks, queries too, and each block of cells meets each block of queries
+in one task. One block gives every query a first bound of its kth score, which all other blocks start from; a block passes on the rows whose upper bound reaches
+the best bound known there. Exact vectors are then fetched by row, for each query first the k rows with the highest upper bounds. Their kth score is
+certain to be reached, so only rows whose upper bound is as high are fetched after them.
 """
 
 from __future__ import annotations
@@ -19,27 +19,24 @@ from pyspark.sql import functions as F
 from thriftlens.session import cut_lineage
 
 #: Bits of a cell number.
-CELL_BITS = 6
+CELL_BITS = 8
 #: Vectors and queries in a block, about.
 BLOCK_VECTORS = 4096
 BLOCK_QUERIES = 1024
-#: Exact vectors decoded at a time.
-VISIT = 32
 #: Scores of less are exact in double precision.
 EXACT = 1 << 53
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = 256, name: str = "embedding") -> DataFrame:
-    """(vec_id, vector): each component x as floor(scale * x), x as double.
+    """(row, vec_id, vector): each component x as floor(scale * x), x as double, and a number of the row, given when this table is written.
 
-    Rows with a null id, a null vector, or a component that is null or not finite are left out. Rows that share an id count once: the
-    smallest vector stays.
+    Rows with a null vector, or with a component that is null or not finite, are left out. Rows that share an id, or have none, are rows like any other.
     """
     values = F.transform(F.col(name), lambda x: x.cast("double"))
     finite = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = embeddings.where(F.col("vec_id").isNotNull() & F.col(name).isNotNull()).where(finite)
+    usable = embeddings.where(F.col(name).isNotNull()).where(finite)
     vector = F.transform(values, lambda x: F.floor(x * scale).cast("bigint"))
-    return usable.groupBy(F.col("vec_id").cast("bigint").alias("vec_id")).agg(F.min(vector).alias("vector"))
+    return cut_lineage(usable.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("bigint").alias("vec_id"), vector.alias("vector")))
 
 
 def _bounds(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -92,37 +89,30 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def best_of_block(ids, cells, exact, query_ids, queries, grid: Cells, k: int):
-    """(query, rank, id, score) of the k best of a block for each query, its own row left out.
+NEAR = "query bigint, row bigint, lower bigint, upper bigint"
+#: Below every bound.
+NONE = np.iinfo(np.int64).min
 
-    ``exact(rows)`` decodes the vectors of some rows."""
+
+def near_of_block(rows, cells, query_rows, queries, floors, grid: Cells, k: int):
+    """(query, row, lower, upper) of the rows of a block that may be among the k best of a query: their upper bound reaches ``floors``, a bound
+    of the query's kth score, and the kth highest lower bound of the block. A query's own row is left out."""
     corner = products(queries, grid.corners(cells))
     slack = grid.width - 1
     upper = corner + (np.maximum(queries, 0) @ slack)[:, None]
     lower = corner + (np.minimum(queries, 0) @ slack)[:, None]
-    found = []
-    for q, query_id in enumerate(query_ids):
-        others = np.flatnonzero(ids != query_id)
-        if not len(others):
-            continue
-        high, low = upper[q, others], lower[q, others]
-        least = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else low.min()
-        visit = others[high >= least]
-        order = visit[np.lexsort((ids[visit], -upper[q, visit]))]
-        scores, seen, kth = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), None
-        for at in range(0, len(order), VISIT):
-            rows = order[at : at + VISIT]
-            if kth is not None and upper[q, rows[0]] < kth:
-                break  # the kth result is certain
-            scores = np.concatenate([scores, products(queries[q : q + 1], exact(rows))[0]])
-            seen = np.concatenate([seen, rows])
-            best = np.lexsort((ids[seen], -scores))[:k]
-            scores, seen = scores[best], seen[best]
-            kth = scores[-1] if len(scores) == k else None
-        found.append((np.full(len(seen), query_id), ids[seen], scores))
-    if not found:
-        return [np.zeros(0, dtype=np.int64)] * 3
-    return [np.concatenate(x) for x in zip(*found)]
+    own = query_rows[:, None] == rows[None, :]
+    lower[own] = NONE
+    least = floors
+    if len(rows) > k:  # with the own row among them there are k others
+        least = np.maximum(least, np.partition(lower, len(rows) - k, axis=1)[:, len(rows) - k])
+    query, row = np.nonzero((upper >= least[:, None]) & ~own)
+    return query_rows[query], rows[row], lower[query, row], upper[query, row]
+
+
+def _ranked(near: DataFrame, order: list, k: int, name: str = "rank") -> DataFrame:
+    window = Window.partitionBy("query").orderBy(*order)
+    return near.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
 
 
 def top_k(
@@ -135,11 +125,12 @@ def top_k(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` the k rows of ``vectors`` with the highest inner product.
 
-    Both are (vec_id, vector of long) with ids that occur once, as ``integer_vectors`` makes them. A query's own id is no candidate; ties go to the
-    smaller id; with fewer than k candidates all are returned. A vector that is shorter than another counts as filled up with zeros.
-    Scores must fit 64 bits. No queries, or no vectors, give no rows.
+    Both are (row, vec_id, vector of long) as ``integer_vectors`` makes them; ``queries`` are some of the rows of ``vectors``, or others with row numbers of their own. A
+    query's own row is no candidate, another row with its id is; ties go to the smaller id, a null last; with fewer than k candidates all
+    are returned. A vector that is shorter than another counts as filled up with zeros.
+    Scores must fit 64 bits, cells a byte (``cell_bits`` of 8 at most). No queries, or no vectors, give no rows.
     """
-    vectors, queries = cut_lineage(vectors), cut_lineage(queries)
+    queries = cut_lineage(queries)
     n, m = vectors.count(), queries.count()
     low, high = _bounds(vectors)
     if not n or not m:
@@ -153,23 +144,11 @@ def top_k(
             lists = batch.column(1)
             rows = padded(lists.values.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py(), dimensions)
             cells = [c.tobytes() for c in grid.numbers(rows)]
-            exact = [r.tobytes() for r in rows]
-            columns = [batch.column(0), pa.array(cells, pa.binary()), pa.array(exact, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "cells", "exact"])
-
-    blocks, query_blocks = -(-n // block_vectors), -(-m // block_queries)
-    dealt = lambda name, of: F.pmod(F.xxhash64("vec_id"), F.lit(of)).cast("int").alias(name)
-    every = lambda name, of: F.explode(F.sequence(F.lit(0), F.lit(of - 1))).alias(name)
-    file = cut_lineage(vectors.mapInArrow(approximate, "vec_id bigint, cells binary, exact binary"))
-    there = file.select("*", dealt("block", blocks)).select("*", every("query_block", query_blocks))
-    asked = queries.select("*", dealt("query_block", query_blocks)).select("*", every("block", blocks))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], ["row", "cells"])
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = left["vec_id"].to_numpy()
-        joined = lambda column, kind: np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
-        cells = joined(left["cells"], np.uint8).reshape(len(ids), dimensions)
-        stored = left["exact"]
-        exact = lambda rows: joined(stored.take(pa.array(rows)), np.int64).reshape(len(rows), dimensions)
+        rows = left["row"].to_numpy()
+        cells = np.frombuffer(b"".join(left["cells"].to_pylist()), dtype=np.uint8).reshape(len(rows), dimensions)
         lists = right["vector"].combine_chunks()
         offsets = lists.offsets.to_numpy()
         cut = np.minimum(np.diff(offsets), dimensions)
@@ -177,19 +156,42 @@ def top_k(
         if (np.diff(offsets) > dimensions).any():  # what the vectors do not have scores nothing
             values = np.concatenate([values[a : a + c] for a, c in zip(offsets, cut)])
             offsets = np.r_[0, np.cumsum(cut)]
-        asked_rows = padded(values[offsets[0] : offsets[-1]], offsets - offsets[0], dimensions)
-        columns = best_of_block(ids, cells, exact, right["vec_id"].to_numpy(), asked_rows, grid, k)
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    pair = ["block", "query_block"]
-    found = (
-        there.groupBy(*pair)
-        .cogroup(asked.groupBy(*pair))
-        .applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+        asked = padded(values[offsets[0] : offsets[-1]], offsets - offsets[0], dimensions)
+        floors = right["floor"].to_numpy()
+        columns = near_of_block(rows, cells, right["row"].to_numpy(), asked, floors, grid, k)
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query", "row", "lower", "upper"])
+
+    blocks, query_blocks = -(-n // block_vectors), -(-m // block_queries)
+    dealt = lambda name, of: F.pmod(F.xxhash64("row"), F.lit(of)).cast("int").alias(name)
+    file = vectors.select("row", "vector").mapInArrow(approximate, "row bigint, cells binary").select("*", dealt("block", blocks))
+    file = cut_lineage(file)
+
+    def scanned(first: int, last: int, asked: DataFrame) -> DataFrame:
+        """What the blocks from ``first`` to ``last`` pass on; ``asked`` has a floor for each query."""
+        every = lambda name, low, high: F.explode(F.sequence(F.lit(low), F.lit(high))).alias(name)
+        there = file.where(F.col("block").between(first, last)).select("row", "cells", "block", every("query_block", 0, query_blocks - 1))
+        here = asked.select("row", "vector", "floor", dealt("query_block", query_blocks), every("block", first, last))
+        pair = ["block", "query_block"]
+        return there.groupBy(*pair).cogroup(here.groupBy(*pair)).applyInArrow(search, NEAR)
+
+    near = cut_lineage(scanned(0, 0, queries.withColumn("floor", F.lit(int(NONE)).cast("bigint"))))
+    if blocks > 1:
+        kth = _ranked(near, [F.desc("lower"), "row"], k).where(F.col("rank") == k).select(F.col("query").alias("row"), F.col("lower").alias("floor"))
+        asked = queries.join(kth, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(int(NONE)).cast("bigint")))
+        near = cut_lineage(near.unionByName(scanned(1, blocks - 1, cut_lineage(asked))))
+    vector = lambda name, of: of.select(F.col("row").alias(name), F.col("vector").alias(f"{name}_vector"))
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        """Their scores, from the vectors of the rows that they name."""
+        both = pairs.join(vector("row", vectors), "row").join(vector("query", queries), "query")
+        product = F.zip_with("row_vector", "query_vector", lambda x, y: F.coalesce(x * y, F.lit(0).cast("bigint")))
+        return both.select("query", "row", F.aggregate(product, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("score"))
+
+    highest = cut_lineage(exact(_ranked(near, [F.desc("upper"), "row"], k).select("query", "row")))
+    certain = highest.groupBy("query").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("certain"))
+    rest = near.join(certain, "query").where(F.col("certain").isNull() | (F.col("upper") >= F.col("certain"))).select("query", "row")
+    found = highest.unionByName(exact(rest.join(highest, ["query", "row"], "left_anti")))
+    named = found.join(vectors.select("row", "vec_id"), "row")
+    best = _ranked(named, [F.desc("score"), F.asc_nulls_last("vec_id")], k)
+    ids = queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
+    return best.join(ids, "query").select("query_id", "rank", "vec_id", "score")
