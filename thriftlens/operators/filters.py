@@ -126,7 +126,7 @@ def mark_ineligible(df: DataFrame, price: str = "price_kr") -> DataFrame:
 
 
 def stratum_predicates(on_shelf: Column | None = None) -> dict[str, Column]:
-    """The rules of the frozen cohort strata, in claiming order."""
+    """The rules of the frozen cohort strata, in claiming order. Names, order and bounds are fixed values."""
     shelf = F.col("on_shelf") if on_shelf is None else on_shelf
     cheap, wanted = F.col("price_to_estimate") < 0.6, F.col("favourites") >= 5
     return {

@@ -11,6 +11,7 @@ from thriftlens.functions import scalars as s
 from thriftlens.operators.spread import (
     group_quantiles,
     positions_median,
+    positions_of_counts,
     value_positions,
     with_quantiles,
     with_row,
@@ -214,14 +215,55 @@ def state_on(steps: DataFrame, cutoff: Column) -> DataFrame:
     return asks.join(known, "item_id")
 
 
-def backtest(steps: DataFrame, outcomes: DataFrame, rule: Column, cutoff: Column) -> DataFrame:
-    """A buy rule on the state of a past day, scored on what happened later."""
-    state = state_on(steps, cutoff).withColumn("picked", F.coalesce(rule, F.lit(False)))
+def _scored(state: DataFrame, outcomes: DataFrame, rule: Column, keys: Sequence[str]) -> DataFrame:
+    """What happened later to the listings that ``rule`` picks, and to the others."""
+    state = state.withColumn("picked", F.coalesce(rule, F.lit(False)))
     later = outcomes.select("item_id", "sold", "final_price_ore", "ended_on")
-    rows = state.join(later, "item_id").withColumn("days", F.datediff("ended_on", cutoff))
-    summary = rows.groupBy("picked").agg(F.count(F.lit(1)).alias("n"), s.ratio(F.count_if("sold"), F.count(F.lit(1))).alias("sell_through"))
+    rows = state.join(later, "item_id").withColumn("days", F.datediff("ended_on", "cutoff"))
+    groups = [*keys, "picked"]
+    summary = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), s.ratio(F.count_if("sold"), F.count(F.lit(1))).alias("sell_through"))
     kept = s.ratio(F.col("final_price_ore"), F.col("ask_ore"))
-    return with_quantiles(summary, rows, ["picked"], {"kept": kept, "days": "days"})
+    return with_quantiles(summary, rows, groups, {"kept": kept, "days": "days"})
+
+
+def backtest(steps: DataFrame, outcomes: DataFrame, rule: Column, cutoff: Column) -> DataFrame:
+    """A buy rule on the state of a past day, scored on what happened later."""
+    return _scored(state_on(steps, cutoff).withColumn("cutoff", cutoff), outcomes, rule, [])
+
+
+# Days of a cell in which steps and cutoffs meet.
+CELL_DAYS = 28
+
+
+def states_on(steps: DataFrame, cutoffs: DataFrame, cell_days: int = CELL_DAYS) -> DataFrame:
+    """``state_on`` for every day of ``cutoffs`` (a column ``cutoff``) at once: (cutoff, item_id, ask, opening ask, markdowns).
+
+    A step holds from its day up to the day of the next one. It is spread over the cells of ``cell_days`` days that it touches between the first and
+    the last cutoff, meets the cutoffs of these cells in an equi-join, and its own days decide there. So the steps are read once for all cutoffs, and
+    a step meets the cutoffs near it only. A step without a time is no part of any state.
+    """
+    day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
+    marks = cutoffs.select("cutoff", day("cutoff").alias("_on")).distinct()
+    timed = steps.where(F.col("created_at").isNotNull())
+    first = timed.groupBy("item_id").agg(F.min_by("price_ore", "rung").alias("opening_ask_ore"))
+    bounds = marks.agg(F.min("_on").alias("_low"), F.max("_on").alias("_high"))
+    open_ones = with_row(
+        timed.select("item_id", "rung", F.col("price_ore").alias("ask_ore"), day("created_at").alias("_from"), day("ended_at").alias("_to")), bounds
+    )
+    # Up to, and not with, the day of the next step; the last step holds on.
+    to = F.least(F.coalesce("_to", F.col("_high") + 1), F.col("_high") + 1)
+    since = F.greatest("_from", "_low")
+    cell = lambda c: F.floor(c / cell_days)
+    spread = open_ones.withColumn("_to", to).withColumn("_since", since).where(F.col("_since") < F.col("_to"))
+    spread = spread.withColumn("_cell", F.explode(F.sequence(cell(F.col("_since")), cell(F.col("_to") - 1))))
+    met = spread.join(marks.withColumn("_cell", cell(F.col("_on"))), "_cell").where((F.col("_from") <= F.col("_on")) & (F.col("_on") < F.col("_to")))
+    states = met.select("cutoff", "item_id", "ask_ore", (F.col("rung") - 1).alias("markdowns"))
+    return states.join(first, "item_id")
+
+
+def backtest_many(steps: DataFrame, outcomes: DataFrame, rule: Column, cutoffs: DataFrame, cell_days: int = CELL_DAYS) -> DataFrame:
+    """``backtest`` of one rule at many cutoffs in one pass: a row for each cutoff and for what the rule picked and did not."""
+    return _scored(states_on(steps, cutoffs, cell_days), outcomes, rule, ["cutoff"])
 
 
 def daily_aggregate(ladders: DataFrame, dimensions: Sequence[str]) -> DataFrame:
@@ -238,6 +280,38 @@ def daily_aggregate(ladders: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     return with_quantiles(summary, long, keys, {"price_ore": "final_price_ore", "days": "days_on_market"})
 
 
+# Measures of a sale that are kept as counts of their values.
+SALE_MEASURES = {"price_ore": "final_price_ore", "days": "days_on_market"}
+
+
+def sale_counts(ladders: DataFrame, dimensions: Sequence[str]) -> DataFrame:
+    """(ended_on, dimension, value, measure, x, n): how many sales of a day and value have which price and took how many days.
+
+    The counts of different sales add up, so those of new days, or of late sales of an old day, are added to a table without reading the listings
+    it was made of. A null measure is counted under a null ``x``."""
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions])
+    measures = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(c).cast("double").alias("x")) for m, c in SALE_MEASURES.items()])
+    sold = ladders.where(F.col("sold") & F.col("ended_on").isNotNull()).select("ended_on", F.explode(pairs).alias("p"), measures.alias("_m"))
+    each = sold.where(F.col("p.value").isNotNull()).select("ended_on", "p.*", F.explode("_m").alias("m"))
+    return each.select("ended_on", "dimension", "value", "m.*").groupBy("ended_on", "dimension", "value", "measure", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def aggregate_of_counts(counts: DataFrame, period: Column, name: str = "period") -> DataFrame:
+    """(period, dimension, value) with units, median price and median days, exact, from rows of ``sale_counts``. ``period`` is a column of
+    ``ended_on``: the day itself, its month, or a literal for all days."""
+    keys = [name, "dimension", "value", "measure"]
+    added = counts.withColumn(name, period).groupBy(*keys, "x").agg(F.sum("n").alias("n_equal"))
+    positions = positions_of_counts(added.where(F.col("x").isNotNull()), keys, "x")
+    medians = positions_median(positions, keys, "x")
+    units = added.groupBy(*keys).agg(F.sum("n_equal").alias("units"))
+    at = lambda m: F.max(F.when(F.col("measure") == m, F.col("median")))
+    return (
+        units.join(medians, keys, "left")
+        .groupBy(*keys[:-1])
+        .agg(F.max("units").alias("units"), *[at(m).alias(f"med_{m}") for m in SALE_MEASURES])
+    )
+
+
 def cutoff_drift(rows: DataFrame) -> DataFrame:
     """Accept cutoff by category and month, kept apart per model version."""
     keys = ["score_version", "category", "month"]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
+from thriftlens.functions.sql_tables import register_tables
 from thriftlens.operators import board, brands, filters, slices
 from thriftlens.operators.peers import peer_cascade, unfrozen
 from thriftlens.plans import jobs
@@ -64,8 +67,8 @@ def _board_sql(target: str, features: dict = FEATURES, source: str = "items", le
     if target == "sale":
         # Chi square from the expected counts of both columns of the table.
         strength = (
-            "CASE WHEN count(*) > 1 THEN coalesce(sqrt((sum((y - n * p) ** 2 / (n * p)) + "
-            "sum((n - y - n * (1 - p)) ** 2 / (n * (1 - p)))) / sum(n)), 0) ELSE 0 END"
+            "CASE WHEN count(*) > 1 THEN coalesce(sqrt((sum((y - n * p) ** 2 / nullif(n * p, 0)) + "
+            "sum((n - y - n * (1 - p)) ** 2 / nullif(n * (1 - p), 0))) / sum(n)), 0) ELSE 0 END"
         )
     else:
         strength = (
@@ -146,7 +149,7 @@ def brand_snapshot(m: Market):
     return rounded(brands.brand_snapshot(rows, day, since=F.date_sub(day, 7)))
 
 
-@query("brand_daily", "items", f"""
+BRAND_DAILY_SQL = f"""
     WITH shelf AS (SELECT * FROM items WHERE outcome IS NULL AND stratum IN ('A', 'B', 'N')),
     {ATTENTION.replace("cn >= 300", "cn >= 30")},
     a AS (SELECT * FROM items WHERE stratum IN ('A', 'B', 'N')),
@@ -157,7 +160,10 @@ def brand_snapshot(m: Market):
       {r6("sold / (g.listings + sold) * 100")} AS sold_pct_day, {DAY} AS as_of,
       {r6("expected / g.listings")} AS expected_favourites, {r6("likes / expected")} AS attention_index,
       inflow, {r6("inflow / g.listings")} AS inflow_share
-    FROM g JOIN att USING (brand) WHERE g.listings >= 25""")
+    FROM g JOIN att USING (brand) WHERE g.listings >= 25"""
+
+
+@query("brand_daily", "items", BRAND_DAILY_SQL)
 def brand_daily(m: Market):
     rows = m.items("brand", "item_type", "outcome", "resolved_on", "first_offered", "favourites", "price_ore", "stratum")
     return rounded(jobs.brand_daily(rows, F.lit(AS_OF).cast("date"), band_edges=BAND_EDGES))
@@ -291,6 +297,41 @@ def facet_values(m: Market):
     return slices.facet_values(m.items("product_id", "size_code"), ["product_id", "size_code"])
 
 
+@query("table_functions", "ladders shelf", f"""
+    WITH w AS (SELECT *, unnest(list_distinct([colour, category])) AS material FROM shelf),
+    days AS (SELECT event_type AS brand, cast(ts AS date) AS as_of, count(*) AS listings, avg(value) AS a FROM events GROUP BY 1, 2),
+    new AS (SELECT max(as_of) AS new_on FROM days), base AS (SELECT max(as_of) AS base_on FROM days, new WHERE date_diff('day', as_of, new_on) >= 7)
+    SELECT 'market_slice' AS f, material AS value, count(*) AS n, {r6("median(price_ore)")} AS x, {r6("avg(favourites)")} AS y FROM w GROUP BY 2 HAVING count(*) >= 100
+    UNION ALL SELECT 'outcome_slice', season, count(*), {r6("median(days_on_market)")}, {r6("count(*) FILTER (sold) / count(*)")}
+      FROM ladders GROUP BY 2 HAVING count(*) >= 30
+    UNION ALL SELECT 'dash_slice live', cast(brand_tier AS varchar), count(*), {r6("median(price_ore)")}, NULL FROM shelf GROUP BY 2
+    UNION ALL SELECT 'dash_slice resolved', cast(brand_tier AS varchar), count(*), {r6("median(days_on_market)")}, {r6("count(*) FILTER (sold) / count(*)")} FROM ladders GROUP BY 2
+    UNION ALL SELECT 'brand_trend', x.brand, x.listings, cast(x.listings - y.listings AS double), {r6("x.a - y.a")} FROM days x, days y, new, base
+      WHERE x.as_of = new_on AND y.as_of = base_on AND x.brand = y.brand AND x.listings >= 10""")
+def table_functions(m: Market):
+    """The four parameterised functions, called from one SQL text."""
+    columns = ("brand_tier", "favourites", "has_defect", "price_ore", "colour", "category")
+    views = {
+        "live_listings": m.shelf(*columns).withColumn("material", F.array("colour", "category")),
+        "brand_days": m.table("events").groupBy(F.col("event_type").alias("brand"), F.to_date("ts").alias("as_of")).agg(
+            F.count(F.lit(1)).alias("listings"), F.avg("value").alias("attention_index")
+        ),
+    }
+    rows = m.items("brand_tier", "season", "outcome", "resolved_on", "first_offered", "first_price_ore", "final_price_ore", only="l_linestatus <> 'O'")
+    views["resolved_listings"] = rows.select(
+        "brand_tier", "season", (F.col("outcome") == 1).alias("sold"), s.day_gap(F.col("first_offered"), F.col("resolved_on")).alias("days_on_market"),
+        "final_price_ore", F.col("first_price_ore").alias("opening_ask_ore"),
+    )
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    register_tables(m.spark, "live_listings", "resolved_listings", "brand_days")
+    return rounded(m.spark.sql("""
+        SELECT 'market_slice' AS f, value, n, med_price_ore AS x, avg_favourites AS y FROM market_slice('material', 100)
+        UNION ALL SELECT 'outcome_slice', value, n, med_days, sell_through FROM outcome_slice('season', 30)
+        UNION ALL SELECT concat('dash_slice ', population), value, n, coalesce(med_price_ore, med_days), sell_through FROM dash_slice('brand_tier')
+        UNION ALL SELECT 'brand_trend', brand, listings, cast(listings_change AS double), attention_change FROM brand_trend(7, 10)"""))
+
+
 @query("sellability_check", "ladders", f"""
     SELECT score_version, CASE WHEN score < 0.4 THEN '0.00-0.40' WHEN score < 0.6 THEN '0.40-0.60' WHEN score < 0.8
       THEN '0.60-0.80' ELSE '0.80+' END AS score_band, count(*) AS n, {r6("count(*) FILTER (sold) / count(*)")} AS sold_rate
@@ -354,15 +395,53 @@ def snapshot_emptied(m: Market):
     return m.spark.read.parquet(path).select("brand", "as_of", "n")
 
 
-@query("analytics_pass", "items", f"""WITH shelf AS (SELECT * FROM items WHERE outcome IS NULL AND stratum IN ('A', 'B', 'N')), {PLACED}
-    SELECT item_id, peer_level, peer_n, {r6("peer_pct")} AS peer_pct, {DAY} AS as_of FROM peers""")
+_FIRST = re.sub(r"\b(shelf|placed|peers|scored)\b", r"\1_before", PLACED)
+_ONCE = lambda sql: re.sub(r"\b(placed|peers)(_before)? AS \(", r"\1\2 AS MATERIALIZED (", sql)
+_BETWEEN = "outcome IS NULL AND is_reserved"
+TWO_DAYS = f"""WITH
+    shelf_before AS (SELECT * FROM items WHERE outcome IS NULL AND stratum IN ('A', 'B', 'N')), {_FIRST},
+    today AS (SELECT * REPLACE (CASE WHEN {_BETWEEN} THEN 1 ELSE outcome END AS outcome, CASE WHEN {_BETWEEN} THEN {DAY} ELSE resolved_on END AS resolved_on),
+      {_BETWEEN} AS sold_now FROM items),
+    frozen AS (SELECT t.*, CASE WHEN sold_now THEN p.peer_pct END AS peer_pct, CASE WHEN sold_now THEN p.peer_level END AS peer_level,
+      CASE WHEN sold_now THEN p.peer_n END AS peer_n, CASE WHEN sold_now THEN p.peer_median_ore END AS peer_median_ore
+      FROM today t LEFT JOIN (SELECT item_id, peer_pct, peer_level, peer_n, peer_median_ore FROM peers_before) p USING (item_id)),
+    shelf AS (SELECT * FROM today WHERE outcome IS NULL AND stratum IN ('A', 'B', 'N')), {PLACED}
+    SELECT 'peer_prices' AS t, item_id AS k, cast(peer_level AS bigint) AS a, peer_n AS n, {r6("peer_pct")} AS x, {r6("peer_median_ore")} AS y FROM peers
+    UNION ALL SELECT 'items', item_id, cast(peer_level AS bigint), peer_n, {r6("peer_pct")}, {r6("peer_median_ore")} FROM frozen WHERE peer_level IS NOT NULL
+    UNION ALL SELECT 'predictor_daily', concat(target, ' ', feature), buckets, n, lift, strength FROM ({{sale}})
+    UNION ALL SELECT 'predictor_daily', concat(target, ' ', feature), buckets, n, lift, strength FROM ({{price}})
+    UNION ALL SELECT 'brand_daily', brand, sold, listings, med_ask_ore, attention_index FROM ({{daily}})""".format(
+    sale=_board_sql("sale", FEATURES | {"peer_quartile": f"CASE WHEN peer_pct IS NOT NULL THEN {QUARTILE} END"}, "frozen"),
+    price=_board_sql("price", FEATURES, "frozen"),
+    daily=BRAND_DAILY_SQL.replace("FROM items", "FROM today"),
+)
+
+
+@query("analytics_pass", "items", _ONCE(TWO_DAYS))
 def analytics_pass(m: Market):
-    """The whole daily pass into tables; the peer table it wrote. The previous pass's peers are those
-    of today's shelf, so the resolved listings freeze nothing."""
+    """The daily pass on two days, between which the reserved listings sell: the second pass freezes the place that the first one gave them. Rows of
+    all four tables as they are then written."""
     out = f"{shared_dir(m.spark)}/pass-{uuid.uuid4().hex}"
     rows = cut_lineage(unfrozen(m.items(*dict.fromkeys([*SHELF, *BOARD_COLUMNS, "resolved_on"]))))
-    previous = rows.limit(0).select("item_id", "price_ore", F.lit(1).alias("peer_level"), F.lit(1).cast("long").alias("peer_n"), F.lit(1.0).alias("peer_median_ore"), F.lit(1.0).alias("peer_pct"))
-    report = jobs.analytics_pass(rows, previous, out, AS_OF, MIN_GROUP, band_edges=BAND_EDGES)
-    if [state for _, state in report] != ["ok"] * 4:
-        raise RuntimeError(f"analytics pass failed: {report}")
-    return rounded(m.spark.read.parquet(f"{out}/peer_prices").select("item_id", "peer_level", "peer_n", "peer_pct", "as_of"))
+    nothing = m.spark.createDataFrame([], "item_id string, price_ore long, peer_level int, peer_n long, peer_median_ore double, peer_pct double")
+    options = {"min_group": MIN_GROUP, "band_edges": BAND_EDGES}
+    done = jobs.analytics_pass(rows, nothing, out, "2000-06-30", **options)
+    now = m.spark.read.parquet(f"{out}/items/as_of=2000-06-30")
+    sold = F.col("outcome").isNull() & F.col("is_reserved")
+    now = now.withColumn("resolved_on", F.when(sold, F.lit(AS_OF).cast("date")).otherwise(F.col("resolved_on")))
+    now = now.withColumn("outcome", F.when(sold, 1).otherwise(F.col("outcome")))
+    done += jobs.analytics_pass(now, m.spark.read.parquet(f"{out}/peer_prices/as_of=2000-06-30"), out, AS_OF, **options)
+    if [state for _, state in done] != ["ok"] * 8:
+        raise RuntimeError(f"analytics pass failed: {done}")
+
+    def written(table: str, key, a: str, n: str, x: str, y: str):
+        rows = m.spark.read.parquet(f"{out}/{table}/as_of={AS_OF}")
+        return rows.select(F.lit(table).alias("t"), key.alias("k"), F.col(a).cast("long").alias("a"), F.col(n).alias("n"), F.col(x).alias("x"), F.col(y).alias("y"))
+
+    parts = [
+        written("peer_prices", F.col("item_id"), "peer_level", "peer_n", "peer_pct", "peer_median_ore"),
+        written("items", F.col("item_id"), "peer_level_frozen", "peer_n_frozen", "peer_pct_frozen", "peer_median_ore_frozen").where("a is not null"),
+        written("predictor_daily", F.concat_ws(" ", "target", "feature"), "buckets", "n", "lift", "strength"),
+        written("brand_daily", F.col("brand"), "sold", "listings", "med_ask_ore", "attention_index"),
+    ]
+    return rounded(reduce(lambda a, b: a.unionByName(b), parts))

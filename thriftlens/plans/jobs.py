@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from thriftlens import schemas
 from thriftlens.functions import scalars as s
-from thriftlens.operators import board, brands, filters, guards, peers, track
+from thriftlens.operators import board, brands, filters, guards, market, peers, pool, season, track
 from thriftlens.operators.cohort import cohort_check
 from thriftlens.operators.pool import refresh_bucket, refresh_pool
 from thriftlens.operators.selecting import first_by_key, latest_by_key, next_bucket
@@ -19,10 +20,13 @@ from thriftlens.session import cut_lineage, removes_staged
 from thriftlens.sources.io import pick, read_jsonl
 from thriftlens.sources.tables import (
     PART,
+    drop_partitions,
+    exists,
     part_of,
     read_version,
     replace_parts,
     upsert,
+    upsert_partitioned,
     write_partitioned,
     write_snapshot,
     write_version,
@@ -159,6 +163,62 @@ def cohort_job(spark: SparkSession, home: str, cohort: DataFrame, observed: Data
     write_snapshot(cut_lineage(found), path, day)
 
 
+@removes_staged
+def shortlist_job(items: DataFrame, home: str, day: str, n: int = 500, per_brand: int = 15, **options) -> int:
+    """The day's shortlist in full, and the thin record of what was recommended, each a day of its own table; returns the number of rows.
+    A day on which nothing is listed is refused: then the peers are the likelier fault. A re-run of a day replaces its rows."""
+    listed = cut_lineage(pool.build_shortlist(items, F.lit(day).cast("date"), **options))
+    rows = listed.count()
+    if not rows:
+        raise Refused(f"{day}: nothing shortlisted")
+    write_snapshot(listed, f"{home}/shortlist_daily", day)
+    write_snapshot(pool.flagged(listed, n, per_brand), f"{home}/shortlist_flagged", day)
+    return rows
+
+
+@removes_staged
+def season_job(offers: DataFrame, details: DataFrame, home: str, parts: int = 64) -> None:
+    """Adds the ended listings of a scan to the season history of ``home``, by key: a listing that several scans hold is there once, as
+    the last one says."""
+    history = cut_lineage(season.season_history(offers, details))
+    upsert_partitioned(offers.sparkSession, f"{home}/season_history", history, ["item_id"], parts)
+
+
+@removes_staged
+def score_job(items: DataFrame, excluded: DataFrame, home: str, day: str, floor_ore: int = 10000) -> None:
+    """The scores of the eligible items, from the demand for their brands on the same day, as the day's snapshot."""
+    rows = cut_lineage(filters.live(items))
+    scores = pool.score_table(rows, brands.brand_demand(rows), excluded, F.lit(day).cast("date"), floor_ore)
+    write_snapshot(scores, f"{home}/item_scores", day)
+
+
+@removes_staged
+def sales_job(ladders: DataFrame, home: str, dimensions: Sequence[str], unit: str = "month") -> None:
+    """Adds sales to the table of their counts, in partitions by the ``unit`` of their day. Partitions that new sales fall in are read and
+    replaced, no listing of before is. The sales must be new: each is counted once."""
+    spark, path = ladders.sparkSession, f"{home}/sale_counts"
+    keys = ["ended_on", "dimension", "value", "measure", "x"]
+    fresh = cut_lineage(market.sale_counts(ladders, dimensions).withColumn("part", F.trunc("ended_on", unit).cast("string")))
+    touched = [r["part"] for r in fresh.select("part").distinct().collect()]  # a row for each month of the new sales
+    if exists(spark, path):
+        held = spark.read.parquet(path).withColumn("part", F.col("part").cast("string")).where(F.col("part").isin(touched))
+        fresh = fresh.unionByName(held).groupBy("part", *keys).agg(F.sum("n").alias("n"))
+    added = cut_lineage(fresh.repartition("part", F.pmod(F.xxhash64(*keys), F.lit(4))))
+    added.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+def retention_job(spark: SparkSession, home: str, day: str, days: int = 90, versions: int = 2) -> dict[str, list[str]]:
+    """What has outlived its use goes, folder by folder, and no file is rewritten: of the full shortlist all days but this one, of the flagged record the days that lie
+    ``days`` or more back, of the pool all but the last ``versions``. Returns what was dropped of each table."""
+    oldest = (dt.date.fromisoformat(day) - dt.timedelta(days)).isoformat()
+    last = _newest(spark, f"{home}/pool") if exists(spark, f"{home}/pool") else None
+    return {
+        "shortlist_daily": drop_partitions(spark, f"{home}/shortlist_daily", "as_of", lambda v: v < day),
+        "shortlist_flagged": drop_partitions(spark, f"{home}/shortlist_flagged", "as_of", lambda v: v <= oldest),
+        "pool": drop_partitions(spark, f"{home}/pool", "version", lambda v: int(v) <= last - versions),
+    }
+
+
 def _newest(spark: SparkSession, path: str) -> int:
     return spark.read.parquet(path).agg(F.max("version").alias("v")).first()["v"]
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from thriftlens.operators import ladders, market
+from thriftlens.plans import jobs
 from thriftlens.plans.binding import AS_OF, Market, r6
 from thriftlens.plans.ladder_queries import CURVE, curve
 from thriftlens.plans.peer_queries import PLACED, scored
 from thriftlens.plans.registry import query, rounded
+from thriftlens.session import cut_lineage, shared_dir
 
 DAY = f"DATE '{AS_OF}'"
 LIFT = ["colour", "condition", "has_defect", "season"]
@@ -142,21 +146,27 @@ def season_buy_list(m: Market):
     return rounded(best.select("item_id", "season", "discount_pct", "peak"))
 
 
-@query("backtest", "steps", f"""
-    WITH past AS (SELECT * FROM steps WHERE cast(created_at AS date) <= DATE '2024-01-15'),
-    known AS (SELECT item_id, arg_min(price_ore, n) AS opening, max(n) - 1 AS markdowns FROM past GROUP BY 1),
-    op AS (SELECT item_id, arg_max(price_ore, n) AS ask FROM past WHERE next_at IS NULL OR cast(next_at AS date) > DATE '2024-01-15' GROUP BY 1),
+STEPS_BY_USER = """o AS (SELECT cast(user_id AS varchar) AS item_id, event_id AS offer_id, ts AS created_at, cast(round(value * 100) AS bigint) AS price_ore,
+      event_type FROM events),
+    s AS (SELECT *, row_number() OVER w AS n, lead(created_at) OVER w AS next_at FROM o WINDOW w AS (PARTITION BY item_id ORDER BY created_at, offer_id)),
     fin AS (SELECT item_id, arg_max(event_type, n) = 'purchase' AS sold, arg_max(price_ore, n) AS final_price,
-      cast(max(created_at) AS date) AS ended_on FROM steps GROUP BY 1),
-    st AS (SELECT *, ask < opening * 0.5 AND markdowns < 3 AS picked FROM op JOIN known USING (item_id) JOIN fin USING (item_id))
-    SELECT picked, count(*) AS n, {r6("count(*) FILTER (sold) / count(*)")} AS sell_through,
+      cast(max(created_at) AS date) AS ended_on FROM s GROUP BY 1)"""
+
+
+def _backtest_sql(cutoffs: str, key: str) -> str:
+    """By brute force: the steps of the past, for every cutoff."""
+    return f"""WITH {STEPS_BY_USER}, cut AS ({cutoffs}),
+    past AS (SELECT * FROM s JOIN cut ON cast(created_at AS date) <= cutoff),
+    known AS (SELECT cutoff, item_id, arg_min(price_ore, n) AS opening, max(n) - 1 AS markdowns FROM past GROUP BY 1, 2),
+    op AS (SELECT cutoff, item_id, arg_max(price_ore, n) AS ask FROM past WHERE next_at IS NULL OR cast(next_at AS date) > cutoff GROUP BY 1, 2),
+    st AS (SELECT *, ask < opening * 0.5 AND markdowns < 3 AS picked FROM op JOIN known USING (cutoff, item_id) JOIN fin USING (item_id))
+    SELECT {key} picked, count(*) AS n, {r6("count(*) FILTER (sold) / count(*)")} AS sell_through,
       {r6("median(final_price / nullif(ask, 0))")} AS med_kept,
-      {r6("median(date_diff('day', DATE '2024-01-15', ended_on))")} AS med_days FROM st GROUP BY 1""".replace(
-    "FROM steps", "FROM s").replace("WITH past", """WITH s AS (SELECT *, row_number() OVER w AS n, lag(price_ore) OVER w AS prev_price,
-      lead(created_at) OVER w AS next_at FROM o WINDOW w AS (PARTITION BY item_id ORDER BY created_at, offer_id)), past""").replace(
-    "WITH s AS", "WITH o AS (SELECT cast(user_id AS varchar) AS item_id, event_id AS offer_id, ts AS created_at, cast(round(value * 100) AS bigint) AS price_ore, event_type FROM events), s AS"))
-def backtest(m: Market):
-    """A rule on the state of 15 January, scored on the rest of the month; one ladder per user."""
+      {r6("median(date_diff('day', cutoff, ended_on))")} AS med_days FROM st GROUP BY ALL"""
+
+
+def _past(m: Market):
+    """One ladder per user, what became of it, and a rule to buy by."""
     offers = m.offers().withColumn("item_id", F.split_part("item_id", F.lit("-"), F.lit(1)))
     steps = ladders.rungs(offers)
     outcomes = steps.where("latest").select(
@@ -165,8 +175,20 @@ def backtest(m: Market):
         F.col("price_ore").alias("final_price_ore"),
         F.to_date("created_at").alias("ended_on"),
     )
-    rule = (F.col("ask_ore") < F.col("opening_ask_ore") * 0.5) & (F.col("markdowns") < 3)
-    return rounded(market.backtest(steps, outcomes, rule, F.lit("2024-01-15").cast("date")))
+    return steps, outcomes, (F.col("ask_ore") < F.col("opening_ask_ore") * 0.5) & (F.col("markdowns") < 3)
+
+
+@query("backtest", None, _backtest_sql("SELECT DATE '2024-01-15' AS cutoff", ""))
+def backtest(m: Market):
+    """A rule on the state of 15 January, scored on the rest of the month."""
+    return rounded(market.backtest(*_past(m), F.lit("2024-01-15").cast("date")))
+
+
+@query("backtest_many", None, _backtest_sql("SELECT DATE '2024-01-04' + cast(2 * k AS int) AS cutoff FROM range(12) r(k)", "cutoff,"))
+def backtest_many(m: Market):
+    """The same rule at twelve cutoffs, two days apart, in one pass over the steps."""
+    days = m.spark.range(12).select(F.date_add(F.lit("2024-01-04").cast("date"), (2 * F.col("id")).cast("int")).alias("cutoff"))
+    return rounded(market.backtest_many(*_past(m), days, cell_days=5))
 
 
 @query("daily_aggregate", "ladders", "WITH long AS (" + " UNION ALL ".join(
@@ -180,6 +202,21 @@ def daily_aggregate(m: Market):
     return rounded(market.daily_aggregate(rows, dims))
 
 
+@query("sales_by_month", "ladders", "WITH long AS (" + " UNION ALL ".join(
+    f"SELECT ended_on, '{d}' AS dimension, cast({d} AS varchar) AS value, final_price_ore, days_on_market FROM ladders WHERE sold"
+    for d in ("brand_tier", "condition")) + f""")
+    SELECT cast(date_trunc('month', ended_on) AS date) AS period, dimension, value, count(*) AS units, {r6("median(final_price_ore)")} AS med_price_ore,
+      {r6("median(days_on_market)")} AS med_days FROM long GROUP BY 1, 2, 3""")
+def sales_by_month(m: Market):
+    """Sales counted in three goes, late ones of old days among them, and summed up by month from the counts alone."""
+    home, dims = f"{shared_dir(m.spark)}/home-{uuid.uuid4().hex}", ["brand_tier", "condition"]
+    rows = cut_lineage(m.ladders("sold", "ended_on", "final_price_ore", "days_on_market", "rungs", *dims))
+    for part in ("rungs <> 3 and ended_on < '1996-01-01'", "rungs <> 3 and ended_on >= '1996-01-01'", "rungs = 3"):
+        jobs.sales_job(rows.where(part), home, dims, "year")
+    counts = m.spark.read.parquet(f"{home}/sale_counts")
+    return rounded(market.aggregate_of_counts(counts, F.trunc("ended_on", "month")))
+
+
 @query("cutoff_drift", "ladders", f"""
     SELECT score_version, category, cast(date_trunc('month', listed_on) AS date) AS month, count(*) AS n,
       {r6("avg(dwell_days / 97)")} AS mean_cutoff, count(*) FILTER (score < dwell_days / 97) AS below_cutoff,

@@ -230,15 +230,8 @@ def on_shelf(m: Market, *columns: str):
     return rows.withColumn("on_shelf", F.lit(True))
 
 
-# What is said of each stratum before it is followed.
-EXPECT = {
-    "resale": "no guess",
-    "screen": "beats the baseline",
-    "control_unwanted": "falls behind the screen",
-    "control_wanted_pricey": "goes, late",
-    "premium": "falls behind the baseline",
-    "baseline": "sets the rate",
-}
+# What is noted with each stratum here: how many rows it may take, and its part of all.
+EXPECT = {name: f"{quota} rows at most, {quota / sum(filters.STRATUM_QUOTA.values()):.3f} of the cohort" for name, quota in filters.STRATUM_QUOTA.items()}
 
 
 @query("cohort_snapshot", "items", f"""WITH {COHORT}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -89,8 +89,10 @@ def write_partitioned(df: DataFrame, path: str, keys: Sequence[str], parts: int)
 
 
 def upsert_partitioned(spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str], parts: int) -> None:
-    """Applies ``changes`` by key to a table of ``write_partitioned``. Only partitions that hold a changed key are read and
+    """Applies ``changes`` by key to a table of ``write_partitioned``, or begins it with them. Only partitions that hold a changed key are read and
     replaced; their new rows are written aside first, so a lost task never leaves half a partition."""
+    if not exists(spark, path):
+        return write_partitioned(_once(changes, keys), path, keys, parts)
     marked = changes.withColumn(PART, part_of(keys, parts))
     touched = [r[PART] for r in marked.select(PART).distinct().collect()]  # ``parts`` numbers at most
     held = spark.read.parquet(path).where(F.col(PART).isin(touched))
@@ -109,5 +111,30 @@ def write_version(df: DataFrame, path: str, version: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path and the path in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _folder(spark, path)
+    return files.exists(at)
+
+
+def drop_partitions(spark: SparkSession, path: str, column: str, gone: Callable[[str], bool]) -> list[str]:
+    """Removes the folders ``column=value`` of a table for whose value ``gone`` holds, and returns these values. Only
+    the names of the folders are read, no file is read or written. A table that is not there has none."""
+    files, at = _folder(spark, path)
+    if not files.exists(at):
+        return []
+    names = [entry.getPath() for entry in files.listStatus(at) if entry.isDirectory()]
+    values = {str(p.getName()).removeprefix(f"{column}="): p for p in names if str(p.getName()).startswith(f"{column}=")}
+    dropped = sorted(v for v in values if gone(v))
+    for value in dropped:
+        files.delete(values[value], True)
+    return dropped
+
+
 def read_version(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{path}/version={version}")

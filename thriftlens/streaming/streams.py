@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from thriftlens.session import cut_lineage, staging
-from thriftlens.sources.tables import PART, part_of, replace_parts
+from thriftlens.sources.tables import PART, exists, part_of, replace_parts
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -182,7 +182,7 @@ def keep_newest(path: str, keys: Sequence[str] = ("item_id",), order: Sequence[s
             changes = cut_lineage(newest(batch).withColumn(PART, part_of(keys, parts)))
             touched = [r[PART] for r in changes.select(PART).distinct().collect()]  # ``parts`` numbers at most
             fresh = changes.drop(PART)
-            if done >= 0 or _there(spark, path):
+            if done >= 0 or exists(spark, path):
                 held = spark.read.parquet(path).where(F.col(PART).isin(touched)).drop(PART)
                 fresh = newest(fresh.unionByName(held))
             replace_parts(fresh, path, keys, parts)
@@ -191,11 +191,6 @@ def keep_newest(path: str, keys: Sequence[str] = ("item_id",), order: Sequence[s
     return write
 
 
-def _there(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-
-
 def dedupe_stream(stream: DataFrame, key: str, delay: str, time: str = "created_at") -> DataFrame:
     """Each key once within the watermark delay, however often it is delivered."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
