@@ -56,19 +56,26 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-# Where a job that removes its own staged tables keeps them.
-_job_folder: ContextVar[str | None] = ContextVar("job_folder", default=None)
+# Where jobs that remove their own staged tables keep them, the innermost last.
+_job_folders: ContextVar[tuple[str, ...]] = ContextVar("job_folders", default=())
+
+# Spark drops the shuffle files of a query when it ends, not when the driver collects its garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[None]:
-    """Removes, at the end, the tables that ``cut_lineage`` writes inside: for jobs whose results are written by then."""
+    """Removes, at the end, the tables that ``cut_lineage`` writes inside: for jobs whose results are written by then. Inside, shuffle files go with
+    the query that wrote them, so a job of many steps needs the disk of its largest one."""
     folder = f"{shared_dir(spark).rstrip('/')}/job-{uuid.uuid4().hex}"
-    token = _job_folder.set(folder)
+    token = _job_folders.set((*_job_folders.get(), folder))
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
     try:
         yield
     finally:
-        _job_folder.reset(token)
+        _job_folders.reset(token)
+        spark.conf.set(DROP_SHUFFLES, before)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -88,11 +95,11 @@ def cut_lineage(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back from there.
 
     Used where one result feeds several later reads. The files outlive lost executors, and later
-    reads fetch only the columns they need. A ``lasting`` table stays when a ``staging`` around it ends.
+    reads fetch only the columns they need. A ``lasting`` table outlives the innermost ``staging`` around it.
     """
     spark = df.sparkSession
-    folder = None if lasting else _job_folder.get()
-    folder = folder or shared_dir(spark).rstrip("/")
+    folders = _job_folders.get()[:-1] if lasting else _job_folders.get()
+    folder = folders[-1] if folders else shared_dir(spark).rstrip("/")
     path = f"{folder}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
