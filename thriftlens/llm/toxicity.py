@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thriftlens.llm.texts import free_name, lean_batches, text_column, words_of
-from thriftlens.session import cut_lineage
+from thriftlens.session import cut_lineage, staging
 
 #: Labelled rows that the model is fitted on, at most; chosen by the hash of their id.
 LABELLED = 20_000
@@ -315,5 +315,7 @@ def passages(documents: DataFrame, model: Model, expected: float = 0.01, as_colu
 def clean(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are not predicted toxic, with their own columns."""
     name = free_name(documents, "toxicity")
-    found = passages(documents, fit(documents, labels, **options), as_column=name)
+    with staging(documents.sparkSession):
+        model = fit(documents, labels, **options)
+    found = passages(documents, model, as_column=name)
     return found.where(F.col(name)["score"] < THRESHOLD).select(*[F.col(f"`{c}`") for c in documents.columns])
