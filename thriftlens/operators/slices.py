@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
-from thriftlens.operators.spread import with_quantiles
+from thriftlens.operators.spread import pick_first, with_quantiles
 
 
 def peer_rate_pivot(items: DataFrame, peers: DataFrame, edges: Sequence[int] = s.PRICE_BAND_EDGES_ORE, key: str = "item_id") -> DataFrame:
@@ -90,10 +90,18 @@ def facet_values(pool: DataFrame, columns: Sequence[str]) -> DataFrame:
     return values.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def facet_document(pool: DataFrame, columns: Sequence[str]) -> DataFrame:
+# Values that a column of the facet document may have.
+MOST_FACET_VALUES = 10_000
+
+
+def facet_document(pool: DataFrame, columns: Sequence[str], most: int = MOST_FACET_VALUES) -> DataFrame:
     """The values of every filter column as one JSON row, for columns with a dictionary: each column's list is made in a task of its
-    own, and the document is put together from one row per column."""
-    lists = facet_values(pool, columns).groupBy("facet").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    own, and the document is put together from one row per column. A column with more than ``most`` values is an error, and no more than one value
+    beyond that is ever gathered; ``facet_values`` is the table for such a column."""
+    few = pick_first(facet_values(pool, columns), ["facet"], [F.col("value")], most + 1)
+    too_many = F.raise_error(F.concat(F.col("facet"), F.lit(f" has over {most} values: read facet_values"))).cast("array<string>")
+    values = F.array_sort(F.collect_list("value"))
+    lists = few.groupBy("facet").agg(values.alias("values")).withColumn("values", F.when(F.size("values") > most, too_many).otherwise(F.col("values")))
     each = [F.coalesce(F.max(F.when(F.col("facet") == c, F.col("values"))), F.array().cast("array<string>")).alias(c) for c in columns]
     return lists.agg(*each).select(F.to_json(F.struct(*columns)).alias("facets"))
 

@@ -483,9 +483,12 @@ def tracking_resumed(m: Market):
     return rows.agg(F.count(F.lit(1)).alias("items"), F.count_if(stamped).alias("stamped"))
 
 
-@query("upserted_partition", "items", """
+UPSERTED_SQL = """
     SELECT item_id, CASE WHEN rungs = 2 THEN price_ore + 100 ELSE price_ore END AS price_ore, favourites FROM items
-    UNION ALL SELECT concat(item_id, '-new'), price_ore, NULL FROM items WHERE rungs = 7""")
+    UNION ALL SELECT concat(item_id, '-new'), price_ore, NULL FROM items WHERE rungs = 7"""
+
+
+@query("upserted_partition", "items", UPSERTED_SQL)
 def upserted_partition(m: Market):
     """Changed and new rows applied to a table in hash partitions; a second application changes nothing."""
     rows = m.items("item_id", "price_ore", "favourites", "rungs")
@@ -498,6 +501,18 @@ def upserted_partition(m: Market):
     return m.spark.read.parquet(path).select("item_id", "price_ore", "favourites")
 
 
+@query("upserted_bucketed", "items", UPSERTED_SQL)
+def upserted_bucketed(m: Market):
+    """The same on a table in buckets, of which every application writes a version."""
+    rows = m.items("item_id", "price_ore", "favourites", "rungs")
+    path = f"{_home(m)}/table"
+    moved = rows.where("rungs = 2").select("item_id", (F.col("price_ore") + 100).alias("price_ore"))
+    fresh = rows.where("rungs = 7").select(F.concat("item_id", F.lit("-new")).alias("item_id"), "price_ore")
+    for changes in (rows.drop("rungs"), moved.union(fresh), moved.union(fresh)):
+        version = tables.upsert_bucketed(m.spark, path, changes, ["item_id"], 16)
+    return tables.read_bucketed(m.spark, path, version, ["item_id"], 16).select("item_id", "price_ore", "favourites")
+
+
 @query("checks_round_trip", "items", f"""
     SELECT item_id, {DAY} - 7 AS checked_on, 'still_listed' AS outcome, status, NULL::double AS final_price, NULL::int AS rungs FROM items WHERE outcome IS NULL
     UNION ALL SELECT item_id, {DAY}, 'error', status, {r6("price_ore / 100")}, cast(rungs AS int) FROM items WHERE outcome IS NULL AND has_defect""")

@@ -44,16 +44,21 @@ def local_session(cpus: str = "8", app: str = "thriftlens") -> SparkSession:
     return configure(spark)
 
 
+# The scratch folder of each local application that has no shared one.
+_scratch: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names, or a scratch folder in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="thriftlens-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        _scratch[app] = tempfile.mkdtemp(prefix="thriftlens-")
+    return _scratch[app]
 
 
 # Where jobs that remove their own staged tables keep them, the innermost last.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -138,3 +139,47 @@ def drop_partitions(spark: SparkSession, path: str, column: str, gone: Callable[
 
 def read_version(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{path}/version={version}")
+
+
+def versions_of(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the versions that a table has."""
+    files, at = _folder(spark, path)
+    names = [str(entry.getPath().getName()) for entry in files.listStatus(at)] if files.exists(at) else []
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
+def write_bucketed(df: DataFrame, path: str, version: int, keys: Sequence[str], buckets: int) -> None:
+    """Writes a version of a table whose files are the hash buckets of its keys, each in order of the keys. ``df`` should be dealt out by
+    the keys into ``buckets`` partitions already, as ``upsert_bucketed`` leaves it; then every bucket is one file."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    writer.option("path", f"{path}/version={version}").saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # the files stay, the catalogue is only told how they lie
+
+
+def read_bucketed(spark: SparkSession, path: str, version: int, keys: Sequence[str], buckets: int) -> DataFrame:
+    """A version of ``write_bucketed``, with what Spark has to know to join it by its keys without a shuffle."""
+    name, at = f"bucketed_{uuid.uuid4().hex}", f"{path}/version={version}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(at).schema)
+    listed = ", ".join(f"`{k}`" for k in keys)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({listed}) SORTED BY ({listed}) INTO {buckets} BUCKETS LOCATION '{at}'")
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def upserted_buckets(spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+    """The newest version with ``changes`` applied by key: only the changes are shuffled, to the buckets that the table lies in. Where ``buckets`` is
+    less than the session's shuffle partitions, Spark may choose to shuffle both."""
+    target = read_bucketed(spark, path, versions_of(spark, path)[-1], keys, buckets)
+    return upsert(target, changes.repartition(buckets, *keys), keys)
+
+
+def upsert_bucketed(spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str], buckets: int) -> int:
+    """Applies ``changes`` by key as a new version, or begins the table with them; returns its number. For tables of which most rows change: they are
+    read and written whole and never shuffled. A failed write leaves the versions before it as they are."""
+    before = versions_of(spark, path)
+    version = before[-1] + 1 if before else 0
+    rows = upserted_buckets(spark, path, changes, keys, buckets) if before else _once(changes, keys).repartition(buckets, *keys)
+    write_bucketed(rows, path, version, keys, buckets)
+    return version
