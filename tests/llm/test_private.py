@@ -55,7 +55,7 @@ def test_seeds_match_the_plain_forms(docs):
     texts = ["".join(rnd.choices(PIECES, k=rnd.randrange(13))) for _ in range(3000)]
     got = dict(found(docs(list(enumerate(texts)))))
     for k, text in enumerate(texts):
-        assert [s for s in got[k] if s[0] != "context"] == seeds(text), text
+        assert [s for s in got[k] if s[0] in FORMS] == seeds(text), text
 
 
 def test_odd_rows(odd):
@@ -66,7 +66,8 @@ def test_odd_rows(odd):
 def test_long_runs_stay_linear(docs):
     texts = ["a" * 200_000, "1." * 100_000, "a.b" * 60_000 + "@", "7" * 200_000, "+" * 200_000, "1 2-" * 50_000]
     got = dict(found(docs(list(enumerate(texts)))))
-    assert [len([s for s in got[k] if s[0] != "context"]) for k in range(6)] == [0, 25_000, 0, 0, 0, 0]
+    assert [len([s for s in got[k] if s[0] in FORMS]) for k in range(6)] == [0, 25_000, 0, 0, 0, 0]
+    assert all(s[0] in FORMS or s[0] == "context" for spans in got.values() for s in spans)
 
 
 def test_no_rows(docs):
@@ -87,3 +88,27 @@ def test_common_words_are_no_pattern(docs):
     known = [(k, f"the the the user{k}@host{k}.example.org the old house and the sea") for k in range(12)]
     got = dict(found(docs([*known, (100, "the 123456789 stones")])))
     assert got[100] == []
+
+
+def test_random_strings_lead_to_other_values_behind_their_words(docs):
+    """Long strings of digits and letters are seeds of their own kind, and the words before them a pattern that finds shorter values."""
+    rnd = random.Random(5)
+    key = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    known = [(k, f'and then token = "{key(40)}" was left in the text') for k in range(9)]
+    unseen = [(100, 'here token = "k3y-0042x" was left'), (101, "a price of 100042x was paid")]
+    clean = [(200, "Donaudampfschifffahrtsgesellschaftskapitaen " + "-" * 60), (201, "1" * 31 + " " + "2" * 40), (202, "x" * 50)]
+    got = dict(found(docs(known + unseen + clean)))
+    for k, text in known:
+        assert [s for s in got[k] if s[0] == "secret"] == [("secret", 18, 58, text[18:58])]
+    assert got[100] == [("context", 14, 23, "k3y-0042x")]
+    assert all(not [s for s in got[k] if s[0] in ("secret", "context")] for k in (101, 200, 201, 202))
+
+
+def test_every_secret_of_the_given_documents_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    hidden = {r["doc_id"]: r["text"] for r in docs.where(r"""text rlike 'token = "[0-9a-f]{40}"'""").collect()}
+    got = {d: spans for d, spans in found(docs)}
+    assert len(hidden) > 5
+    for doc_id, text in hidden.items():
+        for m in re.finditer('token = "([0-9a-f]{40})"', text):
+            assert ("secret", m.start(1), m.end(1), m[1]) in got[doc_id]

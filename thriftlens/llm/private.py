@@ -1,6 +1,6 @@
 """Personal data: exact identifiers as seeds, and more found by the contexts that the seeds share.
 
-Seeds are e-mail addresses, IP addresses, card and phone numbers found by their form. Tokens that look like identifiers and are in no seed are
+Seeds are e-mail addresses, IP addresses, card and phone numbers found by their form, and long random strings (kind ``secret``), which stand for keys and tokens. Tokens that look like identifiers and are in no seed are
 candidates. The words before seeds and candidates are lexical patterns, and patterns and what they extract make a graph. Its scores are found in rounds:
 a pattern scores by the known share of all that follows its words anywhere in the texts, with the seeds known from the start; a candidate
 scores by its patterns together. So words that stand before anything are no patterns, however many seeds they precede. Candidates that
@@ -19,6 +19,7 @@ from thriftlens.llm.texts import write_small
 from thriftlens.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"
 CONTEXT = "context"
 
 # The forms of the seeds. They match what the plain forms match; possessive repeats and a look at the character before only keep the
@@ -29,9 +30,14 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    SECRET: r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32,}+",
 }
+#: Digits and letters that a secret has, at least: a long word of prose has no digits, a line of dashes neither.
+SECRET_DIGITS, SECRET_LETTERS = 4, 4
 # What may be an identifier: a token of six or more characters with an @, or with three digits.
 CANDIDATE = r"(?<!\S)(?=[^\s@]*+@|[^\s0-9]*+[0-9][^\s0-9]*+[0-9][^\s0-9]*+[0-9])\S{6,}+"
+#: What may stand right before an identifier and is no word of its context.
+OPENING = r"""["'(\[{<]+"""
 #: Characters kept of the gap before a match, to take its last words from.
 BEFORE = 80
 
@@ -69,10 +75,12 @@ def valid(kind: Column, match: Column) -> Column:
     digits = _digits(match)
     n = F.length(digits)
     card = F.when(n.between(16, 19), _luhn(digits)).otherwise(False)
+    letters = F.length(F.regexp_replace(match, "[^A-Za-z]", ""))
     return (
         F.when(kind == "ip", match.rlike(_at_most_255()))
         .when(kind == "card", card)
         .when(kind == "phone", n.between(8, 15))
+        .when(kind == SECRET, (n >= SECRET_DIGITS) & (letters >= SECRET_LETTERS))
         .otherwise(True)
     )
 
@@ -122,7 +130,7 @@ def matches_of(documents: DataFrame) -> DataFrame:
 
 
 def spans_of(matches: DataFrame) -> DataFrame:
-    """``matches`` without what fails its kind, and without candidates that touch a seed; candidates lose closing punctuation."""
+    """``matches`` without what fails its kind, and without candidates that touch a seed; candidates lose opening and closing punctuation."""
     checked = matches.where(F.col("kind").isNull() | valid(F.col("kind"), F.col("match")))
     is_seed = F.col("kind") != CONTEXT
     order = Window.partitionBy("record").orderBy("start", "end")
@@ -132,21 +140,23 @@ def spans_of(matches: DataFrame) -> DataFrame:
         F.coalesce(seeds_behind, F.col("end")) < F.col("end")
     )
     kept = checked.withColumn("touches", touches).where(F.col("kind").isNull() | is_seed | ~F.col("touches"))
-    trimmed = F.regexp_replace("match", r"[.,;:!?)\]}'\"]+$", "")
-    token = F.when(F.col("kind") == CONTEXT, trimmed).otherwise(F.col("match"))
+    is_candidate = F.col("kind") == CONTEXT
+    opened = F.when(is_candidate, F.regexp_replace("match", rf"^{OPENING}", "")).otherwise(F.col("match"))
+    start = F.col("start") + F.length("match") - F.length(opened)
+    token = F.when(is_candidate, F.regexp_replace(opened, r"[.,;:!?)\]}'\"]+$", "")).otherwise(F.col("match"))
     return kept.select(
-        "record", "doc_id", "kind", "start", (F.col("start") + F.length(token)).alias("end"), token.alias("match"), "before"
+        "record", "doc_id", "kind", start.alias("start"), (start + F.length(token)).alias("end"), token.alias("match"), "before"
     )
 
 
 def patterns_of(spans: DataFrame) -> DataFrame:
     """(pattern, instance, seed, n): how often each pattern extracts each instance.
 
-    A pattern is the last word before a match, or the last two, in lower case. Matches with no word before them have none.
+    A pattern is the last word before a match, or the last two, in lower case, without quotes and brackets that open right before it. Matches with no word before them have none.
     """
     last = r"(\S+)\s*$"
     two = r"(\S+\s+\S+)\s*$"
-    before = F.lower("before")
+    before = F.lower(F.regexp_replace("before", rf"{OPENING}$", ""))
     words = F.array(
         F.concat(F.lit("1 "), F.regexp_extract(before, last, 1)),
         F.concat(F.lit("2 "), F.regexp_replace(F.regexp_extract(before, two, 1), r"\s+", " ")),
@@ -211,8 +221,8 @@ def bootstrap(
 
 
 def identifiers(documents: DataFrame, rounds: int = ROUNDS, trusted: float = TRUSTED, taken: float = TAKEN) -> DataFrame:
-    """(doc_id, spans): one row for each row of ``documents``, spans (kind, start, end, match, score) by kind as in ``KINDS``, then ``context``,
-    then start; offsets in code points, end exclusive.
+    """(doc_id, spans): one row for each row of ``documents``, spans (kind, start, end, match, score) by kind as in ``KINDS``, then ``secret``
+    and ``context``, then start; offsets in code points, end exclusive.
 
     A null text counts as empty and has no spans. Rows that share a doc_id, or have none, each get a row. Texts are searched whole. An
     empty table gives no rows; other columns are not read. Only the matches of one row come together.
@@ -224,7 +234,7 @@ def identifiers(documents: DataFrame, rounds: int = ROUNDS, trusted: float = TRU
     accepted = scores.where(F.col("score") >= taken).select(F.col("instance").alias("match"), "score")
     seeds = spans.where(F.col("kind").isNull() | (F.col("kind") != CONTEXT)).withColumn("score", F.lit(1.0))
     more = spans.where(F.col("kind") == CONTEXT).join(accepted, "match")
-    order = F.array(*[F.lit(k) for k in (*KINDS, CONTEXT)])
+    order = F.array(*[F.lit(k) for k in (*KINDS, SECRET, CONTEXT)])
     span = F.struct(
         F.array_position(order, F.col("kind")).alias("place"), "start", "end", "kind", "match", "score"
     )

@@ -100,7 +100,8 @@ def op1(spark, sf_dir):
     return found.select(
         "doc_id",
         *[count(kind).alias(f"n_{kind}") for kind in private.KINDS],
-        sha256(joined(F.filter(spans, lambda s: s["kind"] != private.CONTEXT))).alias("base_sha256"),
+        *[count(kind).alias(f"n_{kind}") for kind in (private.SECRET, private.CONTEXT)],
+        sha256(joined(F.filter(spans, lambda s: s["kind"].isin(*private.KINDS)))).alias("base_sha256"),
         joined(spans).alias("spans"),
     )
 
