@@ -10,6 +10,7 @@ whole words.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import ahocorasick
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 
 from thriftlens.llm.texts import free_name, text_column, words_of
 
+SPACE = re.compile(" ")
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 # Exact phrases with their labels.
@@ -132,13 +134,14 @@ def _places(notices: list[Notice]):
                 found = list(scanner.matches(joined))
                 if found:
                     spans = [m.span() for m in WORD.finditer(text.decode("utf-8", "replace"))]
+                    spaces = [m.start() for m in SPACE.finditer(joined)]
                 for notice, start, end, edits in found:
                     while start < end and joined[start] == " ":
                         start += 1
                     while end > start and joined[end - 1] == " ":
                         end -= 1
-                    first = joined.count(" ", 0, start) - 1
-                    last = joined.count(" ", 0, end) - 1
+                    # A word has as many spaces before it as its number from 1.
+                    first, last = bisect_left(spaces, start) - 1, bisect_left(spaces, end) - 1
                     places.append(
                         {
                             "kind": notice.kind, "label": notice.label, "start": spans[first][0], "end": spans[last][1],
