@@ -12,6 +12,7 @@ so what a task holds is bounded whatever the size of the benchmark.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +23,8 @@ from thriftlens.session import cut_lineage
 
 WINDOW = 13
 BLOCK = 3
-CHUNK_WORDS = 2_000_000
+#: Words of a chunk, about. Its tables take a task some 850 bytes a word: under 200 MB.
+CHUNK_WORDS = 200_000
 
 
 class Searcher:
@@ -113,17 +115,15 @@ def _merge_runs(runs):
     return F.arrow_udf(each, "array<struct<start: bigint, end: bigint>>")(runs)
 
 
-def benchmark_chunks(benchmark: DataFrame, chunk_words: int) -> list[list[tuple[object, bytes]]]:
-    """The benchmark's distinct items in chunks of bounded size, each fetched by a query of its own."""
+def benchmark_chunks(benchmark: DataFrame, chunk_words: int) -> Iterator[list[tuple[object, bytes]]]:
+    """The benchmark's distinct items in chunks of bounded size, each fetched by a query of its own when it is asked for, so the driver holds one."""
     items = benchmark.select("item_id", F.col("text").cast("binary").alias("text")).distinct()
     weight = F.coalesce(F.sum(F.octet_length("text")), F.lit(0))
     total = items.agg(weight.alias("n")).first()["n"] // 6  # bytes a word, about
     n = max(1, -(-total // chunk_words))
     part = F.pmod(F.xxhash64("text"), F.lit(n))
-    return [
-        [(r["item_id"], bytes(r["text"] or b"")) for r in items.where(part == k).collect()]
-        for k in range(n)
-    ]
+    for k in range(n):
+        yield [(r["item_id"], bytes(r["text"] or b"")) for r in items.where(part == k).collect()]
 
 
 def overlaps(
