@@ -79,6 +79,14 @@ def test_shuffle_laws(many, shards, size):
     assert 0.45 < rising / len(order) < 0.55  # neither the order of the table nor of a hash of few buckets
 
 
+def test_the_order_does_not_depend_on_the_partitions(many):
+    columns = ["doc_id", "_shard", "_slot"]
+    place = lambda df, **o: sorted(map(tuple, sharding.shuffled(df, bucket_bytes=1000, **o).select(*columns).collect()))
+    once = place(many)
+    assert place(many.repartition(7)) == once and place(many.orderBy("text").coalesce(2)) == once
+    assert place(many, seed=43) != once
+
+
 def test_odd_rows_shuffle(odd, docs):
     rows = sharding.shuffled(odd).select("*", sharding.size_of(F.col("text")).alias("size"), sharding.crc_of(F.col("text")).alias("crc")).collect()
     assert len(rows) == 10 and sorted(r["_shard"] for r in rows) == list(range(10)) and {r["_slot"] for r in rows} == {0}

@@ -1,7 +1,7 @@
 """Sharding by a two-pass external shuffle.
 
-First pass: a seeded hash scatters the records uniformly into buckets that fit in memory. Second pass: each bucket is put in order, shuffled with
-Fisher-Yates and written. The buckets one after another are a random order of all records, which is cut into shards of
+First pass: a seeded hash scatters the records uniformly into buckets that fit in memory, each a partition of its own. Second pass: each bucket is put in
+order, shuffled with Fisher-Yates from a seed of its own and written. The buckets one after another are a random order of all records, which is cut into shards of
 nearly equal numbers of rows, so a shard is made of whole buckets but for the two at its ends.
 """
 
@@ -38,13 +38,13 @@ def shuffled(
 ) -> DataFrame:
     """``documents`` with columns ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in its shard), in random order.
 
-    The numbers of rows of two shards differ by at most one. The scatter is by a hash of doc_id and text, with the number of the row
-    among the input's partitions mixed in, so rows that repeat, or share a null id, spread like all others. A null text counts as
-    empty in sizes. An empty table gives no rows. Columns keep their names; the new ones get underscores before theirs where
-    the input has such columns. The same input in the same partitions gives the same buckets; the order in a bucket also depends on
-    which buckets a task gets.
+    The numbers of rows of two shards differ by at most one. The scatter is by a hash of the seed, doc_id and text, and a bucket's order depends on
+    the seed and its records alone, so the result is the same however the input is stored and whatever tasks run where. Only
+    rows that repeat both doc_id and text, or share a null id and a text, are told apart by their place in the input: they spread like all others, and the
+    order of a table with such rows depends on its partitions. A null text counts as empty in sizes. An empty table gives no rows. Columns keep their names; the
+    new ones get underscores before theirs where the input has such columns.
 
-    ``documents`` is read three times (sizes, counts of buckets, records) and must be read in the same partitions each time: a table
+    ``documents`` is read four times (sizes, repeats, counts of buckets, records) and must be read in the same partitions each time: a table
     of files, or what ``cut_lineage`` returns.
     """
     shard, slot = free_name(documents, "shard"), free_name(documents, "slot")
@@ -53,11 +53,19 @@ def shuffled(
     total = documents.agg(F.count("*").alias("n"), F.sum(size_of(text)).alias("bytes")).first()
     n = total["n"]
     buckets = max(BUCKETS_PER_SHARD * shards, -(-(total["bytes"] or 0) // bucket_bytes))
-    hash_of = F.xxhash64(F.lit(seed), F.col("doc_id"), text, F.monotonically_increasing_id())
-    bucket, row, place = (free_name(documents, x) for x in ("bucket", "record", "place"))
-    scattered = documents.select(
-        F.struct(hash_of.alias("hash"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")).alias(row)
-    ).withColumn(bucket, F.pmod(F.col(row)["hash"], F.lit(buckets)).cast("int"))
+    bucket, row, place, own = (free_name(documents, x) for x in ("bucket", "record", "place", "own_hash"))
+    hash_of = F.xxhash64(F.lit(seed), F.col("doc_id"), text)
+    # Hashes of rows that repeat: none where doc_id is a key, and then the join costs nothing.
+    twice = cut_lineage(documents.groupBy(hash_of.alias(own)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(own))
+    hashed = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias(row), hash_of.alias(own), F.monotonically_increasing_id().alias(place)
+    )
+    told_apart = hashed.where(F.lit(False)) if twice.isEmpty() else hashed.join(twice, own, "left_semi")
+    hashed = hashed if twice.isEmpty() else hashed.join(twice, own, "left_anti")
+    hashed = hashed.unionByName(told_apart.withColumn(own, F.xxhash64(own, place)))
+    scattered = hashed.select(
+        F.struct(F.col(own).alias("hash"), F.col(row).alias("row")).alias(row), F.pmod(own, F.lit(buckets)).cast("int").alias(bucket)
+    )
 
     # Rows before each bucket: the buckets are few, so one task may add their counts up.
     before = cut_lineage(
@@ -68,7 +76,7 @@ def shuffled(
             (F.sum("count").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))).alias("before"),
         )
     )
-    orders = scattered.repartition(buckets, bucket).groupBy(bucket).agg(F.array_sort(F.collect_list(row)).alias(row))
+    orders = scattered.repartitionById(buckets, F.col(bucket)).groupBy(bucket).agg(F.array_sort(F.collect_list(row)).alias(row))
     at = (
         orders.join(before, bucket)
         .select(F.coalesce("before", F.lit(0)).alias("before"), F.posexplode(F.shuffle(row, seed)).alias(place, row))
