@@ -59,3 +59,20 @@ def test_read_back(spark, segment):
         assert (r["n_turns"], r["turns_sha256"]) == (len(turns), hashlib.sha256(whole.encode()).hexdigest())
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.read_back(chat.formatted(rows.limit(0), TOKENIZER)).count() == 0
+
+
+def test_a_long_conversation_is_cut_into_many_groups(spark):
+    """One conversation of thousands of turns over several cells; its segments are rows of their own, bounded, and dealt to many tasks."""
+    rows = [(7, k, "assistant" if k % 2 else "user", f"turn {k} " + "x" * (k % 50), "s") for k in range(9_000)] + [(8, 0, "user", "short", "s")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segment string").repartition(5)
+    made = chat.formatted(df, TOKENIZER, segment_chars=20_000)
+    parts = [r for r in made.collect() if r["conv_id"] == 7]
+    total = sum(len(r[2]) + len(r[3]) for r in rows[:-1])
+    assert len(parts) == -(-total // 20_000) and sorted(r["segment"] for r in parts) == list(range(len(parts)))
+    assert sum(r["n_turns"] for r in parts) == 9_000 and max(len(r["text"]) for r in parts) < 40_000
+    whole = [t for r in sorted(parts, key=lambda r: r["segment"]) for t in chat.turns_of(r["text"])]
+    assert whole == [(r[2], r[3]) for r in rows[:-1]]
+    # A written table comes back in any order.
+    got = {r["conv_id"]: r for r in chat.read_back(made.repartition(4, "segment")).collect()}
+    loss = "".join(r[3] for r in rows if r[2] == "assistant")
+    assert got[7]["n_turns"] == 9_000 and got[7]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and got[8]["n_turns"] == 1

@@ -5,8 +5,8 @@ strings, a backslash goes behind its first character, and every backslash is dou
 encoded once, with the offsets of its tokens; control strings are tokens of their own, so no token reaches over the end of a turn. The spans of
 the turns that count for the loss, sorted, meet the sorted token spans by binary search.
 
-Turns are sorted by conversation in Spark, and a task walks through them with one segment in memory: a conversation that is longer than
-``segment_chars`` goes on in a further segment at the next turn, so a conversation of any size is written by a bounded task.
+A running sum over the turns' lengths cuts a conversation into segments of whole turns, about ``segment_chars`` long. Segments are dealt to the tasks one by
+one, so a conversation of any size is rendered, encoded and masked by many tasks with one segment in memory each.
 """
 
 from __future__ import annotations
@@ -17,15 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thriftlens.llm.texts import lean_batches
+from thriftlens.session import cut_lineage
 
 TURN, TEXT, END = "<turn>", "<text>", "</turn>"
 CONTROL = (TURN, TEXT, END, "<|endoftext|>")
 TRAINED_ROLES = ("assistant",)
 SEGMENT_CHARS = 1 << 22
+#: Turn numbers of a cell of the running sum.
+TURNS_OF_CELL = 4096
 
 _TO_ESCAPE = re.compile("|".join([r"\\", *map(re.escape, CONTROL)]))
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -113,9 +116,11 @@ def formatted(
     """(conv_id, segment, n_turns, text, token_ids, token_starts, token_ends, loss_mask), offsets in code points of the text.
 
     Rows are turns in the order of ``turn``; a missing turn number comes first, equal ones go by role, then text. A null role or
-    text counts as empty, and rows without conv_id make one conversation. Rows that repeat are turns that repeat. Segments are whole turns, numbered
-    from 0, and a conversation has one unless its text is longer than ``segment_chars``. An empty table gives no rows.
-    Other columns of the input are not read.
+    text counts as empty, and rows without conv_id make one conversation. Rows that repeat are turns that repeat. A segment begins where the turns before it
+    pass a multiple of ``segment_chars``; segments are numbered by these multiples, so the number of one that a longer turn skips is missing. A
+    conversation shorter than that is segment 0. An empty table gives no rows. Other columns of the input are not read.
+
+    The sum runs over cells of ``TURNS_OF_CELL`` turn numbers first and inside a cell then, so no task puts a whole conversation in order.
     """
     lean_batches()
     turns = conversations.select(
@@ -124,11 +129,12 @@ def formatted(
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
+    turns = _in_segments(turns, segment_chars)
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoder(tokenizer_path)
         done: list[tuple] = []
-        at = {"conv": None, "segment": 0, "turns": [], "chars": 0, "held": 0}
+        at = {"key": None, "turns": [], "held": 0}
 
         def close():
             if at["turns"]:
@@ -137,8 +143,8 @@ def formatted(
                 offsets = np.array(code.offsets, dtype=np.int32).reshape(-1, 2)
                 mask = loss_mask(offsets[:, 0], offsets[:, 1], spans)
                 ids = np.array(code.ids, dtype=np.int32)
-                done.append((at["conv"], at["segment"], len(at["turns"]), text, ids, offsets, mask))
-                at.update(segment=at["segment"] + 1, turns=[], chars=0, held=at["held"] + len(text))
+                done.append((*at["key"], len(at["turns"]), text, ids, offsets, mask))
+                at.update(turns=[], held=at["held"] + len(text))
 
         def handed_on():
             columns = list(zip(*done)) or [()] * 7
@@ -157,25 +163,40 @@ def formatted(
             names = "conv_id segment n_turns text token_ids token_starts token_ends loss_mask".split()
             return pa.RecordBatch.from_arrays(arrays, names)
 
-        started = False
         for batch in batches:
-            for conv, role, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if not started or conv != at["conv"]:
+            for conv, segment, role, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (conv, segment) != at["key"]:
                     close()
-                    at.update(conv=conv, segment=0)
-                    started = True
+                    at["key"] = (conv, segment)
                 at["turns"].append((role, text))
-                at["chars"] += len(role) + len(text)
-                if at["chars"] > segment_chars:
-                    close()
                 if at["held"] > segment_chars:
                     yield handed_on()
         close()
         if done:
             yield handed_on()
 
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(render, SEGMENT)
+    ordered = turns.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "turn", "role", "text")
+    return ordered.select("conv_id", "segment", "role", "text").mapInArrow(render, SEGMENT)
+
+
+def _in_segments(turns: DataFrame, segment_chars: int) -> DataFrame:
+    """``turns`` with ``segment``: how many times ``segment_chars`` the turns before one have passed.
+
+    A conversation that could not fill a segment is not put in order for it."""
+    length = F.length("role") + F.length("text")
+    sized = turns.withColumn("_cell", F.coalesce(F.floor(F.col("turn") / TURNS_OF_CELL), F.lit(-1)))
+    cells = sized.groupBy("conv_id", "_cell").agg(F.sum(length).alias("_n"))
+    in_order = Window.partitionBy("conv_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(in_order), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy("conv_id")))
+    long = cut_lineage(cells.where(F.col("_all") > segment_chars).select("conv_id", "_cell", "_before"))
+    if long.isEmpty():
+        return turns.withColumn("segment", F.lit(0))
+    same = sized["conv_id"].eqNullSafe(long["conv_id"]) & (sized["_cell"] == long["_cell"])
+    short = sized.join(long, same, "left_anti").drop("_cell").withColumn("segment", F.lit(0))
+    placed = sized.join(long, same).select(*[sized[c] for c in sized.columns], "_before")
+    inside = Window.partitionBy("conv_id", "_cell").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_before") + F.coalesce(F.sum(length).over(inside), F.lit(0))
+    return short.unionByName(placed.withColumn("segment", F.floor(before / segment_chars).cast("int")).drop("_cell", "_before"))
 
 
 READ_BACK = """conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string,
@@ -184,7 +205,7 @@ READ_BACK = """conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars b
 
 def read_back(segments: DataFrame) -> DataFrame:
     """What ``formatted`` wrote, read from its texts, token spans and masks: one row per conversation with digests of its turns and of
-    the text under the mask. The segments of a conversation must come one after another, as ``formatted`` leaves them."""
+    the text under the mask. A digest runs over the segments of a conversation in order, so these meet in one task, one at a time."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def fresh(conv):
@@ -223,4 +244,5 @@ def read_back(segments: DataFrame) -> DataFrame:
         if now is not None:
             yield pa.RecordBatch.from_pylist([{n: row(now)[n] for n in schema.names}], schema=schema)
 
-    return segments.select("conv_id", "text", "token_starts", "token_ends", "loss_mask").mapInArrow(read, READ_BACK)
+    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    return ordered.select("conv_id", "text", "token_starts", "token_ends", "loss_mask").mapInArrow(read, READ_BACK)
