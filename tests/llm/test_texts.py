@@ -121,3 +121,65 @@ def test_license_places(docs):
 def test_license_odd(odd):
     assert licences.license_places(odd).where("size(_license.places) > 0").count() == 0
     assert licences.license_places(odd.limit(0)).count() == 0
+
+
+def edits_within(notice, text):
+    """The least number of edits between the notice and any part of the text, by Sellers' rows."""
+    row = list(range(len(notice) + 1))
+    best = row[-1]
+    for c in text:
+        ahead = [0]
+        for k, n in enumerate(notice, 1):
+            ahead.append(min(row[k] + 1, ahead[k - 1] + 1, row[k - 1] + (c != n)))
+        row = ahead
+        best = min(best, row[-1])
+    return best
+
+
+def test_fuzzy_labels_are_the_notices_within_their_errors():
+    rnd = random.Random(21)
+    notices = licences.notices_of(licences.PHRASES, licences.NOTICES, 0.1)
+    of_text = licences._places(notices)()
+    for _ in range(250):
+        notice = rnd.choice(notices)
+        letters = list(notice.words)
+        for _ in range(rnd.randint(0, notice.errors + 2)):
+            at = rnd.randrange(len(letters) + 1)
+            letters[at : at + rnd.randint(0, 1)] = rnd.choice(["", "q", "zz"[: rnd.randint(1, 2)]])
+        text = f"some words before {''.join(letters)} and some behind"
+        joined = " " + " ".join(text.split()) + " "
+        got = {(p["kind"], p["label"]) for p in of_text(text.encode())["places"] if p["kind"] == "fuzzy"}
+        want = {("fuzzy", n.label) for n in notices if n.kind == "fuzzy" and edits_within(n.words, joined) <= n.errors}
+        assert got == want, text
+
+
+def test_very_many_places_take_time_in_proportion():
+    import time
+
+    of_text = licences._places(licences.notices_of(licences.PHRASES, licences.NOTICES, 0.1))()
+    start = time.time()
+    places = of_text(b"all rights reserved " * 16_000)["places"]
+    assert sum(p["kind"] == "base" for p in places) == 16_000 and time.time() - start < 3
+    assert places[-1]["last_word"] == 47_999
+
+
+def test_tables_of_a_benchmark_chunk_stay_small():
+    """The tables of a chunk at its bound, as a share of it that is quick to make."""
+    import tracemalloc
+
+    rnd = random.Random(1)
+    share = 20
+    words = decontaminate.CHUNK_WORDS // share
+    items = [(k, " ".join(f"w{rnd.randrange(50_000)}" for _ in range(500)).encode()) for k in range(words // 500)]
+    tracemalloc.start()
+    made = decontaminate._finder(items, 13, 3)()
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert made(items[3][1])["items"] == ["3"] and size * share < 200e6
+
+
+def test_chunks_are_fetched_one_at_a_time(spark):
+    bench = spark.createDataFrame([(k, f"word{k} " * 60) for k in range(40)], "item_id long, text string")
+    chunks = decontaminate.benchmark_chunks(bench, 300)
+    assert next(chunks) is not None and not isinstance(chunks, list)
+    assert sorted(i for c in decontaminate.benchmark_chunks(bench, 300) for i, _ in c) == list(range(40))

@@ -112,10 +112,10 @@ def segments(scores: list[float], other: float) -> list[list]:
 def training(labels: DataFrame, rows: int) -> DataFrame:
     """(doc_id, toxic) of labelled rows whose crc32(doc_id) mod 3 is not 1: a bounded sample, by hash of the id.
 
-    Rows without id or label are left out; an id with several labels is toxic if one of them says so.
+    Rows without id or label are left out, and labels other than 0 and 1; an id with several labels is toxic if one of them says so.
     """
     of_fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1
-    usable = labels.where(of_fold & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
+    usable = labels.where(of_fold & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     by_id = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     return by_id.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
@@ -301,6 +301,7 @@ def passages(documents: DataFrame, model: Model, expected: float = 0.01, as_colu
     """``documents`` with a struct column: score (0 to 1), n_words, best (lambda * S - ln n) and the significant segments (first and last
     word, score, expected number of such segments in a text of this length by chance).
 
+    A word that equals the word before it counts as one outside the lexicon, so an insult that a text repeats without a break counts once.
     A null or empty text has no segments and the score of the curve at 0. Rows that repeat give the same result each, texts are
     scanned whole, and only ``text`` is read. The new column is the last and gets underscores before its name where the documents
     have such a column.
