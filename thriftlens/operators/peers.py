@@ -59,18 +59,20 @@ def level_counts(shelf: DataFrame, levels: Sequence[Sequence[str]], price: str)
     return each.select("_fit.*", price).groupBy(*GROUP, price).agg(F.count(F.lit(1)).alias("n_equal"))
 
 
-def peer_cascade(shelf: DataFrame, levels: Sequence[Sequence[str]] = PEER_LEVELS, min_group: int = 8, key: str = "item_id", price: str = "price_ore", keep: Sequence[str] = ()) -> DataFrame:
+def peer_cascade(shelf: DataFrame, levels: Sequence[Sequence[str]] = PEER_LEVELS, min_group: int = 8, key: str = "item_id", price: str = "price_ore", keep: Sequence[str] = (), staged: bool = False) -> DataFrame:
     """Peer position from the first level whose group has ``min_group`` members.
 
     Each level compares with the whole shelf of its key, also with items an earlier level placed.
-    Items no level can place are left out, a group with a missing key is no group. ``keep`` names columns to carry along.
+    Items no level can place are left out, a group with a missing key is no group. ``keep`` names columns to carry along. The shelf is written once in its few columns, or
+    read as it is where it is ``staged``, a filter on a written table.
 
     The levels go through one plan: counts by (level, group, price) from one read, positions of all of them by cells, and the level of
-    every combination of keys, a table much smaller than the shelf. The shelf's rows, written once in their few columns, are shuffled to meet the position
+    every combination of keys, a table much smaller than the shelf. The shelf's rows are shuffled to meet the position
     of their price at their level, and nothing else of their size is.
     """
     names = list(dict.fromkeys(c for keys in levels for c in keys))
-    rows = cut_lineage(shelf.select(key, price, *dict.fromkeys([*keep, *names])).where(F.col(price).isNotNull()))
+    rows = shelf.select(key, price, *dict.fromkeys([*keep, *names])).where(F.col(price).isNotNull())
+    rows = rows if staged else cut_lineage(rows)
     positions = positions_of_counts(level_counts(rows, levels, price), GROUP, price)
     positions = cut_lineage(positions.where(F.col("n_group") >= min_group))
     groups = positions_median(positions, GROUP, price, "n_group")

@@ -77,7 +77,7 @@ def build_shortlist(items: DataFrame, as_of: Column, band_edges: Sequence[int] =
     live = filters.live(rows)
     if peers is None:
         keep = [c for c in live.columns if c not in ("item_id", "price_ore")]
-        placed = peer_cascade(live, min_group=min_group, keep=keep)
+        placed = peer_cascade(live, min_group=min_group, keep=keep, staged=True)
     else:
         placed = live.join(peers.drop("price_ore"), "item_id")
     discount = s.discount_pct(F.col("price_ore"), F.col("peer_median_ore"))

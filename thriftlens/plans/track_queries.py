@@ -662,12 +662,16 @@ def ledger(m: Market):
 
 
 @query("run_verdict", None, f"""WITH {LEDGER},
-    l AS (SELECT arg_max(expected, started_at) AS e FROM ledger WHERE status = 'ok')
-    SELECT e AS last_expected, 1000::bigint AS expected, 950::bigint AS written,
-      CASE WHEN 1000 < e * 0.5 THEN 'refused: dropped by more than half' ELSE 'ok' END AS verdict FROM l""")
+    now AS (SELECT max(cast(ts AS date)) AS d FROM events),
+    run AS (SELECT count(*) AS e, count(*) FILTER (event_type <> 'error') AS w FROM events, now WHERE cast(ts AS date) = d),
+    l AS (SELECT arg_max(expected, started_at) AS last FROM ledger, now WHERE status = 'ok' AND started_at < d)
+    SELECT last AS last_expected, e AS expected, w AS written,
+      CASE WHEN e < last * 0.5 THEN 'refused: dropped by more than half' WHEN w >= e * 0.9 THEN 'ok' ELSE 'failed' END AS verdict FROM l, run""")
 def run_verdict(m: Market):
-    """A run that expected a thousand rows, against the last good one on record."""
-    return guards.run_verdict(ledger(m), 1000, 950)
+    """The newest day as a run that expected all its events and wrote those without an error, against the last good day before it."""
+    days = m.table("events").select(F.to_date("ts").alias("day"), "event_type")
+    run = days.groupBy("day").agg(F.count(F.lit(1)).alias("e"), F.count_if(F.col("event_type") != "error").alias("w")).orderBy(F.desc("day")).first()
+    return guards.run_verdict(ledger(m).where(F.col("started_at") < F.lit(run["day"])), run["e"], run["w"])
 
 
 @query("outcome_precheck", "items", f"""WITH {LEDGER},

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import wraps
@@ -96,15 +96,26 @@ def removes_staged(job: Callable) -> Callable:
     return run
 
 
-def cut_lineage(df: DataFrame, lasting: bool = False) -> DataFrame:
+def cut_lineage(df: DataFrame, lasting: bool = False, by: Sequence[str] = (), dealt: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back from there.
 
     Used where one result feeds several later reads. The files outlive lost executors, and later
-    reads fetch only the columns they need. A ``lasting`` table outlives the innermost ``staging`` around it.
+    reads fetch only the columns they need. A ``lasting`` table outlives the innermost ``staging`` around it. ``by`` names columns whose hash buckets the files
+    are, as many as the session has shuffle partitions: joins by these columns then leave the table where it lies. ``dealt`` says that ``df`` comes from such a join and
+    is dealt out that way already.
     """
     spark = df.sparkSession
     folders = _job_folders.get()[:-1] if lasting else _job_folders.get()
     folder = folders[-1] if folders else shared_dir(spark).rstrip("/")
-    path = f"{folder}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    name = f"staged-{uuid.uuid4().hex}"
+    path = f"{folder}/{name}"
+    if not by:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df if dealt else df.repartition(buckets, *by)
+    named = name.replace("-", "_")
+    rows.write.format("parquet").bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(named)
+    table = spark.table(named)
+    spark.sql(f"DROP TABLE {named}")  # from the catalogue; the files stay
+    return table
