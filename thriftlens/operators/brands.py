@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
 from thriftlens.operators.spread import pick_first, with_quantiles, with_row
+from thriftlens.session import cut_lineage
 
 
 def attention_index(live: DataFrame, as_of: Column, min_cell: int = 30, band_edges: Sequence[int] = s.PRICE_BAND_EDGES_ORE) -> DataFrame:
     """Likes of a brand over the likes the market gives the same basket of garment, price band and
     age. A thin cell falls back to the mean of its (band, age).
 
-    The rows are first reduced to sums per (brand, garment, band, age); cell means come from those
-    sums, so the listings are shuffled once and no cell table is joined to single listings.
+    The rows are first reduced to sums per (brand, garment, band, age), a small table that is written; cell means come from those
+    sums, so the listings are read and shuffled once and no cell table is joined to single listings.
     """
     age = s.age_bucket(F.greatest(F.datediff(as_of, F.col("first_offered")), F.lit(0)))
     basket = (
@@ -30,6 +31,7 @@ def attention_index(live: DataFrame, as_of: Column, min_cell: int = 30, band_edg
         .groupBy("brand", "item_type", "band", "age")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("favourites").alias("likes"))
     )
+    basket = cut_lineage(basket)
     cell = basket.groupBy("item_type", "band", "age").agg(
         F.sum("n").alias("cell_n"), F.sum("likes").alias("cell_likes")
     )
