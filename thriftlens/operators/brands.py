@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
-from thriftlens.operators.spread import pick_first, with_quantiles, with_row
+from thriftlens.operators.spread import null_safe_join, pick_first, positions_median, positions_of_counts, with_quantiles, with_row
 from thriftlens.session import cut_lineage
 
 
@@ -93,6 +93,39 @@ def brand_snapshot(items: DataFrame, as_of: Column, min_live: int = 25, since: C
     return out.withColumn("sold_pct_day", rate).withColumn("as_of", as_of)
 
 
+SHELF_SUMS = ["n", "n_likes", "likes"]
+
+
+def shelf_counts(live: DataFrame) -> DataFrame:
+    """(brand, price_ore, n, n_likes, likes): how many live listings of a brand ask which price, and their likes. The counts of different listings add up."""
+    return live.groupBy("brand", "price_ore").agg(
+        F.count(F.lit(1)).alias("n"), F.count("favourites").alias("n_likes"), F.coalesce(F.sum("favourites"), F.lit(0)).alias("likes")
+    )
+
+
+def merged_counts(counts: DataFrame, went: DataFrame, came: DataFrame) -> DataFrame:
+    """``shelf_counts`` of a shelf after a day: those of the day before, less the listings that ``went`` as they were, with those that ``came`` as they
+    are. A listing whose price or likes moved is in both. No listing that stayed as it was is read."""
+    gone = shelf_counts(went).withColumns({c: -F.col(c) for c in SHELF_SUMS})
+    every = counts.unionByName(gone).unionByName(shelf_counts(came))
+    summed = every.groupBy("brand", "price_ore").agg(*[F.sum(c).alias(c) for c in SHELF_SUMS])
+    return summed.where(F.col("n") != 0)
+
+
+def snapshot_of_counts(counts: DataFrame, sold: DataFrame, as_of: Column, days: int = 1, min_live: int = 25) -> DataFrame:
+    """``brand_snapshot`` from ``shelf_counts`` and the number of listings of a brand that sold in the last ``days`` (brand, sold). Exact, medians too."""
+    summary = (
+        counts.groupBy("brand")
+        .agg(F.sum("n").alias("listings"), s.ratio(F.sum("likes"), F.sum("n_likes")).alias("avg_favourites"))
+        .where(F.col("listings") >= min_live)
+    )
+    equal = counts.where(F.col("brand").isNotNull() & F.col("price_ore").isNotNull()).select("brand", "price_ore", F.col("n").alias("n_equal"))
+    asks = positions_median(positions_of_counts(equal, ["brand"], "price_ore"), ["brand"], "price_ore").withColumnRenamed("median", "med_ask_ore")
+    joined = null_safe_join(null_safe_join(summary, asks, ["brand"], "left"), sold, ["brand"], "left").withColumn("sold", F.coalesce("sold", F.lit(0).cast("long")))
+    rate = F.col("sold") / (F.col("listings") + F.col("sold")) / days * 100
+    return joined.select("brand", "listings", "avg_favourites", "sold", "med_ask_ore", rate.alias("sold_pct_day"), as_of.alias("as_of"))
+
+
 def brand_trend(brand_daily: DataFrame, days: int = 7, min_listings: int = 100) -> DataFrame:
     """Newest snapshot of each brand against the newest one at least ``days`` older. No rows while
     no two snapshots lie that far apart; ``days_apart`` is the real gap."""

@@ -136,19 +136,38 @@ def _just_sold(days: int) -> str:
     return f"(outcome = 1 AND resolved_on > {DAY} - {days} AND resolved_on <= {DAY})"
 
 
-@query("brand_snapshot", "items", f"""
+SNAPSHOT_SQL = f"""
     WITH a AS (SELECT * FROM items WHERE stratum IN ('A', 'B', 'N')),
     g AS (SELECT brand, count(*) FILTER (outcome IS NULL) AS listings,
       avg(favourites) FILTER (outcome IS NULL) AS af, count(*) FILTER {_just_sold(7).replace("(outcome", "(WHERE outcome")} AS sold,
       median(price_ore) FILTER (outcome IS NULL) AS ask FROM a GROUP BY 1)
     SELECT brand, listings, {r6("af")} AS avg_favourites, sold, {r6("ask")} AS med_ask_ore,
-      {r6("sold / (listings + sold) / 7 * 100")} AS sold_pct_day, {DAY} AS as_of FROM g WHERE listings >= 25""")
+      {r6("sold / (listings + sold) / 7 * 100")} AS sold_pct_day, {DAY} AS as_of FROM g WHERE listings >= 25"""
+
+
+@query("brand_snapshot", "items", SNAPSHOT_SQL)
 def brand_snapshot(m: Market):
     rows = filters.analysis_rows(m.items("brand", "outcome", "resolved_on", "favourites", "price_ore", "stratum"))
     day = F.lit(AS_OF).cast("date")
     return rounded(brands.brand_snapshot(rows, day, since=F.date_sub(day, 7)))
 
 
+@query("brand_snapshot_merged", "items", SNAPSHOT_SQL)
+def brand_snapshot_merged(m: Market):
+    """The same from counts: those of the day before, changed by the listings that came, went or moved since. The day before, one in seven was not there
+    yet, another asked its first price, and the resales that are resolved were live."""
+    rows = cut_lineage(filters.analysis_rows(m.items("item_id", "brand", "outcome", "resolved_on", "favourites", "price_ore", "first_price_ore", "rungs", "p2p", "stratum")))
+    before = rows.where(F.col("rungs") != 1).where(F.col("outcome").isNull() | F.col("p2p"))
+    before = before.withColumn("price_ore", F.when(F.col("rungs") == 2, F.col("first_price_ore")).otherwise(F.col("price_ore")))
+    stayed = ~F.col("rungs").isin(1, 2) & F.col("outcome").isNull()
+    counts = cut_lineage(brands.shelf_counts(before))
+    counts = brands.merged_counts(counts, before.where(~stayed), filters.live(rows).where(~stayed))
+    day = F.lit(AS_OF).cast("date")
+    just_sold = (F.col("outcome") == 1) & (F.col("resolved_on") > F.date_sub(day, 7)) & (F.col("resolved_on") <= day)
+    sold = rows.where(just_sold).groupBy("brand").agg(F.count(F.lit(1)).alias("sold"))
+    return rounded(brands.snapshot_of_counts(counts, sold, day, 7))
+
+
 BRAND_DAILY_SQL = f"""
     WITH shelf AS (SELECT * FROM items WHERE outcome IS NULL AND stratum IN ('A', 'B', 'N')),
     {ATTENTION.replace("cn >= 300", "cn >= 30")},
