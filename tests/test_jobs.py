@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from thriftlens.functions.sql_tables import register_tables
-from thriftlens.operators import market, slices
+from thriftlens.operators import brands, market, slices
 from thriftlens.plans import jobs
 from thriftlens.session import DROP_SHUFFLES, cut_lineage, staging
 from thriftlens.sources import tables
@@ -109,6 +109,31 @@ def test_counts_of_two_days_are_the_counts_of_both(spark, tmp_path):
     assert whole["brand", "a"] + whole["brand", "b"] == sum(sold for _, sold, *_ in rows)
 
 
+def test_merged_shelf_counts_are_those_of_the_new_shelf(spark, rows):
+    """Over three days of listings that come, go and move, some without price, likes or brand."""
+    rnd = random.Random(8)
+    listing = lambda: (rnd.choice(["a", "b", None]), rnd.choice([None, 100, 200, 300]), rnd.choice([None, 0, 3]))
+    frame = lambda shelf: spark.createDataFrame([(k, *v) for k, v in shelf.items()], "item_id int, brand string, price_ore long, favourites int")
+    shelf = {k: listing() for k in range(300)}
+    counts = brands.shelf_counts(frame(shelf))
+    for day in range(3):
+        after = {k: (listing() if rnd.random() < 0.2 else v) for k, v in shelf.items() if rnd.random() < 0.9}
+        after |= {1000 * (day + 1) + k: listing() for k in range(40)}
+        went = {k: v for k, v in shelf.items() if after.get(k) != v}
+        came = {k: v for k, v in after.items() if shelf.get(k) != v}
+        counts, shelf = cut_lineage(brands.merged_counts(counts, frame(went), frame(came))), after
+        columns = ["brand", "price_ore", "n", "n_likes", "likes"]
+        assert rows(counts, *columns) == rows(brands.shelf_counts(frame(shelf)), *columns)
+    live = frame(shelf).withColumn("outcome", F.lit(None).cast("int")).withColumn("resolved_on", F.lit(None).cast("date"))
+    day = F.lit("2026-08-11").cast("date")
+    columns = ["brand", "listings", "avg_favourites", "sold", "med_ask_ore", "sold_pct_day"]
+    nothing = spark.createDataFrame([], "brand string, sold long")
+    got = brands.snapshot_of_counts(counts, nothing, day, min_live=1)
+    want = brands.brand_snapshot(live, day, 1)
+    near = lambda df: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows(df, *columns)]
+    assert near(got) == near(want)
+
+
 def test_functions_of_sql_text(spark):
     live = spark.createDataFrame([("x", ["wool", "wool", "silk"], 3, True, 100), ("y", None, 5, False, 300), (None, [], 1, False, 200)],
                                  "brand string, material array<string>, favourites int, has_defect boolean, price_ore long")

@@ -119,8 +119,11 @@ def snapshot_of_counts(counts: DataFrame, sold: DataFrame, as_of: Column, days:
         .agg(F.sum("n").alias("listings"), s.ratio(F.sum("likes"), F.sum("n_likes")).alias("avg_favourites"))
         .where(F.col("listings") >= min_live)
     )
-    equal = counts.where(F.col("brand").isNotNull() & F.col("price_ore").isNotNull()).select("brand", "price_ore", F.col("n").alias("n_equal"))
-    asks = positions_median(positions_of_counts(equal, ["brand"], "price_ore"), ["brand"], "price_ore").withColumnRenamed("median", "med_ask_ore")
+    # No key of positions may be null, so a missing brand is told by a key of its own.
+    keys = [F.coalesce("brand", F.lit("")).alias("_brand"), F.col("brand").isNotNull().alias("_named")]
+    equal = counts.where(F.col("price_ore").isNotNull()).select(*keys, "price_ore", F.col("n").alias("n_equal"))
+    medians = positions_median(positions_of_counts(equal, ["_brand", "_named"], "price_ore"), ["_brand", "_named"], "price_ore")
+    asks = medians.select(F.when(F.col("_named"), F.col("_brand")).alias("brand"), F.col("median").alias("med_ask_ore"))
     joined = null_safe_join(null_safe_join(summary, asks, ["brand"], "left"), sold, ["brand"], "left").withColumn("sold", F.coalesce("sold", F.lit(0).cast("long")))
     rate = F.col("sold") / (F.col("listings") + F.col("sold")) / days * 100
     return joined.select("brand", "listings", "avg_favourites", "sold", "med_ask_ore", rate.alias("sold_pct_day"), as_of.alias("as_of"))
