@@ -85,12 +85,6 @@ def test_near_duplicates(docs):
     seen = [(r["doc_id"], r["fingerprint"] % (1 << 64), r["component_id"]) for r in got]
     assert sorted(seen, key=key) == sorted(((i, p, c) for (i, _), p, c in zip(rows, prints, want)), key=key)
 
-    kept = simhash.one_of_each(docs(rows))
-    assert kept.columns == docs(rows).columns
-    named = sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect())
-    assert named == sorted({c for (i, _), c in zip(rows, want) if i == c and i is not None})
-    assert kept.where("doc_id is null").count() == 2
-
 
 def test_dense_group_is_one_component(spark):
     """Thousands of fingerprints around one, far more than a small bucket, are one component."""
@@ -115,4 +109,3 @@ def test_odd_rows(odd):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == 10 and {r["component_id"] for r in got if r["fingerprint"] == 0} == {1}
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
-    assert simhash.one_of_each(odd.limit(0)).count() == 0
