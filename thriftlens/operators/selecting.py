@@ -112,9 +112,9 @@ def smallest_cells(df: DataFrame, n: int | Column, cell: Column, keys: Sequence[
 
 def first_by_hash(df: DataFrame, n: int, seed: str | int, key: str = "item_id") -> DataFrame:
     """The first ``n`` rows in hash order, also for an ``n`` too large for one task: rows in the cells before the one that holds position ``n`` are taken as
-    they are, and only that cell is put in order."""
+    they are, and only that cell is put in order. About ``n`` rows are written on the way."""
     marked = df.withColumn("_h", hash_order(F.col(key), seed))
-    near = smallest_cells(marked, n, hash_cell(F.col("_h"))).withColumn("_cell", hash_cell(F.col("_h")))
+    near = cut_lineage(smallest_cells(marked, n, hash_cell(F.col("_h"))).withColumn("_cell", hash_cell(F.col("_h"))))
     last = near.agg(F.max("_cell").alias("_last"))
     inside = with_row(near, last)
     whole = inside.where(F.col("_cell") < F.col("_last"))
