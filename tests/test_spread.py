@@ -108,3 +108,37 @@ def test_with_row_is_a_scalar_subquery(df):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Cartesian" not in plan
     assert {r.top for r in out.collect()} == {9003}
+
+
+def test_last_before_for_some_rows_only(spark):
+    """Rows that do not ask offer their value and are left out; a null key is a group, a null cell the first."""
+    random.seed(5)
+    rows = [(random.choice(["a", "b", None]), i if i > 3 else None, i, f"v{i}" if i % 3 else None) for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, o int, i int, v string")
+    cell = F.floor(F.col("o") / 7)
+    found = spread.with_last_before(df, ["k"], ["o", "i"], cell, F.upper("v"), "last", only=F.col("i") % 5 == 0)
+    assert found.columns == ["k", "o", "i", "v", "last"]
+    want = {}
+    for k in ("a", "b", None):
+        last = None
+        for _, _, i, v in (r for r in rows if r[0] == k):
+            if i % 5 == 0:
+                want[i] = last
+            last = v.upper() if v else last
+    assert {r.i: r.last for r in found.collect()} == want
+
+
+def test_last_before_shuffles_its_rows_once(spark):
+    """Cells are made and joined where the rows lie: before, six shuffles stood in this plan."""
+    df = spark.range(100).selectExpr("id % 7 AS k", "id", "id AS v")
+    found = spread.with_last_before(df, ["k"], ["id"], F.floor(F.col("id") / 9), "v", "last")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(struct(") + plan.count("Exchange hashpartitioning(_at") <= 3
+
+
+def test_nearly_among_loses_no_key(spark):
+    """Every wanted row passes, and of the others hardly any."""
+    df = spark.range(20000).selectExpr("cast(id AS string) AS a", "id").union(spark.sql("SELECT cast(null AS string), -1L"))
+    wanted = spark.range(0, 40000, 8).selectExpr("cast(id AS string) AS w").union(spark.sql("SELECT cast(null AS string)"))
+    got = [r.id for r in spread.nearly_among(df, "a", wanted, "w").collect()]
+    assert len(got) == len(set(got)) <= 2510 and set(range(0, 20000, 8)) <= set(got) and -1 not in got

@@ -234,30 +234,66 @@ def with_last_before(
     keys: Sequence[str],
     order: Sequence[str],
     cell: Column,
-    value: str,
+    value: str | Column,
     name: str,
+    only: Column | None = None,
 ) -> DataFrame:
-    """Adds ``name``: the newest non-null ``value`` of an earlier row in the group."""
+    """Adds ``name``: the newest non-null ``value`` of an earlier row in the group. With ``only``, rows that it does not hold for offer their value and are left out.
+
+    The rows are shuffled once, by group and cell packed into one struct, in which nulls are equal: cells are counted and joined where the rows
+    lie. Across the group goes a row per cell, and back only those of cells that ask."""
     keys, order = list(keys), list(order)
-    split = df.withColumn("_cell", cell)
-    offered = F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).alias("_v")))
+    at = F.struct(F.struct(*keys).alias("g"), cell.alias("c"))
+    offer, asked = value if isinstance(value, Column) else F.col(value), F.lit(True) if only is None else F.coalesce(only, F.lit(False))
+    split = df.repartition(at).withColumn("_at", at).withColumn("_offer", offer).withColumn("_asked", asked)
+    offered = F.when(F.col("_offer").isNotNull(), F.struct(*order, F.col("_offer").alias("_v")))
     over_cells = (
-        Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_at.g").orderBy("_at.c").rowsBetween(Window.unboundedPreceding, -1)
     )
     cells = (
-        split.groupBy(*keys, "_cell")
-        .agg(F.max(offered)["_v"].alias("_newest"))
+        split.groupBy("_at")
+        .agg(F.max(offered)["_v"].alias("_newest"), F.max("_asked").alias("_asks"))
+        .where(F.col("_newest").isNotNull() | F.col("_asks"))
         .withColumn("_back", F.last("_newest", ignorenulls=True).over(over_cells))
-        .drop("_newest")
+        .where(F.col("_asks") & F.col("_back").isNotNull())
+        .select(F.col("_at").alias("_cell"), "_back")
     )
     inner = (
-        Window.partitionBy(*keys, "_cell")
+        Window.partitionBy("_at")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    inside = split.withColumn("_near", F.last(value, ignorenulls=True).over(inner))
-    joined = null_safe_join(inside, cells, [*keys, "_cell"])
-    return joined.withColumn(name, F.coalesce("_near", "_back")).drop("_cell", "_near", "_back")
+    inside = split.withColumn("_near", F.last("_offer", ignorenulls=True).over(inner)).where("_asked")
+    joined = inside.join(cells, inside["_at"] == cells["_cell"], "left")
+    return joined.withColumn(name, F.coalesce("_near", "_back")).select(*[c for c in df.columns if c != name], name)
+
+
+# Bits of the filter of ``nearly_among``, in rows of 32,768: 32 MB at most, however many keys there are.
+FILTER_BITS = 2**28
+
+
+def nearly_among(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str | None = None) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is one of ``wanted``, and a few others: for a join that shuffles both sides and finds a match for few rows.
+
+    The hashes of the wanted keys are bits of small tables, so no wanted row is lost; the join that follows drops the others. Beyond some
+    hundred millions of keys the filter lets more and more through. ``wanted`` is read here and again by that join, so it should be a table."""
+
+    def place(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+    name = wanted_key or key
+    bits = (
+        wanted.where(F.col(name).isNotNull())
+        .select(F.shiftright(place(name), 15).alias("_bucket"), place(name).bitwiseAND(32767).alias("_place"))
+        .repartition("_bucket")
+        .groupBy("_bucket")
+        .agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    )
+    spot = place(key).bitwiseAND(32767)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(spot, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    held = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i).cast("long") for i in range(8)]), (spot.bitwiseAND(7) + 1).cast("int"))) != 0
+    here = F.col(key).isNotNull() & (F.shiftright(place(key), 15) == F.col("_bucket"))
+    return df.join(F.broadcast(bits), here & held, "left_semi")
 
 
 def pick_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:

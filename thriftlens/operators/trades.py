@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
 from thriftlens.operators.cohort import final_outcomes
-from thriftlens.operators.spread import with_quantiles
+from thriftlens.operators.spread import nearly_among, with_quantiles
+from thriftlens.session import cut_lineage
 
 
 def _bought(ladders: DataFrame) -> DataFrame:
@@ -25,11 +26,16 @@ def _bought(ladders: DataFrame) -> DataFrame:
     )
 
 
+def _linked(resales: DataFrame) -> DataFrame:
+    """The resales with a pointer, as a table: few of all listings, they filter the ladders before these are shuffled, and are joined then."""
+    return cut_lineage(resales.where(F.col("original_id").isNotNull()).select("item_id", "original_id"))
+
+
 def origins(resales: DataFrame, ladders: DataFrame) -> DataFrame:
     """Purchase side of each resale. No pointer drops the row; a pointer whose original has no
     ladder keeps it with nulls."""
-    linked = resales.where(F.col("original_id").isNotNull()).select("item_id", "original_id")
-    return linked.join(_bought(ladders), "original_id", "left")
+    linked = _linked(resales)
+    return linked.join(nearly_among(_bought(ladders), "original_id", linked), "original_id", "left")
 
 
 def round_trips(resales: DataFrame, ladders: DataFrame, keep_share: float = s.KEEP_SHARE) -> DataFrame:
@@ -43,13 +49,13 @@ def round_trips(resales: DataFrame, ladders: DataFrame, keep_share: float = s.KE
         "ended_on",
         "status",
     )
-    linked = resales.where(F.col("original_id").isNotNull()).select("item_id", "original_id")
+    linked = _linked(resales)
     sold = s.outcome_of(F.col("status")) == "sold"
     paid, final = F.col("bought_price_ore"), F.col("final_ore")
     profit_kr = s.trade_profit(s.to_kr(paid), s.to_kr(final), F.col("sold"), keep_share)
     return (
-        linked.join(mine, "item_id")
-        .join(_bought(ladders), "original_id")
+        linked.join(nearly_among(mine, "item_id", linked), "item_id")
+        .join(nearly_among(_bought(ladders), "original_id", linked), "original_id")
         .withColumn("sold", sold)
         .withColumn("multiple", s.multiple(paid, final))
         .withColumn("profit_kr", profit_kr)

@@ -159,17 +159,17 @@ class Market:
     def resales(self) -> DataFrame:
         """Resale listings with ``original_id``, the newest earlier listing of the same product."""
         rows = self.items("item_id", "product_id", "first_offered", "p2p")
-        rows = rows.withColumn("_original", F.when(~F.col("p2p"), F.col("item_id")))
         linked = with_last_before(
             rows,
             ["product_id"],
             ["first_offered", "item_id"],
             # Day and head of the id: it rises with the order, and cuts a much-sold product finely.
             F.concat(F.col("first_offered").cast("string"), F.substring("item_id", 1, 2)),
-            "_original",
+            F.when(~F.col("p2p"), F.col("item_id")),
             "original_id",
+            only=F.col("p2p"),
         )
-        return linked.where("p2p").select("item_id", "original_id")
+        return linked.select("item_id", "original_id")
 
 
 LADDER_COLUMNS = (

@@ -17,7 +17,7 @@ from thriftlens.plans.registry import query, rounded
 from thriftlens.plans.scalar_queries import BAND
 from thriftlens.session import cut_lineage, shared_dir
 from thriftlens.sources import documents
-from thriftlens.sources.io import read_jsonl
+from thriftlens.sources.io import read_jsonl, write_lines
 
 DAY = f"DATE '{AS_OF}'"
 LIVE = "l_linestatus = 'O'"
@@ -398,7 +398,7 @@ def listing_documents(m: Market):
 def landed(lines, schema):
     """Lines written to the shared folder as a source would land them, read back."""
     path = f"{shared_dir(lines.sparkSession)}/landed-{uuid.uuid4().hex}"
-    lines.write.text(path)
+    write_lines(lines, path)
     return read_jsonl(lines.sparkSession, f"{path}/*", schema, newest_only=False)
 
 
@@ -492,8 +492,8 @@ def loaded_ladders(m: Market):
             )
         )
     )
-    lines.write.text(f"{folder}/ladders_20260802.jsonl")
-    lines.where(F.lit(False)).write.text(f"{folder}/ladders_20260801.jsonl")
+    write_lines(lines, f"{folder}/ladders_20260802.jsonl")
+    write_lines(lines.where(F.lit(False)), f"{folder}/ladders_20260801.jsonl")
     loaded = load_local(m.spark, folder, {})["item_ladders"]
     return rounded(
         loaded.select("item_id", "brand", "item_type", "condition", "status", "sold", "opening_ask", "final_price", "rungs",

@@ -23,7 +23,7 @@ from thriftlens.plans.peer_queries import MIN_GROUP, PLACED, SHELF
 from thriftlens.plans.registry import query, rounded
 from thriftlens.session import cut_lineage, shared_dir
 from thriftlens.sources import tables
-from thriftlens.sources.io import write_checks
+from thriftlens.sources.io import write_checks, write_lines
 
 DAY = f"DATE '{AS_OF}'"
 LIVE = "l_linestatus = 'O'"
@@ -541,7 +541,7 @@ def loaded_cohort(m: Market):
     )
     old = F.struct("item_id", F.lit("old").alias("stratum"))
     lines = rows.select(F.explode(F.array(F.to_json(old), F.to_json(line))).alias("value"))
-    lines.write.text(f"{home}/cohort_baseline.jsonl")
+    write_lines(lines, f"{home}/cohort_baseline.jsonl")
     loaded = jobs.load_local(m.spark, home, {})["cohort_items"]
     return rounded(loaded.select("item_id", "stratum", "item_type", "brand", "price_kr", "is_resale", "favourites"))
 
@@ -555,8 +555,8 @@ def loaded_trips(m: Market):
     days = F.col("rungs").cast("int").alias("days_on_circle")
     sold = F.struct(F.col("item_id").alias("circle_id"), s.to_kr(F.col("price_ore")).alias("circle_ask"), days, F.lit(True).alias("sold"))
     every = F.struct(F.col("item_id").alias("circle_id"), days, F.lit(False).alias("sold"))
-    rows.where("rungs <= 4").select(F.to_json(sold)).write.text(f"{home}/roundtrips_2.jsonl")
-    rows.select(F.to_json(every)).write.text(f"{home}/dormant_circle_1.jsonl")
+    write_lines(rows.where("rungs <= 4").select(F.to_json(sold)), f"{home}/roundtrips_2.jsonl")
+    write_lines(rows.select(F.to_json(every)), f"{home}/dormant_circle_1.jsonl")
     loaded = jobs.load_local(m.spark, home, {})["round_trips"]
     return rounded(loaded.select("resale_id", "resale_ask", "days_listed", "sold"))
 

@@ -13,7 +13,7 @@ from thriftlens.plans.binding import AS_OF, Market, r6
 from thriftlens.plans.registry import query, rounded
 from thriftlens.session import cut_lineage, shared_dir
 from thriftlens.sources import documents
-from thriftlens.sources.io import read_jsonl
+from thriftlens.sources.io import read_jsonl, write_lines
 
 # Every listing as a ladder summary; one still listed has no end.
 ALL_LADDERS = """
@@ -64,7 +64,7 @@ def resale_pointers(m: Market):
 
 @query("round_trips", "resales", f"WITH {TRIPS} SELECT * FROM trips")
 def round_trips(m: Market):
-    return trips(m)
+    return rounded(trades.round_trips(m.resales(), all_ladders(m)))
 
 
 def offer_documents(m: Market):
@@ -95,7 +95,7 @@ def offer_documents(m: Market):
     last = F.when(F.col("resolved_on").isNotNull(), offer(2, "price_ore", "resolved_on", "resolved_on"))
     lines = rows.select(F.explode(F.array(first, last)).alias("o")).where("o is not null").select(F.to_json("o"))
     folder = f"{shared_dir(m.spark)}/offers-{uuid.uuid4().hex}"
-    lines.write.text(f"{folder}/offers_1.jsonl")
+    write_lines(lines, f"{folder}/offers_1.jsonl")
     return read_jsonl(m.spark, f"{folder}/offers_*.jsonl", schemas.OFFER)
 
 
@@ -110,8 +110,9 @@ l AS (SELECT item_id, first_price_ore AS opening_ask_ore, CASE WHEN resolved_on
 def document_trips(m: Market):
     """From landed offer documents to round trips: steps, details, ladders, pointers, trips."""
     docs = offer_documents(m)
-    details = documents.offer_details(docs)
-    rows = ladders.ladder_rows(documents.offer_steps(docs), details)
+    # Tables: the trips read details and ladders more than once, and each read would parse the documents again.
+    details = cut_lineage(documents.offer_details(docs))
+    rows = cut_lineage(ladders.ladder_rows(documents.offer_steps(docs), details))
     found = trades.round_trips(details.select("item_id", "original_id"), rows)
     return rounded(
         found.select("item_id", "original_id", "ask_ore", "final_ore", "bought_price_ore", "sold", "multiple", "profit_kr", "days_held", "days_listed")

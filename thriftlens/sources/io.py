@@ -38,6 +38,15 @@ def read_jsonl(spark: SparkSession, pattern: str, schema: T.StructType, newest_o
         return none if place is None else none.withColumn(place, F.lit(None).cast(PLACE))
 
 
+# Lines of a landed file: a compressed file is read by one task.
+FILE_LINES = 500_000
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """A column of JSON texts as landed files. Names repeat in every line, so the files are compressed; each holds ``FILE_LINES`` lines at most."""
+    lines.write.options(**{"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": FILE_LINES}).text(path)
+
+
 def pick(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """Renames and keeps the mapped fields (``column: source field``); absent ones become null."""
     return df.select(
