@@ -190,3 +190,53 @@ def test_price_steps_of_a_hot_listing_in_several_arrow_batches(spark, tmp_path):
         assert sorted(r.offer_id for r in out.collect()) == [n for n in range(1_000) if n == 0 or n % 7 == 0]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_one_timer_for_all_spells_of_a_listing():
+    """Thirty spells that the watermark passes at once: one timer set and fired (before, one for each spell)."""
+    import pandas as pd
+
+    class Held:
+        rows: list = []
+
+        exists = lambda self: bool(self.rows)
+        get = lambda self: iter(self.rows)
+
+        def put(self, rows):
+            self.rows = rows
+
+        def clear(self):
+            self.rows = []
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.calls = set(), 0
+
+        getListState = lambda self, *_: Held()
+
+        def registerTimer(self, at):
+            self.calls += 1
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.calls += 1
+            self.timers.discard(at)
+
+        def listTimers(self):
+            self.calls += 1
+            return list(self.timers)
+
+    class At:
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+    handle, processor = Handle(), streams.Disappearance(6 * 3600 * 10**6)
+    processor.init(handle)
+    days = [START + dt.timedelta(days=n) for n in range(31)]
+    list(processor.handleInputRows(("a",), iter([pd.DataFrame({"created_at": days})]), None))
+    assert len(handle.timers) == 1 and handle.calls == 1
+    fired = handle.timers.pop()
+    watermark = int((days[30] - dt.datetime(1970, 1, 1)).total_seconds() * 1000)
+    out = pd.concat(processor.handleExpiredTimer(("a",), At(watermark), At(fired)))
+    assert list(out.last_seen) == days[:30]
+    assert handle.timers == {watermark + 6 * 3600 * 1000} and len(processor.open.rows) == 1

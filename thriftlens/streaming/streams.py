@@ -90,7 +90,8 @@ def price_steps(stream: DataFrame) -> DataFrame:
 
 
 class Disappearance(StatefulProcessor):
-    """The ends of a listing's spells of presence. The state holds the spells that late sightings can still change, and a timer for the end of each."""
+    """The ends of a listing's spells of presence. The state holds the spells that late sightings can still change, and there is one timer, for the end of the
+    first of them: when it fires, all spells that the watermark has passed are over, and it is set anew for the next."""
 
     def __init__(self, after_us: int):
         self.after = after_us
@@ -100,25 +101,38 @@ class Disappearance(StatefulProcessor):
         self.open = handle.getListState("open", "first long, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ends: list[tuple[int, int]] = list(self.open.get()) if self.open.exists() else []
+        held: list[tuple[int, int]] = [tuple(s) for s in self.open.get()] if self.open.exists() else []
+        ends = list(held)
         for frame in rows:
             seen = np.sort(_micros(frame.created_at))
             cuts = np.flatnonzero(np.diff(seen) > self.after) + 1
             ends += [(int(part[0]), int(part[-1])) for part in np.split(seen, cuts)]
+        was = min((self._due(last) for _, last in held), default=None)
         spells: list[tuple[int, int]] = []
         for first, last in sorted(ends):
             if spells and first - spells[-1][1] <= self.after:
                 spells[-1] = (spells[-1][0], max(last, spells[-1][1]))
             else:
                 spells.append((first, last))
-        self._keep(spells)
+        if spells != held:
+            self.open.put(spells)
+        first = min((self._due(last) for _, last in spells), default=None)
+        if first != was:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            self.handle.registerTimer(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        spells = list(self.open.get()) if self.open.exists() else []
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        spells = [tuple(s) for s in self.open.get()] if self.open.exists() else []
         over = np.array([last for _, last in spells if self._due(last) <= now], dtype=np.int64)
-        self._keep([s for s in spells if self._due(s[1]) > now])
+        rest = [s for s in spells if self._due(s[1]) > now]
+        if rest:
+            self.open.put(rest)
+            self.handle.registerTimer(min(self._due(last) for _, last in rest))
+        elif spells:
+            self.open.clear()
         if len(over):
             yield pd.DataFrame({"item_id": key[0], "last_seen": _times(over), "vanished_at": _times(over + self.after)})
 
@@ -126,24 +140,12 @@ class Disappearance(StatefulProcessor):
         """The millisecond by whose end the spell is over."""
         return -(-(last + self.after) // 1000)
 
-    def _keep(self, spells: list[tuple[int, int]]) -> None:
-        """Spells and their timers; a listing without an open spell keeps neither."""
-        due, set_already = {self._due(last) for _, last in spells}, set(self.handle.listTimers())
-        for at in set_already - due:
-            self.handle.deleteTimer(at)
-        for at in due - set_already:
-            self.handle.registerTimer(at)
-        if spells:
-            self.open.put(spells)
-        else:
-            self.open.clear()
-
     def close(self) -> None:
         pass
 
 
 def vanished_by_timer(stream: DataFrame, after: str, delay: str = "1 day", time: str = "created_at") -> DataFrame:
-    """One row when a listing has not been sighted for ``after``, once the watermark has passed that moment: a timer per open spell
+    """One row when a listing has not been sighted for ``after``, once the watermark has passed that moment: the listing's timer
     fires then, and the state of the spell goes. A listing that returns begins a new spell."""
     seconds = pd.Timedelta(after).total_seconds()
     rows = stream.withWatermark(time, delay).select("item_id", F.col(time).alias("created_at"))
