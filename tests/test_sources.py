@@ -241,3 +241,14 @@ def test_unknown_dimension_raises(spark):
 
     with pytest.raises(ValueError):
         slices.market_slice(spark.range(1), "id; drop table")
+
+
+def test_landed_lines_are_compressed_files_of_bounded_length(spark, tmp_path, monkeypatch):
+    """Names repeat in every line: the files hold a fraction of the text, and each a bounded number of lines."""
+    monkeypatch.setattr(io, "FILE_LINES", 400)
+    lines = spark.range(1000).coalesce(1).select(F.to_json(F.struct(F.col("id").alias("objectID"), F.lit("a brand").alias("brand"))))
+    io.write_lines(lines, str(tmp_path / "landed"))
+    files = list((tmp_path / "landed").glob("part-*.gz"))
+    assert len(files) == 3 and sum(f.stat().st_size for f in files) < 15_000
+    rows = spark.read.json(str(tmp_path / "landed")).collect()
+    assert sorted(r.objectID for r in rows) == list(range(1000))
