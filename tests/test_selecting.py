@@ -59,3 +59,27 @@ def test_cells_follow_the_hash(spark):
     df = spark.createDataFrame([("0" * 32,)] + [(h,) for h in hashes], "h string")
     cells = [r.c for r in df.orderBy("h").select(selecting.hash_cell(F.col("h")).alias("c")).collect()]
     assert cells == sorted(cells) and cells[0] == 0 and cells[-1] <= 52 * selecting.HASH_CELLS_PER_OCTAVE
+
+
+def test_strata_are_not_shuffled_by_stratum(spark, monkeypatch):
+    """The rows meet the last cells of the few strata where they are read: no stratum's rows go to one task."""
+    rows = spark.range(3_000).select(F.col("id").cast("string").alias("item_id"), (F.col("id") % 3).alias("k"))
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    cut = selecting.cut_lineage
+    monkeypatch.setattr(selecting, "cut_lineage", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = selecting.assign_strata(rows, {"a": F.col("k") == 0, "b": F.lit(True)}, {"a": 5, "b": 7}).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plans[0] and "BroadcastHashJoin" in plans[0]
+    order = sorted((hashlib.md5(f"cohort:{i}".encode()).hexdigest(), i) for i in range(3_000))
+    first = [str(i) for _, i in order if i % 3 == 0][:5]
+    rest = [str(i) for _, i in order if str(i) not in first][:7]
+    assert {(r.item_id, r.stratum) for r in got} == {(i, "a") for i in first} | {(i, "b") for i in rest}

@@ -92,12 +92,13 @@ def hash_cell(hashed: Column) -> Column:
     return F.floor(F.log2(head + 1) * HASH_CELLS_PER_OCTAVE).cast("int")
 
 
-def smallest_cells(df: DataFrame, n: int | Column, cell: Column, keys: Sequence[str] = ()) -> DataFrame:
+def smallest_cells(df: DataFrame, n: int | Column, cell: Column, keys: Sequence[str] = (), few: bool = False) -> DataFrame:
     """The rows in the cells up to the one that holds position ``n``, of the whole table or of each group of ``keys`` (``n`` may be a column
     of them): all of the first ``n`` rows of any order along which ``cell`` never falls, and the rest of one cell.
 
     A first read counts rows by cell, which combines before the shuffle; in the second read the filter needs no shuffle. What follows, a limit or a row number, then moves
-    about ``n`` rows of a group, however many rows and tasks there are. ``df`` is read twice, so it must give the same rows twice.
+    about ``n`` rows of a group, however many rows and tasks there are. ``df`` is read twice, so it must give the same rows twice. Where the caller knows that groups are
+    ``few``, their last cells are broadcast, and no row is shuffled by its group to meet them.
     """
     keys, position = list(keys), F.lit(n) if isinstance(n, int) else n
     marked = df.withColumn("_cell", cell)
@@ -106,7 +107,7 @@ def smallest_cells(df: DataFrame, n: int | Column, cell: Column, keys: Sequence[
     before = F.coalesce(F.sum("_n").over(upto), F.lit(0))
     ends = counts.withColumn("_before", before).where(F.col("_before") < position)
     ends = ends.groupBy(*keys).agg(F.max("_cell").alias("_last"))
-    bounded = null_safe_join(marked, ends, keys) if keys else with_row(marked, ends)
+    bounded = null_safe_join(marked, F.broadcast(ends) if few else ends, keys) if keys else with_row(marked, ends)
     return bounded.where(F.col("_cell") <= F.col("_last")).drop("_cell", "_last")
 
 
@@ -151,7 +152,7 @@ def assign_strata(df: DataFrame, strata: Mapping[str, Column], quotas: Mapping[s
     each = df.select(key, hash_order(F.col(key), seed).alias("_h"), F.explode(fits).alias("_s")).where(F.col("_s").isNotNull())
     reach = list(accumulate(quotas[name] for name in strata))
     mine = F.element_at(F.array(*[F.lit(r) for r in reach]), F.col("_s") + 1)
-    near = smallest_cells(each, mine, hash_cell(F.col("_h")), ["_s"])
+    near = smallest_cells(each, mine, hash_cell(F.col("_h")), ["_s"], few=True)
     order = Window.partitionBy("_s").orderBy("_h", key)
     first = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= mine)
     candidates = cut_lineage(first.drop("_rank"))
