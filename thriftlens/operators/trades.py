@@ -1,10 +1,13 @@
 """Buy-and-resell trades: both ladders of a resale, its origin, and whether it paid.
 
-Money is in öre throughout; ``ladders`` are rows of ``ladder_summary``.
+Money is in öre throughout; ``ladders`` are rows of ``ladder_summary``, or a function that makes them of the listings that
+a filter by ``item_id`` keeps: where listings are joined to get their ladders, the filter then stands before that join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,16 +34,29 @@ def _linked(resales: DataFrame) -> DataFrame:
     return cut_lineage(resales.where(F.col("original_id").isNotNull()).select("item_id", "original_id"))
 
 
-def origins(resales: DataFrame, ladders: DataFrame) -> DataFrame:
+Ladders = DataFrame | Callable[[Callable[[DataFrame], DataFrame]], DataFrame]
+
+
+def _near(ladders: Ladders, linked: DataFrame, named: str) -> DataFrame:
+    """The ladders of the listings that the column ``named`` of ``linked`` names, and a few others."""
+
+    def near(rows: DataFrame) -> DataFrame:
+        return nearly_among(rows, "item_id", linked, named)
+
+    return ladders(near) if callable(ladders) else near(ladders)
+
+
+def origins(resales: DataFrame, ladders: Ladders) -> DataFrame:
     """Purchase side of each resale. No pointer drops the row; a pointer whose original has no
     ladder keeps it with nulls."""
     linked = _linked(resales)
-    return linked.join(nearly_among(_bought(ladders), "original_id", linked), "original_id", "left")
+    return linked.join(_bought(_near(ladders, linked, "original_id")), "original_id", "left")
 
 
-def round_trips(resales: DataFrame, ladders: DataFrame, keep_share: float = s.KEEP_SHARE) -> DataFrame:
+def round_trips(resales: DataFrame, ladders: Ladders, keep_share: float = s.KEEP_SHARE) -> DataFrame:
     """Complete trips: resales whose own ladder and whose original's ladder are both known."""
-    mine = ladders.select(
+    linked = _linked(resales)
+    mine = _near(ladders, linked, "item_id").select(
         "item_id",
         F.col("opening_ask_ore").alias("ask_ore"),
         F.col("final_price_ore").alias("final_ore"),
@@ -49,13 +65,12 @@ def round_trips(resales: DataFrame, ladders: DataFrame, keep_share: float = s.KE
         "ended_on",
         "status",
     )
-    linked = _linked(resales)
     sold = s.outcome_of(F.col("status")) == "sold"
     paid, final = F.col("bought_price_ore"), F.col("final_ore")
     profit_kr = s.trade_profit(s.to_kr(paid), s.to_kr(final), F.col("sold"), keep_share)
     return (
-        linked.join(nearly_among(mine, "item_id", linked), "item_id")
-        .join(nearly_among(_bought(ladders), "original_id", linked), "original_id")
+        linked.join(mine, "item_id")
+        .join(_bought(_near(ladders, linked, "original_id")), "original_id")
         .withColumn("sold", sold)
         .withColumn("multiple", s.multiple(paid, final))
         .withColumn("profit_kr", profit_kr)

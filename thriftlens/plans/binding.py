@@ -8,11 +8,13 @@ need are joined.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
-from thriftlens.operators.spread import with_last_before
+from thriftlens.operators.spread import null_safe_join, with_last_before
 from thriftlens.session import configure
 
 PRICE = "cast(round(l_extendedprice * 100) as bigint)"
@@ -92,6 +94,8 @@ JOINS = {
 # Prices in the given tables run far above those of clothes, so the bands are set wider.
 BAND_EDGES = [2000000, 4000000, 6000000, 8000000]
 AS_OF = "2000-07-01"
+# Listings of a product beyond which it is cut into cells; up to here a task puts it in order as a whole.
+MUCH_SOLD = 100_000
 
 
 class Market:
@@ -103,12 +107,14 @@ class Market:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def items(self, *columns: str, only: str = "true") -> DataFrame:
+    def items(self, *columns: str, only: str = "true", near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """Listings in the asked-for columns. ``only`` is a predicate on the line items, put where
-        the scan can use it."""
+        the scan can use it; ``near`` a filter by ``item_id``, which Spark does not put below the joins by itself."""
         columns = columns or tuple(ITEM_COLUMNS)
         needed = "".join(ITEM_COLUMNS[c][1] for c in columns)
         out = self.table("lineitem").where(only)
+        if near is not None:
+            out = near(out.withColumn("item_id", F.expr(ITEM_COLUMNS["item_id"][0]))).drop("item_id")
         for code, (name, on) in JOINS.items():
             if code in needed:
                 out = out.join(self.table(name), F.expr(on))
@@ -159,12 +165,15 @@ class Market:
     def resales(self) -> DataFrame:
         """Resale listings with ``original_id``, the newest earlier listing of the same product."""
         rows = self.items("item_id", "product_id", "first_offered", "p2p")
+        counts = self.table("lineitem").groupBy(F.col("l_partkey").alias("product_id")).agg(F.count(F.lit(1)).alias("_n"))
+        # At most one row for each MUCH_SOLD line items, so it may be broadcast.
+        much_sold = F.broadcast(counts.where(F.col("_n") > MUCH_SOLD))
         linked = with_last_before(
-            rows,
+            null_safe_join(rows, much_sold, ["product_id"], "left"),
             ["product_id"],
             ["first_offered", "item_id"],
-            # Day and head of the id: it rises with the order, and cuts a much-sold product finely.
-            F.concat(F.col("first_offered").cast("string"), F.substring("item_id", 1, 2)),
+            # Day and head of the id: it rises with the order, and cuts a much-sold product finely. Any other product is one cell.
+            F.when(F.col("_n").isNotNull(), F.concat(F.col("first_offered").cast("string"), F.substring("item_id", 1, 2))),
             F.when(~F.col("p2p"), F.col("item_id")),
             "original_id",
             only=F.col("p2p"),

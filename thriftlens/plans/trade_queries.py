@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -38,8 +39,9 @@ trips AS (SELECT r.item_id, original_id, l.opening_ask_ore AS ask_ore, l.final_p
 """
 
 
-def all_ladders(m: Market):
-    rows = m.items("item_id", "first_price_ore", "price_ore", "rungs", "first_offered", "resolved_on", "status")
+def all_ladders(m: Market, near=None):
+    """With ``near``, a filter by id, of the listings that it keeps."""
+    rows = m.items("item_id", "first_price_ore", "price_ore", "rungs", "first_offered", "resolved_on", "status", near=near)
     return rows.select(
         "item_id",
         F.col("first_price_ore").alias("opening_ask_ore"),
@@ -53,7 +55,7 @@ def all_ladders(m: Market):
 
 def trips(m: Market):
     """The round trips as a table: the payoff queries read it more than once."""
-    return cut_lineage(rounded(trades.round_trips(m.resales(), all_ladders(m))))
+    return cut_lineage(rounded(trades.round_trips(m.resales(), partial(all_ladders, m))))
 
 
 @query("resale_pointers", "resales", "SELECT * FROM resales")
@@ -64,7 +66,7 @@ def resale_pointers(m: Market):
 
 @query("round_trips", "resales", f"WITH {TRIPS} SELECT * FROM trips")
 def round_trips(m: Market):
-    return rounded(trades.round_trips(m.resales(), all_ladders(m)))
+    return rounded(trades.round_trips(m.resales(), partial(all_ladders, m)))
 
 
 def offer_documents(m: Market):
@@ -130,7 +132,10 @@ def document_dwell(m: Market):
     LEFT JOIN (SELECT * FROM b WHERE bought_on IS NOT NULL) b USING (original_id) WHERE r.original_id IS NOT NULL""")
 def resale_origins(m: Market):
     """Origins; the ladder of an original that is still listed is not there to read."""
-    ended = all_ladders(m).where(F.col("ended_on").isNotNull())
+
+    def ended(near):
+        return all_ladders(m, near).where(F.col("ended_on").isNotNull())
+
     return rounded(trades.origins(m.resales(), ended))
 
 
@@ -142,7 +147,7 @@ def resale_origins(m: Market):
     FROM items i JOIN resales r USING (item_id) LEFT JOIN b USING (original_id) WHERE r.original_id IS NOT NULL""")
 def tracked_round_trips(m: Market):
     items = m.items("item_id", "outcome", "first_price_ore", "final_price_ore", "resolved_on")
-    return rounded(trades.tracked_round_trips(items, trades.origins(m.resales(), all_ladders(m))))
+    return rounded(trades.tracked_round_trips(items, trades.origins(m.resales(), partial(all_ladders, m))))
 
 
 @query("payoff_summary", "resales", f"""WITH {TRIPS}
@@ -317,4 +322,4 @@ def cohort_check(m: Market):
 def resale_outcomes(m: Market):
     rows = wide_cohort(m)
     checks = first_checks(m, rows).join(rows.select("item_id", F.col("price_ore").alias("final_price_ore")), "item_id")
-    return rounded(trades.resale_outcomes(rows, checks, trades.origins(m.resales(), all_ladders(m))))
+    return rounded(trades.resale_outcomes(rows, checks, trades.origins(m.resales(), partial(all_ladders, m))))
