@@ -298,7 +298,8 @@ def cohort_summary(m: Market):
       CASE WHEN known THEN [first_price_ore, price_ore] END AS ladder_prices, s AS stratum, DATE '{AS_OF}' AS checked_on FROM x""")
 def cohort_check(m: Market):
     """The open cohort items are looked up: gone ones by their status, which reserved ones lack."""
-    rows = wide_cohort(m)
+    # Read once and dealt out by the key of every join that follows.
+    rows = cut_lineage(wide_cohort(m), by=["item_id"])
     gone = F.col("status") != "utlagd"
     observed = rows.where(~gone)
     status = rows.where(gone & ~F.col("is_reserved")).select("item_id", "status")
