@@ -4,7 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from thriftlens.plans import binding, trade_queries
+from thriftlens.operators import cohort, track
+from thriftlens.plans import binding, track_queries, trade_queries
 from thriftlens.plans.binding import Market
 
 
@@ -63,3 +64,39 @@ def test_ladders_are_filtered_below_the_join_with_orders(spark, tmp_path, monkey
         assert 0 <= text.index("Join Inner") < text.index("Join LeftSemi")
     whole = trade_queries.rounded(trade_queries.trades.round_trips(m.resales(), found(m)))
     assert sorted(got.collect(), key=repr) == sorted(whole.collect(), key=repr) and got.where(F.col("bought_price_ore") > 0).count() > 0
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_cohort_check_joins_where_the_rows_lie(spark, monkeypatch):
+    """The cohort is dealt out by its key once; no join of the check shuffles it, the status or the offers."""
+    seen, find = [], cohort.cohort_check
+
+    def found(rows, checks, observed, offers, status, today):
+        seen.extend([cohort.unresolved(rows, checks), rows.join(status, "item_id", "left"), offers.join(rows, "item_id", "left_semi")])
+        return find(rows, checks, observed, offers, status, today)
+
+    monkeypatch.setattr(cohort, "cohort_check", found)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert trade_queries.cohort_check(Market(spark, "/root/testdata/sf0.001")).count() > 0
+        assert [_shuffles(df) for df in seen] == [0, 0, 0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_tracking_reads_observations_where_they_lie(spark, monkeypatch):
+    """A chunk of the pass takes its observations and verdicts, each once, without another shuffle of them."""
+    seen, follow = [], track.track_pass
+
+    def followed(items, observed, verdicts, today):
+        seen.extend([_shuffles(track.once(observed)), _shuffles(track.once(verdicts))])
+        return follow(items, observed, verdicts, today)
+
+    monkeypatch.setattr(track, "track_pass", followed)
+    assert track_queries.tracking_job(Market(spark, "/root/testdata/sf0.001")).count() > 0
+    assert len(seen) == 12 and not any(seen[:2])
+    assert sum(seen[0::2]) == 0

@@ -96,7 +96,8 @@ def tracking_job(spark: SparkSession, home: str, observed: DataFrame, verdicts:
     where it stopped; a marker of another day is void.
     """
     path, today = f"{home}/items", F.lit(day).cast("date")
-    observed, verdicts = cut_lineage(once(observed)), cut_lineage(once(verdicts))
+    # Dealt out by the key: the guards and every chunk of the pass join them where they lie.
+    observed, verdicts = (cut_lineage(once(rows), by=["item_id"], dealt=True) for rows in (observed, verdicts))
     ledger = ledger_of(spark, home, "track")
     tracked = filters.live(spark.read.parquet(path))
     expected = tracked.join(observed, "item_id", "left_semi").count()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thriftlens.functions import scalars as s
@@ -55,8 +56,13 @@ GONE = "has_defect"
 FEW_GONE = "(has_defect and favourites % 8 = 0)"
 
 
-def observed(m: Market, gone: str = GONE):
-    rows = m.items(*TRACKED, only=LIVE).where(f"not {gone}")
+def _live(m: Market, kept: DataFrame | None):
+    """The live listings, of the given tables or of the columns ``TRACKED`` as a table already keeps them."""
+    return m.items(*TRACKED, only=LIVE) if kept is None else filters.live(kept)
+
+
+def observed(m: Market, gone: str = GONE, kept: DataFrame | None = None):
+    rows = _live(m, kept).where(f"not {gone}")
     cut = F.when(F.col("rungs") >= 5, F.floor(F.col("price_ore") * 0.9).cast("long")).otherwise(F.col("price_ore"))
     missing = (F.col("favourites") >= 45) & (F.col("rungs") == 1)
     return rows.select(
@@ -69,9 +75,9 @@ def observed(m: Market, gone: str = GONE):
     )
 
 
-def verdicts(m: Market, gone: str = GONE):
+def verdicts(m: Market, gone: str = GONE, kept: DataFrame | None = None):
     """What the vanished listings' status says; one rung count gets no answer."""
-    gone = m.items(*TRACKED, only=LIVE).where(f"{gone} and rungs <> 3")
+    gone = _live(m, kept).where(f"{gone} and rungs <> 3")
     status = (
         F.when(F.col("p2p"), "utlagd")
         .when(F.col("rungs") == 1, "vilande")
@@ -454,11 +460,13 @@ def tracking_job(m: Market):
     delivered twice now and then."""
     home = _home(m)
     jobs.enrol(tracked(m), home, 8)
-    seen = cut_lineage(observed(m, FEW_GONE))
+    # From the table just enrolled, which is the same listings with their orders joined, and before the job changes it.
+    enrolled = m.spark.read.parquet(f"{home}/items")
+    seen, answers = cut_lineage(observed(m, FEW_GONE, enrolled)), cut_lineage(verdicts(m, FEW_GONE, enrolled))
     seen = seen.unionByName(seen.where("favourites % 10 = 0"))
     for day in (F.date_sub(today(), 1), today()):
         name = m.spark.range(1).select(day.cast("string").alias("d")).first()["d"]
-        verdict = jobs.tracking_job(m.spark, home, seen, verdicts(m, FEW_GONE), name, 8, 3)
+        verdict = jobs.tracking_job(m.spark, home, seen, answers, name, 8, 3)
         if verdict != "ok":
             raise RuntimeError(verdict)
     return _followed(m, home)
