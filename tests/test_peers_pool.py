@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thriftlens.operators import filters, peers, pool, selecting
+from thriftlens.session import cut_lineage
 
 random.seed(3)
 BRANDS = ["hot"] * 6 + ["a", "b", "rare"]
@@ -127,3 +128,41 @@ def test_daily_refresh_takes_images_where_observed(spark):
     got = {r.item_id: r for r in pool.refresh_pool(held, seen, F.lit("2026-08-12").cast("date"), ["https://img.example.net/"]).collect()}
     assert got["a"].image_paths == ["x.jpg"] and got["a"].still_listed and not got["a"].repriced
     assert got["b"].image_paths is None and not got["b"].still_listed
+
+
+def test_only_the_groups_that_place_rows_are_counted(shelf):
+    """What no row is placed in needs no positions; what a thin group falls back to is counted with all its rows."""
+    levels = peers.PEER_LEVELS
+    found = {r[:5]: r for r in peers.group_places(shelf, levels, 20).collect()}
+    names = ("brand", "item_type", "condition", "category", "brand_tier")
+    first = {}
+    for row in SHELF:
+        at = dict(zip(("item_id", "brand", "brand_tier", "item_type", "category", "condition"), row))
+        first[tuple(at[n] for n in names)] = place(row, 20)[:2] if place(row, 20) else None
+    assert {k: (r.peer_level, r.peer_n) for k, r in found.items()} == {k: v for k, v in first.items() if v}
+    assert {len(r["_counted"]) for k, r in found.items() if k[0] == "hot"} == {1}
+
+
+@pytest.mark.parametrize(("min_group", "max_pct"), [(8, 0.25), (90, 0.25), (8, 0.0), (8, 1.0), (8, -1.0)])
+def test_rows_beyond_the_bound_are_left_out_and_no_others(shelf, min_group, max_pct):
+    bounded = peers.peer_cascade(shelf, min_group=min_group, keep=["brand"], max_pct=max_pct)
+    whole = peers.peer_cascade(shelf, min_group=min_group, keep=["brand"]).where(F.col("peer_pct") <= max_pct)
+    assert sorted(map(tuple, bounded.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_a_staged_shelf_is_not_written_again(shelf, monkeypatch):
+    def shortlisted(**options):
+        written = []
+        for module in (peers, pool):
+            monkeypatch.setattr(module, "cut_lineage", lambda df: written.append(df.columns) or cut_lineage(df))
+        rows = pool.build_shortlist(full, F.lit("2026-08-11").cast("date"), min_live=1, min_price_ore=0, **options)
+        return sorted(map(tuple, rows.collect()), key=repr), ["stratum" in columns for columns in written]
+
+    full = shelf.selectExpr(
+        "*", "'x' AS demography", "concat('WMN-EU-', price_ore % 3) AS size_code", "price_ore AS first_price_ore", "1 AS favourites", "0 AS first_favourites",
+        "1 AS weight_g", "false AS has_defect", "false AS p2p", "DATE '2026-08-01' AS first_offered", "cast(null AS int) AS outcome",
+        "cast(null AS date) AS resolved_on", "'A' AS stratum",
+    )
+    (rows, once), (same, never) = shortlisted(), shortlisted(staged=True)
+    assert rows == same and len(rows) > 20
+    assert sum(once) == 1 and not any(never)

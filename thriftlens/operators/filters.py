@@ -64,7 +64,11 @@ def analysis_rows(df: DataFrame) -> DataFrame:
     return df.where(F.col("stratum").isin(*ANALYSIS_STRATA))
 
 
-def gate_predicates(min_price_ore: int = 20000, min_peer_n: int = 12, max_level: int = 2, max_pct: float = 0.25, min_favourites: int = 0, unreserved: bool = False) -> list[tuple[str, Column]]:
+# The gate's position among peers where no other is asked for.
+MAX_PCT = 0.25
+
+
+def gate_predicates(min_price_ore: int = 20000, min_peer_n: int = 12, max_level: int = 2, max_pct: float = MAX_PCT, min_favourites: int = 0, unreserved: bool = False) -> list[tuple[str, Column]]:
     steps = [
         ("price_floor", F.col("price_ore") >= min_price_ore),
         ("peer_group", (F.col("peer_n") >= min_peer_n) & (F.col("peer_level") <= max_level)),

@@ -52,38 +52,54 @@ def _fits(levels: Sequence[Sequence[str]]) -> Column:
     return F.array(*[F.when(_all_named(keys), entry) for keys, entry in zip(levels, entries)])
 
 
-def level_counts(shelf: DataFrame, levels: Sequence[Sequence[str]], price: str) -> DataFrame:
-    """(peer_level, peer_group, price, n_equal) of all levels in one pass: every row is spread over its groups and counted
-    there before the one shuffle."""
-    each = shelf.select(price, F.explode(_fits(levels)).alias("_fit")).where("_fit is not null")
-    return each.select("_fit.*", price).groupBy(*GROUP, price).agg(F.count(F.lit(1)).alias("n_equal"))
+def group_places(rows: DataFrame, levels: Sequence[Sequence[str]], min_group: int) -> DataFrame:
+    """The groups of each combination of keys: the number ``_group`` of the first of its groups that has ``min_group`` rows, with ``peer_level`` and ``peer_n``,
+    and in ``_counted`` all of its groups that are the first of any combination. A table of one row per combination, written once.
 
-
-def peer_cascade(shelf: DataFrame, levels: Sequence[Sequence[str]] = PEER_LEVELS, min_group: int = 8, key: str = "item_id", price: str = "price_ore", keep: Sequence[str] = (), staged: bool = False) -> DataFrame:
+    Groups come from counts by combination, so the rows are read once, and are known by a number from here on."""
+    names = list(dict.fromkeys(c for keys in levels for c in keys))
+    combinations = cut_lineage(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")))
+    fits = combinations.select(*names, "_n", F.explode(_fits(levels)).alias("_fit")).where("_fit is not null").select(*names, "_n", "_fit.*")
+    sized = fits.groupBy(*GROUP).agg(F.sum("_n").alias("peer_n")).where(F.col("peer_n") >= min_group)
+    first = F.min(F.struct(*GROUP, "peer_n")).alias("_at")
+    used = fits.join(sized, GROUP).groupBy(*names).agg(first).select("_at.*").distinct()
+    used = cut_lineage(used.withColumn("_group", F.monotonically_increasing_id()))
+    # What is the first of a combination is used, so the first used one is the first.
+    own = F.min(F.struct("peer_level", "_group", "peer_n")).alias("_own")
+    found = fits.join(used, GROUP).groupBy(*names).agg(own, F.collect_list("_group").alias("_counted"))
+    return cut_lineage(found.select(*names, "_own.*", "_counted"))
+
+
+def peer_cascade(shelf: DataFrame, levels: Sequence[Sequence[str]] = PEER_LEVELS, min_group: int = 8, key: str = "item_id", price: str = "price_ore", keep: Sequence[str] = (), staged: bool = False, max_pct: float | None = None) -> DataFrame:
     """Peer position from the first level whose group has ``min_group`` members.
 
     Each level compares with the whole shelf of its key, also with items an earlier level placed.
     Items no level can place are left out, a group with a missing key is no group. ``keep`` names columns to carry along. The shelf is written once in its few columns, or
-    read as it is where it is ``staged``, a filter on a written table.
+    read as it is where it is ``staged``, a filter on a written table. With ``max_pct`` only rows at that position or below come out: a group's price there is found first, so the
+    others are left out before the shuffle.
 
-    The levels go through one plan: counts by (level, group, price) from one read, positions of all of them by cells, and the level of
-    every combination of keys, a table much smaller than the shelf. The shelf's rows are shuffled to meet the position
-    of their price at their level, and nothing else of their size is.
+    The level of every combination of keys comes from a table much smaller than the shelf. Prices are counted in the groups that place a row, mostly one
+    for each, and positions come from these counts. The shelf's rows are shuffled to meet the position of their price, and nothing else of their size is.
     """
     names = list(dict.fromkeys(c for keys in levels for c in keys))
     rows = shelf.select(key, price, *dict.fromkeys([*keep, *names])).where(F.col(price).isNotNull())
     rows = rows if staged else cut_lineage(rows)
-    positions = positions_of_counts(level_counts(rows, levels, price), GROUP, price)
-    positions = cut_lineage(positions.where(F.col("n_group") >= min_group))
-    groups = positions_median(positions, GROUP, price, "n_group")
-    combinations = rows.select(*names).distinct().select(*names, F.explode(_fits(levels)).alias("_fit")).where("_fit is not null")
-    first = F.min(F.struct("peer_level", "peer_group", F.col("n_group").alias("peer_n"), F.col("median").alias("peer_median_ore")))
-    placed = combinations.select(*names, "_fit.*").join(groups, GROUP).groupBy(*names).agg(first.alias("_at")).select(*names, "_at.*")
-    pct = F.when(F.col("peer_n") > 1, F.col("n_below") / (F.col("peer_n") - 1)).otherwise(F.lit(0.0))
-    return (
-        null_safe_join(rows, placed, names)
-        .join(positions.select(*GROUP, price, "n_below"), [*GROUP, price])
-        .select(key, price, *keep, "peer_level", "peer_n", "peer_median_ore", pct.alias("peer_pct"))
+    places = group_places(rows, levels, min_group)
+    each = null_safe_join(rows.select(price, *names), places.select(*names, "_counted"), names).select(F.explode("_counted").alias("_group"), price)
+    counts = each.groupBy("_group", price).agg(F.count(F.lit(1)).alias("n_equal"))
+    pct = F.when(F.col("n_group") > 1, F.col("n_below") / (F.col("n_group") - 1)).otherwise(F.lit(0.0))
+    positions = cut_lineage(positions_of_counts(counts, ["_group"], price).withColumn("peer_pct", pct))
+    within = F.lit(True) if max_pct is None else F.col("peer_pct") <= max_pct
+    # Positions never fall as the price rises, so the dearest price within the bound tells who is.
+    bounded = positions.withColumn("_upto", F.when(within, F.col(price)))
+    groups = positions_median(bounded, ["_group"], price, "_upto").withColumnRenamed("median", "peer_median_ore")
+    # Written, so that its size is known and rows are not shuffled to meet a small table.
+    found = cut_lineage(places.drop("_counted").join(groups, "_group"))
+    placed = null_safe_join(rows, found, names)
+    if max_pct is not None:
+        placed, positions = placed.where(F.col(price) <= F.col("_upto")), positions.where(within)
+    return placed.join(positions.select("_group", price, "peer_pct"), ["_group", price]).select(
+        key, price, *keep, "peer_level", "peer_n", "peer_median_ore", "peer_pct"
     )
 
 

@@ -13,7 +13,7 @@ from thriftlens.operators import filters
 from thriftlens.operators.brands import attention_index, brand_snapshot
 from thriftlens.operators.peers import PEER_LEVELS, peer_cascade
 from thriftlens.operators.selecting import top_n
-from thriftlens.operators.spread import numbered, value_cell
+from thriftlens.operators.spread import null_safe_join, numbered, value_cell
 from thriftlens.operators.track import once
 from thriftlens.session import cut_lineage
 from thriftlens.sources.tables import delete_where
@@ -66,34 +66,57 @@ def retain(df: DataFrame, date_col: str, today: Column, days: int) -> DataFrame:
     return df.where((F.col(date_col) > F.date_sub(today, days)) & (F.col(date_col) <= today))
 
 
-def build_shortlist(items: DataFrame, as_of: Column, band_edges: Sequence[int] = s.PRICE_BAND_EDGES_ORE, min_live: int = 25, min_group: int = 8, peers: DataFrame | None = None, meanings: DataFrame | None = None, **gates) -> DataFrame:
+# What the gate and the stored rows need of a listing.
+SHORTLISTED = (
+    "brand", "brand_tier", "item_type", "category", "condition", "demography", "size_code", "first_price_ore", "favourites",
+    "first_favourites", "weight_g", "has_defect", "p2p", "first_offered", "is_reserved",
+)
+
+
+def build_shortlist(items: DataFrame, as_of: Column, band_edges: Sequence[int] = s.PRICE_BAND_EDGES_ORE, min_live: int = 25, min_group: int = 8, peers: DataFrame | None = None, meanings: DataFrame | None = None, staged: bool = False, **gates) -> DataFrame:
     """Every eligible live item with all the grid sorts on: peer position, markdown, size columns, decoded masks,
     brand-level columns and its rank by discount, stored so that no reader computes them.
 
-    The shelf is written once and read by the cascade, which carries its columns along, and by both brand aggregates. ``peers``
-    is a stored peer table to use in place of the cascade. ``meanings`` (kind, bit, value) decodes the ``<kind>_mask`` columns there are.
+    The shelf is written once, or read as it is where ``items`` are ``staged``, a written table or a filter on one; the cascade carries its columns along, and both brand aggregates
+    read it. ``peers`` is a stored peer table to use in place of the cascade. ``meanings`` (kind, bit, value) decodes the ``<kind>_mask`` columns there are.
     """
-    rows = cut_lineage(filters.analysis_rows(items))
+    rows = filters.analysis_rows(items)
+    rows = rows if staged else cut_lineage(rows)
     live = filters.live(rows)
     if peers is None:
-        keep = [c for c in live.columns if c not in ("item_id", "price_ore")]
-        placed = peer_cascade(live, min_group=min_group, keep=keep, staged=True)
+        keep = [c for c in live.columns if c in SHORTLISTED or c.endswith("_mask")]
+        placed = peer_cascade(live, min_group=min_group, keep=keep, staged=True, max_pct=gates.get("max_pct", filters.MAX_PCT))
     else:
         placed = live.join(peers.drop("price_ore"), "item_id")
     discount = s.discount_pct(F.col("price_ore"), F.col("peer_median_ore"))
     gated = cut_lineage(filters.shortlist_gate(placed, **gates).withColumn("discount_pct", discount))
     order = [F.col("discount_pct").desc(), F.col("item_id")]
+    # The same few size codes and categories occur again and again; each pair is taken apart once.
+    code, path = F.col("size_code"), F.col("category")
+    group, system, value = s.size_parts(code)
+    sizes = gated.select("size_code", "category").distinct().select(
+        "size_code",
+        "category",
+        group.alias("size_group"),
+        system.alias("size_system"),
+        value.alias("size_value"),
+        s.size_area(code, path).alias("size_area"),
+        s.size_key(code, path).alias("size_key"),
+    )
+    gated = null_safe_join(gated, sizes, ["size_code", "category"])
     gated = numbered(gated, [], order, -value_cell(F.coalesce("discount_pct", F.lit(-1e9))), "rank")
     kinds = [k for k in MASK_WIDTH if meanings is not None and f"{k}_mask" in rows.columns]
     for kind in kinds:
         gated = decode_mask(gated, f"{kind}_mask", meanings, kind, f"{kind}s")
-    attention = attention_index(live, as_of, band_edges=band_edges)
-    brand = brand_snapshot(rows, as_of, min_live).select(
-        "brand", F.col("sold_pct_day").alias("brand_sell_pct_day"), F.col("med_ask_ore").alias("brand_ask_ore")
+    # A row per brand, written so that whoever reads the result again does not read the shelf for them.
+    attention = cut_lineage(attention_index(live, as_of, band_edges=band_edges).select("brand", "attention_index"))
+    brand = cut_lineage(
+        brand_snapshot(rows, as_of, min_live).select(
+            "brand", F.col("sold_pct_day").alias("brand_sell_pct_day"), F.col("med_ask_ore").alias("brand_ask_ore")
+        )
     )
-    group, system, value = s.size_parts(F.col("size_code"))
     return (
-        gated.join(attention.select("brand", "attention_index"), "brand", "left")
+        gated.join(attention, "brand", "left")
         .join(brand, "brand", "left")
         .select(
             as_of.alias("as_of"),
@@ -104,11 +127,11 @@ def build_shortlist(items: DataFrame, as_of: Column, band_edges: Sequence[int] =
             "category",
             "condition",
             "demography",
-            group.alias("size_group"),
-            system.alias("size_system"),
-            value.alias("size_value"),
-            s.size_area(F.col("size_code"), F.col("category")).alias("size_area"),
-            s.size_key(F.col("size_code"), F.col("category")).alias("size_key"),
+            "size_group",
+            "size_system",
+            "size_value",
+            "size_area",
+            "size_key",
             s.to_kr_floor(F.col("price_ore")).alias("price_kr"),
             s.to_kr(F.col("peer_median_ore")).alias("peer_median_kr"),
             "peer_n",

@@ -167,14 +167,16 @@ def cohort_job(spark: SparkSession, home: str, cohort: DataFrame, observed: Data
 @removes_staged
 def shortlist_job(items: DataFrame, home: str, day: str, n: int = 500, per_brand: int = 15, **options) -> int:
     """The day's shortlist in full, and the thin record of what was recommended, each a day of its own table; returns the number of rows.
-    A day on which nothing is listed is refused: then the peers are the likelier fault. A re-run of a day replaces its rows."""
-    listed = cut_lineage(pool.build_shortlist(items, F.lit(day).cast("date"), **options))
-    rows = listed.count()
-    if not rows:
+    A day on which nothing is listed is refused: then the peers are the likelier fault. A re-run of a day replaces its rows. The full rows are written once,
+    and the record is read from them."""
+    as_of, spark = F.lit(day).cast("date"), items.sparkSession
+    listed = pool.build_shortlist(items, as_of, **options)
+    if listed.select("item_id").isEmpty():
         raise Refused(f"{day}: nothing shortlisted")
     write_snapshot(listed, f"{home}/shortlist_daily", day)
-    write_snapshot(pool.flagged(listed, n, per_brand), f"{home}/shortlist_flagged", day)
-    return rows
+    written = spark.read.parquet(f"{home}/shortlist_daily/as_of={day}").withColumn("as_of", as_of)
+    write_snapshot(pool.flagged(written, n, per_brand), f"{home}/shortlist_flagged", day)
+    return written.count()
 
 
 @removes_staged

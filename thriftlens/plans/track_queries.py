@@ -382,7 +382,7 @@ def shortlist_job(m: Market):
     """The day's shortlist written twice, an older day before it; the flagged record that is left."""
     home, rows = _home(m), cut_lineage(m.items(*POOLED, "season_mask"))
     for day in ("2000-06-30", AS_OF, AS_OF):
-        jobs.shortlist_job(rows, home, day, band_edges=BAND_EDGES, min_group=MIN_GROUP)
+        jobs.shortlist_job(rows, home, day, band_edges=BAND_EDGES, min_group=MIN_GROUP, staged=True)
     jobs.retention_job(m.spark, home, AS_OF, days=1)
     full = m.spark.read.parquet(f"{home}/shortlist_daily")
     if full.select("as_of").distinct().count() != 1:
