@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from thriftlens.functions.sql_tables import register_tables
-from thriftlens.operators import brands, market, slices
+from thriftlens.operators import brands, market, peers, slices
 from thriftlens.plans import jobs
 from thriftlens.session import DROP_SHUFFLES, cut_lineage, staging
 from thriftlens.sources import tables
@@ -186,3 +186,25 @@ def test_nested_staging(spark, tmp_path, monkeypatch):
         assert counted.count() == 7 and len(counted.collect()) == 7
     assert outer.count() == 5 and len(list(tmp_path.rglob("staged-*"))) == 1
     assert spark.conf.get(DROP_SHUFFLES) == "false"
+
+
+def test_a_pass_writes_its_items_once_and_may_read_what_it_replaces(spark, tmp_path, monkeypatch):
+    """The frozen items lie where they stay; a pass over the very day that it writes, read by its folder or by the table's, goes aside first."""
+    staged = []
+    monkeypatch.setattr(jobs, "cut_lineage", lambda df: staged.append(df.columns) or cut_lineage(df))
+    out, schema = str(tmp_path), "item_id string, peer_level int, peer_n long, peer_median_ore double, peer_pct double"
+    items = peers.unfrozen(spark.createDataFrame([("live", None), ("sold", 1)], "item_id string, outcome int"))
+    places = [spark.createDataFrame([("sold", 1, 20, 100.0, x), ("live", 1, 20, 100.0, x)], schema) for x in (0.2, 0.9)]
+
+    def frozen_by_pass(rows, before):
+        report = jobs.analytics_pass(rows, before, out, "2026-08-11")
+        assert report[0] == ("freeze", "ok")
+        written = spark.read.parquet(f"{out}/items/as_of=2026-08-11")
+        return sorted((r.item_id, r.peer_pct_frozen) for r in written.collect())
+
+    want = [("live", None), ("sold", 0.2)]
+    assert frozen_by_pass(items, places[0]) == want
+    assert not any("peer_frozen_on" in columns for columns in staged)
+    assert frozen_by_pass(spark.read.parquet(f"{out}/items/as_of=2026-08-11"), places[1]) == want
+    assert frozen_by_pass(spark.read.parquet(f"{out}/items").drop("as_of"), places[1]) == want
+    assert sum("peer_frozen_on" in columns for columns in staged) == 2

@@ -247,8 +247,12 @@ def analytics_pass(items: DataFrame, previous_peers: DataFrame, out: str, as_of:
     state: dict[str, DataFrame] = {}
 
     def freeze() -> None:
-        state["items"] = cut_lineage(peers.freeze_peers(items, previous_peers, day))
-        state["items"].write.mode("overwrite").parquet(f"{out}/items/as_of={as_of}")
+        # Written once, where it stays, and read from there; aside first only where the pass reads what it replaces.
+        path, frozen = f"{out}/items/as_of={as_of}", peers.freeze_peers(items, previous_peers, day)
+        aside = any(f"/items/as_of={as_of}/" in file for read in (items, previous_peers) for file in read.inputFiles())
+        rows = cut_lineage(frozen) if aside else frozen
+        rows.write.mode("overwrite").parquet(path)
+        state["items"] = rows if aside else items.sparkSession.read.schema(frozen.schema).parquet(path)
 
     def score() -> None:
         staged = marker
@@ -257,7 +261,7 @@ def analytics_pass(items: DataFrame, previous_peers: DataFrame, out: str, as_of:
         at = F.current_timestamp() if now is None else now
         check_staging(staged, state["items"], previous_peers, at)
         shelf = filters.live(filters.analysis_rows(state["items"]))
-        write_snapshot(peers.peer_cascade(shelf, min_group=min_group), f"{out}/peer_prices", as_of)
+        write_snapshot(peers.peer_cascade(shelf, min_group=min_group, staged=True), f"{out}/peer_prices", as_of)
 
     def predictors() -> None:
         rows = filters.analysis_rows(state.get("items", items)).withColumn("peer_quartile", s.peer_quartile(F.col("peer_pct_frozen")))
