@@ -277,11 +277,26 @@ def nearly_among(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str | N
 
     The hashes of the wanted keys are bits of small tables, so no wanted row is lost; the join that follows drops the others. Beyond some
     hundred millions of keys the filter lets more and more through. ``wanted`` is read here and again by that join, so it should be a table."""
+    return _by_filter(df, key, wanted, wanted_key or key, "left_semi")
+
+
+def left_join_near(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """What ``df.join(few, key, "left")`` gives, where many rows find no match: those that the filter of ``nearly_among`` tells are not shuffled.
+    Both are read twice, so they should be tables."""
+    if df.schema[key].dataType != few.schema[key].dataType:  # equal keys of two types have two hashes
+        return df.join(few, key, "left")
+    found = _by_filter(df, key, few, key, "left_semi").join(few, key, "left")
+    none = [F.lit(None).cast(field.dataType).alias(field.name) for field in few.schema if field.name != key]
+    rest = _by_filter(df, key, few, key, "left_anti")
+    return found.union(rest.select(key, *[c for c in df.columns if c != key], *none))
+
+
+def _by_filter(df: DataFrame, key: str, wanted: DataFrame, name: str, how: str) -> DataFrame:
+    """The rows that the filter of ``nearly_among`` lets through (``left_semi``), or all others (``left_anti``)."""
 
     def place(column: str) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
-    name = wanted_key or key
     bits = (
         wanted.where(F.col(name).isNotNull())
         .select(F.shiftright(place(name), 15).alias("_bucket"), place(name).bitwiseAND(32767).alias("_place"))
@@ -293,7 +308,7 @@ def nearly_among(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str | N
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(spot, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
     held = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i).cast("long") for i in range(8)]), (spot.bitwiseAND(7) + 1).cast("int"))) != 0
     here = F.col(key).isNotNull() & (F.shiftright(place(key), 15) == F.col("_bucket"))
-    return df.join(F.broadcast(bits), here & held, "left_semi")
+    return df.join(F.broadcast(bits), here & held, how)
 
 
 def pick_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:

@@ -86,11 +86,7 @@ ITEM_COLUMNS = {
     ),
     "sample_weight": ("cast(1 + l_partkey % 5 as double)", ""),
 }
-JOINS = {
-    "p": ("part", "l_partkey = p_partkey"),
-    "o": ("orders", "l_orderkey = o_orderkey"),
-    "c": ("customer", "o_custkey = c_custkey"),
-}
+CUSTOMER_OF = "o_custkey = c_custkey"
 # Prices in the given tables run far above those of clothes, so the bands are set wider.
 BAND_EDGES = [2000000, 4000000, 6000000, 8000000]
 AS_OF = "2000-07-01"
@@ -115,9 +111,15 @@ class Market:
         out = self.table("lineitem").where(only)
         if near is not None:
             out = near(out.withColumn("item_id", F.expr(ITEM_COLUMNS["item_id"][0]))).drop("item_id")
-        for code, (name, on) in JOINS.items():
-            if code in needed:
-                out = out.join(self.table(name), F.expr(on))
+        # Beyond the broadcast threshold every join shuffles what the ones before it made: orders meet their customers by themselves,
+        # and parts, whose names are the widest columns, come last.
+        if "o" in needed:
+            orders = self.table("orders")
+            if "c" in needed:
+                orders = orders.join(self.table("customer"), F.expr(CUSTOMER_OF))
+            out = out.join(orders, F.expr("l_orderkey = o_orderkey"))
+        if "p" in needed:
+            out = out.join(self.table("part"), F.expr("l_partkey = p_partkey"))
         return out.select(*[F.expr(ITEM_COLUMNS[c][0]).alias(c) for c in columns])
 
     def shelf(self, *columns: str) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from thriftlens import schemas
 from thriftlens.functions import scalars as s
 from thriftlens.operators import cohort, filters, ladders, trades
+from thriftlens.operators.spread import left_join_near
 from thriftlens.plans.binding import AS_OF, Market, r6
 from thriftlens.plans.registry import query, rounded
-from thriftlens.session import cut_lineage, shared_dir
+from thriftlens.session import cut_lineage, shared_dir, staging
 from thriftlens.sources import documents
 from thriftlens.sources.io import read_jsonl, write_lines
 
@@ -71,8 +72,17 @@ def round_trips(m: Market):
 
 def offer_documents(m: Market):
     """The listings' price steps as landed offer documents: one when it is listed, one at its last price if it has ended."""
-    rows = m.items("item_id", "first_price_ore", "price_ore", "first_offered", "resolved_on", "status", "dwell_days", "brand")
-    rows = rows.join(m.resales(), "item_id", "left")
+    folder = f"{shared_dir(m.spark)}/offers-{uuid.uuid4().hex}"
+    # Listings and pointers are tables until the documents have landed: the shuffles of each go before the next step begins.
+    with staging(m.spark):
+        resales = cut_lineage(m.resales())
+        rows = cut_lineage(m.items("item_id", "first_price_ore", "price_ore", "first_offered", "resolved_on", "status", "dwell_days", "brand"))
+        write_lines(offer_lines(left_join_near(rows, resales, "item_id")), f"{folder}/offers_1.jsonl")
+        return read_jsonl(m.spark, f"{folder}/offers_*.jsonl", schemas.OFFER)
+
+
+def offer_lines(rows):
+    """Listings with their pointers as offer documents."""
     iso = lambda day: F.date_format(day, "yyyy-MM-dd'T'00:00:00.000'Z'")
     item = F.struct(
         F.col("item_id").alias("objectId"),
@@ -95,10 +105,7 @@ def offer_documents(m: Market):
 
     first = offer(1, "first_price_ore", "first_offered", "resolved_on")
     last = F.when(F.col("resolved_on").isNotNull(), offer(2, "price_ore", "resolved_on", "resolved_on"))
-    lines = rows.select(F.explode(F.array(first, last)).alias("o")).where("o is not null").select(F.to_json("o"))
-    folder = f"{shared_dir(m.spark)}/offers-{uuid.uuid4().hex}"
-    write_lines(lines, f"{folder}/offers_1.jsonl")
-    return read_jsonl(m.spark, f"{folder}/offers_*.jsonl", schemas.OFFER)
+    return rows.select(F.explode(F.array(first, last)).alias("o")).where("o is not null").select(F.to_json("o"))
 
 
 OFFERED = f"""
