@@ -66,6 +66,17 @@ def test_offer_documents_leave_nothing_but_documents(spark, market, rows):
     assert rows(found[0]) == rows(want) and len(rows(want)) > 100
 
 
+def test_trips_shuffle_the_steps_they_name(spark, market, monkeypatch):
+    """Before, the ladders of all listings were made to join those of a few."""
+    seen = []
+    whole = ladders.ladder_rows
+    monkeypatch.setattr(ladders, "ladder_rows", lambda steps, details, *a: seen.append({r.item_id for r in steps.collect()}) or whole(steps, details, *a))
+    trips = trade_queries.document_trips(market).collect()
+    named = {i for r in trips for i in (r.item_id, r.original_id)}
+    every = {r.item_id for r in market.items("item_id", "brand", "first_offered").collect()}
+    assert named and named <= seen[0] and len(seen[0]) < len(every)
+
+
 @pytest.mark.parametrize("few", ["k string, v long, w date", "k string, v long, w date, x array<int>"])
 def test_left_join_near_is_a_left_join(spark, rows, few):
     df = spark.createDataFrame([(i, f"k{i % 40}" if i % 9 else None, i) for i in range(200)] + [(1, "k1", 1)], "i int, k string, n long")

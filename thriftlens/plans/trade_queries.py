@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from thriftlens import schemas
 from thriftlens.functions import scalars as s
 from thriftlens.operators import cohort, filters, ladders, trades
-from thriftlens.operators.spread import left_join_near
+from thriftlens.operators.spread import left_join_near, nearly_among
 from thriftlens.plans.binding import AS_OF, Market, r6
 from thriftlens.plans.registry import query, rounded
 from thriftlens.session import cut_lineage, shared_dir, staging
@@ -120,8 +120,16 @@ def document_trips(m: Market):
     """From landed offer documents to round trips: steps, details, ladders, pointers, trips."""
     docs = offer_documents(m)
     # Tables: the trips read details and ladders more than once, and each read would parse the documents again.
-    details = cut_lineage(documents.offer_details(docs))
-    rows = cut_lineage(ladders.ladder_rows(documents.offer_steps(docs), details))
+    with staging(m.spark):
+        details = cut_lineage(documents.offer_details(docs).select("item_id", "original_id", "status"), lasting=True)
+        linked = details.where(F.col("original_id").isNotNull())
+        named = cut_lineage(linked.select(F.explode(F.array("item_id", "original_id")).alias("item_id")))
+
+        def near(rows):
+            return nearly_among(rows, "item_id", named)
+
+        # Ladders of what the trips name; the filter stands before the steps are shuffled.
+        rows = cut_lineage(ladders.ladder_rows(near(documents.offer_steps(docs)), near(details)), lasting=True)
     found = trades.round_trips(details.select("item_id", "original_id"), rows)
     return rounded(
         found.select("item_id", "original_id", "ask_ore", "final_ore", "bought_price_ore", "sold", "multiple", "profit_kr", "days_held", "days_listed")
