@@ -77,6 +77,15 @@ def test_trips_shuffle_the_steps_they_name(spark, market, monkeypatch):
     assert named and named <= seen[0] and len(seen[0]) < len(every)
 
 
+def test_listing_rows_are_not_shuffled_to_meet_small_tables(spark, market):
+    """Before, each of three masks and seven kinds of the dictionary shuffled all listings once."""
+    found = []
+    left, _ = left_by(spark, lambda: found.append(sample_queries.listing_documents(market)))
+    assert not left
+    plan = sample_queries.listing_rows(market)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 10
+
+
 @pytest.mark.parametrize("few", ["k string, v long, w date", "k string, v long, w date, x array<int>"])
 def test_left_join_near_is_a_left_join(spark, rows, few):
     df = spark.createDataFrame([(i, f"k{i % 40}" if i % 9 else None, i) for i in range(200)] + [(1, "k1", 1)], "i int, k string, n long")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thriftlens.operators.spread import numbered, pick_first, with_row
+from thriftlens.session import cut_lineage
 
 # Mask widths: the last bit of each is shared by every value past the width. Fixed values.
 MASK_WIDTH = {"material": 62, "colour": 31, "season": 15}
@@ -47,6 +48,7 @@ def encode_mask(df: DataFrame, values: str, meanings: DataFrame, kind: str, name
         .groupBy(values)
         .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("_mask"))
     )
+    masks = cut_lineage(masks)  # a small table of known size: the rows are not shuffled to meet it
     joined = df.join(masks, values, "left")
     return joined.withColumn(name, F.coalesce("_mask", F.lit(0).cast("long"))).drop("_mask")
 

@@ -15,7 +15,7 @@ from thriftlens.plans.binding import AS_OF, BAND_EDGES, Market, r6, crc32_sql
 from thriftlens.plans.jobs import load_local
 from thriftlens.plans.registry import query, rounded
 from thriftlens.plans.scalar_queries import BAND
-from thriftlens.session import cut_lineage, shared_dir
+from thriftlens.session import cut_lineage, shared_dir, staging
 from thriftlens.sources import documents
 from thriftlens.sources.io import read_jsonl, write_lines
 
@@ -362,10 +362,16 @@ def mask_round_trip(m: Market):
 
 def listing_documents(m: Market):
     """The listings as nested JSON documents, written as lines and read with their fixed schema."""
-    rows = m.items("item_id", "brand", "item_type", "size_code", "condition", "demography", "colour", "category", "season",
-                   "weight_g", "price_ore", "first_price_ore", "favourites", "first_offered", "is_reserved", "last_chance", "p2p", "has_defect")
+    with staging(m.spark):  # a table, so that the shuffles of its joins go before the documents are written
+        rows = cut_lineage(m.items("item_id", "brand", "item_type", "size_code", "condition", "demography", "colour", "category", "season",
+                                   "weight_g", "price_ore", "first_price_ore", "favourites", "first_offered", "is_reserved", "last_chance", "p2p", "has_defect"))
+        return landed(listing_lines(rows), schemas.LISTING)
+
+
+def listing_lines(rows):
+    """Listings as nested JSON documents."""
     millis = F.unix_millis(F.col("first_offered").cast("timestamp"))
-    text = F.to_json(
+    return rows.select(F.to_json(
         F.struct(
             F.col("item_id").alias("objectID"),
             F.struct(
@@ -391,8 +397,7 @@ def listing_documents(m: Market):
             F.array("size_code").alias("sizes"),
             F.array(F.concat(F.lit("https://img.example.net/"), "item_id", F.lit(".jpg"))).alias("images"),
         )
-    )
-    return landed(rows.select(text), schemas.LISTING)
+    ))
 
 
 def landed(lines, schema):
@@ -422,10 +427,12 @@ def flat_documents(m: Market):
     JOIN lookup z ON z.kind = 'size' AND z.value = size_code JOIN lookup d ON d.kind = 'demography' AND d.value = demography
     JOIN lookup k ON k.kind = 'condition' AND k.value = condition JOIN bits b ON b.value = colour JOIN mats ON mats.value = category""")
 def listing_rows(m: Market):
-    docs = cut_lineage(listing_documents(m))
+    with staging(m.spark):
+        docs = cut_lineage(listing_documents(m), lasting=True)
     flat = documents.flat_listings(docs)
+    # The dictionary is a table, so that its size is known: without that, seven joins in a row shuffled all listings.
     rows = documents.listing_rows(
-        docs, lookup(m, flat), meanings(m, flat), "P", F.lit(1.0), F.lit(AS_OF).cast("date")
+        docs, cut_lineage(lookup(m, flat)), meanings(m, flat), "P", F.lit(1.0), F.lit(AS_OF).cast("date")
     )
     return rows.select(
         "item_id", "brand", "category_id", "item_type_id", "size_id", "demography_id", "condition_id", "colour_mask",
