@@ -86,6 +86,12 @@ def test_listing_rows_are_not_shuffled_to_meet_small_tables(spark, market):
     assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 10
 
 
+def test_analytics_pass_leaves_its_result_only(spark, market):
+    """Before, the first day's items stayed as a table beside the result, and the shuffles that made it."""
+    left, tables = left_by(spark, lambda: board_queries.analytics_pass(market))
+    assert not left and [t.split("-")[0] for t in tables] == ["pass"]
+
+
 @pytest.mark.parametrize("few", ["k string, v long, w date", "k string, v long, w date, x array<int>"])
 def test_left_join_near_is_a_left_join(spark, rows, few):
     df = spark.createDataFrame([(i, f"k{i % 40}" if i % 9 else None, i) for i in range(200)] + [(1, "k1", 1)], "i int, k string, n long")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thriftlens.operators.spread import null_safe_join, positions_median, positions_of_counts, value_positions
+from thriftlens.operators.spread import left_join_near, null_safe_join, positions_median, positions_of_counts, value_positions
 from thriftlens.session import cut_lineage
 
 # Level 1 brand + garment + condition, level 2 brand + category, level 3 tier + garment.
@@ -108,8 +108,8 @@ FROZEN = ["peer_pct", "peer_median_ore", "peer_n", "peer_level"]
 
 def freeze_peers(items: DataFrame, peers: DataFrame, as_of: Column, key: str = "item_id") -> DataFrame:
     """Copies the peer position onto items that have resolved, once: a row that already holds a
-    frozen position keeps it, and live rows stay as they are."""
-    frozen = items.join(peers.select(key, *FROZEN), key, "left")
+    frozen position keeps it, and live rows stay as they are. Only items that may have a position are shuffled."""
+    frozen = left_join_near(items, peers.select(key, *FROZEN), key)
     take = (
         F.col("outcome").isNotNull()
         & F.col("peer_frozen_on").isNull()

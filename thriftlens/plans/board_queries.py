@@ -17,7 +17,7 @@ from thriftlens.plans.binding import AS_OF, BAND_EDGES, Market, r6
 from thriftlens.plans.peer_queries import MIN_GROUP, PLACED, SHELF
 from thriftlens.plans.registry import query, rounded
 from thriftlens.plans.scalar_queries import BAND
-from thriftlens.session import cut_lineage, shared_dir
+from thriftlens.session import cut_lineage, shared_dir, staging
 from thriftlens.sources.tables import write_snapshot
 
 DAY = f"DATE '{AS_OF}'"
@@ -441,10 +441,11 @@ def analytics_pass(m: Market):
     """The daily pass on two days, between which the reserved listings sell: the second pass freezes the place that the first one gave them. Rows of
     all four tables as they are then written."""
     out = f"{shared_dir(m.spark)}/pass-{uuid.uuid4().hex}"
-    rows = cut_lineage(unfrozen(m.items(*dict.fromkeys([*SHELF, *BOARD_COLUMNS, "resolved_on"]))))
     nothing = m.spark.createDataFrame([], "item_id string, price_ore long, peer_level int, peer_n long, peer_median_ore double, peer_pct double")
     options = {"min_group": MIN_GROUP, "band_edges": BAND_EDGES}
-    done = jobs.analytics_pass(rows, nothing, out, "2000-06-30", **options)
+    with staging(m.spark):  # the second day begins from the items that the first one wrote
+        rows = cut_lineage(unfrozen(m.items(*dict.fromkeys([*SHELF, *BOARD_COLUMNS, "resolved_on"]))))
+        done = jobs.analytics_pass(rows, nothing, out, "2000-06-30", **options)
     now = m.spark.read.parquet(f"{out}/items/as_of=2000-06-30")
     sold = F.col("outcome").isNull() & F.col("is_reserved")
     now = now.withColumn("resolved_on", F.when(sold, F.lit(AS_OF).cast("date")).otherwise(F.col("resolved_on")))

@@ -16,7 +16,7 @@ from thriftlens.operators.cohort import cohort_check
 from thriftlens.operators.pool import refresh_bucket, refresh_pool
 from thriftlens.operators.selecting import first_by_key, latest_by_key, next_bucket
 from thriftlens.operators.track import once
-from thriftlens.session import cut_lineage, removes_staged
+from thriftlens.session import STAGED_CODEC, cut_lineage, removes_staged
 from thriftlens.sources.io import pick, read_jsonl
 from thriftlens.sources.tables import (
     PART,
@@ -251,7 +251,7 @@ def analytics_pass(items: DataFrame, previous_peers: DataFrame, out: str, as_of:
         path, frozen = f"{out}/items/as_of={as_of}", peers.freeze_peers(items, previous_peers, day)
         aside = any(f"/items/as_of={as_of}/" in file for read in (items, previous_peers) for file in read.inputFiles())
         rows = cut_lineage(frozen) if aside else frozen
-        rows.write.mode("overwrite").parquet(path)
+        rows.write.mode("overwrite").option("compression", STAGED_CODEC).parquet(path)
         state["items"] = rows if aside else items.sparkSession.read.schema(frozen.schema).parquet(path)
 
     def score() -> None:
